@@ -315,10 +315,10 @@ def score_upsert(t: Tables) -> DataFrame:
     return leaderboard.upsert_scores(t.scores, delivered).select("quiz_id", "id", "score")
 
 
-@query("score_rename", with_views(SCORES, """renames AS (SELECT o_orderpriority AS quiz_id, l_orderkey::VARCHAR AS id, l_linenumber AS at,
+@query("score_rename", with_views(SCORES, """renames AS (SELECT o_orderpriority AS quiz_id, l_orderkey::VARCHAR AS id, l_linenumber AS moment,
                      CASE WHEN l_returnflag = 'R' THEN ' ' ELSE ' ' || l_returnflag || l_suppkey || ' ' END AS name
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-latest AS (SELECT quiz_id, id, arg_max(name, struct_pack(at := at, name := name)) AS name FROM renames GROUP BY ALL)""", body="""
+latest AS (SELECT quiz_id, id, arg_max(name, struct_pack(m := moment, n := name)) AS name FROM renames GROUP BY ALL)""", body="""
 SELECT quiz_id, id, CASE WHEN l.id IS NULL THEN username WHEN trim(l.name) = '' THEN 'Player 1' ELSE trim(l.name) END AS username
 FROM scores s LEFT JOIN latest l USING (quiz_id, id)"""))
 def score_rename(t: Tables) -> DataFrame:

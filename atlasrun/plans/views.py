@@ -152,6 +152,18 @@ class Tables:
             p["x"].alias("x"), p["y"].alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
         return turned.select("ring_id", "label", F.concat("sorted", F.slice("sorted", 1, 1)).alias("ring"))
 
+    @cached_property
+    def boundary_features(self) -> DataFrame:
+        """Nested features: a polygon with a hole (16 and 8 vertices) and an island (8 vertices)."""
+        def ring(first: int, count: int):
+            part = F.slice("points", first, count)
+            return F.concat(part, F.slice(part, 1, 1))
+
+        return self.raw_rings.select(
+            F.concat(F.lit("ne:"), F.col("ring_id").cast("string")).alias("feature_id"), F.col("ring_id").alias("feature_pos"),
+            F.when(F.col("ring_id") % 3 > 0, F.get("points", 0)["x"]).alias("label_x"), F.get("points", 0)["y"].alias("label_y"),
+            F.array(F.array(ring(1, 16), ring(17, 8)), F.array(ring(25, 8))).alias("polygons"))
+
     @cached_property
     def components(self) -> DataFrame:
         """Open boundaries in degrees, five to a location; every tenth location lies on the seam."""
@@ -242,6 +254,14 @@ star_vertices AS (
   SELECT ring_id, label, row_number() OVER (PARTITION BY ring_id ORDER BY round(atan2(y - cy, x - cx), 9), x, y) - 1 AS i, x, y
   FROM raw_vertices JOIN centres USING (ring_id))"""
 
+# Closed rings of the nested features, with ids.
+BOUNDARY_VERTICES = """ring_parts AS (SELECT * FROM (VALUES (0, 0, 0, 0, 16), (0, 1, 1, 16, 8), (1, 0, 2, 24, 8)) AS v(polygon_pos, ring_pos, part_pos, start, n)),
+boundary_vertices AS (
+  SELECT 'ne:' || ring_id AS feature_id, 'ne:' || ring_id || ':polygon:' || polygon_pos AS polygon_id,
+         'ne:' || ring_id || ':polygon:' || polygon_pos || ':ring:' || ring_pos AS ring_id,
+         polygon_pos, ring_pos, part_pos, n, k AS i, x, y
+  FROM raw_vertices JOIN (SELECT *, unnest(range(n + 1)) AS k FROM ring_parts) ON i = start + k % n)"""
+
 # Component boundaries, map coordinates of a world 360 wide.
 COMPONENT_VERTICES = """component_vertices AS (
   SELECT location_id, ring_id AS component_id, slot AS pos, i,
