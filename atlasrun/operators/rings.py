@@ -55,11 +55,11 @@ def number_parts(rings: DataFrame) -> DataFrame:
 
 def explode_parts(features: DataFrame) -> DataFrame:
     """Rings numbered through the whole feature, with part ids; no shuffle."""
-    def earlier(index: Column) -> Column:
-        return F.aggregate(F.slice("polygons", 1, index), F.lit(0), lambda n, polygon: n + F.size(polygon))
+    def earlier(polygons: Column, index: Column) -> Column:
+        return F.aggregate(F.slice(polygons, 1, index), F.lit(0), lambda n, polygon: n + F.size(polygon))
 
-    tagged = features.withColumn("polygons", F.transform("polygons", lambda polygon, i: F.struct(
-        polygon.alias("rings"), earlier(i).alias("rings_before"))))
+    tagged = features.withColumn("polygons", let(F.col("polygons"), lambda all_: F.transform(all_, lambda polygon, i: F.struct(
+        polygon.alias("rings"), earlier(all_, i).alias("rings_before")))))
     keep = [c for c in features.columns if c != "polygons"]
     polygons = tagged.select(*keep, F.posexplode("polygons").alias("polygon_pos", "_polygon")).select(
         *keep, "polygon_pos", "_polygon.rings", "_polygon.rings_before",
@@ -160,7 +160,8 @@ def self_crossing(rings: DataFrame, keys: list[str], points: str = "points", bus
     condition = apart & G.crosses(F.col("l.s"), F.col("r.t"))
     for part in same:
         condition = condition & part
-    return left.join(right, condition, "left_semi").select(*keys).distinct()
+    # Sides outgrow the size Spark estimates for them, so the join must not be a broadcast one.
+    return left.join(right.hint("merge"), condition, "left_semi").select(*keys).distinct()
 
 
 def ring_flags(rings: DataFrame, width: float = G.MAP_WIDTH, height: float = G.MAP_HEIGHT) -> DataFrame:

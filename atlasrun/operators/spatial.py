@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut_lineage
 from .graph import connected_components
 from .grid import owns_pair, range_cells, segment_cells
 
@@ -67,7 +68,8 @@ def near_pairs(table: DataFrame, *, world: float, proximity: float, cell: float
     right = right.select(*PLACE, "cell", F.col("component_id").alias("b"), F.col("s").alias("sb"), "moved")
     # Unmoved pairs come up once, smaller id first; moved ones in both orders, which differ.
     once = (F.col("a") < F.col("b")) | (F.col("moved") & (F.col("a") != F.col("b")))
-    joined = left.join(right, [*PLACE, "cell"]).where(once & (G.envelope_gap(F.col("sa"), F.col("sb"), F.lit(0.0)) <= proximity))
+    # Sides and cells outgrow the size Spark estimates for them: never broadcast them.
+    joined = left.join(right.hint("merge"), [*PLACE, "cell"]).where(once & (G.envelope_gap(F.col("sa"), F.col("sb"), F.lit(0.0)) <= proximity))
     distance = G.segment_distance(F.col("sa"), F.col("sb"))
     return (joined.select("location_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance.alias("distance"))
             .where(F.col("distance") <= proximity)
@@ -94,7 +96,7 @@ def proximity_links(table: DataFrame, *, world: float, proximity: float) -> Data
     placed = sides.select(*PLACE, "cell.cx", "cell.cy", "component_id", "s")
     heads = placed.groupBy(*key).agg(F.min("component_id").alias("head"), F.max("component_id").alias("last"))
     shared = heads.where("head <> last").select(*key, "head")
-    to_head = placed.join(shared, key).where("component_id <> head").select(
+    to_head = placed.join(shared.hint("merge"), key).where("component_id <> head").select(
         F.col("component_id").alias("a"), F.col("head").alias("b")).distinct()
 
     # The half of the cells around a cell that lie after it, up to two steps away.
@@ -103,21 +105,22 @@ def proximity_links(table: DataFrame, *, world: float, proximity: float) -> Data
     around = heads.select(*key, "head", F.explode(turns).alias("turn")).select(
         *PLACE, F.col("cx").alias("from_cx"), F.col("cy").alias("from_cy"), F.col("head").alias("from_head"),
         (F.col("cx") + F.col("turn.dx")).alias("cx"), (F.col("cy") + F.col("turn.dy")).alias("cy"))
-    pairs = around.join(heads.select(*key, "head"), key).where("from_head <> head").select(
+    pairs = around.join(heads.select(*key, "head").hint("merge"), key).where("from_head <> head").select(
         *PLACE, "from_cx", "from_cy", "from_head", F.col("cx").alias("to_cx"), F.col("cy").alias("to_cy"), F.col("head").alias("to_head"))
     lookout = placed.select(*PLACE, F.col("cx").alias("from_cx"), F.col("cy").alias("from_cy"), F.col("s").alias("sa"))
-    probe = pairs.join(lookout, [*PLACE, "from_cx", "from_cy"]).alias("p")
+    probe = pairs.join(lookout.hint("merge"), [*PLACE, "from_cx", "from_cy"]).alias("p")
     other = placed.alias("o")
     near = ((G.envelope_gap(F.col("p.sa"), F.col("o.s"), F.lit(0.0)) <= proximity)
             & (G.segment_distance(F.col("p.sa"), F.col("o.s")) <= proximity))
     match = ((F.col("p.location_id") == F.col("o.location_id")) & (F.col("p.degenerate") == F.col("o.degenerate"))
              & (F.col("p.to_cx") == F.col("o.cx")) & (F.col("p.to_cy") == F.col("o.cy")) & near)
-    across = probe.join(other, match, "left_semi").select(F.col("from_head").alias("a"), F.col("to_head").alias("b")).distinct()
+    across = probe.join(other.hint("merge"), match, "left_semi").select(F.col("from_head").alias("a"), F.col("to_head").alias("b")).distinct()
     return to_head.unionByName(across)
 
 
 def clusters(table: DataFrame, *, world: float, proximity: float) -> DataFrame:
     """Cluster of every component: those reachable over boundaries within the proximity."""
+    table = cut_lineage(table)
     edges = proximity_links(table, world=world, proximity=proximity)
     labels = connected_components(table.select(F.col("component_id").alias("id")), edges)
     return table.select("location_id", "component_id", "pos").join(
@@ -140,7 +143,7 @@ def _align(x, anchor_x, world: float):
 
 def cluster_members(table: DataFrame, *, world: float, proximity: float) -> DataFrame:
     """Members of each small location's main cluster: the one with its largest component."""
-    small = all_small(table)
+    small = cut_lineage(all_small(table))
     labelled = small.join(clusters(small, world=world, proximity=proximity).select("component_id", "cluster"), "component_id")
     main = labelled.groupBy("location_id").agg(
         F.max_by(F.struct("cluster", "centre"), F.struct("radius", -F.col("pos"))).alias("_main"))
@@ -183,5 +186,5 @@ def in_views(items: DataFrame, views: DataFrame, *, width: float, cell: float |
     copies = copies.withColumn("_cell", F.explode(range_cells(F.col("_low"), F.col("_high"), size)))
     windows = views.select("view_id", "view_min", "view_max", F.explode(range_cells(F.col("view_min"), F.col("view_max"), size)).alias("_cell"))
     meet = (F.col("_high") >= F.col("view_min")) & (F.col("_low") <= F.col("view_max"))
-    return (copies.join(windows, "_cell").where(meet & owns_pair(F.col("_cell"), F.col("_low"), F.col("view_min"), size))
+    return (copies.join(windows.hint("merge"), "_cell").where(meet & owns_pair(F.col("_cell"), F.col("_low"), F.col("view_min"), size))
             .drop("_cell", "_low", "_high"))

@@ -169,24 +169,24 @@ def _apart(p: str, a: str, b: str) -> str:
 
 
 def segment_distance_sql() -> str:
-    """Distance of the segments a-b and c-d given as columns ax, ay, bx, by, cx, cy, dx, dy."""
-    a_c, a_d, b_a, b_b = _turn("a", "b", "c"), _turn("a", "b", "d"), _turn("c", "d", "a"), _turn("c", "d", "b")
+    """Distance of the segments a-b and c-d given as columns ax, ay, ex, ey, cx, cy, dx, dy."""
+    a_c, a_d, b_a, b_b = _turn("a", "e", "c"), _turn("a", "e", "d"), _turn("c", "d", "a"), _turn("c", "d", "e")
     e = "1e-9::DOUBLE"
     meets = (f"((({a_c} > {e} AND {a_d} < -{e}) OR ({a_c} < -{e} AND {a_d} > {e})) AND (({b_a} > {e} AND {b_b} < -{e}) OR ({b_a} < -{e} AND {b_b} > {e}))"
-             f" OR (abs({a_c}) <= {e} AND {_box('a', 'c', 'b')}) OR (abs({a_d}) <= {e} AND {_box('a', 'd', 'b')})"
-             f" OR (abs({b_a}) <= {e} AND {_box('c', 'a', 'd')}) OR (abs({b_b}) <= {e} AND {_box('c', 'b', 'd')}))")
-    return (f"(CASE WHEN {meets} THEN 0.0::DOUBLE ELSE least({_apart('a', 'c', 'd')}, {_apart('b', 'c', 'd')}, "
-            f"{_apart('c', 'a', 'b')}, {_apart('d', 'a', 'b')}) END)")
+             f" OR (abs({a_c}) <= {e} AND {_box('a', 'c', 'e')}) OR (abs({a_d}) <= {e} AND {_box('a', 'd', 'e')})"
+             f" OR (abs({b_a}) <= {e} AND {_box('c', 'a', 'd')}) OR (abs({b_b}) <= {e} AND {_box('c', 'e', 'd')}))")
+    return (f"(CASE WHEN {meets} THEN 0.0::DOUBLE ELSE least({_apart('a', 'c', 'd')}, {_apart('e', 'c', 'd')}, "
+            f"{_apart('c', 'a', 'e')}, {_apart('d', 'a', 'e')}) END)")
 
 
 _SIDES = """sides AS (
-  SELECT ring_id, i, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by
+  SELECT ring_id, i, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS ex, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ey
   FROM {vertices} WINDOW w AS (PARTITION BY ring_id ORDER BY i))"""
 
 
 @query("seg_distance", with_views(RAW_VERTICES, _SIDES.format(vertices="raw_vertices"), body=f"""
 SELECT ring_id, i, round({segment_distance_sql()}, 6) AS distance
-FROM (SELECT s.ring_id, s.i, s.ax, s.ay, s.bx, s.by, o.ax AS cx, o.ay AS cy, o.bx AS dx, o.by AS dy
+FROM (SELECT s.ring_id, s.i, s.ax, s.ay, s.ex, s.ey, o.ax AS cx, o.ay AS cy, o.ex AS dx, o.ey AS dy
       FROM sides s JOIN sides o ON o.ring_id = s.ring_id + 1 AND o.i = s.i)"""))
 def seg_distance(t: Tables) -> DataFrame:
     """Distance of each ring side from the matching side of the next ring."""
@@ -201,12 +201,12 @@ def _side_sign(turn: str) -> str:
 
 
 def _crossing_sql(sides: str, key: str = "ring_id") -> str:
-    """Rings of a table of sides (key, i, n, ax, ay, bx, by) with a proper crossing."""
+    """Rings of a table of sides (key, i, n, ax, ay, ex, ey) with a proper crossing."""
     return f"""SELECT DISTINCT {key} FROM (
-  SELECT s.{key}, s.ax, s.ay, s.bx, s.by, o.ax AS cx, o.ay AS cy, o.bx AS dx, o.by AS dy
+  SELECT s.{key}, s.ax, s.ay, s.ex, s.ey, o.ax AS cx, o.ay AS cy, o.ex AS dx, o.ey AS dy
   FROM {sides} s JOIN {sides} o ON s.{key} = o.{key} AND s.i < o.i - 1 AND NOT (s.i = 0 AND o.i = s.n - 1))
-WHERE {_side_sign(_turn('a', 'b', 'c'))} * {_side_sign(_turn('a', 'b', 'd'))} < 0
-  AND {_side_sign(_turn('c', 'd', 'a'))} * {_side_sign(_turn('c', 'd', 'b'))} < 0"""
+WHERE {_side_sign(_turn('a', 'e', 'c'))} * {_side_sign(_turn('a', 'e', 'd'))} < 0
+  AND {_side_sign(_turn('c', 'd', 'a'))} * {_side_sign(_turn('c', 'd', 'e'))} < 0"""
 
 
 @query("self_crossing", with_views(RAW_VERTICES, STAR_VERTICES, """both_rings AS (
@@ -232,11 +232,11 @@ cleaned AS (
 projected AS (SELECT * REPLACE ((x + 180.0::DOUBLE) / 360.0 * 1440.0 AS x, (90.0::DOUBLE - y) / 180.0 * 720.0 AS y) FROM cleaned),
 sides AS (
   SELECT ring_id, i, count(*) OVER (PARTITION BY ring_id) AS n, x AS ax, y AS ay,
-         coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by
+         coalesce(lead(x) OVER w, first_value(x) OVER w) AS ex, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ey
   FROM projected WINDOW w AS (PARTITION BY ring_id ORDER BY i)),
 crossing AS (""" + _crossing_sql("sides") + """),
-areas AS (SELECT ring_id, max(n) AS n, CASE WHEN max(n) < 3 THEN 0 ELSE sum(ax * by - bx * ay) / 2 END AS area,
-                 sum((ax + bx) * (ax * by - bx * ay)) AS mx, sum((ay + by) * (ax * by - bx * ay)) AS my,
+areas AS (SELECT ring_id, max(n) AS n, CASE WHEN max(n) < 3 THEN 0 ELSE sum(ax * ey - ex * ay) / 2 END AS area,
+                 sum((ax + ex) * (ax * ey - ex * ay)) AS mx, sum((ay + ey) * (ax * ey - ex * ay)) AS my,
                  min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM sides GROUP BY ring_id),
 ids AS (SELECT ring_id, any_value(feature_id) AS feature_id, any_value(polygon_id) AS polygon_id, any_value(polygon_pos) AS polygon_pos,
                any_value(ring_pos) AS ring_pos, any_value(opened) AND max(i) > 0 AND count(DISTINCT (x, y)) > 1 AS open_ring FROM faulty GROUP BY ring_id),
@@ -363,7 +363,7 @@ _LABEL_X, _LABEL_Y = fixed2_sql("((lx + 180.0::DOUBLE) / 360.0 * 1440.0)"), fixe
 
 
 @query("feature_build", with_views(*_BUILD, """labels_at AS (
-  SELECT 'ne:' || ring_id AS feature_id, CASE WHEN ring_id % 3 > 0 THEN x END AS lx, y AS ly FROM raw_vertices WHERE i = 0)""",
+  SELECT 'ne:' || ring_id AS feature_id, CASE WHEN ring_id % 3 > 0 THEN x END AS lx, y AS ly FROM star_vertices WHERE i = 0)""",
     recursive=True, body=f"""
 SELECT feature_id, parts, min_x, min_y, max_x, max_y, CASE WHEN lx IS NULL THEN min_x ELSE {_LABEL_X} END AS anchor_x,
        CASE WHEN lx IS NULL THEN min_y ELSE {_LABEL_Y} END AS anchor_y
@@ -392,14 +392,14 @@ parts AS (
          greatest(max(x) * 4 - min(x) * 4, max(y) * 4 - min(y) * 4) / 2 AS radius FROM unwrapped GROUP BY ALL),
 small_places AS (SELECT location_id FROM parts GROUP BY location_id HAVING max(radius) * 2 < 20),
 segs AS (
-  SELECT location_id, component_id, x * 4 AS ax, y * 4 AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) * 4 AS bx,
-         coalesce(lead(y) OVER w, first_value(y) OVER w) * 4 AS by FROM unwrapped WINDOW w AS (PARTITION BY component_id ORDER BY i))"""
+  SELECT location_id, component_id, x * 4 AS ax, y * 4 AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) * 4 AS ex,
+         coalesce(lead(y) OVER w, first_value(y) OVER w) * 4 AS ey FROM unwrapped WINDOW w AS (PARTITION BY component_id ORDER BY i))"""
 
 NEAR = f"""near AS (
   SELECT location_id, a, b, min(distance) AS distance FROM (
     SELECT location_id, a, b, {segment_distance_sql()} AS distance FROM (
-      SELECT s.location_id, s.component_id AS a, o.component_id AS b, s.ax, s.ay, s.bx, s.by,
-             o.ax + shift AS cx, o.ay AS cy, o.bx + shift AS dx, o.by AS dy
+      SELECT s.location_id, s.component_id AS a, o.component_id AS b, s.ax, s.ay, s.ex, s.ey,
+             o.ax + shift AS cx, o.ay AS cy, o.ex + shift AS dx, o.ey AS dy
       FROM segs s JOIN segs o ON s.location_id = o.location_id AND s.component_id < o.component_id, (VALUES (0.0::DOUBLE), (1440.0::DOUBLE), (-1440.0::DOUBLE)) AS v(shift)))
   GROUP BY ALL HAVING min(distance) <= 4)"""
 

@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 EPOCH_MS = 1704067200000
 
 
@@ -143,26 +145,35 @@ class Tables:
     @cached_property
     def star_rings(self) -> DataFrame:
         """The same vertices ordered by angle around their mean, closed: mostly simple rings."""
-        count = F.size("points")
-        total = F.aggregate("points", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
-                            lambda s, p: F.struct((s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")))
-        centred = self.raw_rings.withColumn("centre", F.struct((total["x"] / count).alias("x"), (total["y"] / count).alias("y")))
-        turned = centred.withColumn("sorted", F.transform(F.array_sort(F.transform("points", lambda p: F.struct(
-            F.round(F.atan2(p["y"] - F.col("centre.y"), p["x"] - F.col("centre.x")), 9).alias("angle"),
-            p["x"].alias("x"), p["y"].alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
-        return turned.select("ring_id", "label", F.concat("sorted", F.slice("sorted", 1, 1)).alias("ring"))
+        def mean(points):
+            total = F.aggregate(points, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
+                                lambda s, p: F.struct((s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")))
+            return let(total, lambda s: F.struct((s["x"] / F.size(points)).alias("x"), (s["y"] / F.size(points)).alias("y")))
+
+        def turned(points):
+            return let(mean(points), lambda centre: F.array_sort(F.transform(points, lambda p: F.struct(
+                F.round(F.atan2(p["y"] - centre["y"], p["x"] - centre["x"]), 9).alias("angle"),
+                p["x"].alias("x"), p["y"].alias("y")))))
+
+        def closed(points):
+            bare = F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+            return let(bare, lambda r: F.concat(r, F.slice(r, 1, 1)))
+
+        return self.raw_rings.select("ring_id", "label", let(F.col("points"), lambda r: let(turned(r), closed)).alias("ring"))
 
     @cached_property
     def boundary_features(self) -> DataFrame:
         """Nested features: a polygon with a hole (16 and 8 vertices) and an island (8 vertices)."""
-        def ring(first: int, count: int):
-            part = F.slice("points", first, count)
-            return F.concat(part, F.slice(part, 1, 1))
+        def ring(points, first: int, count: int):
+            return F.concat(F.slice(points, first, count), F.slice(points, first, 1))
 
-        return self.raw_rings.select(
+        nested = let(F.col("ring"), lambda r: F.array(F.array(ring(r, 1, 16), ring(r, 17, 8)), F.array(ring(r, 25, 8))))
+        first = F.col("polygons")[0][0][0]
+        return self.star_rings.select(
             F.concat(F.lit("ne:"), F.col("ring_id").cast("string")).alias("feature_id"), F.col("ring_id").alias("feature_pos"),
-            F.when(F.col("ring_id") % 3 > 0, F.get("points", 0)["x"]).alias("label_x"), F.get("points", 0)["y"].alias("label_y"),
-            F.array(F.array(ring(1, 16), ring(17, 8)), F.array(ring(25, 8))).alias("polygons"))
+            nested.alias("polygons")).select(
+            "feature_id", "feature_pos", F.when(F.col("feature_pos") % 3 > 0, first["x"]).alias("label_x"),
+            first["y"].alias("label_y"), "polygons")
 
     @cached_property
     def components(self) -> DataFrame:
@@ -255,12 +266,13 @@ star_vertices AS (
   FROM raw_vertices JOIN centres USING (ring_id))"""
 
 # Closed rings of the nested features, with ids.
-BOUNDARY_VERTICES = """ring_parts AS (SELECT * FROM (VALUES (0, 0, 0, 0, 16), (0, 1, 1, 16, 8), (1, 0, 2, 24, 8)) AS v(polygon_pos, ring_pos, part_pos, start, n)),
+BOUNDARY_VERTICES = STAR_VERTICES + """,
+ring_parts AS (SELECT * FROM (VALUES (0, 0, 0, 0, 16), (0, 1, 1, 16, 8), (1, 0, 2, 24, 8)) AS v(polygon_pos, ring_pos, part_pos, start, n)),
 boundary_vertices AS (
   SELECT 'ne:' || ring_id AS feature_id, 'ne:' || ring_id || ':polygon:' || polygon_pos AS polygon_id,
          'ne:' || ring_id || ':polygon:' || polygon_pos || ':ring:' || ring_pos AS ring_id,
          polygon_pos, ring_pos, part_pos, n, k AS i, x, y
-  FROM raw_vertices JOIN (SELECT *, unnest(range(n + 1)) AS k FROM ring_parts) ON i = start + k % n)"""
+  FROM star_vertices JOIN (SELECT *, unnest(range(n + 1)) AS k FROM ring_parts) ON i = start + k % n)"""
 
 # Component boundaries, map coordinates of a world 360 wide.
 COMPONENT_VERTICES = """component_vertices AS (
