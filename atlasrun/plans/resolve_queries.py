@@ -13,9 +13,6 @@ from .views import CANDIDATES, FEATURES, MEMBERS, PART_FEATURES, PLACES, QUIZZES
 
 NAME_KEY = "regexp_replace(strip_accents(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'))), '\\p{{P}}', '', 'g')"
 LABEL_KEY = "regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', '', 'g')"
-# Decomposed text has the mark after its letter, and a mark is not a letter: it becomes a dash.
-SLUG = ("'non-un:' || lower(regexp_replace(regexp_replace(regexp_replace({0}, '([À-ÖØ-öø-ÿ])', '\\1-', 'g'), "
-        "'[^a-zA-Z0-9À-ÖØ-öø-ÿ]+', '-', 'g'), '^-|-$', '', 'g'))")
 
 
 @query("name_key", f"SELECT doc_id, {NAME_KEY.format('text')} AS name_key FROM documents")
@@ -167,7 +164,7 @@ matched AS (
 
 def _supplement(t: Tables) -> DataFrame:
     return t.part_features.withColumns({
-        "keys": F.array("code"), "labels": F.array("label"), "source_codes": F.array(F.concat(F.regexp_replace("code", "#", "-"), F.lit("-x")))})
+        "keys": F.array("code"), "labels": F.array("label"), "source_codes": F.array(F.concat("code", F.lit("-x")))})
 
 
 def _candidates(t: Tables) -> DataFrame:
@@ -203,7 +200,7 @@ def candidate_summary(t: Tables) -> DataFrame:
 @query("resolve_ambiguous", with_views(PART_FEATURES, CANDIDATES, TIERS, body=f"""
 SELECT m.name, m.feature_id FROM matched m JOIN candidates c USING (name) JOIN part_features f USING (feature_id)
 WHERE m.tier = 'match' AND {LABEL_KEY.format('f.label')} IN ({LABEL_KEY.format('m.name')}, {LABEL_KEY.format('c.code')})
-  AND upper(replace(f.code, '#', '-') || '-x') <> upper(c.country) AND upper(split_part(f.code, '#', 1)) || f.kind <> upper(c.country) || c.kind""".replace("c.country", "c.code").replace("c.kind", "''").replace("f.kind", "''")))
+  AND f.code <> c.code"""))
 def resolve_ambiguous(t: Tables) -> DataFrame:
     """Label matches whose country code contradicts the candidate's."""
     return resolve.ambiguous_matches(_candidates(t), _supplement(t), _matched(t))
@@ -412,7 +409,7 @@ keyed AS (SELECT *, {NAME_KEY.format('name')} AS name_key FROM catalog),
 asked_keys AS (SELECT *, {NAME_KEY.format('text')} AS key FROM asked),
 key_set AS (SELECT DISTINCT key FROM asked_keys),
 best AS (
-  SELECT key, item_id, row_number() OVER (PARTITION BY key ORDER BY name_key = key DESC, name, pos) AS rank
+  SELECT key, item_id, row_number() OVER (PARTITION BY key ORDER BY name_key = key DESC, lower(name), pos) AS rank
   FROM key_set JOIN keyed ON contains(name_key, key) WHERE key <> ''
   UNION ALL SELECT '', item_id, row_number() OVER (ORDER BY pos) FROM keyed)"""
 

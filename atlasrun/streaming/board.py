@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +14,19 @@ COLUMNS = "quiz_id string, id string, username string, score double, accuracy do
 def read_boards(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """The latest boards in a folder, or the latest of those written before a batch.
 
-    Every batch writes one folder, so the state after each is kept and a failed batch can be redone.
+    Every batch writes one folder of a few rows per quiz, so a failed batch can be redone from the
+    one before it. Older folders may be removed at any time.
     """
-    versions = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true")
     try:
-        found = versions.load(path).select(F.regexp_extract("path", r"batch=(\d+)", 1).cast("bigint").alias("batch"))
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+        found = spark.read.schema(f"{COLUMNS}, batch bigint").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], COLUMNS)
-    latest = (found if before is None else found.where(F.col("batch") < before)).agg(F.max("batch")).first()[0]
-    if latest is None:
-        return spark.createDataFrame([], COLUMNS)
-    return spark.read.schema(COLUMNS).parquet(f"{path}/batch={latest}")
+    if before is not None:
+        found = found.where(F.col("batch") < before)
+    latest = found.agg(F.max("batch").alias("latest"))
+    return found.join(latest, F.col("batch") == F.col("latest")).drop("batch", "latest")
 
 
 def merge_batch(results: DataFrame, batch_id: int, path: str, depth: int = BOARD_DEPTH) -> None:
