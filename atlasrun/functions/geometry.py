@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import let, rotate
@@ -257,74 +257,94 @@ def is_degenerate(points: Column) -> Column:
     return let(points, lambda r: F.forall(r, lambda p: same_point(p, F.get(r, F.lit(0)))))
 
 
-def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    """Twice the signed area of the triangle a, b, c."""
-    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+# A side is a mapping of its coordinates ax, ay, bx, by and its measures dx, dy and length (the squared
+# length, 1 for a point). Measures are computed before a join, once per side, so that the tests that
+# run on joined pairs stay small enough for generated code.
+SIDE = ("ax", "ay", "bx", "by", "dx", "dy", "length")
 
 
-def _side(value: Column) -> Column:
-    return F.when(F.abs(value) < EPSILON, 0).when(value > 0, 1).otherwise(-1)
+def side(s: Column | dict[str, Column]) -> dict[str, Column]:
+    """Coordinates and measures of a segment struct."""
+    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+    squared = dx * dx + dy * dy
+    return {"ax": s["ax"], "ay": s["ay"], "bx": s["bx"], "by": s["by"], "dx": dx, "dy": dy,
+            "length": F.when(squared == 0, 1.0).otherwise(squared)}
+
+
+def side_columns(s: Column | dict[str, Column], prefix: str) -> list[Column]:
+    """The same as flat columns ``<prefix>ax`` and so on."""
+    return [value.alias(prefix + name) for name, value in side(s).items()]
+
+
+def side_named(prefix: str) -> dict[str, Column]:
+    """The side held by flat columns."""
+    return {name: F.col(prefix + name) for name in SIDE}
+
+
+def turn(s: dict[str, Column], x: Column, y: Column) -> Column:
+    """Twice the signed area of the triangle of a side and a point."""
+    return s["dx"] * (y - s["ay"]) - s["dy"] * (x - s["ax"])
+
 
+def turns(a: dict[str, Column], b: dict[str, Column]) -> list[Column]:
+    """Where the ends of b lie as seen from a, and those of a as seen from b."""
+    return [turn(a, b["ax"], b["ay"]), turn(a, b["bx"], b["by"]), turn(b, a["ax"], a["ay"]), turn(b, a["bx"], a["by"])]
 
-def crosses(a: Column, b: Column) -> Column:
-    """Do two segments cross properly? Touching and overlapping do not count."""
-    a_c = _side(turn(a["ax"], a["ay"], a["bx"], a["by"], b["ax"], b["ay"]))
-    a_d = _side(turn(a["ax"], a["ay"], a["bx"], a["by"], b["bx"], b["by"]))
-    b_a = _side(turn(b["ax"], b["ay"], b["bx"], b["by"], a["ax"], a["ay"]))
-    b_b = _side(turn(b["ax"], b["ay"], b["bx"], b["by"], a["bx"], a["by"]))
-    return (a_c * a_d < 0) & (b_a * b_b < 0)
+
+def opposite(first: Column, second: Column, slack: float) -> Column:
+    """Are the two values on different sides of zero, both beyond the slack?"""
+    return (F.least(first, second) < -slack) & (F.greatest(first, second) > slack)
+
+
+def crosses(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Do two sides cross properly? Touching and overlapping do not count."""
+    a_c, a_d, b_a, b_b = turns(a, b)
+    beyond = EPSILON * (1 - 2 ** -53)  # values of exactly epsilon count as non-zero
+    return opposite(a_c, a_d, beyond) & opposite(b_a, b_b, beyond)
 
 
 def _within(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    return (F.least(ax, cx) <= bx) & (bx <= F.greatest(ax, cx)) & (F.least(ay, cy) <= by) & (by <= F.greatest(ay, cy))
+    return bx.between(F.least(ax, cx), F.greatest(ax, cx)) & by.between(F.least(ay, cy), F.greatest(ay, cy))
 
 
-def intersects(a: Column, b: Column) -> Column:
-    """Do two segments meet, touching included?"""
+def meets(a: dict[str, Column], b: dict[str, Column], seen: list[Column]) -> Column:
+    """Do two sides meet, touching included? ``seen`` are their :func:`turns`."""
+    a_c, a_d, b_a, b_b = seen
     e = TOUCH_EPSILON
-    a_c = turn(a["ax"], a["ay"], a["bx"], a["by"], b["ax"], b["ay"])
-    a_d = turn(a["ax"], a["ay"], a["bx"], a["by"], b["bx"], b["by"])
-    b_a = turn(b["ax"], b["ay"], b["bx"], b["by"], a["ax"], a["ay"])
-    b_b = turn(b["ax"], b["ay"], b["bx"], b["by"], a["bx"], a["by"])
-    proper = (((a_c > e) & (a_d < -e)) | ((a_c < -e) & (a_d > e))) & (((b_a > e) & (b_b < -e)) | ((b_a < -e) & (b_b > e)))
-    return (proper
+    return ((opposite(a_c, a_d, e) & opposite(b_a, b_b, e))
             | ((F.abs(a_c) <= e) & _within(a["ax"], a["ay"], b["ax"], b["ay"], a["bx"], a["by"]))
             | ((F.abs(a_d) <= e) & _within(a["ax"], a["ay"], b["bx"], b["by"], a["bx"], a["by"]))
             | ((F.abs(b_a) <= e) & _within(b["ax"], b["ay"], a["ax"], a["ay"], b["bx"], b["by"]))
             | ((F.abs(b_b) <= e) & _within(b["ax"], b["ay"], a["bx"], a["by"], b["bx"], b["by"])))
 
 
-def _hypot(dx: Column, dy: Column) -> Column:
-    return F.sqrt(dx * dx + dy * dy)
+def squared_distance(x: Column, y: Column, s: dict[str, Column]) -> Column:
+    """Squared distance of a point from a side, which may be a point itself."""
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["ax"]) * s["dx"] + (y - s["ay"]) * s["dy"]) / s["length"]))
+    return F.pow(x - (s["ax"] + along * s["dx"]), F.lit(2)) + F.pow(y - (s["ay"] + along * s["dy"]), F.lit(2))
 
 
-def point_distance(px: Column, py: Column, s: Column) -> Column:
-    """Distance of a point from a segment, which may be a point itself."""
-    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-    length = dx * dx + dy * dy
-    along = F.when(length == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["ax"]) * dx + (py - s["ay"]) * dy) / F.when(length == 0, 1.0).otherwise(length))))
-    return _hypot(px - (s["ax"] + along * dx), py - (s["ay"] + along * dy))
+def end_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Least distance of an end of one side from the other side: their distance unless they cross."""
+    return F.sqrt(F.least(squared_distance(a["ax"], a["ay"], b), squared_distance(a["bx"], a["by"], b),
+                          squared_distance(b["ax"], b["ay"], a), squared_distance(b["bx"], b["by"], a)))
 
 
-def segment_distance(a: Column, b: Column) -> Column:
-    """Distance of two segments, 0 when they meet. Points count as segments of length 0.
+def with_distance(pairs: DataFrame, a: str, b: str, name: str = "distance") -> DataFrame:
+    """Add the distance of two sides held under the prefixes ``a`` and ``b``: 0 when they meet.
 
-    Two points that coincide meet; a point on a segment is at distance 0 either way.
+    The turns become columns first: used in place they would be spelled out many times over in the
+    generated code.
     """
-    apart = F.least(point_distance(a["ax"], a["ay"], b), point_distance(a["bx"], a["by"], b),
-                    point_distance(b["ax"], b["ay"], a), point_distance(b["bx"], b["by"], a))
-    return F.when(intersects(a, b), F.lit(0.0)).otherwise(apart)
-
-
-def envelope_gap(a: Column, b: Column, shift: Column) -> Column:
-    """Lower bound of the distance of segment a and segment b moved by ``shift`` in x."""
-    gap_x = F.greatest(F.lit(0.0), F.least(b["ax"], b["bx"]) + shift - F.greatest(a["ax"], a["bx"]),
-                       F.least(a["ax"], a["bx"]) - (F.greatest(b["ax"], b["bx"]) + shift))
-    gap_y = F.greatest(F.lit(0.0), F.least(b["ay"], b["by"]) - F.greatest(a["ay"], a["by"]),
-                       F.least(a["ay"], a["by"]) - F.greatest(b["ay"], b["by"]))
-    return F.greatest(gap_x, gap_y)
-
-
-def moved_x(s: Column, shift: Column) -> Column:
-    return F.struct((s["ax"] + shift).alias("ax"), s["ay"].alias("ay"), (s["bx"] + shift).alias("bx"), s["by"].alias("by"))
+    one, two = side_named(a), side_named(b)
+    held = {f"_turn{i}": value for i, value in enumerate(turns(one, two))}
+    staged = pairs.withColumns({**held, "_apart": end_distance(one, two)})
+    meet = meets(one, two, [F.col(f"_turn{i}") for i in range(4)])
+    return staged.withColumn(name, F.when(meet, F.lit(0.0)).otherwise(F.col("_apart"))).drop(*held, "_apart")
+
+
+def envelope_gap(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Lower bound of the distance of two sides."""
+    gap_x = F.greatest(F.least(b["ax"], b["bx"]) - F.greatest(a["ax"], a["bx"]), F.least(a["ax"], a["bx"]) - F.greatest(b["ax"], b["bx"]))
+    gap_y = F.greatest(F.least(b["ay"], b["by"]) - F.greatest(a["ay"], a["by"]), F.least(a["ay"], a["by"]) - F.greatest(b["ay"], b["by"]))
+    return F.greatest(F.lit(0.0), gap_x, gap_y)

@@ -1,14 +1,13 @@
 """Comparison keys for place names, codes and identifiers.
 
-Unicode decomposition is the only step Spark lacks, so it is the only one done in Python, in
-Arrow batches and only for texts with non-ASCII characters; the rest are built-in expressions.
+Unicode decomposition is the only step Spark lacks, so it is the only one outside the JVM: Arrow's
+own function on whole Arrow batches. The rest are built-in expressions.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,31 +20,33 @@ NO_COUNTRY = ("-99", "-1")
 ID_PREFIX = "non-un:"
 
 
-def _decomposer(form: str):
-    def decompose(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+# Fixed value: the white space that trimming removes.
+WHITE_SPACE = ("\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
 
-    decompose.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(decompose, T.StringType())
+@F.arrow_udf(T.StringType())
+def _nfd(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFD")
 
 
-_nfd = _decomposer("NFD")
-_nfkd = _decomposer("NFKD")
+@F.arrow_udf(T.StringType())
+def _nfkd(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFKD")
 
 
 def trim_space(text: Column) -> Column:
-    """Strip all leading and trailing white space (``F.trim`` strips blanks only)."""
-    return F.regexp_replace(text, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")
+    """Strip all leading and trailing white space (``F.trim`` alone strips blanks only)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def name_key(text: Column) -> Column:
     """Key for comparing names: case, accents on Latin letters and punctuation do not count.
 
-    Spaces, standalone letters such as ``ß`` and marks on non-Latin letters are kept.
+    Spaces, standalone letters such as ``ß`` and marks on non-Latin letters are kept. One pass drops
+    marks right after a Latin letter and punctuation; a mark after punctuation stays.
     """
-    lowered = F.lower(_nfd(trim_space(text)))
-    unaccented = F.regexp_replace(lowered, r"(?<=\p{IsLatin})\p{M}+", "")
-    return F.regexp_replace(unaccented, r"\p{P}", "")
+    return F.regexp_replace(F.lower(_nfd(trim_space(text))), r"(\p{IsLatin})\p{M}+|\p{P}", "$1")
 
 
 def label_key(text: Column) -> Column:

@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
-
 # Relative slack that keeps a segment in a cell it only grazes, whatever the rounding.
 SLACK = 1e-9
 
 
-def segment_cells(s: Column, width: Column, height: Column, origin_x: Column, origin_y: Column, pad: Column) -> Column:
-    """Array of ``(cx, cy)`` cells that the segment, thickened by ``pad``, passes through.
+def _range(first: Column, last: Column, limit: Column | None) -> Column:
+    """Whole numbers from first to last, within 0 and below the limit if there is one."""
+    if limit is None:
+        return F.sequence(first, last)
+    low, high = F.greatest(first, F.lit(0)), F.least(last, (limit - 1).cast("bigint"))
+    return F.when(low <= high, F.sequence(low, high))
+
+
+def place(sides: DataFrame, width: Column, height: Column, origin_x: Column, origin_y: Column, pad: Column, *,
+          names: tuple[str, str] = ("cx", "cy"), limit: Column | None = None) -> DataFrame:
+    """One row per grid cell that a side (``ax, ay, bx, by``), thickened by ``pad``, passes through.
 
-    The segment is followed column by column, so a long diagonal takes a line of cells and not the
-    rectangle around it.
+    The side is followed column by column, so a long diagonal takes a line of cells and not the
+    rectangle around it. Plain explodes of number ranges keep all of it in generated code.
     """
-    low, high = F.least(s["ax"], s["bx"]), F.greatest(s["ax"], s["bx"])
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    low, high = F.least(ax, bx), F.greatest(ax, bx)
     thick_x, thick_y = pad + width * SLACK, pad + height * SLACK
-    columns = F.sequence(F.floor((low - thick_x - origin_x) / width), F.floor((high + thick_x - origin_x) / width))
-    flat = s["ax"] == s["bx"]
-    slope = (s["by"] - s["ay"]) / F.when(flat, 1.0).otherwise(s["bx"] - s["ax"])
-
-    def rows_of(cx: Column) -> Column:
-        left = origin_x + cx * width
-        start = F.least(F.greatest(low, left - thick_x), high)
-        end = F.greatest(F.least(high, left + width + thick_x), low)
-        y_start = F.when(flat, s["ay"]).otherwise(s["ay"] + slope * (start - s["ax"]))
-        y_end = F.when(flat, s["by"]).otherwise(s["ay"] + slope * (end - s["ax"]))
-        first = F.floor((F.least(y_start, y_end) - thick_y - origin_y) / height)
-        last = F.floor((F.greatest(y_start, y_end) + thick_y - origin_y) / height)
-        return F.transform(F.sequence(first, last), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
-
-    return F.flatten(F.transform(columns, rows_of))
+    columns = sides.withColumn(names[0], F.explode(_range(
+        F.floor((low - thick_x - origin_x) / width), F.floor((high + thick_x - origin_x) / width), limit)))
+    left = origin_x + F.col(names[0]) * width
+    slope = (by - ay) / F.when(ax == bx, 1.0).otherwise(bx - ax)
+    start = F.least(F.greatest(low, left - thick_x), high)
+    end = F.greatest(F.least(high, left + width + thick_x), low)
+    clipped = columns.withColumns({
+        "_y0": F.when(ax == bx, ay).otherwise(ay + slope * (start - ax)),
+        "_y1": F.when(ax == bx, by).otherwise(ay + slope * (end - ax))})
+    first = F.floor((F.least("_y0", "_y1") - thick_y - origin_y) / height)
+    last = F.floor((F.greatest("_y0", "_y1") + thick_y - origin_y) / height)
+    return clipped.withColumn(names[1], F.explode(_range(first, last, limit))).drop("_y0", "_y1")
 
 
 def range_cells(low: Column, high: Column, size: float) -> Column:

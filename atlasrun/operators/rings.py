@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.arrays import let, rotate
-from .grid import segment_cells
+from .grid import place
 
 # Simplification tolerances (general, overview map, detail map).
 DEFAULT_TOLERANCE = 0.12
@@ -141,25 +141,24 @@ def self_crossing(rings: DataFrame, keys: list[str], points: str = "points", bus
     framed = framed.withColumns({"w": side("min_x", "max_x"), "h": side("min_y", "max_y")})
     sides = framed.select(*keys, "n", "w", "h", F.col("box.min_x").alias("ox"), F.col("box.min_y").alias("oy"),
                           F.explode(_cyclic_segments(F.col("points"))).alias("side"))
-    sides = sides.select(*keys, "n", "w", "h", "ox", "oy", F.col("side.i").alias("i"), F.col("side.s").alias("s"))
-    placed = sides.withColumn("cell", F.explode(segment_cells(
-        F.col("s"), F.col("w"), F.col("h"), F.col("ox"), F.col("oy"), F.lit(0.0))))
+    sides = sides.select(*keys, "n", "w", "h", "ox", "oy", F.col("side.i").alias("i"), "side.s.*")
+    placed = place(sides, F.col("w"), F.col("h"), F.col("ox"), F.col("oy"), F.lit(0.0))
     # Crowded cells get a finer grid of their own; the others keep one sub-cell.
-    crowd = F.count(F.lit(1)).over(Window.partitionBy(*keys, "cell"))
-    split = F.when(F.col("crowd") > busy, F.ceil(F.sqrt(F.col("crowd") / 8.0)).cast("double")).otherwise(1.0)
-    placed = placed.withColumn("crowd", crowd).withColumn("split", split)
-    fine = segment_cells(F.col("s"), F.col("w") / F.col("split"), F.col("h") / F.col("split"),
-                         F.col("ox") + F.col("cell.cx") * F.col("w"), F.col("oy") + F.col("cell.cy") * F.col("h"), F.lit(0.0))
-    inside = F.filter(fine, lambda c: (c["cx"] >= 0) & (c["cy"] >= 0) & (c["cx"] < F.col("split")) & (c["cy"] < F.col("split")))
-    one = F.array(F.struct(F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy")))
-    placed = placed.withColumn("sub", F.explode(F.when(F.col("split") > 1, inside).otherwise(one)))
-    left = placed.select(*keys, "cell", "sub", "n", "i", "s").alias("l")
-    right = placed.select(*keys, "cell", "sub", F.col("i").alias("j"), F.col("s").alias("t")).alias("r")
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "cell", "sub"]]
-    apart = (F.col("l.i") < F.col("r.j") - 1) & ~((F.col("l.i") == 0) & (F.col("r.j") == F.col("l.n") - 1))
-    condition = apart & G.crosses(F.col("l.s"), F.col("r.t"))
-    for part in same:
-        condition = condition & part
+    crowd = F.count(F.lit(1)).over(Window.partitionBy(*keys, "cx", "cy"))
+    placed = placed.withColumn("crowd", crowd).withColumn(
+        "split", F.when(F.col("crowd") > busy, F.ceil(F.sqrt(F.col("crowd") / 8.0)).cast("double")).otherwise(1.0))
+    placed = place(placed.withColumns({"w": F.col("w") / F.col("split"), "h": F.col("h") / F.col("split"),
+                                       "ox": F.col("ox") + F.col("cx") * F.col("w"), "oy": F.col("oy") + F.col("cy") * F.col("h")}),
+                   F.col("w"), F.col("h"), F.col("ox"), F.col("oy"), F.lit(0.0), names=("sx", "sy"), limit=F.col("split"))
+    cell = ["cx", "cy", "sx", "sy"]
+    measured = {c: F.col(c) for c in ("ax", "ay", "bx", "by")}
+    left = placed.select(*keys, *cell, "n", "i", *G.side_columns(measured, "a_"))
+    right = placed.select(*[F.col(k).alias(f"_{k}") for k in [*keys, *cell]], F.col("i").alias("j"),
+                          *G.side_columns(measured, "b_"))
+    condition = (F.col("i") < F.col("j") - 1) & ~((F.col("i") == 0) & (F.col("j") == F.col("n") - 1))
+    for key in [*keys, *cell]:
+        condition = condition & (F.col(key) == F.col(f"_{key}"))
+    condition = condition & G.crosses(G.side_named("a_"), G.side_named("b_"))
     # Sides outgrow the size Spark estimates for them, so the join must not be a broadcast one.
     return left.join(right.hint("merge"), condition, "left_semi").select(*keys).distinct()
 

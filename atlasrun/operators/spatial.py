@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..session import cut_lineage
 from .graph import connected_components
-from .grid import owns_pair, range_cells, segment_cells
+from .grid import owns_pair, place, range_cells
 
 PLACE = ["location_id", "degenerate"]
 
@@ -44,15 +44,24 @@ def _sides(table: DataFrame, world: float, proximity: float) -> DataFrame:
     dot = F.array(F.struct(F.get("boundary", 0)["x"].alias("ax"), F.get("boundary", 0)["y"].alias("ay"),
                            F.get("boundary", 0)["x"].alias("bx"), F.get("boundary", 0)["y"].alias("by")))
     sides = F.when(F.col("degenerate"), dot).otherwise(G.boundary_segments(F.col("boundary")))
-    home = table.select(*PLACE, "component_id", F.explode(sides).alias("s"))
+    home = table.select(*PLACE, "component_id", F.explode(sides).alias("s")).select(*PLACE, "component_id", "s.*")
     reach = table.groupBy("location_id").agg(
         F.max(F.array_max(G.xs(F.col("boundary")))).alias("_right"), F.min(F.array_min(G.xs(F.col("boundary")))).alias("_left"))
     wide = reach.where(F.col("_right") - F.col("_left") >= world - proximity)
-    moved = (home.join(wide, "location_id").where(F.least("s.ax", "s.bx") + world - proximity <= F.col("_right"))
-             .select(*PLACE, "component_id", G.moved_x(F.col("s"), F.lit(world)).alias("s"), F.lit(True).alias("moved")))
+    moved = (home.join(wide, "location_id").where(F.least("ax", "bx") + world - proximity <= F.col("_right"))
+             .select(*PLACE, "component_id", (F.col("ax") + world).alias("ax"), "ay", (F.col("bx") + world).alias("bx"), "by",
+                     F.lit(True).alias("moved")))
     return home.withColumn("moved", F.lit(False)).unionByName(moved)
 
 
+SIDES = ("ax", "ay", "bx", "by")
+
+
+def _measured(prefix: str) -> list:
+    """Coordinates and measures of the row's side under a prefix."""
+    return G.side_columns({c: F.col(c) for c in SIDES}, prefix)
+
+
 def near_pairs(table: DataFrame, *, world: float, proximity: float, cell: float | None = None) -> DataFrame:
     """Pairs of components of a location whose boundaries come within ``proximity``, with the distance.
 
@@ -62,18 +71,18 @@ def near_pairs(table: DataFrame, *, world: float, proximity: float, cell: float
     size = cell or max(2.0 * proximity, world / 4096)
     sides = _sides(table, world, proximity)
     unit, none = F.lit(size), F.lit(0.0)
-    left = sides.where(~F.col("moved")).withColumn("cell", F.explode(segment_cells(F.col("s"), unit, unit, none, none, F.lit(proximity))))
-    right = sides.withColumn("cell", F.explode(segment_cells(F.col("s"), unit, unit, none, none, none)))
-    left = left.select(*PLACE, "cell", F.col("component_id").alias("a"), F.col("s").alias("sa"))
-    right = right.select(*PLACE, "cell", F.col("component_id").alias("b"), F.col("s").alias("sb"), "moved")
+    left = place(sides.where(~F.col("moved")), unit, unit, none, none, F.lit(float(proximity)))
+    right = place(sides, unit, unit, none, none, none)
+    left = left.select(*PLACE, "cx", "cy", F.col("component_id").alias("a"), *_measured("a_"))
+    right = right.select(*PLACE, "cx", "cy", F.col("component_id").alias("b"), "moved", *_measured("b_"))
     # Unmoved pairs come up once, smaller id first; moved ones in both orders, which differ.
     once = (F.col("a") < F.col("b")) | (F.col("moved") & (F.col("a") != F.col("b")))
+    close = G.envelope_gap(G.side_named("a_"), G.side_named("b_")) <= proximity
     # Sides and cells outgrow the size Spark estimates for them: never broadcast them.
-    joined = left.join(right.hint("merge"), [*PLACE, "cell"]).where(once & (G.envelope_gap(F.col("sa"), F.col("sb"), F.lit(0.0)) <= proximity))
-    distance = G.segment_distance(F.col("sa"), F.col("sb"))
-    return (joined.select("location_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance.alias("distance"))
-            .where(F.col("distance") <= proximity)
-            .groupBy("location_id", "a", "b").agg(F.min("distance").alias("distance")))
+    joined = G.with_distance(left.join(right.hint("merge"), [*PLACE, "cx", "cy"]).where(once & close), "a_", "b_")
+    # Filter after the minimum: a filter before it would be pushed into the join, distance and all.
+    return (joined.groupBy("location_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .agg(F.min("distance").alias("distance")).where(F.col("distance") <= proximity))
 
 
 def proximity_links(table: DataFrame, *, world: float, proximity: float) -> DataFrame:
@@ -91,9 +100,7 @@ def proximity_links(table: DataFrame, *, world: float, proximity: float) -> Data
     size = proximity / math.sqrt(2) * (1 - 1e-6)
     unit, none = F.lit(size), F.lit(0.0)
     key = [*PLACE, "cx", "cy"]
-    sides = _sides(table, world, proximity).withColumn(
-        "cell", F.explode(segment_cells(F.col("s"), unit, unit, none, none, none)))
-    placed = sides.select(*PLACE, "cell.cx", "cell.cy", "component_id", "s")
+    placed = place(_sides(table, world, proximity), unit, unit, none, none, none).select(*key, "component_id", *SIDES)
     heads = placed.groupBy(*key).agg(F.min("component_id").alias("head"), F.max("component_id").alias("last"))
     shared = heads.where("head <> last").select(*key, "head")
     to_head = placed.join(shared.hint("merge"), key).where("component_id <> head").select(
@@ -107,14 +114,15 @@ def proximity_links(table: DataFrame, *, world: float, proximity: float) -> Data
         (F.col("cx") + F.col("turn.dx")).alias("cx"), (F.col("cy") + F.col("turn.dy")).alias("cy"))
     pairs = around.join(heads.select(*key, "head").hint("merge"), key).where("from_head <> head").select(
         *PLACE, "from_cx", "from_cy", "from_head", F.col("cx").alias("to_cx"), F.col("cy").alias("to_cy"), F.col("head").alias("to_head"))
-    lookout = placed.select(*PLACE, F.col("cx").alias("from_cx"), F.col("cy").alias("from_cy"), F.col("s").alias("sa"))
-    probe = pairs.join(lookout.hint("merge"), [*PLACE, "from_cx", "from_cy"]).alias("p")
-    other = placed.alias("o")
-    near = ((G.envelope_gap(F.col("p.sa"), F.col("o.s"), F.lit(0.0)) <= proximity)
-            & (G.segment_distance(F.col("p.sa"), F.col("o.s")) <= proximity))
-    match = ((F.col("p.location_id") == F.col("o.location_id")) & (F.col("p.degenerate") == F.col("o.degenerate"))
-             & (F.col("p.to_cx") == F.col("o.cx")) & (F.col("p.to_cy") == F.col("o.cy")) & near)
-    across = probe.join(other.hint("merge"), match, "left_semi").select(F.col("from_head").alias("a"), F.col("to_head").alias("b")).distinct()
+    lookout = placed.select(*PLACE, F.col("cx").alias("from_cx"), F.col("cy").alias("from_cy"), *_measured("a_"))
+    probe = pairs.join(lookout.hint("merge"), [*PLACE, "from_cx", "from_cy"])
+    other = placed.select(F.col("location_id").alias("_place"), F.col("degenerate").alias("_kind"), "cx", "cy", *_measured("b_"))
+    # Sides that cross share the cell they cross in, so here only their ends can be near.
+    match = ((F.col("location_id") == F.col("_place")) & (F.col("degenerate") == F.col("_kind"))
+             & (F.col("to_cx") == F.col("cx")) & (F.col("to_cy") == F.col("cy"))
+             & (G.end_distance(G.side_named("a_"), G.side_named("b_")) <= proximity))
+    across = probe.join(other.hint("merge"), match, "left_semi").select(
+        F.col("from_head").alias("a"), F.col("to_head").alias("b")).distinct()
     return to_head.unionByName(across)
 
 

@@ -191,9 +191,10 @@ FROM (SELECT s.ring_id, s.i, s.ax, s.ay, s.ex, s.ey, o.ax AS cx, o.ay AS cy, o.e
 def seg_distance(t: Tables) -> DataFrame:
     """Distance of each ring side from the matching side of the next ring."""
     sides = t.raw_rings.select("ring_id", F.posexplode(G.boundary_segments(F.col("points"))).alias("i", "s"))
-    other = sides.select((F.col("ring_id") - 1).alias("ring_id"), "i", F.col("s").alias("o"))
-    return sides.join(other, ["ring_id", "i"]).select(
-        "ring_id", F.col("i").cast("bigint").alias("i"), _r(G.segment_distance(F.col("s"), F.col("o"))).alias("distance"))
+    mine = sides.select("ring_id", "i", *G.side_columns(F.col("s"), "a_"))
+    other = sides.select((F.col("ring_id") - 1).alias("ring_id"), "i", *G.side_columns(F.col("s"), "b_"))
+    return G.with_distance(mine.join(other, ["ring_id", "i"]), "a_", "b_").select(
+        "ring_id", F.col("i").cast("bigint").alias("i"), _r("distance").alias("distance"))
 
 
 def _side_sign(turn: str) -> str:
