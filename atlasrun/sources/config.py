@@ -44,7 +44,7 @@ def location_refs(locations: DataFrame) -> DataFrame:
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """Candidate rows of quoted CSV files; absent values are empty, flags boolean, codes an array."""
     rows = spark.read.csv(path, header=True, quote='"', escape='"').na.fill("")
-    codes = F.filter(F.transform(F.split("iso_3166_2_codes", ";"), F.trim), lambda c: c != "")
+    codes = F.filter(F.transform(F.split("iso_3166_2_codes", ";"), lambda c: F.trim(c)), lambda c: c != "")
     flags = {name: F.col(name).try_cast("boolean") for name in ("iso_3166_1", "un_m49", "world_bank", "iso_3166_2_autonomous")}
     return rows.withColumns({**flags, "source_count": F.col("source_count").try_cast("int"), "codes": codes,
                              "name": F.col("entity"), "iso2": F.nullif(F.col("iso_3166_1_code"), F.lit(""))})
