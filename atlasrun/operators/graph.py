@@ -20,7 +20,7 @@ def _links(pairs: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a vertex to the smallest vertex around it."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
     return _links(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")))
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.names import trim_space
 from ..functions.scoring import accuracy_text, elapsed_text, tier, tier_text
+from .prefix import BLOCK, running_before
 
 # Board depth and the name used when a player gave none.
 BOARD_DEPTH = 5
 DEFAULT_PLAYER = "Player 1"
+DAY_MS = 86_400_000
 
 
 def board_order() -> list[Column]:
@@ -100,18 +102,18 @@ def rename_records(scores: DataFrame, renames: DataFrame) -> DataFrame:
     return joined.withColumn("username", renamed).select(*scores.columns)
 
 
-def default_names(records: DataFrame, renames: DataFrame, device: str = "device_id") -> DataFrame:
-    """Name new records after the latest rename on the same device before the record was made.
+def default_names(records: DataFrame, renames: DataFrame, device: str = "device_id", block_ms: int = DAY_MS) -> DataFrame:
+    """Name new records after the latest rename on the same device, at or before the record's time.
 
-    Renames and records of a device are one ordered stream; the last name before a record is found
-    from the device's renames as an as-of lookup: each rename is valid until the next one.
+    Renames and records become one log per device, and the latest name so far is a running maximum
+    over blocks of time, so a device with most of the rows is spread over many tasks.
     """
-    names = renames.select(device, "at", player_name(F.col("name")).alias("_name"))
-    until = F.lead("at").over(Window.partitionBy(device).orderBy("at"))
-    spans = names.withColumn("_until", until)
-    joined = records.alias("r").join(
-        spans.alias("s"),
-        (F.col(f"r.{device}") == F.col(f"s.{device}")) & (F.col("s.at") <= F.col("r.created_at"))
-        & (F.col("s._until").isNull() | (F.col("r.created_at") < F.col("s._until"))), "left")
-    return joined.select(*[F.coalesce(F.col("s._name"), F.lit(DEFAULT_PLAYER)).alias("username") if c == "username"
-                           else F.col(f"r.{c}") for c in records.columns])
+    names = renames.select(device, F.col("at").cast("double").alias("_at"), F.lit(0).alias("_kind"),
+                           F.struct(F.col("at").cast("double").alias("at"), player_name(F.col("name")).alias("name")).alias("_name"),
+                           F.lit(None).cast(records.schema).alias("_record"))
+    made = records.select(device, F.col("created_at").cast("double").alias("_at"), F.lit(1).alias("_kind"),
+                          F.lit(None).cast("struct<at:double,name:string>").alias("_name"), F.struct(*records.columns).alias("_record"))
+    log = names.unionByName(made).withColumns({BLOCK: F.floor(F.col("_at") / block_ms), "_order": F.struct("_at", "_kind")})
+    known = running_before(log, [device], "_order", {"_latest": ("max", F.col("_name"))}).where(F.col("_kind") == 1)
+    name = F.coalesce(F.col("_latest.name"), F.lit(DEFAULT_PLAYER))
+    return known.select(*[name.alias(c) if c == "username" else F.col(f"_record.{c}").alias(c) for c in records.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.numbers import fixed2_sql
 from ..operators import rings, spatial
+from ..sources import boundaries
 from .registry import query, with_views
 from .views import BOUNDARY_VERTICES, COMPONENT_VERTICES, POINTS, RAW_VERTICES, STAR_VERTICES, Tables
 
@@ -133,6 +134,20 @@ def path_parse(t: Tables) -> DataFrame:
             .select("ring_id", "sub_path", F.col("i").cast("bigint").alias("i"), "p.x", "p.y"))
 
 
+@query("geojson_vertices", with_views(RAW_VERTICES, BOUNDARY_VERTICES, body="""
+SELECT ring_id, i, x, y FROM boundary_vertices WHERE split_part(feature_id, ':', 2)::BIGINT % 2 = 0 OR polygon_pos = 0"""))
+def geojson_vertices(t: Tables) -> DataFrame:
+    """Boundary documents parsed from text: every other feature has one polygon, the rest are multipolygons."""
+    pairs = F.transform("polygons", lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    single = F.col("feature_pos") % 2 == 1
+    texts = t.boundary_features.select(
+        "feature_id", F.when(single, "Polygon").otherwise("MultiPolygon").alias("type"),
+        F.when(single, F.to_json(pairs[0])).otherwise(F.to_json(pairs)).alias("coordinates"))
+    parsed = texts.select("feature_id", boundaries.polygons_from(F.col("type"), F.col("coordinates")).alias("polygons"))
+    return (rings.explode_rings(parsed).select("ring_id", F.posexplode("ring").alias("i", "p"))
+            .select("ring_id", F.col("i").cast("bigint").alias("i"), "p.x", "p.y"))
+
+
 @query("ring_roles", with_views(RAW_VERTICES, BOUNDARY_VERTICES, body="""
 SELECT feature_id, polygon_id, ring_id, polygon_pos > 0 AS island, CASE WHEN ring_pos = 0 THEN 'exterior' ELSE 'interior' END AS role,
        CASE WHEN ring_pos > 0 THEN polygon_id || ':ring:0' END AS parent_ring_id, count(*) AS vertices

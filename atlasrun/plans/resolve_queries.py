@@ -120,10 +120,10 @@ def resolve_overrides(t: Tables) -> DataFrame:
 
 
 @query("packed_refs", with_views(FEATURES, PLACES, OVERRIDES, REFS, body="""
-SELECT location_id, ref_pos // 4 AS pack, list(feature_id ORDER BY ref_pos) AS geometry_refs FROM refs GROUP BY location_id, ref_pos // 4"""))
+SELECT location_id, ref_pos // 4 AS pack, string_agg(feature_id, ' ' ORDER BY ref_pos) AS geometry_refs FROM refs GROUP BY location_id, ref_pos // 4"""))
 def packed_refs(t: Tables) -> DataFrame:
     """References as arrays of bounded length."""
-    return resolve.pack_refs(_refs(t), 4)
+    return resolve.pack_refs(_refs(t), 4).withColumn("geometry_refs", F.array_join("geometry_refs", " "))
 
 
 @query("location_shapes", with_views(FEATURES, PLACES, body=f"""

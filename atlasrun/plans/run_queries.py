@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import leaderboard, runs
+from ..sources import score_store
 from .registry import query, with_views
-from .views import ACTIONS, ATTEMPTS, MEMBERS, QUIZZES, SCORES, Tables
+from .views import _SECONDS, ACTIONS, ATTEMPTS, EPOCH_MS, MEMBERS, QUIZZES, SCORES, Tables
 
 # Running rules as plain windows per run: every run starts at 0.
 GATE = """gate AS (
@@ -329,3 +330,85 @@ def score_rename(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", " ").otherwise(
             F.concat(F.lit(" "), "l_returnflag", F.col("l_suppkey").cast("string"), F.lit(" "))).alias("name"))
     return leaderboard.rename_records(t.scores, renames).select("quiz_id", "id", "username")
+
+
+@query("default_names", with_views(SCORES, """renames AS (
+  SELECT o_custkey % 7 AS device_id, epoch_ms(o_orderdate)::DOUBLE AS moment, max(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END) AS name
+  FROM orders WHERE o_totalprice > 300000 GROUP BY ALL)""", body="""
+SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'Player 1' ELSE name END AS username
+FROM (SELECT id, username::BIGINT % 7 AS device_id, created_at FROM scores) s ASOF LEFT JOIN renames r ON s.device_id = r.device_id AND s.created_at >= r.moment"""))
+def default_names(t: Tables) -> DataFrame:
+    """Player name of every record after the renames on its device; large orders rename theirs."""
+    millis = F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("double")
+    renames = (t.read("orders").where(F.col("o_totalprice") > 300000)
+               .groupBy((F.col("o_custkey") % 7).alias("device_id"), millis.alias("at"))
+               .agg(F.max(F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority"))).alias("name")))
+    records = t.scores.select((F.col("username").cast("bigint") % 7).alias("device_id"), "id", "created_at", "username")
+    return leaderboard.default_names(records, renames).select("id", "username")
+
+
+def _envelopes(t: Tables) -> DataFrame:
+    """One document per order: its record, twice, in a quiz of its own priority; some are broken."""
+    key = F.col("o_orderkey")
+    entry = F.to_json(F.struct(
+        key.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("username"),
+        F.when(key % 5 > 0, F.col("o_totalprice")).alias("score"), F.when(key % 3 == 0, F.lit(0.5)).alias("accuracy"),
+        (key % 600).alias("elapsedMs"), F.when(key % 7 > 0, key).alias("createdAt")))
+    version = F.when(key % 11 == 0, "99").otherwise("1")
+    whole = F.concat(F.lit('{"version":'), version, F.lit(',"playerName":" '), F.col("o_orderstatus"), F.lit(' ","scores":{"'),
+                     F.col("o_orderpriority"), F.lit('":['), entry, F.lit(",null,"), entry, F.lit('],"other":7}}'))
+    return t.read("orders").select(key.alias("device_id"), F.when(key % 13 == 0, F.expr("'{not-json'")).otherwise(whole).alias("envelope"))
+
+
+@query("stored_scores", """
+SELECT o_orderkey AS device_id, o_orderpriority AS quiz_id, o_orderkey::VARCHAR AS id, o_totalprice AS score, CASE WHEN o_orderkey % 3 = 0 THEN 0.5::DOUBLE END AS accuracy
+FROM orders, range(2) WHERE o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 7 > 0""")
+def stored_scores(t: Tables) -> DataFrame:
+    """Records of one score document per order, broken documents and records left out."""
+    return score_store.stored_scores(_envelopes(t)).select("device_id", "quiz_id", "id", "score", "accuracy")
+
+
+@query("stored_players", """
+SELECT o_orderkey AS device_id, CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 THEN o_orderstatus ELSE 'Player 1' END AS player_name FROM orders""")
+def stored_players(t: Tables) -> DataFrame:
+    """Player name of every score document."""
+    return score_store.parse_envelopes(_envelopes(t)).select("device_id", "player_name")
+
+
+# Answers by location: the target order decides which are right, so the check walks them one by one.
+JUDGED = f"""answers AS (
+  SELECT user_id AS run_id, event_id AS seq, {_SECONDS} AS ts_ms, CASE WHEN n_regionkey = user_id % 5 THEN n_name END AS answer_id, event_type = 'view' AS looks
+  FROM events JOIN nation ON n_nationkey = (event_id * 3) % 25),
+targets AS (SELECT run_id, list(n_name ORDER BY (n_nationkey * 7 + run_id) % 25) AS targets, count(*) AS total
+            FROM (SELECT DISTINCT user_id AS run_id FROM events) JOIN nation ON n_regionkey = run_id % 5 GROUP BY run_id),
+timed AS (SELECT *, coalesce(max(CASE WHEN ts_ms >= 0 AND (looks OR answer_id IS NOT NULL) THEN ts_ms END) OVER (PARTITION BY run_id ORDER BY seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clock FROM answers),
+taken AS (SELECT run_id, seq, answer_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM timed
+          WHERE NOT looks AND answer_id IS NOT NULL AND ts_ms >= 0 AND ts_ms >= clock),
+walk AS (
+  SELECT run_id, 0::BIGINT AS rn, 0::BIGINT AS seq, 0::BIGINT AS place, 0 AS spent, false AS is_right, total FROM targets
+  UNION ALL
+  SELECT run_id, rn, seq, CASE WHEN is_right OR spent = 3 THEN place + 1 ELSE place END, CASE WHEN is_right OR spent = 3 THEN 0 ELSE spent END, is_right, total
+  FROM (SELECT w.run_id, k.rn, k.seq, w.place, w.spent + 1 AS spent, g.targets[w.place + 1] = k.answer_id AS is_right, w.total
+        FROM walk w JOIN taken k ON k.run_id = w.run_id AND k.rn = w.rn + 1 JOIN targets g ON g.run_id = w.run_id WHERE w.place < w.total))"""
+
+
+@query("judged_answers", with_views(JUDGED, recursive=True, body="SELECT run_id, seq, is_right FROM walk WHERE rn > 0"))
+def judged_answers(t: Tables) -> DataFrame:
+    """Which answers are right, when that depends on the target open at the time."""
+    nation, events = t.read("nation"), t.read("events")
+    run = F.col("user_id").alias("run_id")
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    moment = F.floor((millis - EPOCH_MS) / 1000) - F.when(F.col("event_id") % 17 == 0, 60000).otherwise(0)
+    sizes = nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("total"))
+    actions = (events.join(nation, F.col("n_nationkey") == (F.col("event_id") * 3) % 25)
+               .select(run, F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "read-elapsed").otherwise("submit").alias("type"),
+                       moment.alias("ts_ms"), F.when(F.col("n_regionkey") == F.col("user_id") % 5, F.col("n_name")).alias("answer_id"))
+               .join(sizes, F.col("n_regionkey") == F.col("run_id") % 5).drop("n_regionkey"))
+    place = (F.col("n_nationkey") * 7 + F.col("run_id")) % 25
+    orders = (events.select(run).distinct().join(nation, F.col("n_regionkey") == F.col("run_id") % 5).groupBy("run_id")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "n_name"))), lambda m: m["n_name"]).alias("targets"))
+              .withColumn("segment", F.lit(0).cast("bigint")))
+    judged = runs.judge_answers(actions, orders, implicit_start_ms=0, resets=False)
+    taken = runs.replay(judged, resets=False, implicit_start_ms=0).where(F.col("attempt").isNotNull())
+    return taken.select("run_id", "seq", (F.col("result") == "correct").alias("is_right"))
