@@ -19,7 +19,6 @@ from .prefix import BLOCK, BLOCK_SIZE, block_window, earlier_blocks, running_bef
 
 RUN = ["run_id"]
 SEGMENT = ["run_id", "segment"]
-STATE_COLUMNS = ("has_started", "started_at", "clock", "forced_before")
 
 
 def valid_time(ts: Column) -> Column:
@@ -28,47 +27,64 @@ def valid_time(ts: Column) -> Column:
     return moment.isNotNull() & ~F.isnan(moment) & (F.abs(moment) != float("inf")) & (moment >= 0)
 
 
-def segments(actions: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Number the stretches of a run between resets; a reset opens the next stretch."""
-    is_reset = F.when(F.col("type") == "reset", 1).otherwise(0)
-    rows = running_before(with_blocks(actions, "seq", block_size), RUN, "seq", {"_resets": ("sum", is_reset)})
-    return rows.withColumn("segment", (F.col("_resets") + is_reset).cast("bigint")).drop("_resets")
-
-
-def single_segment(actions: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """For logs without resets: every run is one stretch."""
-    return with_blocks(actions, "seq", block_size).withColumn("segment", F.lit(0).cast("bigint"))
-
+def run_clock(actions: DataFrame, *, resets: bool = True, implicit_start_ms: int | None = None,
+              block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Add what a row finds when it arrives: ``segment``, ``has_started``, ``started_at`` and ``clock``.
 
-def mark_start(rows: DataFrame, implicit_start_ms: int | None = None) -> DataFrame:
-    """Add ``has_started`` and ``started_at``: the first start of the segment that is accepted.
+    A segment is a stretch of a run between resets; it starts with its first acceptable start action
+    (or, with ``implicit_start_ms``, at that time without one). The clock is the latest accepted time:
+    only accepted rows move it, and a row that is late is below the running maximum of the rows that
+    could move it, so that maximum is the latest accepted time.
 
-    With ``implicit_start_ms`` every run is active from that time on and needs no start action.
+    Within a block all this is windows. From one block to the next only the open segment counts: its
+    start, its latest time, and how many resets came before.
     """
-    if implicit_start_ms is not None:
-        return rows.withColumns({"has_started": F.lit(True), "started_at": F.lit(implicit_start_ms).cast("double")})
-    opens = (F.col("type") == "start") & valid_time(F.col("ts_ms")) & (F.coalesce(F.col("total"), F.lit(0)) > 0)
-    first = F.when(opens, F.struct("seq", F.col("ts_ms").cast("double").alias("at")))
-    rows = running_before(rows, SEGMENT, "seq", {"_first": ("min", first)})
-    return rows.withColumns({"has_started": F.col("_first").isNotNull(),
-                             "started_at": F.col("_first.at")}).drop("_first")
-
-
-def monotonic_gate(rows: DataFrame) -> DataFrame:
-    """Add ``clock``: the latest accepted time before the row.
-
-    Only accepted rows move the clock. A row that is late is below the running maximum of the rows
-    that could move it, so that maximum already equals the latest accepted time.
-    """
-    can_move = (F.col("has_started") & valid_time(F.col("ts_ms"))
-                & (F.col("type").isin("read-elapsed", "complete-debug")
-                   | ((F.col("type") == "submit") & F.col("is_correct").isNotNull())))
     moment = F.col("ts_ms").cast("double")
-    forced = (F.col("type") == "complete-debug") & can_move
-    rows = running_before(rows, SEGMENT, "seq", {"_latest": ("max", F.when(can_move, moment))})
-    rows = rows.withColumn("clock", F.greatest("started_at", "_latest")).drop("_latest")
-    on_time = moment >= F.col("clock")
-    return rows.withColumn("_forces", F.when(forced & on_time, F.col("seq")))
+    moves = valid_time(F.col("ts_ms")) & (F.col("type").isin("read-elapsed", "complete-debug")
+                                          | ((F.col("type") == "submit") & F.col("is_correct").isNotNull()))
+    opens = (F.col("type") == "start") & valid_time(F.col("ts_ms")) & (F.coalesce(F.col("total"), F.lit(0)) > 0)
+    opening = F.when(opens, F.struct("seq", moment.alias("at")))
+    if implicit_start_ms is not None:
+        # As if every segment began with a start action before its first row.
+        opening = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit(float(implicit_start_ms)).alias("at"))
+    rows = with_blocks(actions, "seq", block_size)
+    block = block_window(RUN, "seq")
+    is_reset = F.when(F.col("type") == "reset", 1).otherwise(0)
+    piece = F.sum(is_reset).over(block.rowsBetween(Window.unboundedPreceding, 0)) if resets else F.lit(0).cast("bigint")
+    rows = rows.withColumn("_piece", piece)
+    in_piece = Window.partitionBy(*RUN, BLOCK, "_piece").orderBy("seq")
+    before = in_piece.rowsBetween(Window.unboundedPreceding, -1)
+    known_start = opening if implicit_start_ms is not None else F.min(opening).over(before)
+    rows = rows.withColumns({"_first": known_start, "_moved": F.when(moves, moment)})
+    rows = rows.withColumn("_moved_on", F.when(F.col("_first").isNotNull(), F.col("_moved")))
+    rows = rows.withColumns({"_opening": opening, "_any": F.max("_moved").over(before), "_after": F.max("_moved_on").over(before)})
+
+    pieces = rows.groupBy(*RUN, BLOCK, "_piece").agg(
+        F.min("_opening").alias("start"), F.max("_moved").alias("any"), F.max("_moved_on").alias("after"))
+    blocks = pieces.groupBy(*RUN, BLOCK).agg(F.max("_piece").alias("_resets"),
+                                             F.max_by(F.struct("start", "any", "after"), "_piece").alias("_last"))
+    order = Window.partitionBy(*RUN).orderBy(BLOCK)
+    blocks = blocks.withColumn("_stretch", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = Window.partitionBy(*RUN, "_stretch").orderBy(BLOCK)
+    start_by = F.first("_last.start", ignorenulls=True)
+    blocks = blocks.withColumns({
+        "_start": start_by.over(stretch.rowsBetween(Window.unboundedPreceding, 0)),
+        "_gain": F.when(start_by.over(stretch.rowsBetween(Window.unboundedPreceding, -1)).isNotNull(), F.col("_last.any"))
+        .otherwise(F.col("_last.after"))})
+    blocks = blocks.withColumn("_clock", F.max("_gain").over(stretch.rowsBetween(Window.unboundedPreceding, 0)))
+    carry = blocks.select(*RUN, BLOCK, F.lag("_start").over(order).alias("_in_start"), F.lag("_clock").over(order).alias("_in_clock"),
+                          F.coalesce(F.sum("_resets").over(earlier_blocks(RUN)), F.lit(0)).alias("_in_segment"))
+
+    rows = rows.join(carry, [*RUN, BLOCK])
+    continues = (F.col("_piece") == 0) & F.col("_in_start").isNotNull()
+    start = F.when(continues, F.col("_in_start")).otherwise(F.col("_first"))
+    latest = F.when(continues, F.greatest("_in_clock", "_any")).otherwise(F.col("_after"))
+    rows = rows.withColumns({"segment": (F.col("_in_segment") + F.col("_piece")).cast("bigint"), "has_started": start.isNotNull(),
+                             "started_at": start["at"], "clock": F.greatest(start["at"], latest)})
+    forced = (F.col("type") == "complete-debug") & F.col("has_started") & F.col("_moved").isNotNull() & (moment >= F.col("clock"))
+    return rows.withColumn("_forces", F.when(forced, F.col("seq"))).drop(
+        "_piece", "_first", "_moved", "_moved_on", "_opening", "_any", "_after", "_in_start", "_in_clock", "_in_segment")
 
 
 def reason_before_answers(rows: DataFrame) -> DataFrame:
@@ -159,8 +175,7 @@ def replay(actions: DataFrame, *, resets: bool = True, implicit_start_ms: int |
     """
     if "is_correct" not in actions.columns:
         raise ValueError("actions need is_correct; see judge_answers")
-    rows = segments(actions, block_size) if resets else single_segment(actions, block_size)
-    rows = monotonic_gate(mark_start(rows, implicit_start_ms))
+    rows = run_clock(actions, resets=resets, implicit_start_ms=implicit_start_ms, block_size=block_size)
     rows = number_attempts(reason_before_answers(rows))
     done = F.col("has_started") & ((F.col("closed_before") >= F.col("total")) | F.col("forced_before"))
     reason = (F.when(F.col("type") == "reset", F.lit(None).cast("string"))
@@ -275,8 +290,7 @@ def judge_answers(actions: DataFrame, orders: DataFrame, block_size: int = BLOCK
     and folded over, and later answers only need to be known as valid.
     """
     rows = actions.withColumn("is_correct", F.when(F.col("answer_id").isNotNull(), F.lit(False)))
-    rows = segments(rows, block_size) if resets else single_segment(rows, block_size)
-    rows = reason_before_answers(monotonic_gate(mark_start(rows, implicit_start_ms)))
+    rows = reason_before_answers(run_clock(rows, resets=resets, implicit_start_ms=implicit_start_ms, block_size=block_size))
     valid = (F.col("type") == "submit") & F.col("gate_reason").isNull() & F.col("has_started")
     rows = running_before(rows, SEGMENT, "seq", {"_earlier": ("sum", F.when(valid, 1).otherwise(0))})
     deciding = (rows.where(valid & (F.col("_earlier") < F.col("total") * ATTEMPTS))

@@ -23,6 +23,7 @@ OUTPUT = ("run_id bigint, quiz_id bigint, segment bigint, seq bigint, event stri
           "credit double, target_pos bigint, correct bigint, completed bigint, remaining bigint, running_accuracy double, "
           "attempts_left bigint, total bigint, score double, missed bigint, perfect bigint, eventually_correct bigint, "
           "elapsed_ms double, completed_at double")
+COLUMNS = tuple(field.split()[0] for field in OUTPUT.split(", "))
 
 
 class Run:
@@ -131,17 +132,13 @@ class RunScorer(StatefulProcessor):
         emitted = [{"run_id": key[0], "quiz_id": action.quiz_id, "seq": action.seq, **run.apply(action)}
                    for action in batch.itertuples(index=False)]
         self.run.update(run.state())
-        columns = [field.split()[0] for field in OUTPUT.split(", ")]
-        yield pd.DataFrame(emitted, columns=columns).astype(_DTYPES)
+        # Object columns keep whole numbers beside missing ones; Arrow gives them their types.
+        yield pd.DataFrame({c: pd.Series([row[c] for row in emitted], dtype=object) for c in COLUMNS})
 
     def close(self) -> None:
         pass
 
 
-_DTYPES = {name: {"bigint": "Int64", "double": "Float64", "string": "object"}[kind]
-           for name, kind in (field.split() for field in OUTPUT.split(", "))}
-
-
 def score_stream(actions: DataFrame, implicit_start: float | None = None) -> DataFrame:
     """Events of a stream of actions (``run_id, quiz_id, seq, type, ts_ms, is_correct, total``)."""
     needed = actions.select("run_id", "quiz_id", "seq", "type", F.col("ts_ms").cast("double").alias("ts_ms"), "is_correct", "total")
