@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_SIZE = 1 << 20
+BLOCK_SIZE = 1 << 16
 BLOCK = "_block"
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -42,6 +42,14 @@ def run_clock(actions: DataFrame, *, resets: bool = True, implicit_start_ms: int
     moment = F.col("ts_ms").cast("double")
     moves = valid_time(F.col("ts_ms")) & (F.col("type").isin("read-elapsed", "complete-debug")
                                           | ((F.col("type") == "submit") & F.col("is_correct").isNotNull()))
+    forces = (F.col("type") == "complete-debug") & F.col("has_started") & valid_time(F.col("ts_ms")) & (moment >= F.col("clock"))
+    forced_at = F.when(forces, F.col("seq"))
+    if implicit_start_ms is not None and not resets:
+        # One segment, open from the beginning: only the latest time comes from earlier rows.
+        rows = running_before(with_blocks(actions, "seq", block_size), RUN, "seq", {"_latest": ("max", F.when(moves, moment))})
+        started = F.lit(float(implicit_start_ms))
+        return rows.withColumns({"segment": F.lit(0).cast("bigint"), "has_started": F.lit(True), "started_at": started,
+                                 "clock": F.greatest(started, F.col("_latest"))}).drop("_latest").withColumn("_forces", forced_at)
     opens = (F.col("type") == "start") & valid_time(F.col("ts_ms")) & (F.coalesce(F.col("total"), F.lit(0)) > 0)
     opening = F.when(opens, F.struct("seq", moment.alias("at")))
     if implicit_start_ms is not None:
@@ -82,8 +90,7 @@ def run_clock(actions: DataFrame, *, resets: bool = True, implicit_start_ms: int
     latest = F.when(continues, F.greatest("_in_clock", "_any")).otherwise(F.col("_after"))
     rows = rows.withColumns({"segment": (F.col("_in_segment") + F.col("_piece")).cast("bigint"), "has_started": start.isNotNull(),
                              "started_at": start["at"], "clock": F.greatest(start["at"], latest)})
-    forced = (F.col("type") == "complete-debug") & F.col("has_started") & F.col("_moved").isNotNull() & (moment >= F.col("clock"))
-    return rows.withColumn("_forces", F.when(forced, F.col("seq"))).drop(
+    return rows.withColumn("_forces", forced_at).drop(
         "_piece", "_first", "_moved", "_moved_on", "_opening", "_any", "_after", "_in_start", "_in_clock", "_in_segment")
 
 
