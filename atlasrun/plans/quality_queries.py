@@ -10,7 +10,7 @@ from ..operators import quality, resolve, rings
 from .geometry_queries import _FAULTY, faulty_rings
 from .registry import query, with_views
 from .resolve_queries import DETAIL, OVERRIDES, REFS, _features, _mixed, _refs
-from .views import BOUNDARY_VERTICES, FEATURES, MEMBERS, PLACES, QUIZZES, RAW_VERTICES, Tables
+from .views import BOUNDARY_VERTICES, FEATURES, MEMBERS, PLACES, RAW_VERTICES, Tables
 
 LINE_REFS = "line_refs AS (SELECT l_orderkey AS location_id, l_partkey AS feature_id, l_linenumber AS ref_pos FROM lineitem)"
 

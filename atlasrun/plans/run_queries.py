@@ -9,7 +9,7 @@ from ..functions import scoring
 from ..operators import leaderboard, runs
 from ..sources import score_store
 from .registry import query, with_views
-from .views import _SECONDS, ACTIONS, ATTEMPTS, EPOCH_MS, MEMBERS, QUIZZES, SCORES, Tables
+from .views import _SECONDS, ACTIONS, ATTEMPTS, EPOCH_MS, MEMBERS, QUIZZES, SCORES, Tables, epoch_millis
 
 # Running rules as plain windows per run: every run starts at 0.
 GATE = """gate AS (
@@ -339,7 +339,7 @@ SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'Player 1' ELSE name END AS
 FROM (SELECT id, username::BIGINT % 7 AS device_id, created_at FROM scores) s ASOF LEFT JOIN renames r ON s.device_id = r.device_id AND s.created_at >= r.moment"""))
 def default_names(t: Tables) -> DataFrame:
     """Player name of every record after the renames on its device; large orders rename theirs."""
-    millis = F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("double")
+    millis = epoch_millis("o_orderdate").cast("double")
     renames = (t.read("orders").where(F.col("o_totalprice") > 300000)
                .groupBy((F.col("o_custkey") % 7).alias("device_id"), millis.alias("at"))
                .agg(F.max(F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority"))).alias("name")))
@@ -398,7 +398,7 @@ def judged_answers(t: Tables) -> DataFrame:
     """Which answers are right, when that depends on the target open at the time."""
     nation, events = t.read("nation"), t.read("events")
     run = F.col("user_id").alias("run_id")
-    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    millis = epoch_millis("ts")
     moment = F.floor((millis - EPOCH_MS) / 1000) - F.when(F.col("event_id") % 17 == 0, 60000).otherwise(0)
     sizes = nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("total"))
     actions = (events.join(nation, F.col("n_nationkey") == (F.col("event_id") * 3) % 25)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -15,6 +15,11 @@ from ..functions.arrays import let
 EPOCH_MS = 1704067200000
 
 
+def epoch_millis(column: str) -> Column:
+    """Milliseconds since 1970 of a time without zone, read as UTC whatever the session's zone is."""
+    return F.unix_millis(F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone()))
+
+
 class Tables:
     """Lazily read tables and the views derived from them."""
 
@@ -28,7 +33,7 @@ class Tables:
     @cached_property
     def attempts(self) -> DataFrame:
         """Answer log with verdicts; every run starts at 0 and has ten targets."""
-        millis = F.unix_millis(F.col("ts").cast("timestamp"))
+        millis = epoch_millis("ts")
         return self.read("events").select(
             F.col("user_id").alias("run_id"), (F.col("user_id") % 5).alias("quiz_id"), F.col("event_id").alias("seq"),
             F.when(F.col("event_type") == "view", "read-elapsed").otherwise("submit").alias("type"),
@@ -40,7 +45,7 @@ class Tables:
     @cached_property
     def actions(self) -> DataFrame:
         """Full action log: starts, answers, clock reads, forced completions, resets, empty quizzes."""
-        millis = F.unix_millis(F.col("ts").cast("timestamp"))
+        millis = epoch_millis("ts")
         kind = F.col("event_type")
         turn = F.floor(F.col("value")).cast("bigint") % 4
         action = (F.when(kind == "signup", "start").when(kind == "view", "read-elapsed")
@@ -60,7 +65,7 @@ class Tables:
             F.floor("o_totalprice").cast("double").alias("score"),
             F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") * 31 % 10001).cast("double") / 10000).alias("accuracy"),
             ((F.col("o_orderkey") * 7919) % 600000).cast("double").alias("elapsed_ms"),
-            F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created_at"),
+            epoch_millis("o_orderdate").cast("double").alias("created_at"),
             F.col("o_orderkey").cast("string").alias("id"))
 
     @cached_property
