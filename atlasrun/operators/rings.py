@@ -177,8 +177,9 @@ def ring_flags(rings: DataFrame, width: float = G.MAP_WIDTH, height: float = G.M
         area = F.when(finite & (F.size(points) >= 3), G.signed_area(F.col(points))).otherwise(0.0)
         return finite & (F.size(points) >= 3), area
 
-    both = (rows.select("ring_id", F.lit("source").alias("space"), F.col("cleaned").alias("points"))
-            .unionByName(rows.select("ring_id", F.lit("map").alias("space"), F.col("projected").alias("points"))))
+    spaces = F.array(F.struct(F.lit("source").alias("space"), F.col("cleaned").alias("points")),
+                     F.struct(F.lit("map").alias("space"), F.col("projected").alias("points")))
+    both = rows.select("ring_id", F.explode(spaces).alias("_in")).select("ring_id", "_in.*")
     crossed = self_crossing(both, ["ring_id", "space"]).groupBy("ring_id").agg(
         F.bool_or(F.col("space") == "source").alias("_source_crosses"), F.bool_or(F.col("space") == "map").alias("_map_crosses"))
     source_shape, source_area = base("cleaned")
