@@ -101,7 +101,7 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(rows: list[tuple]) -> pa.RecordBatch:
         ids, comp, block, sizes = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        bits, two = np.array([r[7] for r in rows], np.int64), rows[0][1] != rows[0][2]
+        bits, two = np.array([r[7] for r in rows], np.int64).view(np.uint64), rows[0][1] != rows[0][2]
         found = []
         for k in range(len(rows) - 1):
             s = sizes[k + 1:]
