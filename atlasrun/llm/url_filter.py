@@ -119,15 +119,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
 
 def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by joins: each url asks for every host suffix with every run of whole leading segments."""
+    """The same by joins: a url asks for its host suffixes, and under each rule host for its runs of leading segments.
+
+    Neither goes deeper than the rules do, so a very long url asks for few keys.
+    """
     keyed = rules.select(F.col("host").alias("__at"), F.regexp_extract("path", r"(?s)^(.*/)?", 0).alias("__under"),
                          F.col("path").alias("__path"), F.col("rule").alias("__rule"), F.col("verdict").alias("__verdict"))
     labels = F.split("host", r"\.")
+    deepest = rules.agg(F.max(F.size(labels))).first()[0] or 0
+    hosts = keyed.groupBy("__at").agg(F.max(F.size(F.split("__under", "/")) - 1).alias("__depth"))
+    first = F.greatest(F.lit(1), F.size(labels) - deepest + 1)
     asked = (parts.select("host", "path").where("host <> ''").distinct()
-             .withColumn("__at", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-                 F.slice(labels, i, F.size(labels)), "."))))
-             .withColumn("__cut", F.split("path", "/"))
-             .withColumn("__under", F.explode(F.transform(F.sequence(F.lit(0), F.size("__cut") - 1), lambda i: F.concat(
+             .withColumn("__at", F.explode(F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+             .join(hosts, "__at").withColumn("__cut", F.split("path", "/"))
+             .withColumn("__under", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size("__cut") - 1, "__depth")), lambda i: F.concat(
                  F.array_join(F.slice("__cut", 1, i), "/"), F.when(i > 0, "/").otherwise(""))))))
     best = (asked.join(keyed, ["__at", "__under"]).where(F.col("path").startswith(F.col("__path")))
             .groupBy("host", "path").agg(F.max_by(F.struct("__rule", "__verdict"), F.struct(
