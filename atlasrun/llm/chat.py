@@ -96,8 +96,9 @@ def format_chats(turns: DataFrame, template: Template = Template(), conv: str =
     one conversation. Other columns are ignored. Turns share one shuffle; a conversation is one row in the end,
     so each must fit in a task, however many there are.
     """
-    names = set(turns.schema[parts].dataType.elementType.names)
-    said = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(role, F.lit("")).alias("r"), F.col(parts).alias("p"))
+    kind = turns.schema[parts].dataType
+    names = set(kind.elementType.names)
+    said = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(parts, F.array().cast(kind)).alias("p"))
     said = said.select("c", "t", "r", F.concat(F.lit(template.turn), escape(F.col("r"), template), F.lit(template.says)).alias("head"),
                        _shown(F.col("p"), template).alias("shown"), _attached(F.col("p"), names, template).alias("a"))
     order = W.partitionBy("c").orderBy("t", "r", "shown", "a")

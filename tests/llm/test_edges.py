@@ -274,4 +274,4 @@ def test_toxicity_looks_at_whole_texts():
     model = toxicity._start([np.array([[1, 2, 3]])], np.array([True]))
     model.table[9] = 5
     far = np.concatenate([np.zeros((3 * toxicity.STEP + 5, toxicity.DIM), np.float32), model.table[[9]]])
-    assert (model.pooled(far)[0][:4] > 4).all()
+    assert (model.pooled(far)[0][:4] > 2).all()
