@@ -206,11 +206,10 @@ def overlapping(boxes: DataFrame, views: DataFrame, rule: str = "overlapping") -
     return violations(joined.where(~meets), rule, F.col("feature_id"), F.col("quiz_id"))
 
 
-def source_scope(source: DataFrame, base: DataFrame, expected_codes: list[str], used: DataFrame) -> DataFrame:
-    """Scope of a replacement source (``code, pos``): exactly the pinned codes, in order; each code in the
-    base features; and as many replaced features (``used``) as base features with such a code."""
-    spark = source.sparkSession
-    pinned = spark.createDataFrame(list(enumerate(expected_codes)), "pos bigint, want string")
+def source_scope(source: DataFrame, base: DataFrame, pinned: DataFrame, used: DataFrame) -> DataFrame:
+    """Scope of a replacement source (``code, pos``): exactly the codes of ``pinned`` (``code, pos``), in order; each
+    code in the base features; and as many replaced features (``used``) as base features with such a code."""
+    pinned = pinned.select(F.col("pos").cast("bigint").alias("pos"), F.col("code").alias("want"))
     drift = source.select(F.col("pos").cast("bigint").alias("pos"), "code").join(pinned, "pos", "full_outer").where(
         ~F.col("code").eqNullSafe(F.col("want")))
     expected = base.join(source.select("code"), "code", "left_semi").agg(F.count(F.lit(1)).alias("want"))

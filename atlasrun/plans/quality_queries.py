@@ -50,10 +50,11 @@ def dq_cardinality(t: Tables) -> DataFrame:
 
 
 @query("dq_references", """
-SELECT 'reference' AS rule, o_orderkey::VARCHAR AS entity, o_custkey::VARCHAR AS detail FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+SELECT 'reference' AS rule, o_orderkey::VARCHAR AS entity, (o_custkey * 9 // 8)::VARCHAR AS detail FROM orders WHERE o_custkey * 9 // 8 NOT IN (SELECT c_custkey FROM customer)""")
 def dq_references(t: Tables) -> DataFrame:
-    """Orders whose customer is not among those in credit."""
-    return quality.references(t.read("orders"), t.read("customer").where(F.col("c_acctbal") > 0), "o_orderkey", "o_custkey", "c_custkey")
+    """Orders whose customer number, stretched by an eighth, names no customer."""
+    stretched = t.read("orders").withColumn("named", F.expr("o_custkey * 9 div 8"))
+    return quality.references(stretched, t.read("customer"), "o_orderkey", "named", "c_custkey")
 
 
 @query("dq_subset", with_views(MEMBERS, body="""
@@ -62,16 +63,17 @@ SELECT 'subset' AS rule, quiz_id AS entity, location_id AS detail FROM (
 WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.quiz_id = a.quiz_id AND m.location_id = a.location_id)"""))
 def dq_subset(t: Tables) -> DataFrame:
     """Base layers that name locations outside their quiz."""
-    layers = t.read("nation").join(t.read("region"), F.col("n_regionkey") >= F.col("r_regionkey")).select(
+    reach = t.read("nation").select("n_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_regionkey").cast("bigint"))).alias("region"))
+    layers = reach.join(t.read("region"), F.col("region") == F.col("r_regionkey")).select(
         F.col("r_name").alias("quiz_id"), F.concat(F.lit("iso:"), "n_name").alias("location_id"))
     return quality.subset_per_owner(layers, t.members, "quiz_id", "location_id")
 
 
 @query("dq_not_empty", """
-SELECT 'not-empty' AS rule, p_partkey::VARCHAR AS entity, 'empty' AS detail FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)""")
+SELECT 'not-empty' AS rule, p_partkey::VARCHAR AS entity, 'empty' AS detail FROM part WHERE p_partkey NOT IN (SELECT l_partkey - l_partkey % 3 FROM lineitem)""")
 def dq_not_empty(t: Tables) -> DataFrame:
-    """Parts without a large returned line."""
-    lines = t.read("lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that no line names once part numbers are rounded down to multiples of three."""
+    lines = t.read("lineitem").select((F.col("l_partkey") - F.col("l_partkey") % 3).alias("p_partkey"))
     return quality.not_empty(lines, t.read("part"), "p_partkey")
 
 
@@ -104,10 +106,11 @@ def dq_pattern(t: Tables) -> DataFrame:
 
 @query("dq_same_keys", """
 SELECT 'same-keys' AS rule, coalesce(a, b)::VARCHAR AS entity, CASE WHEN a IS NULL THEN 'only right' ELSE 'only left' END AS detail
-FROM (SELECT DISTINCT doc_id AS a FROM documents WHERE lang <> 'en') FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) ON a = b WHERE a IS NULL OR b IS NULL""")
+FROM (SELECT DISTINCT doc_id + doc_id // 3 AS a FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) ON a = b WHERE a IS NULL OR b IS NULL""")
 def dq_same_keys(t: Tables) -> DataFrame:
-    """Documents and labels that lack each other."""
-    return quality.same_keys(t.read("documents").where(F.col("lang") != "en"), t.read("labels"), "doc_id")
+    """Documents, with gaps worked into their numbers, and labels that lack each other."""
+    spread = t.read("documents").select(F.expr("doc_id + doc_id div 3").alias("doc_id"))
+    return quality.same_keys(spread, t.read("labels"), "doc_id")
 
 
 @query("dq_disjoint", """
@@ -132,7 +135,8 @@ SELECT 'pinned-refs' AS rule, coalesce(r.location_id, p.location_id) AS entity,
        coalesce(r.ref_pos, p.ref_pos) || ':' || coalesce(r.feature_id, '-') || ':' || coalesce(p.feature_id, '-') AS detail
 FROM (SELECT * FROM refs WHERE location_id IN (SELECT location_id FROM pinned)) r FULL JOIN pinned p ON r.location_id = p.location_id AND r.ref_pos = p.ref_pos
 WHERE r.feature_id IS DISTINCT FROM p.feature_id
-UNION ALL SELECT 'forbidden-refs', location_id, feature_id FROM refs JOIN features f USING (feature_id) WHERE 'iso:' || f.code <> location_id
+UNION ALL SELECT 'forbidden-refs', location_id, feature_id FROM refs SEMI JOIN (
+  SELECT location_id, feature_id FROM places JOIN features ON code = iso3 WHERE feature_pos % 7 = 3) USING (location_id, feature_id)
 UNION ALL SELECT 'minimum-extent', location_id, 'too small' FROM places LEFT JOIN (
   SELECT code, max(ax + 2) - min(ax - 1) AS w, max(ay + 2) - min(ay - 1) AS h FROM features GROUP BY code) ON code = iso3 WHERE NOT coalesce(w > 280 AND h > 140, false)
 UNION ALL SELECT 'ref-count', location_id, count(*)::VARCHAR FROM refs GROUP BY location_id HAVING count(*) < 4
@@ -141,8 +145,8 @@ def dq_pinned(t: Tables) -> DataFrame:
     """Pinned and forbidden references, least extents and counts, required locations."""
     refs, features = _refs(t), _features(t)
     pinned = resolve.match_catalog(t.places.where(F.col("pos") % 5 != 1), features)
-    own = features.select("feature_id", F.concat(F.lit("iso:"), "code").alias("_own"))
-    forbidden = refs.join(own, "feature_id").where(F.col("location_id") != F.col("_own"))
+    # Every seventh feature is forbidden where its key puts it, whatever the references say.
+    forbidden = resolve.match_catalog(t.places, features).where(F.col("ref_pos") % 7 == 3)
     shapes = resolve.location_shapes(resolve.match_catalog(t.places, features), features)
     least = t.places.select("location_id", F.lit(280.0).alias("width"), F.lit(140.0).alias("height"))
     wanted = t.read("region").select(F.concat(F.lit("iso:"), "r_name").alias("location_id"))
@@ -191,12 +195,12 @@ def dq_quiz_inputs(t: Tables) -> DataFrame:
 
 @query("dq_exactly_once", """
 SELECT 'exactly-once' AS rule, coalesce(c, u)::VARCHAR AS entity, CASE WHEN u IS NULL THEN 'extra' WHEN c IS NULL THEN 'missing' ELSE 'repeated' END AS detail
-FROM (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY o_custkey) FULL JOIN (SELECT DISTINCT c_custkey AS u FROM customer WHERE c_acctbal > 0) ON c = u
+FROM (SELECT o_custkey * 9 // 8 AS c, count(*) AS n FROM orders GROUP BY 1) FULL JOIN (SELECT DISTINCT c_custkey AS u FROM customer) ON c = u
 WHERE c IS NULL OR u IS NULL OR n <> 1""")
 def dq_exactly_once(t: Tables) -> DataFrame:
-    """Do the orders name each customer in credit exactly once?"""
-    return quality.exactly_once(t.read("orders").select(F.col("o_custkey").alias("id")),
-                                t.read("customer").where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("id")), "id")
+    """Do the orders, their customer numbers stretched by an eighth, name each customer exactly once?"""
+    return quality.exactly_once(t.read("orders").select(F.expr("o_custkey * 9 div 8").alias("id")),
+                                t.read("customer").select(F.col("c_custkey").alias("id")), "id")
 
 
 @query("dq_contained", with_views(RAW_VERTICES, """placed AS (
@@ -222,22 +226,25 @@ def dq_contained(t: Tables) -> DataFrame:
 
 @query("dq_source_scope", """
 SELECT 'scope' AS rule, coalesce(r_name, '-') AS entity, coalesce(want, '-') AS detail
-FROM region FULL JOIN (VALUES (0, 'AFRICA'), (1, 'AMERICA'), (2, 'EUROPE'), (3, 'ASIA'), (5, 'ATLANTIS')) AS v(pos, want) ON pos = r_regionkey WHERE r_name IS DISTINCT FROM want
+FROM region FULL JOIN (SELECT CASE WHEN n_nationkey = 4 THEN 5 ELSE n_nationkey END AS pos, n_name AS want FROM nation WHERE n_nationkey < 5) AS v
+  ON pos = r_regionkey WHERE r_name IS DISTINCT FROM want
+UNION ALL SELECT 'scope', '-', n_name FROM nation WHERE n_nationkey > 4
 UNION ALL SELECT 'scope-unmatched', r_name, r_name FROM region WHERE r_name NOT IN (SELECT p_type FROM part)
 UNION ALL SELECT 'scope-count', 'replaced', have || '/' || want FROM (
   SELECT (SELECT count(*) FROM part) AS have, (SELECT count(*) FROM part WHERE p_type IN (SELECT r_name FROM region)) AS want) WHERE have <> want""")
 def dq_source_scope(t: Tables) -> DataFrame:
-    """Scope of a replacement source that has drifted from the pinned one."""
+    """Scope of a replacement source that has drifted from the pinned one: the nations, with one number shifted."""
     source = t.read("region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("code"))
     base = t.read("part").select(F.col("p_type").alias("code"))
-    return quality.source_scope(source, base, ["AFRICA", "AMERICA", "EUROPE", "ASIA"], base).where(F.col("entity") != "").unionByName(
-        quality.violations(t.read("region").where(F.col("r_regionkey") == 0), "scope", F.lit("-"), F.lit("ATLANTIS")))
+    key = F.col("n_nationkey")
+    pinned = t.read("nation").select(F.when(key < 4, key).otherwise(key + 1).alias("pos"), F.col("n_name").alias("code"))
+    return quality.source_scope(source, base, pinned, base)
 
 
 @query("dq_summary", """
 SELECT rule, count(v) AS violations, count(v) = 0 AS passed FROM (
   SELECT 'unique' AS rule, p_name AS v FROM part GROUP BY p_name HAVING count(*) > 1
-  UNION ALL SELECT 'reference', o_orderkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+  UNION ALL SELECT 'reference', o_orderkey::VARCHAR FROM orders WHERE o_custkey * 9 // 8 NOT IN (SELECT c_custkey FROM customer)
   UNION ALL SELECT unnest(['unique', 'reference', 'required']), NULL) GROUP BY rule""")
 def dq_summary(t: Tables) -> DataFrame:
     """Verdict per rule."""
