@@ -6,6 +6,7 @@ shuffled: projection, cleaning, area, centroid, envelope, seam handling and path
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -303,19 +304,18 @@ def crosses(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return opposite(a_c, a_d, beyond) & opposite(b_a, b_b, beyond)
 
 
-def _within(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    return bx.between(F.least(ax, cx), F.greatest(ax, cx)) & by.between(F.least(ay, cy), F.greatest(ay, cy))
+def _touches(x: Column, y: Column, s: dict[str, Column], side_of: Column) -> Column:
+    """Is a point on a side: within the slack of its line (``side_of`` is its :func:`turn`) and inside its box?"""
+    outside = (x - s["ax"]) * (x - s["bx"]) > 0
+    return (F.abs(side_of) <= TOUCH_EPSILON) & ~outside & ~((y - s["ay"]) * (y - s["by"]) > 0)
 
 
 def meets(a: dict[str, Column], b: dict[str, Column], seen: list[Column]) -> Column:
-    """Do two sides meet, touching included? ``seen`` are their :func:`turns`."""
-    a_c, a_d, b_a, b_b = seen
-    e = TOUCH_EPSILON
-    return ((opposite(a_c, a_d, e) & opposite(b_a, b_b, e))
-            | ((F.abs(a_c) <= e) & _within(a["ax"], a["ay"], b["ax"], b["ay"], a["bx"], a["by"]))
-            | ((F.abs(a_d) <= e) & _within(a["ax"], a["ay"], b["bx"], b["by"], a["bx"], a["by"]))
-            | ((F.abs(b_a) <= e) & _within(b["ax"], b["ay"], a["ax"], a["ay"], b["bx"], b["by"]))
-            | ((F.abs(b_b) <= e) & _within(b["ax"], b["ay"], a["bx"], a["by"], b["bx"], b["by"])))
+    """Do two sides meet: do they cross, or is an end of one on the other? ``seen`` are their :func:`turns`."""
+    ends = [(b, "a", a), (b, "b", a), (a, "a", b), (a, "b", b)]
+    touching = [_touches(own[f"{end}x"], own[f"{end}y"], other, t) for (own, end, other), t in zip(ends, seen)]
+    return functools.reduce(lambda p, q: p | q, touching,
+                            opposite(seen[0], seen[1], TOUCH_EPSILON) & opposite(seen[2], seen[3], TOUCH_EPSILON))
 
 
 def squared_distance(x: Column, y: Column, s: dict[str, Column]) -> Column:

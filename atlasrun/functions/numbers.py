@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 # Splits a double into two 26-bit halves so that products have no rounding error.
 SPLIT = 134217729.0
+# From here up, doubles have no digits beyond the second decimal that could be rounded.
+WHOLE_HUNDREDTHS = 2.0 ** 53 / 100
 
 
 def fixed2(value: Column) -> Column:
     """Round to two decimals by the exact value of the double, ties away from zero.
 
     ``F.round`` goes through the shortest decimal text, so 1.005 would become 1.01 although the
-    stored double is below 1.005. Here ``100 * x`` is carried with its exact error term.
+    stored double is below 1.005. Here ``100 * x`` is carried with its exact error term. Values that are
+    not finite, or too large to have a third decimal, stay as they are.
     """
     size = F.abs(value)
     high = size * SPLIT - (size * SPLIT - size)
     error = (high * 100.0 - size * 100.0) + (size - high) * 100.0
     base = F.floor(size * 100.0).cast("double")
     step = F.when((size * 100.0 - base - 0.5) + error >= 0, 1.0).otherwise(0.0)
-    return F.when(value < 0, -(base + step) / 100.0).otherwise((base + step) / 100.0)
+    rounded = F.when(value < 0, -(base + step) / 100.0).otherwise((base + step) / 100.0)
+    return F.when(size < WHOLE_HUNDREDTHS, rounded).otherwise(value)
 
 
 def fixed2_sql(value: str) -> str:
@@ -30,16 +34,24 @@ def fixed2_sql(value: str) -> str:
     error = f"(({high} * 100.0::DOUBLE - {size} * 100.0::DOUBLE) + ({size} - {high}) * 100.0::DOUBLE)"
     base = f"floor({size} * 100.0::DOUBLE)"
     step = f"(CASE WHEN ({size} * 100.0::DOUBLE - {base} - 0.5::DOUBLE) + {error} >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
-    return f"(CASE WHEN {value} < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * ({base} + {step}) / 100.0::DOUBLE)"
+    return (f"(CASE WHEN {size} < {WHOLE_HUNDREDTHS!r}::DOUBLE THEN "
+            f"CASE WHEN {value} < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * ({base} + {step}) / 100.0::DOUBLE ELSE {value} END)")
 
 
 def number_text(value: Column) -> Column:
-    """Shortest decimal text without exponent or trailing ``.0`` (``3``, ``0.25``, ``0.0001``)."""
-    plain = value.cast("string")
-    tiny = F.regexp_replace(value.cast("decimal(38,25)").cast("string"), r"0+$", "")
-    huge = F.regexp_replace(value.cast("decimal(38,4)").cast("string"), r"0+$", "")
-    text = (F.when((value == 0), F.lit("0"))
-            .when(F.abs(value) < 1e-3, tiny)
-            .when(F.abs(value) >= 1e7, huge)
-            .otherwise(plain))
-    return F.regexp_replace(text, r"\.0*$", "")
+    """Shortest decimal text without exponent or trailing ``.0`` (``3``, ``0.25``, ``0.0001``); no digit is lost.
+
+    The digits are those of the engine's shortest text, with the point moved by its exponent. A value that is
+    missing or not finite has no such text and is an error, so that a list of numbers never loses one.
+    """
+    text = F.abs(value.cast("double")).cast("string")
+    mantissa, exponent = F.substring_index(text, "E", 1), F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    point = F.instr(mantissa, ".") - 1 + exponent
+    plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+             .otherwise(F.concat(F.substr(F.rpad(digits, F.greatest(point, F.length(digits)), F.lit("0")), F.lit(1), point), F.lit("."),
+                                 F.substr(digits, point + 1))))
+    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    finite = F.abs(value) < float("inf")
+    signed = F.concat(F.when(value < 0, "-").otherwise(""), short)
+    return F.when(F.coalesce(finite, F.lit(False)), signed).otherwise(F.raise_error(F.concat(F.lit("not a finite number: "), F.coalesce(value.cast("string"), F.lit("null")))))

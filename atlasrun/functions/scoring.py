@@ -23,7 +23,7 @@ LOWEST_TIER = ("Keep practicing", "Every run is progress")
 
 
 # Decimal places kept of a fractional accuracy.
-ACCURACY_PLACES = 12
+ACCURACY_PLACES = 17
 
 
 def _half_up(numerator: Column, denominator: Column) -> Column:
@@ -41,11 +41,11 @@ def final_score(accuracy_hundredths: Column, seconds: Column) -> Column:
 
     The accuracy is scaled to a whole number, so fractional accuracies round correctly too.
     """
-    unit = F.lit(10 ** ACCURACY_PLACES).cast("decimal(13,0)")
-    units = (accuracy_hundredths.cast(f"decimal(24,{ACCURACY_PLACES})") * unit).cast("decimal(24,0)")
+    unit = F.lit(10 ** ACCURACY_PLACES).cast("decimal(18,0)")
+    units = (accuracy_hundredths.cast(f"decimal(30,{ACCURACY_PLACES})") * unit).cast("decimal(30,0)")
     whole = seconds.cast("decimal(10,0)")
     numerator = (units * PENALTY_DENOMINATOR - whole * unit * PENALTY_NUMERATOR).cast("decimal(36,0)")
-    denominator = (unit * PENALTY_DENOMINATOR).cast("decimal(14,0)")
+    denominator = (unit * PENALTY_DENOMINATOR).cast("decimal(19,0)")
     accuracy = accuracy_hundredths.cast("double")
     time = seconds.cast("double")
     value = _checked(time.isNull() | (time < 0) | (time != F.floor(time)),

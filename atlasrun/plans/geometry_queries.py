@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.numbers import fixed2_sql
+from ..functions.numbers import fixed2_sql, number_text
 from ..operators import rings, spatial
 from ..sources import boundaries
 from .registry import query, with_views
@@ -109,6 +109,38 @@ def ring_segments(t: Tables) -> DataFrame:
 _TEXT = "regexp_replace(({})::VARCHAR, '\\.0$', '')"
 
 
+_POWERS = ", ".join(f"1e{k}" for k in range(-30, 19))
+
+
+@query("number_texts", f"""
+SELECT l_orderkey, l_linenumber, v AS value, v AS read_back, true AS plain, true AS short FROM (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END
+         * (l_extendedprice::DOUBLE * ([{_POWERS}])[(l_orderkey * 7 + l_linenumber) % 49 + 1]::DOUBLE) AS v FROM lineitem)""")
+def number_texts(t: Tables) -> DataFrame:
+    """Texts of numbers from 1e-28 to 1e23, read back: plain notation without loss or idle zeros."""
+    power = F.element_at(F.array(*(F.lit(float(p)) for p in _POWERS.split(", "))), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 49 + 1).cast("int"))
+    value = F.when(F.col("l_linenumber") % 2 == 0, -1.0).otherwise(1.0) * (F.col("l_extendedprice").cast("double") * power)
+    texts = t.read("lineitem").select("l_orderkey", "l_linenumber", value.alias("value")).withColumn("text", number_text(F.col("value")))
+    return texts.select("l_orderkey", "l_linenumber", "value", F.col("text").cast("double").alias("read_back"),
+                        F.col("text").rlike(r"^-?\d+(\.\d*[1-9])?$").alias("plain"), (~F.col("text").rlike(r"^-?0\d")).alias("short"))
+
+
+@query("project_faulty", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN 'nan' WHEN l_orderkey % 11 = 0 THEN 'inf' WHEN l_orderkey % 13 = 0 THEN 'large' ELSE 'rounded' END AS kind,
+       true AS near, true AS hundredths FROM lineitem""")
+def project_faulty(t: Tables) -> DataFrame:
+    """Projected and rounded longitudes with faults worked in: faults stay faults, the rest is at most half a hundredth off."""
+    key = F.col("l_orderkey")
+    x = (F.when(key % 7 == 0, float("nan")).when(key % 11 == 0, float("inf")).when(key % 13 == 0, 1e22 + F.col("l_extendedprice").cast("double") * 1e15)
+         .otherwise(F.col("l_extendedprice").cast("double") / (F.col("l_quantity").cast("double") * 17)))
+    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", G.map_x(x).alias("x"), G.project_rounded(G.point(x, F.lit(0.0)))["x"].alias("r"))
+    whole = F.abs(F.col("x")) < 1e15
+    kind = F.when(F.isnan("r"), "nan").when(F.abs(F.col("r")) == float("inf"), "inf").when(~whole, "large").otherwise("rounded")
+    near = F.when(whole, F.abs(F.col("r") - F.col("x")) <= 0.005 + 1e-9).otherwise(F.col("r") == F.col("x"))
+    return rows.select("l_orderkey", "l_linenumber", kind.alias("kind"), near.alias("near"),
+                       F.when(whole, F.abs(F.col("r") * 100 - F.rint(F.col("r") * 100)) < 1e-6).otherwise(F.lit(True)).alias("hundredths"))
+
+
 @query("path_text", with_views(RAW_VERTICES, body=f"""
 SELECT ring_id, 'M' || string_agg({_TEXT.format(fixed2_sql('((x + 180.0::DOUBLE) / 360.0 * 1440.0)'))} || ',' ||
        {_TEXT.format(fixed2_sql('((90.0::DOUBLE - y) / 180.0 * 720.0)'))}, 'L' ORDER BY i) || 'Z' AS path
@@ -172,8 +204,10 @@ def _turn(a: str, b: str, c: str) -> str:
     return f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
 
 
-def _box(a: str, b: str, c: str) -> str:
-    return (f"(least({a}x, {c}x) <= {b}x AND {b}x <= greatest({a}x, {c}x) AND least({a}y, {c}y) <= {b}y AND {b}y <= greatest({a}y, {c}y))")
+def _on(p: str, a: str, b: str) -> str:
+    """Is p on the side a-b: no farther from the ends than they are from each other, along either axis, and on its line?"""
+    spread = " AND ".join(f"abs({p}{k} - {a}{k}) + abs({p}{k} - {b}{k}) <= abs({a}{k} - {b}{k}) + 1e-12::DOUBLE" for k in "xy")
+    return f"(abs({_turn(a, b, p)}) <= 1e-9::DOUBLE AND {spread})"
 
 
 def _apart(p: str, a: str, b: str) -> str:
@@ -185,11 +219,13 @@ def _apart(p: str, a: str, b: str) -> str:
 
 def segment_distance_sql() -> str:
     """Distance of the segments a-b and c-d given as columns ax, ay, ex, ey, cx, cy, dx, dy."""
-    a_c, a_d, b_a, b_b = _turn("a", "e", "c"), _turn("a", "e", "d"), _turn("c", "d", "a"), _turn("c", "d", "e")
-    e = "1e-9::DOUBLE"
-    meets = (f"((({a_c} > {e} AND {a_d} < -{e}) OR ({a_c} < -{e} AND {a_d} > {e})) AND (({b_a} > {e} AND {b_b} < -{e}) OR ({b_a} < -{e} AND {b_b} > {e}))"
-             f" OR (abs({a_c}) <= {e} AND {_box('a', 'c', 'e')}) OR (abs({a_d}) <= {e} AND {_box('a', 'd', 'e')})"
-             f" OR (abs({b_a}) <= {e} AND {_box('c', 'a', 'd')}) OR (abs({b_b}) <= {e} AND {_box('c', 'e', 'd')}))")
+    def apart(a: str, b: str, p: str, q: str) -> str:
+        """Are p and q on two sides of the line a-b, both beyond the slack?"""
+        one, two = _turn(a, b, p), _turn(a, b, q)
+        return f"(least({one}, {two}) < -1e-9::DOUBLE AND greatest({one}, {two}) > 1e-9::DOUBLE)"
+
+    meets = (f"(({apart('a', 'e', 'c', 'd')} AND {apart('c', 'd', 'a', 'e')}) OR {_on('c', 'a', 'e')} OR {_on('d', 'a', 'e')}"
+             f" OR {_on('a', 'c', 'd')} OR {_on('e', 'c', 'd')})")
     return (f"(CASE WHEN {meets} THEN 0.0::DOUBLE ELSE least({_apart('a', 'c', 'd')}, {_apart('e', 'c', 'd')}, "
             f"{_apart('c', 'a', 'e')}, {_apart('d', 'a', 'e')}) END)")
 
@@ -311,13 +347,13 @@ def polygon_class(t: Tables) -> DataFrame:
         _r("span.x", 5).alias("span_x"), _r("span.y", 5).alias("span_y"))
 
 
-@query("polygon_paths", with_views(RAW_VERTICES, BOUNDARY_VERTICES, _CLASSES, body="""
-SELECT polygon_id, ring_pos, ring_id FROM ranked
+@query("polygon_paths", with_views(RAW_VERTICES, BOUNDARY_VERTICES, _CLASSES, body=f"""
+SELECT polygon_id, ring_pos, ring_id, path FROM ranked JOIN (
+  SELECT ring_id, 'M' || string_agg({_TEXT.format('x')} || ',' || {_TEXT.format('y')}, 'L' ORDER BY i) || 'Z' AS path FROM projected GROUP BY ring_id) USING (ring_id)
 WHERE valid OR polygon_id NOT IN (SELECT polygon_id FROM ranked WHERE valid)"""))
 def polygon_paths(t: Tables) -> DataFrame:
-    """Rings that are drawn for each polygon."""
-    drawn = rings.polygon_paths(rings.ring_flags(faulty_rings(t)))
-    return drawn.where(F.col("path").startswith("M") & F.col("path").endswith("Z")).select("polygon_id", "ring_pos", "ring_id")
+    """Rings that are drawn for each polygon, and their paths."""
+    return rings.polygon_paths(rings.ring_flags(faulty_rings(t))).select("polygon_id", "ring_pos", "ring_id", "path")
 
 
 @query("tiny_flag", with_views(RAW_VERTICES, BOUNDARY_VERTICES, _CLASSES, body="""

@@ -60,7 +60,24 @@ def test_fixed2_uses_the_exact_value(spark):
         assert rounded == float(Decimal(n).quantize(Decimal("0.01"), ROUND_HALF_UP)), n
 
 
+def test_fixed2_leaves_faults_alone(spark):
+    numbers = [math.inf, -math.inf, 1e22, -1e17, 2.0 ** 53, 9e13 + 0.125, None]
+    assert values(spark, [(n,) for n in numbers], "n double", fixed2(F.col("n"))) == [
+        math.inf, -math.inf, 1e22, -1e17, 2.0 ** 53, float(Decimal(9e13 + 0.125).quantize(Decimal("0.01"), ROUND_HALF_UP)), None]
+    assert math.isnan(values(spark, [(math.nan,)], "n double", fixed2(F.col("n")))[0])
+
+
+def test_final_score_keeps_all_digits_of_the_accuracy(spark):
+    # Half a point is reached by the fifteenth decimal only.
+    assert values(spark, [(2.499999999999999, 0), (2.5, 0)], "a double, s bigint", scoring.final_score(F.col("a"), F.col("s"))) == [2, 3]
+
+
 def test_number_text(spark):
-    cases = [(3.0, "3"), (0.25, "0.25"), (-1439.12, "-1439.12"), (0.0001, "0.0001"), (-0.0, "0"), (12345678.5, "12345678.5"), (100.0, "100")]
+    cases = [(3.0, "3"), (0.25, "0.25"), (-1439.12, "-1439.12"), (0.0001, "0.0001"), (-0.0, "0"), (12345678.5, "12345678.5"), (100.0, "100"),
+             (12345678.123456, "12345678.123456"), (1e-30, "0." + "0" * 29 + "1"), (1e22, "1" + "0" * 22), (-1.5e300, "-15" + "0" * 299), (120.0, "120"),
+             (0.1 + 0.2, "0.30000000000000004"), (1e7, "10000000"), (123456789.0, "123456789")]
     assert values(spark, [(n,) for n, _ in cases], "n double", number_text(F.col("n"))) == [t for _, t in cases]
-    assert all(math.isclose(float(t), n) for n, t in cases)
+    assert all(float(t) == n for n, t in cases)
+    for bad in (math.nan, math.inf, -math.inf, None):
+        with pytest.raises(Exception, match="not a finite number"):
+            values(spark, [(bad,)], "n double", number_text(F.col("n")))
