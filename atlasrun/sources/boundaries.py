@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.geometry import points_from_pairs
 from ..functions.names import code_keys, feature_id, split_labels
@@ -23,31 +26,72 @@ ID_PROPERTIES = ("NE_ID", "ne_id", "adm1_code", "shapeID")
 
 # Property names differ only in case in places, and most are unused: a map keeps them apart.
 FEATURE_SCHEMA = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+COLLECTION_SCHEMA = f"type string, features array<struct<{FEATURE_SCHEMA}>>"
+SHAPES = ("Polygon", "MultiPolygon")
+# Files from this size on do not fit in a record.
+MOST_BYTES = 2_000_000_000
 
 
 def polygons_from(kind: Column, coordinates: Column) -> Column:
     """Coordinates text as polygons of rings of points; a single polygon becomes a list of one."""
-    single = F.array(F.from_json(coordinates, POLYGON))
+    one = F.from_json(coordinates, POLYGON)
+    single = F.when(one.isNotNull(), F.array(one))
     many = F.from_json(coordinates, MULTI_POLYGON)
     nested = F.when(kind == "Polygon", single).when(kind == "MultiPolygon", many)
     return F.transform(nested, lambda polygon: F.transform(polygon, points_from_pairs))
 
 
-def read_features(spark: SparkSession, path: str, *, lines: bool = True) -> DataFrame:
-    """Features of GeoJSON files: one per line (splittable, for large data) or whole collections.
+def _parsed(spark: SparkSession, paths: str | list[str], lines: bool) -> DataFrame:
+    """``file, block, row, feature, problem`` of every feature; one that cannot be used has a problem.
 
-    Adds the feature's place, which orders features everywhere downstream.
+    ``block`` is where the part of the file begins that Spark read as one, ``row`` the order inside it. Sorted by
+    both, features are in file order, however files are split.
     """
     if lines:
-        rows = spark.read.schema(FEATURE_SCHEMA).json(path).where(F.col("geometry").isNotNull()).select(
-            "*", F.monotonically_increasing_id().alias("feature_pos"))
+        rows = spark.read.text(paths).select(
+            F.regexp_replace(F.trim("value"), ",$", "").alias("text"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        # Blank lines and the first and last line of a wrapper are not features.
+        rows = rows.where(~F.col("text").rlike(r'^(\{\s*"type":\s*"FeatureCollection".*\[|\]\s*\}?|)$'))
+        parsed = rows.withColumn("feature", F.from_json("text", FEATURE_SCHEMA + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+        broken = F.col("feature._broken").isNotNull()
     else:
-        fields = "type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>"
-        rows = spark.read.schema(f"features array<struct<{fields}>>").option("multiLine", True).json(path)
-        rows = rows.select(F.posexplode("features").alias("pos", "feature")).select(
-            "feature.*", F.col("pos").cast("bigint").alias("feature_pos"))
-    return rows.select("feature_pos", "properties", F.col("geometry.type").alias("geometry_type"),
-                       polygons_from(F.col("geometry.type"), F.col("geometry.coordinates")).alias("polygons"))
+        whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("bigint").alias("block"),
+                                                              F.from_json("value", COLLECTION_SCHEMA)["features"].alias("features"))
+        nothing = F.array(F.from_json(F.lit(None).cast("string"), FEATURE_SCHEMA))
+        parsed = whole.select("file", "block", F.posexplode(F.coalesce("features", nothing)).alias("row", "feature"))
+        broken = F.lit(False)
+    shape = F.col("feature.geometry")
+    problem = (F.when(F.col("feature").isNull() | broken, "malformed").when(shape.isNull(), "no geometry")
+               .when(~F.coalesce(shape["type"].isin(*SHAPES), F.lit(False)), "not a polygon")
+               .when(polygons_from(shape["type"], shape["coordinates"]).isNull(), "malformed coordinates"))
+    return parsed.select("file", "block", F.col("row").cast("bigint").alias("row"), "feature", problem.alias("problem"))
+
+
+def rejected_features(spark: SparkSession, paths: str | list[str], *, lines: bool = True) -> DataFrame:
+    """Violations: what :func:`read_features` cannot use, with its file and the reason."""
+    return _parsed(spark, paths, lines).where("problem is not null").select(
+        F.lit("source").alias("rule"), F.col("file").alias("entity"), F.col("problem").alias("detail"))
+
+
+def read_features(spark: SparkSession, paths: str | list[str], *, lines: bool = True) -> DataFrame:
+    """Features of GeoJSON files: one per line (splittable, for large data) or whole collections.
+
+    ``feature_pos`` orders features everywhere downstream: files by name, then places in the file, without gaps. It
+    does not depend on how files are split. A malformed feature or one without a polygon is an error;
+    :func:`rejected_features` lists them all. Features are numbered within each part of a file, after the
+    number of features in the parts before it.
+    """
+    parsed = _parsed(spark, paths, lines)
+    before = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)  # a row for each part of a file
+    starts = parsed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select(
+        "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.row_number().over(W.partitionBy("file", "block").orderBy("row")) - 1
+    unusable = F.raise_error(F.concat_ws(": ", F.lit("unusable feature"), "file", "problem")).cast("bigint")
+    shape = F.col("feature.geometry")
+    return parsed.join(starts, ["file", "block"]).select(
+        F.when(F.col("problem").isNull(), place).otherwise(unusable).alias("feature_pos"), F.col("feature.properties").alias("properties"),
+        shape["type"].alias("geometry_type"), polygons_from(shape["type"], shape["coordinates"]).alias("polygons"))
 
 
 def _texts(names: tuple[str, ...]) -> list[Column]:
@@ -76,22 +120,39 @@ def supplemental_features(raw: DataFrame, source: str, prefix: str = "ne") -> Da
         _property("LABEL_X").try_cast("double").alias("label_x"), _property("LABEL_Y").try_cast("double").alias("label_y"), F.col("polygons").alias("geometry"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sha256`` of files; each file is one record, read and hashed on an executor."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def _bare(path: str) -> str:
+    return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/")
+
+
+def file_digests(spark: SparkSession, root: str) -> DataFrame:
+    """``path, file, sha256`` of all files under a folder, or of one file; ``file`` is relative to the folder.
+
+    Each file is one record, read and hashed on an executor. One above 2 GB does not fit in a record: its digest is null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    hashed = files.where(F.col("length") < MOST_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") >= MOST_BYTES).select("path", F.lit(None).cast("string").alias("sha256"))
+    bare, top = F.regexp_replace("path", r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", ""), _bare(root)
+    below = F.when(bare == top, F.regexp_extract(bare, r"([^/]+)$", 1)).otherwise(F.substr(bare, F.lit(len(top) + 2)))
+    return hashed.unionByName(large).select("path", below.alias("file"), "sha256")
 
 
 def digest_violations(digests: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files of the manifest (``file, sha256``) that are absent or differ from their pinned digest."""
-    named = digests.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("sha256").alias("have"))
-    joined = manifest.select("file", F.col("sha256").alias("want")).join(named, "file", "left")
+    """Files that differ from the digests pinned in the manifest (``file, sha256``), are missing, or are not listed there."""
+    have = digests.select("file", F.coalesce("sha256", F.lit("too large to hash")).alias("have"))
+    joined = manifest.select("file", F.col("sha256").alias("want")).join(have, "file", "full_outer")
+    detail = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "not listed").otherwise(F.col("have"))
     return joined.where(~F.col("have").eqNullSafe(F.col("want"))).select(
-        F.lit("checksum").alias("rule"), F.col("file").alias("entity"), F.coalesce("have", F.lit("missing")).alias("detail"))
+        F.lit("checksum").alias("rule"), F.col("file").alias("entity"), detail.alias("detail"))
+
 
+def read_checked_features(spark: SparkSession, root: str, manifest: DataFrame, *, lines: bool = True) -> DataFrame:
+    """Features of the files under a folder, if those are just the listed ones with the pinned digests.
 
-def read_checked_features(spark: SparkSession, path: str, manifest: DataFrame, *, lines: bool = True) -> DataFrame:
-    """Features of files whose digests are all as pinned; anything else is an error before reading."""
-    bad = digest_violations(file_digests(spark, path), manifest).limit(5).collect()
+    Anything else is an error before reading, which names every file at fault. A manifest has a row per file.
+    """
+    digests = file_digests(spark, root)
+    bad = digest_violations(digests, manifest).orderBy("entity").collect()
     if bad:
         raise ValueError("source checksum mismatch: " + ", ".join(f"{r.entity} is {r.detail}" for r in bad))
-    return read_features(spark, path, lines=lines)
+    return read_features(spark, [r.path for r in digests.select("path").orderBy("file").collect()], lines=lines)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 LOCATIONS = ("array<struct<id:string,iso3:string,name:string,geometryRefs:array<string>,anchor:array<double>,"
              "bounds:array<double>>>")
@@ -14,9 +15,12 @@ QUIZZES = ("array<struct<id:string,name:string,description:string,category:strin
 
 
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of JSON array files, numbered in file order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)).alias("pos", "row"))
-    return rows.select(F.col("pos").cast("bigint").alias("pos"), "row.*")
+    """Elements of JSON array files, numbered without gaps over files by name and places in a file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("rows"))
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
+    starts = files.select("file", F.coalesce(F.sum(F.size("rows")).over(before), F.lit(0)).alias("start"))
+    placed = files.join(starts, "file").select("start", F.posexplode("rows").alias("place", "row"))
+    return placed.select((F.col("start") + F.col("place")).alias("pos"), "row.*")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_candidates_by_precedence(spark, tmp_path):
 
 def test_preferred_geometry(spark, tmp_path):
     features = supplement(spark, tmp_path).withColumn("geometry", F.col("feature_id"))
-    better = spark.createDataFrame([("ES-TF", "better")], "code string, geometry string")
+    better = spark.createDataFrame([("ES-TF", 1, "older"), ("ES-TF", 2, "better"), ("ES-TF", 0, "oldest")], "code string, feature_pos int, geometry string")
     chosen = {r.feature_id: (r.geometry, r.geometry_source) for r in resolve.prefer_geometry(features, better, "gb:x").collect()}
     assert chosen["ne:admin1:1"] == ("better", "gb:x") and chosen["ne:admin1:2"] == ("ne:admin1:2", "admin1") and len(chosen) == 5
 
@@ -110,18 +110,66 @@ def test_config_documents(spark, tmp_path):
 
 
 def test_checksums(spark, tmp_path):
-    path = tmp_path / "f.json"
-    path.write_text("\n".join(json.dumps(f) for f in FEATURES))
-    digest = hashlib.sha256(path.read_bytes()).hexdigest()
+    root = tmp_path / "in put"
+    texts = {"f.json": FEATURES[:1], "sub/f.json": FEATURES[1:]}
+    digest = {}
+    for name, some in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("\n".join(json.dumps(f) for f in some))
+        digest[name] = hashlib.sha256((root / name).read_bytes()).hexdigest()
+
+    def manifest(**changed):
+        return spark.createDataFrame(list({**digest, **changed}.items()), "file string, sha256 string")
+
+    assert boundaries.read_checked_features(spark, str(root), manifest()).count() == 2
+    one = spark.createDataFrame([("f.json", digest["f.json"])], "file string, sha256 string")
+    assert boundaries.read_checked_features(spark, str(root / "f.json"), one).count() == 1
+    # Equal base names are told apart, and a file that is not listed is a fault.
+    bad = boundaries.digest_violations(boundaries.file_digests(spark, str(root)), manifest(**{"f.json": digest["sub/f.json"], "gone.json": "1"}))
+    assert sorted((r.entity, r.detail) for r in bad.collect()) == [("f.json", digest["f.json"]), ("gone.json", "missing")]
+    (root / "extra.json").write_text("{}")
+    with pytest.raises(ValueError, match="extra.json is not listed"):
+        boundaries.read_checked_features(spark, str(root), manifest())
+    with pytest.raises(ValueError, match="checksum mismatch: extra.json is not listed, f.json is .*, gone.json is missing"):
+        boundaries.read_checked_features(spark, str(root), manifest(**{"f.json": "0", "gone.json": "1"}))
 
-    def manifest(*rows):
-        return spark.createDataFrame(list(rows), "file string, sha256 string")
 
-    assert boundaries.read_checked_features(spark, str(path), manifest(("f.json", digest))).count() == 2
-    bad = boundaries.digest_violations(boundaries.file_digests(spark, str(path)), manifest(("f.json", "0"), ("gone.json", "1"), ))
-    assert sorted((r.entity, r.detail) for r in bad.collect()) == [("f.json", digest), ("gone.json", "missing")]
-    with pytest.raises(ValueError, match="checksum mismatch"):
-        boundaries.read_checked_features(spark, str(path), manifest(("f.json", "0")))
+@pytest.mark.parametrize("lines", [True, False])
+def test_unusable_features(spark, tmp_path, lines):
+    good, path = FEATURES[0], tmp_path / "f.json"
+    odd = [{**good, "geometry": None}, {"type": "Feature", "properties": {}}, feature("Point", [1, 2]), feature("Polygon", "x")]
+    if lines:
+        path.write_text("\n".join(['{"type": "FeatureCollection", "features": [', json.dumps(good) + ",", "", *map(json.dumps, odd), '{"type": "Feat', "]}"]))
+    else:
+        path.write_text(json.dumps({"features": [good, *odd]}))
+        (tmp_path / "g.json").write_text('{"features": [')
+    found = sorted(r.detail for r in boundaries.rejected_features(spark, str(tmp_path), lines=lines).collect())
+    assert found == ["malformed", "malformed coordinates", "no geometry", "no geometry", "not a polygon"]
+    with pytest.raises(Exception, match="unusable feature"):
+        boundaries.read_features(spark, str(tmp_path), lines=lines).collect()
+
+
+def test_positions_do_not_depend_on_splits(spark, tmp_path):
+    for name, begin in (("b.json", 100), ("a.json", 0)):
+        (tmp_path / name).write_text("\n".join(json.dumps(feature("Polygon", SQUARE, NE_ID=begin + k)) for k in range(60)))
+    before, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("1g", "1500b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            rows = boundaries.read_features(spark, str(tmp_path)).select("feature_pos", F.col("properties.NE_ID").cast("int").alias("id")).collect()
+            seen.append(sorted(tuple(r) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] == seen[1] == [(k, k if k < 60 else k + 40) for k in range(120)]
+
+
+def test_documents_are_numbered_over_files(spark, tmp_path):
+    for name, ids in (("b.json", "xy"), ("a.json", "pqr")):
+        write(tmp_path / name, [{"id": i, "iso3": i, "name": i} for i in ids])
+    rows = config.read_catalog(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r.pos, r.location_id) for r in rows] == list(enumerate("pqrxy"))
 
 
 def test_artifacts(spark, tmp_path):
