@@ -23,9 +23,19 @@ def key_index(features: DataFrame) -> DataFrame:
 
 
 def label_index(features: DataFrame) -> DataFrame:
-    """``(label_key, feature_id, feature_pos)`` from the labels of the features."""
+    """``(label_key, feature_id, feature_pos)`` from the labels of the features.
+
+    A label without a letter or digit of the key's alphabet has an empty key. Such labels say nothing about each
+    other, so they match nothing here; :func:`keyless_labels` reports them.
+    """
     labels = features.select("feature_id", "feature_pos", F.explode("labels").alias("label"))
-    return labels.select(label_key(F.col("label")).alias("label_key"), "feature_id", "feature_pos").distinct()
+    return labels.select(label_key(F.col("label")).alias("label_key"), "feature_id", "feature_pos").where("label_key <> ''").distinct()
+
+
+def keyless_labels(features: DataFrame) -> DataFrame:
+    """Violations: labels of features with an empty key, which no candidate can match."""
+    labels = features.select("feature_id", F.explode("labels").alias("label")).where(label_key(F.col("label")) == "")
+    return labels.select(F.lit("keyless-label").alias("rule"), F.col("feature_id").cast("string").alias("entity"), F.col("label").alias("detail"))
 
 
 def match_catalog(catalog: DataFrame, features: DataFrame) -> DataFrame:
@@ -54,8 +64,11 @@ def override_rows(overrides: DataFrame) -> DataFrame:
 
 
 def prefer_geometry(features: DataFrame, preferred: DataFrame, lineage: str) -> DataFrame:
-    """Use the preferred geometry of a code where there is one, and note where it came from."""
-    better = preferred.select("code", F.col("geometry").alias("_geometry"), F.lit(True).alias("_found"))
+    """Use the preferred geometry of a code where there is one, and note where it came from.
+
+    ``preferred`` has ``code, feature_pos, geometry``; of a repeated code the last one counts.
+    """
+    better = preferred.groupBy("code").agg(F.max_by("geometry", "feature_pos").alias("_geometry"), F.lit(True).alias("_found"))
     joined = features.join(better, "code", "left")
     return joined.withColumns({
         "geometry": F.coalesce("_geometry", "geometry"),
@@ -110,7 +123,7 @@ def candidate_labels(candidates: DataFrame, aliases: DataFrame | None = None) ->
     if aliases is not None:
         extra = aliases.join(candidates.select("name"), "name", "left_semi").select("name", F.col("alias").alias("label"))
         own = own.unionByName(extra)
-    return own.select("name", label_key(F.col("label")).alias("label_key")).distinct()
+    return own.select("name", label_key(F.col("label")).alias("label_key")).where("label_key <> ''").distinct()
 
 
 def ambiguous_matches(candidates: DataFrame, features: DataFrame, matches: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -155,7 +168,8 @@ def expand_refs(refs: DataFrame, paths: DataFrame) -> DataFrame:
 def pack_refs(refs: DataFrame, size: int = PACK) -> DataFrame:
     """References as arrays: one row per location and run of ``size`` positions, in order.
 
-    A location with very many references gets several rows, so no array grows without bound.
+    A location with very many references gets several rows, so no array grows without bound: the key of the result
+    is ``(location_id, pack)``, and joins that need a whole location must take both.
     """
     packed = refs.groupBy("location_id", F.floor(F.col("ref_pos") / size).alias("pack")).agg(
         F.array_sort(F.collect_list(F.struct("ref_pos", "feature_id"))).alias("_refs"))

@@ -139,13 +139,13 @@ def location_shapes(t: Tables) -> DataFrame:
 
 @query("preferred_geometry", with_views(PART_FEATURES, body="""
 SELECT feature_id, coalesce(g, 'base ' || feature_pos) AS geometry, CASE WHEN g IS NULL THEN 'admin1' ELSE 'gb:preferred' END AS geometry_source
-FROM part_features LEFT JOIN (SELECT p_brand AS b, 'better ' || p_brand AS g FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand) ON b = code"""))
+FROM part_features LEFT JOIN (SELECT p_brand AS b, 'better ' || max(p_partkey) AS g FROM part WHERE p_size % 3 > 0 AND p_brand LIKE '%1' GROUP BY p_brand) ON b = code"""))
 def preferred_geometry(t: Tables) -> DataFrame:
-    """Features with a preferred geometry for some codes, and its lineage."""
+    """Features with a preferred geometry, the last one, for some codes, and its lineage."""
     base = t.part_features.select("feature_id", "code", F.lit("admin1").alias("source"),
                                   F.concat(F.lit("base "), F.col("feature_pos").cast("string")).alias("geometry"))
-    better = t.read("part").where(F.col("p_brand").endswith("1")).select(F.col("p_brand").alias("code")).distinct().withColumn(
-        "geometry", F.concat(F.lit("better "), "code"))
+    better = t.read("part").where((F.col("p_size") % 3 > 0) & F.col("p_brand").endswith("1")).select(
+        F.col("p_brand").alias("code"), F.col("p_partkey").alias("feature_pos"), F.concat(F.lit("better "), F.col("p_partkey").cast("string")).alias("geometry"))
     return resolve.prefer_geometry(base, better, "gb:preferred").select("feature_id", "geometry", "geometry_source")
 
 
