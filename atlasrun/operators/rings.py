@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -45,28 +45,18 @@ def explode_rings(features: DataFrame) -> DataFrame:
         "parent_ring_id": F.when(inner, F.concat(F.col("polygon_id"), F.lit(":ring:0")))})
 
 
-def number_parts(rings: DataFrame) -> DataFrame:
-    """Add the place of each ring among all rings of its feature, from the ring counts in the row.
-
-    Needs ``rings_before``: the number of rings in the feature's earlier polygons.
-    """
-    return rings.withColumn("part_pos", F.col("rings_before") + F.col("ring_pos"))
-
-
 def explode_parts(features: DataFrame) -> DataFrame:
-    """Rings numbered through the whole feature, with part ids; no shuffle."""
-    def earlier(polygons: Column, index: Column) -> Column:
-        return F.aggregate(F.slice(polygons, 1, index), F.lit(0), lambda n, polygon: n + F.size(polygon))
+    """Rings numbered through the whole feature, with part ids; no shuffle.
 
-    tagged = features.withColumn("polygons", let(F.col("polygons"), lambda all_: F.transform(all_, lambda polygon, i: F.struct(
-        polygon.alias("rings"), earlier(all_, i).alias("rings_before")))))
+    The rings of all polygons become one list, so a ring's place in it is its number.
+    """
+    flat = F.flatten(F.transform("polygons", lambda polygon, i: F.transform(polygon, lambda ring, j: F.struct(
+        i.alias("polygon_pos"), j.alias("ring_pos"), ring.alias("ring")))))
     keep = [c for c in features.columns if c != "polygons"]
-    polygons = tagged.select(*keep, F.posexplode("polygons").alias("polygon_pos", "_polygon")).select(
-        *keep, "polygon_pos", "_polygon.rings", "_polygon.rings_before",
-        F.concat_ws(":", "feature_id", F.lit("polygon"), F.col("polygon_pos").cast("string")).alias("polygon_id"))
-    rings = polygons.select(*keep, "polygon_id", "polygon_pos", "rings_before", F.posexplode("rings").alias("ring_pos", "ring"))
-    return number_parts(rings).drop("rings_before").withColumn(
-        "part_id", F.concat_ws(":", "feature_id", F.lit("part"), F.col("part_pos").cast("string")))
+    rings = features.select(*keep, F.posexplode(flat).alias("part_pos", "_ring")).select(
+        *keep, F.concat_ws(":", "feature_id", F.lit("polygon"), F.col("_ring.polygon_pos").cast("string")).alias("polygon_id"),
+        "_ring.polygon_pos", "_ring.ring_pos", "_ring.ring", "part_pos")
+    return rings.withColumn("part_id", F.concat_ws(":", "feature_id", F.lit("part"), F.col("part_pos").cast("string")))
 
 
 # --- simplification --------------------------------------------------------------------------
@@ -144,8 +134,8 @@ def self_crossing(rings: DataFrame, keys: list[str], points: str = "points", bus
     sides = sides.select(*keys, "n", "w", "h", "ox", "oy", F.col("side.i").alias("i"), "side.s.*")
     placed = place(sides, F.col("w"), F.col("h"), F.col("ox"), F.col("oy"), F.lit(0.0))
     # Crowded cells get a finer grid of their own; the others keep one sub-cell.
-    crowd = F.count(F.lit(1)).over(Window.partitionBy(*keys, "cx", "cy"))
-    placed = placed.withColumn("crowd", crowd).withColumn(
+    crowd = placed.groupBy(*keys, "cx", "cy").agg(F.count(F.lit(1)).alias("crowd"))
+    placed = placed.join(crowd, [*keys, "cx", "cy"]).withColumn(
         "split", F.when(F.col("crowd") > busy, F.ceil(F.sqrt(F.col("crowd") / 8.0)).cast("double")).otherwise(1.0))
     placed = place(placed.withColumns({"w": F.col("w") / F.col("split"), "h": F.col("h") / F.col("split"),
                                        "ox": F.col("ox") + F.col("cx") * F.col("w"), "oy": F.col("oy") + F.col("cy") * F.col("h")}),
