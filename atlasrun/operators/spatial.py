@@ -128,7 +128,11 @@ def proximity_links(table: DataFrame, *, world: float, proximity: float) -> Data
 
 def clusters(table: DataFrame, *, world: float, proximity: float) -> DataFrame:
     """Cluster of every component: those reachable over boundaries within the proximity."""
-    table = cut_lineage(table)
+    return _clusters(cut_lineage(table), world, proximity)
+
+
+def _clusters(table: DataFrame, world: float, proximity: float) -> DataFrame:
+    """The same for a table that is already written."""
     edges = proximity_links(table, world=world, proximity=proximity)
     labels = connected_components(table.select(F.col("component_id").alias("id")), edges)
     return table.select("location_id", "component_id", "pos").join(
@@ -152,7 +156,7 @@ def _align(x, anchor_x, world: float):
 def cluster_members(table: DataFrame, *, world: float, proximity: float) -> DataFrame:
     """Members of each small location's main cluster: the one with its largest component."""
     small = cut_lineage(all_small(table))
-    labelled = small.join(clusters(small, world=world, proximity=proximity).select("component_id", "cluster"), "component_id")
+    labelled = small.join(_clusters(small, world, proximity).select("component_id", "cluster"), "component_id")
     main = labelled.groupBy("location_id").agg(
         F.max_by(F.struct("cluster", "centre"), F.struct("radius", -F.col("pos"))).alias("_main"))
     return (labelled.join(main, "location_id").where(F.col("cluster") == F.col("_main.cluster"))
@@ -186,7 +190,8 @@ def in_views(items: DataFrame, views: DataFrame, *, width: float, cell: float |
     """Which world copies of the items (``min_x, max_x``) show in which views (``view_id, view_min, view_max``).
 
     Both sides are cut into cells of the x axis and joined on them; a pair is kept only in the one
-    cell where its overlap begins.
+    cell where its overlap begins. Few views are broadcast by Spark's own size check; many are joined by cell, where
+    Spark splits cells that are crowded.
     """
     size = cell or width / 36
     copies = items.withColumn("offset", F.explode(F.array(F.lit(0.0), F.lit(-float(width)), F.lit(float(width)))))
@@ -194,5 +199,5 @@ def in_views(items: DataFrame, views: DataFrame, *, width: float, cell: float |
     copies = copies.withColumn("_cell", F.explode(range_cells(F.col("_low"), F.col("_high"), size)))
     windows = views.select("view_id", "view_min", "view_max", F.explode(range_cells(F.col("view_min"), F.col("view_max"), size)).alias("_cell"))
     meet = (F.col("_high") >= F.col("view_min")) & (F.col("_low") <= F.col("view_max"))
-    return (copies.join(windows.hint("merge"), "_cell").where(meet & owns_pair(F.col("_cell"), F.col("_low"), F.col("view_min"), size))
+    return (copies.join(windows, "_cell").where(meet & owns_pair(F.col("_cell"), F.col("_low"), F.col("view_min"), size))
             .drop("_cell", "_low", "_high"))
