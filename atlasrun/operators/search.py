@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import contains_key, name_key
+from ..session import cut_lineage
 
 # Fixed value: how many suggestions a query gets.
 SUGGESTIONS = 8
 GRAM = 3
+# Lengths of the grams that longer queries are looked up by: the largest that fits.
+LONG_GRAMS = (3, 6, 12, 24, 48)
 
 
-def grams(key: Column, length: int) -> Column:
+def grams(key: Column, length: int | Column) -> Column:
     """Distinct substrings of the given length."""
+    length = F.lit(length) if isinstance(length, int) else length
     starts = F.sequence(F.lit(1), F.length(key) - (length - 1))
-    return F.when(F.length(key) >= length, F.array_distinct(F.transform(starts, lambda i: F.substring(key, i, length)))) \
+    return F.when(F.length(key) >= length, F.array_distinct(F.transform(starts, lambda i: F.substr(key, i, length)))) \
         .otherwise(F.array().cast("array<string>"))
 
 
@@ -30,12 +34,13 @@ def suggest(queries: DataFrame, catalog: DataFrame, limit: int = SUGGESTIONS) ->
 
     Matching is by grams instead of comparing all queries with all names. A query of up to three
     characters is itself a gram, so its answer is the best few names of that gram, found once
-    whoever asks. A longer one is looked up under its rarest trigram and then checked in full. An
-    empty query gets the first names in catalog order. Equal queries are answered once.
+    whoever asks. A longer one is looked up under the rarest of its grams and then checked in full; grams grow
+    with the query, so a longer query stays selective as the catalog grows. An empty query gets the first
+    names in catalog order. Equal queries are answered once. Keys are computed once and written.
     """
-    asked = queries.select("query_id", name_key(F.col("text")).alias("key"))
+    asked = cut_lineage(queries.select("query_id", name_key(F.col("text")).alias("key")))
     keys = asked.select("key").distinct()
-    names = catalog.select("item_id", "name", "pos", name_key(F.col("name")).alias("name_key"))
+    names = cut_lineage(catalog.select("item_id", "name", "pos", name_key(F.col("name")).alias("name_key")))
     size = F.length("key")
 
     empty = keys.where(size == 0)
@@ -50,13 +55,17 @@ def suggest(queries: DataFrame, catalog: DataFrame, limit: int = SUGGESTIONS) ->
     for_short = _best(of_short, "gram", F.col("name_key") == F.col("gram"), limit).select(
         F.col("gram").alias("key"), "item_id", "rank")
 
-    long = keys.where(size > GRAM).select("key", F.explode(grams(F.col("key"), GRAM)).alias("gram"))
-    trigrams = names.select("item_id", "name", "pos", "name_key", F.explode(grams(F.col("name_key"), GRAM)).alias("gram"))
-    counts = trigrams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    fitting = F.greatest(*(F.when(size >= n, n).otherwise(LONG_GRAMS[0]) for n in LONG_GRAMS))
+    long = keys.where(size > GRAM).select("key", F.explode(grams(F.col("key"), fitting)).alias("gram"))
+    every_long = F.flatten(F.array(*[grams(F.col("name_key"), n) for n in LONG_GRAMS]))
+    listed_long = names.select("item_id", "name", "pos", "name_key", F.explode(every_long).alias("gram"))
+    # Only grams that are asked for go further.
+    asked_for = listed_long.join(long.select("gram").distinct(), "gram", "left_semi")
+    counts = asked_for.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     pivots = (long.join(counts, "gram", "left").groupBy("key")
               .agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), "gram")).alias("gram"),
                    F.min(F.coalesce("names", F.lit(0))).alias("least")).where(F.col("least") > 0).select("key", "gram"))
-    matches = trigrams.join(pivots, "gram").where(contains_key(F.col("name_key"), F.col("key")))
+    matches = asked_for.join(pivots, "gram").where(contains_key(F.col("name_key"), F.col("key")))
     for_long = _best(matches, "key", F.col("name_key") == F.col("key"), limit).select("key", "item_id", "rank")
 
     found = for_empty.unionByName(for_short).unionByName(for_long)
