@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ATTEMPTS, CREDITS, credit_for, final_score_from_credit
+from ..session import cut_lineage
 from .prefix import BLOCK, BLOCK_SIZE, block_window, earlier_blocks, running_before, with_blocks
+from .resolve import resolve_answers
 
 RUN = ["run_id"]
 SEGMENT = ["run_id", "segment"]
@@ -29,7 +31,8 @@ def valid_time(ts: Column) -> Column:
 
 def run_clock(actions: DataFrame, *, resets: bool = True, implicit_start_ms: int | None = None,
               block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Add what a row finds when it arrives: ``segment``, ``has_started``, ``started_at`` and ``clock``.
+    """Add what a row finds when it arrives: ``segment``, ``has_started``, ``started_at`` and ``clock``; ``total`` becomes
+    that of the segment's start action (of the row itself before a start or with an implicit one; null is 0).
 
     A segment is a stretch of a run between resets; it starts with its first acceptable start action
     (or, with ``implicit_start_ms``, at that time without one). The clock is the latest accepted time:
@@ -49,12 +52,14 @@ def run_clock(actions: DataFrame, *, resets: bool = True, implicit_start_ms: int
         rows = running_before(with_blocks(actions, "seq", block_size), RUN, "seq", {"_latest": ("max", F.when(moves, moment))})
         started = F.lit(float(implicit_start_ms))
         return rows.withColumns({"segment": F.lit(0).cast("bigint"), "has_started": F.lit(True), "started_at": started,
-                                 "clock": F.greatest(started, F.col("_latest"))}).drop("_latest").withColumn("_forces", forced_at)
+                                 "clock": F.greatest(started, F.col("_latest")),
+                                 "total": F.coalesce(F.col("total").cast("bigint"), F.lit(0).cast("bigint"))}).drop("_latest").withColumn("_forces", forced_at)
     opens = (F.col("type") == "start") & valid_time(F.col("ts_ms")) & (F.coalesce(F.col("total"), F.lit(0)) > 0)
-    opening = F.when(opens, F.struct("seq", moment.alias("at")))
+    total = F.col("total").cast("bigint")
+    opening = F.when(opens, F.struct("seq", moment.alias("at"), total.alias("total")))
     if implicit_start_ms is not None:
         # As if every segment began with a start action before its first row.
-        opening = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit(float(implicit_start_ms)).alias("at"))
+        opening = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit(float(implicit_start_ms)).alias("at"), F.lit(None).cast("bigint").alias("total"))
     rows = with_blocks(actions, "seq", block_size)
     block = block_window(RUN, "seq")
     is_reset = F.when(F.col("type") == "reset", 1).otherwise(0)
@@ -89,7 +94,8 @@ def run_clock(actions: DataFrame, *, resets: bool = True, implicit_start_ms: int
     start = F.when(continues, F.col("_in_start")).otherwise(F.col("_first"))
     latest = F.when(continues, F.greatest("_in_clock", "_any")).otherwise(F.col("_after"))
     rows = rows.withColumns({"segment": (F.col("_in_segment") + F.col("_piece")).cast("bigint"), "has_started": start.isNotNull(),
-                             "started_at": start["at"], "clock": F.greatest(start["at"], latest)})
+                             "started_at": start["at"], "clock": F.greatest(start["at"], latest),
+                             "total": F.coalesce(start["total"], total, F.lit(0).cast("bigint"))})
     return rows.withColumn("_forces", forced_at).drop(
         "_piece", "_first", "_moved", "_moved_on", "_opening", "_any", "_after", "_in_start", "_in_clock", "_in_segment")
 
@@ -314,7 +320,8 @@ def judge_answers(actions: DataFrame, orders: DataFrame, block_size: int = BLOCK
                         F.when(closed, 0).otherwise(state["spent"] + 1).alias("spent"),
                         F.concat(state["verdicts"], F.array(verdict)).alias("verdicts"))
 
-    verdicts = (deciding.join(orders.select(*SEGMENT, "targets"), SEGMENT)
+    by = SEGMENT if "segment" in orders.columns else RUN  # without segments, the order holds for all of a run
+    verdicts = (deciding.join(orders.select(*by, "targets"), by)
                 .select("run_id", F.inline(F.aggregate("answers", start, step)["verdicts"]))
                 .withColumnRenamed("is_correct", "_verdict"))
     known = actions.join(verdicts, ["run_id", "seq"], "left")
@@ -323,6 +330,19 @@ def judge_answers(actions: DataFrame, orders: DataFrame, block_size: int = BLOCK
     ).drop("_verdict")
 
 
+def answers_to_results(actions: DataFrame, scoped: DataFrame, orders: DataFrame, *, resets: bool = True,
+                       implicit_start_ms: int | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Results of completed runs from raw answers (``quiz_id, selected_id, text``), as they would go to the boards.
+
+    Answers are resolved in their quiz (``scoped``), judged by the target order of the run (``orders`` has ``run_id`` and
+    ``targets``, whose number is the run's total), and replayed.
+    """
+    resolved = resolve_answers(actions.drop("total"), scoped).join(
+        orders.select("run_id", F.size("targets").cast("bigint").alias("total")), "run_id", "left")
+    judged = cut_lineage(judge_answers(resolved, orders, block_size, implicit_start_ms, resets))
+    return run_results(replay(judged, resets=resets, implicit_start_ms=implicit_start_ms, block_size=block_size))
+
+
 def seeded_draws(seed: int, key: Column, count: Column) -> Column:
     """``count`` repeatable draws in [0, 1) for a key: the first 32 bits of an MD5 per draw."""
     def draw(place: Column) -> Column:

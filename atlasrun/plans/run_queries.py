@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import leaderboard, runs
+from ..operators import leaderboard, resolve, runs
+from ..session import cut_lineage
 from ..sources import score_store
 from .registry import query, with_views
 from .views import _SECONDS, ACTIONS, ATTEMPTS, EPOCH_MS, MEMBERS, QUIZZES, SCORES, Tables, epoch_millis
@@ -393,22 +394,62 @@ walk AS (
         FROM walk w JOIN taken k ON k.run_id = w.run_id AND k.rn = w.rn + 1 JOIN targets g ON g.run_id = w.run_id WHERE w.place < w.total))"""
 
 
+def answer_log(t: Tables, events: DataFrame | None = None) -> DataFrame:
+    """Raw answers: an event names a nation, by id or as text; views only read the clock."""
+    nation, events = t.read("nation"), t.read("events") if events is None else events
+    moment = F.floor((epoch_millis("ts") - EPOCH_MS) / 1000) - F.when(F.col("event_id") % 17 == 0, 60000).otherwise(0)
+    by_id = F.col("event_id") % 2 == 0
+    return events.join(nation, F.col("n_nationkey") == (F.col("event_id") * 3) % 25).select(
+        F.col("user_id").alias("run_id"), (F.col("user_id") % 5).alias("quiz_id"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "view", "read-elapsed").otherwise("submit").alias("type"), moment.cast("double").alias("ts_ms"),
+        F.when(by_id, F.col("n_name")).alias("selected_id"), F.when(~by_id, F.lower("n_name")).alias("text"))
+
+
+def answer_scope(t: Tables) -> DataFrame:
+    """The nations of each region, as the quiz of the region's number."""
+    return t.read("nation").select(F.col("n_regionkey").alias("quiz_id"), F.col("n_name").alias("location_id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
+
+
+def target_orders(t: Tables) -> DataFrame:
+    """Each run's targets: the nations of its region, turned by the run's number."""
+    place = (F.col("n_nationkey") * 7 + F.col("run_id")) % 25
+    joined = t.read("events").select(F.col("user_id").alias("run_id")).distinct().join(t.read("nation"), F.col("n_regionkey") == F.col("run_id") % 5)
+    return joined.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "n_name"))), lambda m: m["n_name"]).alias("targets"))
+
+
+PLAYED = """tried AS (SELECT *, spent = 0 AS closes, lag(spent) OVER (PARTITION BY run_id ORDER BY rn) + 1 AS attempt FROM walk),
+played AS (
+  SELECT run_id, run_id % 5 AS quiz_id, max(total)::BIGINT AS total, count(*) FILTER (WHERE closes AND NOT is_right) AS missed,
+         count(*) FILTER (WHERE is_right AND attempt = 1) AS perfect, max(ts_ms) FILTER (WHERE closes)::DOUBLE AS elapsed_ms,
+         coalesce(sum(CASE attempt WHEN 1 THEN 1 WHEN 2 THEN 0.5 ELSE 0.25 END) FILTER (WHERE is_right), 0)::DOUBLE AS score
+  FROM tried JOIN timed USING (run_id, seq) WHERE rn > 0 GROUP BY run_id HAVING count(*) FILTER (WHERE closes) = max(total))"""
+_PLAYED_ROWS = f"SELECT run_id, quiz_id, total, score, missed, perfect, elapsed_ms, {_exact_credit('score', 'total', 'elapsed_ms')} AS final_score FROM played"
+ANSWER_CHECK = with_views(JUDGED, PLAYED, recursive=True, body=_PLAYED_ROWS)
+ANSWER_COLUMNS = ("run_id", "quiz_id", "total", "score", "missed", "perfect", "elapsed_ms", "final_score")
+
+
+@query("answers_to_results", ANSWER_CHECK)
+def answers_to_results(t: Tables) -> DataFrame:
+    """From raw answers to the results of the completed runs."""
+    return runs.answers_to_results(answer_log(t), answer_scope(t), target_orders(t), resets=False, implicit_start_ms=0).select(*ANSWER_COLUMNS)
+
+
+@query("answers_to_board", with_views(JUDGED, PLAYED, recursive=True, body=f"""
+SELECT quiz_id::VARCHAR AS quiz_id, rank::BIGINT AS rank, final_score::DOUBLE AS score, elapsed_ms FROM (
+  SELECT *, row_number() OVER (PARTITION BY quiz_id ORDER BY final_score DESC, elapsed_ms, elapsed_ms::BIGINT || '-' || run_id || '-0') AS rank FROM ({_PLAYED_ROWS}))
+WHERE rank <= 5"""))
+def answers_to_board(t: Tables) -> DataFrame:
+    """From raw answers to the boards."""
+    results = runs.answers_to_results(answer_log(t), answer_scope(t), target_orders(t), resets=False, implicit_start_ms=0)
+    return leaderboard.top_scores(leaderboard.score_records(results)).select("quiz_id", F.col("rank").cast("bigint").alias("rank"), "score", "elapsed_ms")
+
+
 @query("judged_answers", with_views(JUDGED, recursive=True, body="SELECT run_id, seq, is_right FROM walk WHERE rn > 0"))
 def judged_answers(t: Tables) -> DataFrame:
     """Which answers are right, when that depends on the target open at the time."""
-    nation, events = t.read("nation"), t.read("events")
-    run = F.col("user_id").alias("run_id")
-    millis = epoch_millis("ts")
-    moment = F.floor((millis - EPOCH_MS) / 1000) - F.when(F.col("event_id") % 17 == 0, 60000).otherwise(0)
-    sizes = nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("total"))
-    actions = (events.join(nation, F.col("n_nationkey") == (F.col("event_id") * 3) % 25)
-               .select(run, F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "read-elapsed").otherwise("submit").alias("type"),
-                       moment.alias("ts_ms"), F.when(F.col("n_regionkey") == F.col("user_id") % 5, F.col("n_name")).alias("answer_id"))
-               .join(sizes, F.col("n_regionkey") == F.col("run_id") % 5).drop("n_regionkey"))
-    place = (F.col("n_nationkey") * 7 + F.col("run_id")) % 25
-    orders = (events.select(run).distinct().join(nation, F.col("n_regionkey") == F.col("run_id") % 5).groupBy("run_id")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "n_name"))), lambda m: m["n_name"]).alias("targets"))
-              .withColumn("segment", F.lit(0).cast("bigint")))
-    judged = runs.judge_answers(actions, orders, implicit_start_ms=0, resets=False)
+    orders = target_orders(t)
+    resolved = resolve.resolve_answers(answer_log(t), answer_scope(t)).join(
+        orders.select("run_id", F.size("targets").cast("bigint").alias("total")), "run_id", "left")
+    judged = cut_lineage(runs.judge_answers(resolved, orders, implicit_start_ms=0, resets=False))
     taken = runs.replay(judged, resets=False, implicit_start_ms=0).where(F.col("attempt").isNotNull())
     return taken.select("run_id", "seq", (F.col("result") == "correct").alias("is_right"))

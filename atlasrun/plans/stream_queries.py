@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from ..session import ensure_checkpoint_dir
 from ..streaming import board, scorer
 from .registry import query, with_views
-from .run_queries import PLAY, RESULTS
+from .run_queries import ANSWER_CHECK, ANSWER_COLUMNS, PLAY, RESULTS, answer_log, answer_scope, target_orders
 from .views import ATTEMPTS, Tables
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+# Files of a trigger; it bounds how many actions of one run are sorted together.
+FILES = 16
 
 
 def _folder(t: Tables) -> str:
@@ -20,10 +22,17 @@ def _folder(t: Tables) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _events(t: Tables) -> DataFrame:
+    """The event table as a stream of rows, a few files at a time."""
+    if "RocksDB" not in t.spark.conf.get(STATE_STORE, ""):
+        raise ValueError(f"keyed state needs a RocksDB store; set {STATE_STORE}, as build_session does")
+    return (t.spark.readStream.schema(t.read("events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", FILES)
+            .parquet(t.folder))
+
+
 def _stream(t: Tables) -> DataFrame:
     """The event table as a stream of actions."""
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    source = t.spark.readStream.schema(t.read("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    source = _events(t)
     streamed = Tables(t.spark, t.folder)
     streamed.read = lambda name: source if name == "events" else t.read(name)
     return streamed.attempts
@@ -62,6 +71,13 @@ def stream_status(t: Tables) -> DataFrame:
     return _finish(scorer.status(scorer.score_stream(_stream(t), implicit_start=0.0)), t).drop("segment")
 
 
+@query("stream_answers", ANSWER_CHECK)
+def stream_answers(t: Tables) -> DataFrame:
+    """From a stream of raw answers to the results of the completed runs."""
+    events = scorer.score_answers(answer_log(t, _events(t)), answer_scope(t), target_orders(t), implicit_start=0.0)
+    return _finish(scorer.completed(events), t).select(*ANSWER_COLUMNS)
+
+
 @query("stream_board", with_views(ATTEMPTS, RESULTS, body="""
 SELECT quiz_id::VARCHAR AS quiz_id, final_score::DOUBLE AS score, elapsed_ms, username FROM (
   SELECT *, 'Player 1' AS username, row_number() OVER (PARTITION BY quiz_id ORDER BY final_score DESC, elapsed_ms, elapsed_ms::BIGINT || '-' || run_id || '-0') AS rank FROM results)

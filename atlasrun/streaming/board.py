@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.leaderboard import BOARD_DEPTH, score_records, top_scores
 
@@ -15,18 +13,24 @@ def read_boards(spark: SparkSession, path: str, before: int | None = None) -> Da
     """The latest boards in a folder, or the latest of those written before a batch.
 
     Every batch writes one folder of a few rows per quiz, so a failed batch can be redone from the
-    one before it. Older folders may be removed at any time.
+    one before it. Folders are listed by name and only the latest is read, so the cost does not grow with
+    the number of batches. Older folders may be removed at any time.
     """
-    try:
-        found = spark.read.schema(f"{COLUMNS}, batch bigint").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    batches = [b for b in _batches(spark, path) if before is None or b < before]
+    if not batches:
         return spark.createDataFrame([], COLUMNS)
-    if before is not None:
-        found = found.where(F.col("batch") < before)
-    latest = found.agg(F.max("batch").alias("latest"))
-    return found.join(latest, F.col("batch") == F.col("latest")).drop("batch", "latest")
+    return spark.read.schema(COLUMNS).parquet(f"{path}/batch={max(batches)}")
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batch folders that were written to the end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return [int(f.getPath().getName().removeprefix("batch=")) for f in store.listStatus(folder)
+            if f.getPath().getName().startswith("batch=") and store.exists(done(f.getPath(), "_SUCCESS"))]
 
 
 def merge_batch(results: DataFrame, batch_id: int, path: str, depth: int = BOARD_DEPTH) -> None:

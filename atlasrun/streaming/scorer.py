@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scoring import ATTEMPTS, CREDITS, final_score_from_credit
+from ..operators.resolve import resolve_answers
 
 STATE = ("phase string, started_at double, clock double, total bigint, closed bigint, spent bigint, score double, "
-         "missed bigint, perfect bigint, eventual bigint, correct bigint, segment bigint")
+         "missed bigint, perfect bigint, eventual bigint, correct bigint, segment bigint, targets array<string>")
 IDLE = ("idle", 0.0, 0.0, 0, 0, 0, 0.0, 0, 0, 0, 0)
 OUTPUT = ("run_id bigint, quiz_id bigint, segment bigint, seq bigint, event string, reason string, result string, attempt bigint, "
           "credit double, target_pos bigint, correct bigint, completed bigint, remaining bigint, running_accuracy double, "
@@ -32,38 +33,55 @@ class Run:
     FIELDS = ("phase", "started_at", "clock", "total", "closed", "spent", "score", "missed", "perfect", "eventual", "correct")
 
     def __init__(self, state: tuple | None, implicit_start: float | None):
-        values = state if state is not None else (*IDLE, 0)
-        for name, value in zip((*self.FIELDS, "segment"), values):
+        values = state if state is not None else (*IDLE, 0, None)
+        for name, value in zip((*self.FIELDS, "segment", "targets"), values):
             setattr(self, name, value)
         self.implicit_start = implicit_start
 
     def state(self) -> tuple:
-        return tuple(getattr(self, name) for name in (*self.FIELDS, "segment"))
+        return tuple(getattr(self, name) for name in (*self.FIELDS, "segment", "targets"))
 
     def reset(self) -> None:
         for name, value in zip(self.FIELDS, IDLE):
             setattr(self, name, value)
         self.segment += 1
-
-    def _open(self, moment: float, total: int) -> None:
-        self.phase, self.started_at, self.clock, self.total = "active", moment, moment, total
+        self.targets = None
+
+    def _open(self, moment: float, action) -> None:
+        """The targets, if the action brings any, and their number hold for the whole segment."""
+        self.targets = None if action.targets is None else list(action.targets)
+        self.total = self._total(action)
+        # A quiz without targets is over as soon as it is open.
+        self.phase, self.started_at, self.clock = "active" if self.total > 0 else "completed", moment, moment
+
+    @staticmethod
+    def _total(action) -> int:
+        if action.targets is not None:
+            return len(action.targets)
+        return int(action.total) if not pd.isna(action.total) else 0
+
+    def _verdict(self, action) -> bool | None:
+        """Is the answer right? None if it names nothing."""
+        if self.targets is None:
+            return None if action.is_correct is None or pd.isna(action.is_correct) else bool(action.is_correct)
+        return None if action.answer_id is None else action.answer_id == self.targets[self.closed]
 
     def apply(self, action) -> dict:
         """Take or reject one action; the row to emit."""
-        kind, total = action.type, int(action.total) if not pd.isna(action.total) else 0
+        kind = action.type
         moment = float(action.ts_ms) if not pd.isna(action.ts_ms) else float("nan")
         timely = moment >= 0 and moment != float("inf")
         if kind == "reset":
             self.reset()
             return self._row("reset")
         if self.phase == "idle" and self.implicit_start is not None:
-            self._open(self.implicit_start, total)
+            self._open(self.implicit_start, action)
         if kind == "start":
             reason = (None if timely else "invalid-timestamp") or {"active": "already-active", "completed": "already-completed"}.get(self.phase) \
-                or (None if total > 0 else "empty-quiz")
+                or (None if self._total(action) > 0 else "empty-quiz")
             if reason:
                 return self._row("rejected", reason=reason)
-            self._open(moment, total)
+            self._open(moment, action)
             return self._row("started")
         if self.phase != "active":
             return self._row("rejected", reason="already-completed" if self.phase == "completed" else "not-started")
@@ -79,10 +97,11 @@ class Run:
         if kind == "read-elapsed":
             self.clock = moment
             return self._row("elapsed")
-        if action.is_correct is None or pd.isna(action.is_correct):
+        right = self._verdict(action)
+        if right is None:
             return self._row("rejected", reason="invalid-answer")
         self.clock = moment
-        return self._answer(bool(action.is_correct))
+        return self._answer(right)
 
     def _answer(self, right: bool) -> dict:
         attempt, place = self.spent + 1, self.closed
@@ -118,13 +137,16 @@ class Run:
 
 
 class RunScorer(StatefulProcessor):
-    """Applies :class:`Run` to the actions of a run, in ``seq`` order within a batch."""
+    """Applies :class:`Run` to the actions of a run, in ``seq`` order within a batch.
 
-    def __init__(self, implicit_start: float | None = None):
-        self.implicit_start = implicit_start
+    With ``keep_ms``, the state of a run is dropped that long after its last action.
+    """
+
+    def __init__(self, implicit_start: float | None = None, keep_ms: int | None = None):
+        self.implicit_start, self.keep_ms = implicit_start, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", STATE)
+        self.run = handle.getValueState("run", STATE, self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
@@ -139,17 +161,40 @@ class RunScorer(StatefulProcessor):
         pass
 
 
-def score_stream(actions: DataFrame, implicit_start: float | None = None) -> DataFrame:
-    """Events of a stream of actions (``run_id, quiz_id, seq, type, ts_ms, is_correct, total``)."""
-    needed = actions.select("run_id", "quiz_id", "seq", "type", F.col("ts_ms").cast("double").alias("ts_ms"), "is_correct", "total")
+def score_stream(actions: DataFrame, implicit_start: float | None = None, keep_ms: int | None = None) -> DataFrame:
+    """Events of a stream of actions (``run_id, quiz_id, seq, type, ts_ms, is_correct, total``).
+
+    Actions with ``answer_id`` and ``targets`` (see :func:`score_answers`) are judged here, by the target then open.
+    What a start action says of targets or total holds until the next reset. ``keep_ms`` limits how long the state
+    of a run is kept after its last action; without it, state stays.
+    """
+    has = set(actions.columns)
+
+    def given(name: str, kind: str):
+        return (F.col(name) if name in has else F.lit(None)).cast(kind).alias(name)
+
+    needed = actions.select("run_id", "quiz_id", "seq", "type", F.col("ts_ms").cast("double").alias("ts_ms"), given("is_correct", "boolean"), given("total", "bigint"),
+                            given("answer_id", "string"), given("targets", "array<string>"))
     events = needed.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=RunScorer(implicit_start), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+        statefulProcessor=RunScorer(implicit_start, keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None")
     ended = F.col("event") == "completed"
     return events.withColumns({
         "accuracy": F.when(ended, F.col("score") / F.col("total")),
         "final_score": F.when(ended, final_score_from_credit(F.col("score"), F.col("total"), F.col("elapsed_ms")))})
 
 
+def score_answers(actions: DataFrame, scoped: DataFrame, orders: DataFrame, implicit_start: float | None = None, keep_ms: int | None = None) -> DataFrame:
+    """Events of a stream of raw answers (``selected_id, text``) with the target order of each run.
+
+    Answers are resolved by id or name key against ``scoped`` (``quiz_id, location_id, name, pos``), and ``orders``
+    (``run_id, targets``) brings the targets, both as joins with tables before the state step. Targets travel only
+    with the rows that can open a run.
+    """
+    resolved = resolve_answers(actions, scoped).join(orders.select("run_id", "targets"), "run_id", "left")
+    opener = F.lit(True) if implicit_start is not None else F.col("type") == "start"
+    return score_stream(resolved.withColumn("targets", F.when(opener, F.col("targets"))), implicit_start, keep_ms)
+
+
 def rejected(events: DataFrame) -> DataFrame:
     """Side output: rejected actions with the reason."""
     return events.where(F.col("event") == "rejected").select("run_id", "segment", "seq", "reason")

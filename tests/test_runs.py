@@ -29,7 +29,7 @@ def random_log(seed, run_count=12, length=90, kinds="full"):
 def expected_events(rows, implicit=None):
     machines, out = {}, {}
     for row in sorted(rows, key=lambda r: (r[0], r[2])):
-        action = SimpleNamespace(run_id=row[0], quiz_id=row[1], seq=row[2], type=row[3], ts_ms=row[4], is_correct=row[5], total=row[6])
+        action = SimpleNamespace(run_id=row[0], quiz_id=row[1], seq=row[2], type=row[3], ts_ms=row[4], is_correct=row[5], total=row[6], targets=None, answer_id=None)
         event = machines.setdefault(row[0], Run(None, implicit)).apply(action)
         out[row[0], row[2]] = (event["segment"], event["event"], event["reason"], event["result"], event["attempt"], event["credit"])
     return out
@@ -51,7 +51,7 @@ def test_implicit_start_and_status(spark):
     assert mine == expected_events(rows, 0.0)
     machines, want = {}, {}
     for row in sorted(rows, key=lambda r: (r[0], r[2])):
-        action = SimpleNamespace(type=row[3], ts_ms=row[4], is_correct=row[5], total=row[6])
+        action = SimpleNamespace(type=row[3], ts_ms=row[4], is_correct=row[5], total=row[6], targets=None, answer_id=None)
         event = machines.setdefault(row[0], Run(None, 0.0)).apply(action)
         if event["attempt"] is not None:
             want[row[0], row[2]] = (event["correct"], event["completed"], event["remaining"], event["running_accuracy"], event["attempts_left"])
