@@ -92,37 +92,78 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within a cell that differ in component, are close in size and have close sketches.
-
-    Rows come sorted by cell, ``(key, low, high)`` first; a cell of two blocks pairs members of one with those of the other.
-    """
-    most = most_apart()
-
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
-        ids, comp, block, sizes = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        bits, two = np.array([r[7] for r in rows], np.int64).view(np.uint64), rows[0][1] != rows[0][2]
-        found = []
-        for k in range(len(rows) - 1):
-            s = sizes[k + 1:]
-            fit = (comp[k + 1:] != comp[k]) & (np.minimum(s, sizes[k]) * 100 >= 75 * np.maximum(s, sizes[k]))
-            if two:
-                fit &= block[k + 1:] != block[k]
-            near = np.flatnonzero(fit) + k + 1
-            near = near[np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64) <= most]
-            found.append(np.stack([np.minimum(ids[near], ids[k]), np.maximum(ids[near], ids[k])]))
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each cell; they come sorted by cell, ``(key, low, high)`` first."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[0][:3] != row[:3]:
-                yield pairs(held)
+                yield held
                 held = []
             held.append(row)
     if held:
-        yield pairs(held)
+        yield held
+
+
+class _Members:
+    """Members of a cell as arrays: ``key, low, high, rep, comp, block, size, sketch`` and whatever follows.
+
+    A cell of two blocks pairs members of one with those of the other.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        self.ids, self.comp, self.block, self.sizes = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        self.bits, self.two = np.array([r[7] for r in rows], np.int64).view(np.uint64), rows[0][1] != rows[0][2]
+        self.most = most_apart()
+
+    def close(self, k: int) -> np.ndarray:
+        """Later members in other components that are close to the k-th in size and sketch."""
+        rest = slice(k + 1, None)
+        fit = (self.comp[rest] != self.comp[k]) & (np.minimum(self.sizes[rest], self.sizes[k]) * 100 >= 75 * np.maximum(self.sizes[rest], self.sizes[k]))
+        if self.two:
+            fit &= self.block[rest] != self.block[k]
+        near = np.flatnonzero(fit) + k + 1
+        return near[np.bitwise_count(self.bits[near] ^ self.bits[k]).sum(axis=1, dtype=np.int64) <= self.most]
+
+
+def _close_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that have a close one in another component."""
+    for rows in _cells(batches):
+        members, found = _Members(rows), np.zeros(len(rows), bool)
+        for k in range(len(rows) - 1):
+            near = members.close(k)
+            found[near] = True
+            found[k] |= len(near) > 0
+        kept = [r[:4] for r, f in zip(rows, found) if f]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], pa.int64()) for k in range(4)], names=["key", "low", "high", "rep"])
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within a cell that tie what its pairs tie, confirmed on whole sets: at most one less than it has members.
+
+    Members that a link has tied are not compared again. A pair that shares several bands is compared in the
+    cell of the first one only.
+    """
+    for rows in _cells(batches):
+        members, bands, key = _Members(rows), np.array([r[8] for r in rows], np.int64), rows[0][0]
+        sets, out = [set(r[9]) for r in rows], []
+        for k in range(len(rows) - 1):
+            near = members.close(k)
+            first = (bands[near] == bands[k]).argmax(axis=1)
+            for j in near[bands[k][first] == key].tolist():
+                if members.comp[j] != members.comp[k]:
+                    common = len(sets[j] & sets[k])
+                    if common * 100 >= (len(sets[j]) + len(sets[k]) - common) * 75:
+                        out.append((int(members.ids[k]), int(members.ids[j])))
+                        members.comp[members.comp == members.comp[j]] = members.comp[k]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, items`` of the documents with the given (distinct) ``doc_id``, written once."""
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return cut_lineage(texts.mapInArrow(_sets, "doc_id bigint, items array<bigint>"))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -131,30 +172,50 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     apart = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75
     close = cut_lineage(pairs.join(a, "a").join(b, "b").where(fit & (apart <= most_apart())).select("a", "b"))
-    wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = cut_lineage(texts.mapInArrow(_sets, "doc_id bigint, items array<bigint>"))
+    sets = _sets_of(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), docs)
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
     both = close.join(a, "a").join(b, "b").select("a", "b", (F.size("ia") + F.size("ib")).alias("all"), F.size(F.array_intersect("ia", "ib")).alias("common"))
     return both.where("common * 100 >= (all - common) * 75").select("a", "b").distinct()
 
 
-def _untied(shared: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """Distinct pairs that share a bucket, are in different components and have close sketches.
+def _torn(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are not all connected, with their component as ``comp``."""
+    tied = shared.join(components.select(F.col("id").alias("rep"), F.col("cluster").alias("comp")), "rep")
+    torn = tied.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return tied.join(torn, "key", "left_semi")
+
 
-    Buckets whose members are all connected are left out. Crowded ones are cut into blocks at random and
-    each pair of blocks is a cell, so no task holds more than about two blocks of a bucket at once.
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of ``rep`` and ``lead``, smaller id first."""
+    return rows.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+
+
+def _led(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of torn buckets with the two leaders of the bucket that they are not connected to."""
+    stars = _torn(shared, components).select("rep", "comp", F.explode(F.array("first", "second")).alias("lead"))
+    led = components.select(F.col("id").alias("lead"), F.col("cluster").alias("led"))
+    return _pairs(stars.distinct().join(led, "lead").where("comp <> led"))
+
+
+def _untied(shared: DataFrame, nodes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, confirmed on whole sets.
+
+    Crowded buckets are cut into blocks at random and each pair of blocks is a cell, so no task holds more
+    than about two blocks of a bucket at once. A first pass over sketches finds the members that have a close
+    one in another component; only those come back with their sets. No pairs are listed but links.
     """
-    tied = shared.select("key", "rep", "n").join(components.select(F.col("id").alias("rep"), F.col("cluster").alias("comp")), "rep")
-    torn = tied.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = tied.join(torn, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cell = ["key", "low", "high"]
+    rest = _torn(shared, components).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     cells = rest.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "comp", "block")
-    members = cells.join(nodes.select("rep", "size", "sketch"), "rep").select("key", "low", "high", "rep", "comp", "block", "size", "sketch")
-    return (members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-            .mapInArrow(_cell_pairs, "a bigint, b bigint").where("a <> b").distinct())
+    known = nodes.select("rep", F.struct("size", "sketch", "bands").alias("of"))
+    columns = [*cell, "rep", "comp", "block", F.col("of.size").alias("size"), F.col("of.sketch").alias("sketch")]
+    members = cells.join(known, "rep").select(*columns)
+    near = cut_lineage(members.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_close_members, "key bigint, low bigint, high bigint, rep bigint"))
+    sets = _sets_of(near.select(F.col("rep").alias("doc_id")).distinct(), docs).withColumnRenamed("doc_id", "rep")
+    whole = cells.join(near, [*cell, "rep"], "left_semi").join(known, "rep").join(sets, "rep").select(*columns, "of.bands", "items")
+    return whole.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,11 +228,11 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     Other columns are ignored; an empty table gives no rows.
 
     Equal sets are one class, found by digest, so copies cost one row each. Classes meet in buckets, one for each
-    value of a band of MinHash samples. Each bucket ties its members to two leaders, which is linear in its size;
-    what is then still in different components within a bucket is compared in blocks of bounded size by
-    odd sketch, the parities of the folded samples. Sketches discard pairs far below the threshold and all others
-    are confirmed on whole sets. Leaders only save work: every pair that shares a bucket is
-    confirmed, rejected, or already connected.
+    value of a band of MinHash samples. First each class is compared with the smallest id it meets, then with two
+    leaders of each bucket it is not yet connected to, both linear in the rows; what is then still in different
+    components within a bucket is compared in blocks of bounded size by odd sketch, the parities of the
+    folded samples. Sketches discard pairs far below the threshold and all others are confirmed on whole
+    sets. Leaders only save work: every pair that shares a bucket is confirmed, rejected, or already connected.
     """
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     features = cut_lineage(named.mapInArrow(_features, FEATURES))
@@ -181,16 +242,15 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     buckets = nodes.select("rep", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.max_by("rep", F.xxhash64("rep")).alias("second"))
     shared = cut_lineage(buckets.join(leaders.where("n > 1"), "key"))
-    stars = shared.select("rep", F.explode(F.array("first", "second")).alias("lead")).where("rep <> lead").select(
-        F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     texts, vertices = named.where("doc_id is not null"), nodes.select(F.col("rep").alias("id"))
-    links = cut_lineage(_confirmed(stars, nodes, texts))
+    first = _pairs(shared.groupBy("rep").agg(F.min("first").alias("lead")))
+    links = cut_lineage(_confirmed(first, nodes, texts))
     components = cut_lineage(connected_components(vertices, links))
-    rest = cut_lineage(_untied(shared, nodes, components).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut_lineage(_confirmed(rest, nodes, texts))
+    for step in (lambda: _confirmed(_led(shared, components), nodes, texts), lambda: _untied(shared, nodes, components, texts)):
+        more = cut_lineage(step())
         if not more.isEmpty():
-            components = cut_lineage(connected_components(vertices, links.union(more)))
+            links = links.union(more)
+            components = cut_lineage(connected_components(vertices, links))
     named_class = nodes.select("digest", F.col("rep").alias("id")).join(components, "id").select("digest", "cluster")
     member = F.coalesce("cluster", "doc_id")
     return features.select("doc_id", "n_shingles", "digest").join(named_class, "digest", "left").select(
