@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, slices
-from .tokens import encoder, lower_words
+from .tokens import encoder, LOWER_WORDS
 
 LENGTH = 2048
 END_ID = 1
@@ -57,7 +57,7 @@ PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids bina
 
 def _pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(path, lower_words).encode, np.array([end], "<u4").tobytes()
+        encode, last = encoder(path, LOWER_WORDS).encode, np.array([end], "<u4").tobytes()
         for batch in slices(batches, "text"):
             rows = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), encode(list(byte_texts(batch["text"])))):

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .common import byte_texts, slices
-from .tokens import encoder, spaced_words
+from .tokens import encoder, SPACED_WORDS
 
 END_ID = 2
 #: Documents of a file, about.
@@ -70,7 +70,7 @@ def _writer(folder: str, tokenizer: str, end: int):
         # Every attempt writes files of its own; the manifest names those of the attempt that Spark accepted.
         name = f"{shard:07d}-{uuid.uuid4().hex}"
         path = f"{root}/{name}"
-        encode, last = encoder(tokenizer, spaced_words).encode, np.array([end], "<u4").tobytes()
+        encode, last = encoder(tokenizer, SPACED_WORDS).encode, np.array([end], "<u4").tobytes()
         index, at, tokens = [], 0, 0
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{path}.rec") as out:

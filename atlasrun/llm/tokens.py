@@ -1,16 +1,19 @@
 """Token ids of whole texts by the tokenizers library, with the ids of frequent words remembered.
 
 Both supported pre-tokenizers end a token at every run of white space, so the ids of a text are those of its pieces
-between ASCII space, one after the other. A piece is encoded by the library once and then looked up. Texts
-where a piece could look beyond its edge (white space beyond ASCII next to it, or strings of special tokens)
-are encoded whole.
+between ASCII space, one after the other. A piece is encoded by the library once and then looked up. Most new
+pieces are a word of plain letters with a full stop or comma: their pre-tokens are known, so they go straight
+to the library's merge model. Texts where a piece could look beyond its edge (white space beyond ASCII
+next to it, or strings of special tokens) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -18,41 +21,84 @@ from tokenizers import Tokenizer
 
 #: Pieces whose ids a Python worker remembers.
 KEPT_PIECES = 400_000
-#: White space that is not ASCII space, or the begin of a special token.
-_WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: White space beyond ASCII, and what it begins with; the begin of a special token.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_WIDE_BEGINS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_SPECIAL = b"<|"
 _LEADING = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
-class _Known(dict):
-    """Ids of remembered pieces; those of a batch that found no room are in ``passing``."""
-
-    passing: dict[bytes, bytes] = {}
-
-    def __missing__(self, piece: bytes) -> bytes:
-        return self.passing[piece]
+def _whole(text: bytes) -> bool:
+    """May a piece of this text look beyond its edge?"""
+    return _SPECIAL in text or (not text.isascii() and any(x in text for x in _WIDE_BEGINS) and _WIDE.search(text) is not None)
+
+
+#: The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_REST = sorted(set(range(256)) - _PRINTABLE)
+_CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + _REST.index(b)) for b in range(256)]
+@dataclass(frozen=True)
+class Kind:
+    """How a vocabulary cuts texts: its pieces, whether it drops case, and whether a word keeps the space before it."""
+
+    pieces: Callable[[bytes], list[bytes]]
+    lower: bool
+    spaced: bool
+
+    def parts(self, piece: bytes) -> tuple[str, str, str] | None:
+        """The pre-tokens of a plain piece: a line end, a word with its space, and stops or commas; None if it is not plain."""
+        word = piece.rstrip(b".,")
+        stops, line, space = piece[len(word):].decode(), "", ""
+        if self.spaced:
+            if word[:1] == b"\n":
+                line, word = _CHARACTERS[10], word[1:]
+            if word[:1] == b" ":
+                space, word = _CHARACTERS[32], word[1:]
+        text = word.decode("utf-8", "replace")
+        if not text.isalpha():
+            return None
+        if text.isascii():
+            return line, space + text, stops
+        if max(text) > "\xff" or b"\xc2" in word:  # plain are the two-byte Latin-1 letters, which normalization leaves alone
+            return None
+        word = text.lower().encode() if self.lower else word
+        return line, space + "".join(map(_CHARACTERS.__getitem__, word)), stops
 
 
 class Encoder:
     """Encodes texts to bytes of little-endian 32-bit ids, without special tokens added."""
 
-    def __init__(self, path: str, pieces: Callable[[bytes], list[bytes]]):
+    def __init__(self, path: str, kind: Kind):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.pieces, self.known = Tokenizer.from_file(path), pieces, _Known()
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.model, self.known = self.tokenizer.model, {}
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
+    def _fresh(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each piece with its ids."""
+        out, odd, tokenize = [], [], self.model.tokenize
+        for piece in pieces:
+            parts = self.kind.parts(piece)
+            if parts is None:
+                odd.append(piece)
+            else:
+                ids = [token.id for part in parts if part for token in tokenize(part)]
+                out.append((piece, struct.pack(f"<{len(ids)}I", *ids)))
+        return out + list(zip(odd, self._encoded(odd)))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text."""
-        cut = [None if _WHOLE.search(t) else self.pieces(t) for t in texts]
-        new = list({p for c in cut if c for p in c if p not in self.known})
-        fresh = list(zip(new, self._encoded(new)))
-        room = max(0, KEPT_PIECES - len(self.known))
-        self.known.update(fresh[:room])
-        self.known.passing = dict(fresh[room:])
+        cut = [None if _whole(t) else self.kind.pieces(t) for t in texts]
+        pieces = set().union(*filter(None, cut))
+        here = {p: ids for p in pieces if (ids := self.known.get(p)) is not None}
+        fresh = self._fresh([p for p in pieces if p not in here])
+        here.update(fresh)
+        self.known.update(fresh[:max(0, KEPT_PIECES - len(self.known))])
         whole = iter(self._encoded([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
+        return [next(whole) if c is None else b"".join(map(here.__getitem__, c)) for c in cut]
 
 
 def lower_words(text: bytes) -> list[bytes]:
@@ -65,7 +111,11 @@ def spaced_words(text: bytes) -> list[bytes]:
     return _LEADING.findall(text)
 
 
+LOWER_WORDS = Kind(lower_words, lower=True, spaced=False)
+SPACED_WORDS = Kind(spaced_words, lower=False, spaced=True)
+
+
 @cache
-def encoder(path: str, pieces: Callable[[bytes], list[bytes]]) -> Encoder:
+def encoder(path: str, kind: Kind) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(path, pieces)
+    return Encoder(path, kind)
