@@ -40,6 +40,24 @@ def least_capacity(total: list[int], shards: int) -> int:
     return low
 
 
+def even_ends(total: list[int], capacity: int, shards: int) -> list[int]:
+    """Ends of shards of at most ``capacity``, each as near as possible to an equal share of what is left.
+
+    An end lies no farther than the capacity allows, and no nearer than the rest needs to fit in the shards left.
+    """
+    least = [len(total) - 1]
+    for _ in range(shards - 1):
+        least.append(bisect_left(total, total[least[-1]] - capacity))
+    ends, at = [], 0
+    for left, floor in zip(range(shards, 0, -1), [*least[-2::-1], len(total) - 1] if shards > 1 else least):
+        goal = total[at] + (total[-1] - total[at]) / left
+        near = min(max(bisect_left(total, goal), 1), len(total) - 1)
+        near -= total[near] - goal > goal - total[near - 1]
+        at = min(max(near, floor, at), bisect_right(total, total[at] + capacity) - 1)
+        ends.append(at)
+    return ends
+
+
 def _undecided(pieces: list[Piece], shards: int) -> set[int]:
     """Which pieces may hold a cut of the best partition inside.
 
@@ -60,6 +78,8 @@ def _undecided(pieces: list[Piece], shards: int) -> set[int]:
 def minimax_cuts(rows: DataFrame, shards: int, key: str, size: str) -> list[int]:
     """The last key of each shard but the last one, for the least possible size of the largest shard.
 
+    With that size as the limit, cuts are placed evenly.
+
     Rows with one ``key`` (bigint, never null) are an atomic group; keys give the order. The key range is summed
     in pieces by leading bits, and pieces that may hold a cut are split further until all of those are single
     groups. The driver sees sums of pieces: 4,096 at first and about ``shards ** 2`` times 64 for each further
@@ -79,8 +99,8 @@ def minimax_cuts(rows: DataFrame, shards: int, key: str, size: str) -> list[int]
     if not pieces:
         return []
     total = [0, *accumulate(size for _, _, size in pieces)]
-    ends = greedy_ends(total, least_capacity(total, shards), shards)
-    return [pieces[end - 1][1] for end in ends[:-1]]
+    ends = even_ends(total, least_capacity(total, shards), shards)
+    return [pieces[end - 1][1] if end else pieces[0][0] - 1 for end in ends[:-1]]
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, doc: str = "doc_id", text: str = "text") -> DataFrame:
