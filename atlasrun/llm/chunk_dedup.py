@@ -20,7 +20,8 @@ LEAST_WORDS, MOST_WORDS, CHANCE = 3, 12, 4
 PASSAGE_WORDS = 20
 
 #: A random 16-bit value for each byte. Shifted by one bit per byte, a byte leaves the hash after 16 more.
-_GEAR = np.array([xxhash.xxh3_64_intdigest(b"gear %d" % b) & 0xFFFF for b in range(256)], np.uint16)
+#: All white space has the same one, so that a passage may be set in other lines.
+_GEAR = np.array([xxhash.xxh3_64_intdigest(b"gear %d" % (32 if 9 <= b <= 13 else b)) & 0xFFFF for b in range(256)], np.uint16)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 CHUNK = "doc_id bigint, version bigint, start int, size int, words int, again boolean, hi bigint, lo bigint"
@@ -69,7 +70,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin, end, count = chunk_bounds(data)
             seen: set[bytes] = set()
             for a, b in zip(begin.tolist(), end.tolist()):
-                digest = xxhash.xxh3_128_digest(data[a:b])
+                digest = xxhash.xxh3_128_digest(b" ".join(data[a:b].split()))
                 again.append(digest in seen)
                 seen.add(digest)
                 digests.append(digest)
@@ -111,8 +112,7 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     ``start`` and ``length`` are UTF-8 bytes. A chunk is repeated if its digest occurs twice or more in the table. A run
     of neighbouring repeated chunks with ``passage_words`` words or more is a passage. Of each chunk the first
     occurrence, by id and then place, is kept (``removed`` is false) and the others are removed. Consecutive
-    chunks with one source (``first_doc_id``) and fate are one row. Case and spacing inside a chunk count; the
-    space around it does not.
+    chunks with one source (``first_doc_id``) and fate are one row. Case counts; white space does not.
 
     Null, empty and blank texts have no chunks, and rows with a null id are left alone. Rows with one id are
     taken as one document, so nothing is removed between them. Other columns are ignored.
