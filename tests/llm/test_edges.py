@@ -158,6 +158,18 @@ def test_packing(docs_of):
     assert packing.pack_documents(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_even_cuts_within_the_least_capacity():
+    r = random.Random(2)
+    for _ in range(60):
+        sizes, shards = [r.choice([1, 2, 7, 40]) for _ in range(r.randint(1, 60))], r.randint(1, 9)
+        total = [0, *np.cumsum(sizes).tolist()]
+        capacity = sharding.least_capacity(total, shards)
+        ends = sharding.even_ends(total, capacity, shards)
+        assert ends == sorted(ends) and len(ends) == shards and ends[-1] == len(sizes)
+        assert max(total[b] - total[a] for a, b in zip([0, *ends], ends)) == capacity == brute.largest_shard(sizes, shards)
+    assert sharding.even_ends(list(range(161)), 10, 16) == list(range(10, 161, 10))
+
+
 def test_first_fit_decreasing_against_a_scan():
     r = random.Random(1)
     for n in (1, 2, 3, 7, 50, 200):
@@ -172,8 +184,9 @@ def test_first_fit_decreasing_against_a_scan():
 def test_encoders_equal_the_library():
     from tokenizers import Tokenizer
 
-    odd = ["", " ", "it's  we'll\n\n\tDON'T", "a   b c", "x<|endoftext|> <|ENDOFTEXT|>", "É é ﬁ ΑΣ ς", "日本 語。 12345", "tab\t\tend \n", "a\x1cb\x85c", "👩‍👩‍👧 !?…,", prose(300, 1)]
-    for name, pieces in (("word_bpe_49k.json", tokens.lower_words), ("byte_bpe_50k.json", tokens.spaced_words)):
+    odd = ["", " ", "it's  we'll\n\n\tDON'T", "a   b c", "x<|endoftext|> <|ENDOFTEXT|>", "É é ﬁ ΑΣ ς", "日本 語。 12345", "tab\t\tend \n", "a\x1cb\x85c", "👩‍👩‍👧 !?…,", prose(300, 1),
+           "Été, œuvre. ÀÉ÷× ßtraße.,. \n\nÜber e\u0301t. \n Mot,\nmot ,x .y a.b don't, É. ÿŸ", "l'eau s'il 's 'tis x'ré. ÇA,"]
+    for name, pieces in (("word_bpe_49k.json", tokens.LOWER_WORDS), ("byte_bpe_50k.json", tokens.SPACED_WORDS)):
         plain, own = Tokenizer.from_file(vocabulary(name)), tokens.Encoder(vocabulary(name), pieces)
         for _ in range(2):
             got = own.encode([t.encode() for t in odd])
@@ -182,7 +195,7 @@ def test_encoders_equal_the_library():
 
 def test_encoder_without_room(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_PIECES", 3)
-    own, free = (tokens.Encoder(vocabulary("byte_bpe_50k.json"), tokens.spaced_words) for _ in range(2))
+    own, free = (tokens.Encoder(vocabulary("byte_bpe_50k.json"), tokens.SPACED_WORDS) for _ in range(2))
     for k in range(3):
         texts = [prose(20, k).encode(), prose(20, k + 1).encode()]
         assert own.encode(texts) == free.encode(texts)
@@ -197,7 +210,7 @@ def test_records(docs_of, spark, tmp_path):
     assert [r.doc_id for r in rows] == sorted(d for d, _ in kept)
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
     assert records.read_records(files, seed=3).orderBy("start").collect() == rows
-    own = tokens.Encoder(vocabulary("byte_bpe_50k.json"), tokens.spaced_words)
+    own = tokens.Encoder(vocabulary("byte_bpe_50k.json"), tokens.SPACED_WORDS)
     assert sorted(bytes(r.ids[:-4]) for r in rows) == sorted(own.encode([(t or "").encode() for _, t in kept]))
     empty = records.write_records(docs.limit(0), folder, vocabulary("byte_bpe_50k.json"))
     assert records.read_records(empty).count() == 0
