@@ -309,10 +309,10 @@ def valid_scores(t: Tables) -> DataFrame:
 
 @query("score_upsert", with_views(SCORES, body="""
 SELECT quiz_id, id, score FROM scores UNION ALL
-SELECT quiz_id, id || '-again', score FROM scores WHERE score > 250000"""))
+SELECT quiz_id, id || '-again', score FROM scores"""))
 def score_upsert(t: Tables) -> DataFrame:
-    """Redelivery: all records and a second run of the better ones, each delivered twice."""
-    again = t.scores.where(F.col("score") > 250000).withColumn("id", F.concat("id", F.lit("-again")))
+    """Redelivery: all records and a second run of each, delivered twice."""
+    again = t.scores.withColumn("id", F.concat("id", F.lit("-again")))
     delivered = t.scores.unionByName(again).unionByName(again)
     return leaderboard.upsert_scores(t.scores, delivered).select("quiz_id", "id", "score")
 
@@ -335,13 +335,13 @@ def score_rename(t: Tables) -> DataFrame:
 
 @query("default_names", with_views(SCORES, """renames AS (
   SELECT o_custkey % 7 AS device_id, epoch_ms(o_orderdate)::DOUBLE AS moment, max(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END) AS name
-  FROM orders WHERE o_totalprice > 300000 GROUP BY ALL)""", body="""
+  FROM orders GROUP BY ALL)""", body="""
 SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'Player 1' ELSE name END AS username
 FROM (SELECT id, username::BIGINT % 7 AS device_id, created_at FROM scores) s ASOF LEFT JOIN renames r ON s.device_id = r.device_id AND s.created_at >= r.moment"""))
 def default_names(t: Tables) -> DataFrame:
-    """Player name of every record after the renames on its device; large orders rename theirs."""
+    """Player name of every record after the renames on its device; every order renames its own."""
     millis = epoch_millis("o_orderdate").cast("double")
-    renames = (t.read("orders").where(F.col("o_totalprice") > 300000)
+    renames = (t.read("orders")
                .groupBy((F.col("o_custkey") % 7).alias("device_id"), millis.alias("at"))
                .agg(F.max(F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority"))).alias("name")))
     records = t.scores.select((F.col("username").cast("bigint") % 7).alias("device_id"), "id", "created_at", "username")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if configured is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):  # local-cluster has executors of its own
             raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder before running iterative jobs")
         configured = tempfile.mkdtemp(prefix="atlasrun-checkpoint-")
     context.setCheckpointDir(configured)
