@@ -2,7 +2,8 @@
 
 A file is records one after the other. A record is its payload's length (unsigned 64-bit), the masked checksum of those
 eight bytes (32-bit), the payload, and the masked checksum of the payload (32-bit); all little-endian. The
-payload is the document id (signed 64-bit) and the ids (unsigned 32-bit). A checksum is CRC-32, rotated right by 15
+payload is the document id (signed 64-bit), the bytes of an id (8-bit; 2 if all ids of the file's vocabulary fit, else 4), and
+the ids (unsigned). A checksum is CRC-32, rotated right by 15
 bits, plus a fixed number, so that checksums of data that holds checksums stay useful. The index beside
 each file has three unsigned 64-bit numbers for each record: its byte offset, its length, and the ids before it in the file.
 """
@@ -33,6 +34,7 @@ FILE_DOCS = 20_000
 READ_BYTES = 4 << 20
 _MASK = 0xA282EAD8  # a fixed value of the format
 _HEAD = struct.Struct("<QI")
+_DOC = struct.Struct("<qB")
 
 MANIFEST = "shard long, path string, records long, tokens long, bytes long, index_crc32 long"
 
@@ -47,6 +49,10 @@ def frame(payload: bytes) -> bytes:
     return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
 
 
+def payload_of(doc: int, ids: np.ndarray) -> bytes:
+    return _DOC.pack(doc, ids.itemsize) + ids.tobytes()
+
+
 def read_frame(data: memoryview, at: int = 0) -> tuple[bytes, int]:
     """The payload at a place and the place after it; damaged data is an error."""
     size, check = _HEAD.unpack_from(data, at)
@@ -70,14 +76,16 @@ def _writer(folder: str, tokenizer: str, end: int):
         # Every attempt writes files of its own; the manifest names those of the attempt that Spark accepted.
         name = f"{shard:07d}-{uuid.uuid4().hex}"
         path = f"{root}/{name}"
-        encode, last = encoder(tokenizer, SPACED_WORDS).encode, np.array([end], "<u4").tobytes()
+        known = encoder(tokenizer, SPACED_WORDS)
+        wide = 2 if max(known.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         index, at, tokens = [], 0, 0
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{path}.rec") as out:
             for batch in slices(batches, "text"):
                 framed = []
-                for doc, ids in zip(batch["doc_id"].to_pylist(), encode(list(byte_texts(batch["text"])))):
-                    framed.append(frame(struct.pack("<q", doc) + ids + last))
+                for doc, ids in zip(batch["doc_id"].to_pylist(), known.encode(list(byte_texts(batch["text"])))):
+                    numbers = np.append(np.frombuffer(ids, "<u4"), np.uint32(end)).astype(f"<u{wide}")
+                    framed.append(frame(payload_of(doc, numbers)))
                     index.append((at, len(framed[-1]), tokens))
                     at, tokens = at + len(framed[-1]), tokens + len(ids) // 4 + 1
                 out.write(b"".join(framed))
@@ -115,7 +123,8 @@ def _index(store: fs.FileSystem, path: str, crc: int) -> np.ndarray:
 
 
 def _row(payload: bytes, start: int) -> tuple[int, int, bytes]:
-    return struct.unpack_from("<q", payload)[0], start, payload[8:]
+    doc, wide = _DOC.unpack_from(payload)
+    return doc, start, np.frombuffer(payload, f"<u{wide}", offset=_DOC.size).astype("<u4").tobytes()
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ next to it, or strings of special tokens) are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -20,17 +21,22 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a Python worker remembers.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 #: White space beyond ASCII, and what it begins with; the begin of a special token.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _WIDE_BEGINS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _SPECIAL = b"<|"
+#: Marks a piece that has no space before it.
+_BARE = b"\0"
+#: Runs of white space and white space other than blanks and line ends: where a word's space is not simply one blank.
+_RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\v", b"\f")
+_SPACES = (b"", b" ", b"\t", b"\n", b"\r", b"\v", b"\f")
 _LEADING = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
 def _whole(text: bytes) -> bool:
     """May a piece of this text look beyond its edge?"""
-    return _SPECIAL in text or (not text.isascii() and any(x in text for x in _WIDE_BEGINS) and _WIDE.search(text) is not None)
+    return _SPECIAL in text or _BARE in text or (not text.isascii() and any(x in text for x in _WIDE_BEGINS) and _WIDE.search(text) is not None)
 
 
 #: The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on.
@@ -45,15 +51,23 @@ class Kind:
     lower: bool
     spaced: bool
 
+    def text(self, piece: bytes) -> bytes:
+        """What a piece stands for."""
+        if not self.spaced or piece[:1] == b"\n":
+            return piece
+        return piece[1:] if piece[:1] == _BARE else b" " + piece
+
     def parts(self, piece: bytes) -> tuple[str, str, str] | None:
         """The pre-tokens of a plain piece: a line end, a word with its space, and stops or commas; None if it is not plain."""
         word = piece.rstrip(b".,")
         stops, line, space = piece[len(word):].decode(), "", ""
         if self.spaced:
-            if word[:1] == b"\n":
+            if word[:1] == _BARE:
+                word = word[1:]
+            elif word[:1] == b"\n":
                 line, word = _CHARACTERS[10], word[1:]
-            if word[:1] == b" ":
-                space, word = _CHARACTERS[32], word[1:]
+            else:
+                space = _CHARACTERS[32]
         text = word.decode("utf-8", "replace")
         if not text.isalpha():
             return None
@@ -87,7 +101,7 @@ class Encoder:
             else:
                 ids = [token.id for part in parts if part for token in tokenize(part)]
                 out.append((piece, struct.pack(f"<{len(ids)}I", *ids)))
-        return out + list(zip(odd, self._encoded(odd)))
+        return out + list(zip(odd, self._encoded([self.kind.text(p) for p in odd])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text."""
@@ -96,7 +110,9 @@ class Encoder:
         here = {p: ids for p in pieces if (ids := self.known.get(p)) is not None}
         fresh = self._fresh([p for p in pieces if p not in here])
         here.update(fresh)
-        self.known.update(fresh[:max(0, KEPT_PIECES - len(self.known))])
+        if room := max(0, KEPT_PIECES - len(self.known)):
+            self.known.update(fresh[:room])
+            gc.freeze()  # the collector need not walk over the remembered pieces again and again
         whole = iter(self._encoded([t for t, c in zip(texts, cut) if c is None]))
         return [next(whole) if c is None else b"".join(map(here.__getitem__, c)) for c in cut]
 
@@ -107,8 +123,14 @@ def lower_words(text: bytes) -> list[bytes]:
 
 
 def spaced_words(text: bytes) -> list[bytes]:
-    """Pieces for a byte-level vocabulary: words with the white space before them, and white space at the end."""
-    return _LEADING.findall(text)
+    """Pieces for a byte-level vocabulary: words with the white space before them, and white space at the end.
+
+    A piece stands for itself after one space, unless it begins with a line end or the mark of a bare piece.
+    """
+    if not any(x in text for x in _RUNS):
+        first, *rest = text.replace(b"\n", b" \n").split(b" ")
+        return [_BARE + first, *rest]
+    return [p[1:] if p[:1] == b" " and p[1:2] not in _SPACES else p if p[:1] == b"\n" else _BARE + p for p in _LEADING.findall(text)]
 
 
 LOWER_WORDS = Kind(lower_words, lower=True, spaced=False)
