@@ -21,8 +21,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Pairs whose sketches estimate less than this are not compared in full; a pair at 0.75 is over five deviations above.
 LEAST_ESTIMATE = 0.55
-#: Members of a crowded bucket that one task compares by sketches at a time.
-BLOCK = 1024
+#: Runs of words, over all its members, that a block of a crowded bucket has, about; a task compares two blocks at a time.
+BLOCK = 500_000
 
 _seeds = np.frombuffer(b"".join(xxhash.xxh3_64_digest(f"minhash {k}") for k in range(SAMPLES)), np.uint64)
 _FACTOR, _SHIFT = (_seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _seeds.astype(np.uint32)
@@ -94,9 +94,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The rows of each cell; they come sorted by cell, ``(key, low, high)`` first."""
+    def values(column: pa.Array) -> list:
+        if not pa.types.is_list(column.type):
+            return column.to_pylist()
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in zip(*map(values, batch.columns)):
             if held and held[0][:3] != row[:3]:
                 yield held
                 held = []
@@ -138,6 +144,12 @@ def _close_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], pa.int64()) for k in range(4)], names=["key", "low", "high", "rep"])
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sets share, each in the order of :func:`shingles`."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within a cell that tie what its pairs tie, confirmed on whole sets: at most one less than it has members.
 
@@ -146,13 +158,13 @@ def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for rows in _cells(batches):
         members, bands, key = _Members(rows), np.array([r[8] for r in rows], np.int64), rows[0][0]
-        sets, out = [set(r[9]) for r in rows], []
+        sets, out = [r[9] for r in rows], []
         for k in range(len(rows) - 1):
             near = members.close(k)
             first = (bands[near] == bands[k]).argmax(axis=1)
             for j in near[bands[k][first] == key].tolist():
                 if members.comp[j] != members.comp[k]:
-                    common = len(sets[j] & sets[k])
+                    common = _common(sets[j], sets[k])
                     if common * 100 >= (len(sets[j]) + len(sets[k]) - common) * 75:
                         out.append((int(members.ids[k]), int(members.ids[j])))
                         members.comp[members.comp == members.comp[j]] = members.comp[k]
@@ -200,12 +212,12 @@ def _led(shared: DataFrame, components: DataFrame) -> DataFrame:
 def _untied(shared: DataFrame, nodes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between different components that share a bucket, confirmed on whole sets.
 
-    Crowded buckets are cut into blocks at random and each pair of blocks is a cell, so no task holds more
-    than about two blocks of a bucket at once. A first pass over sketches finds the members that have a close
+    Crowded buckets are cut into blocks at random, by the size of all sets in them, and each pair of blocks is a
+    cell, so no task holds more than about two blocks of a bucket at once. A first pass over sketches finds the members that have a close
     one in another component; only those come back with their sets. No pairs are listed but links.
     """
     cell = ["key", "low", "high"]
-    rest = _torn(shared, components).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rest = _torn(shared, components).withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     cells = rest.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "comp", "block")
@@ -239,9 +251,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     sets = features.where("doc_id is not null and n_shingles > 0")
     nodes = cut_lineage(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("of"))
                         .select("digest", "rep", F.col("of.n_shingles").alias("size"), "of.bands", "of.sketch"))
-    buckets = nodes.select("rep", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.max_by("rep", F.xxhash64("rep")).alias("second"))
-    shared = cut_lineage(buckets.join(leaders.where("n > 1"), "key"))
+    buckets = nodes.select("rep", F.col("size").cast("int").alias("size"), F.explode("bands").alias("key"))
+    leaders = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("rep").alias("first"), F.max_by("rep", F.xxhash64("rep")).alias("second"))
+    shared = cut_lineage(buckets.drop("size").join(leaders.where("n > 1").drop("n"), "key"))
     texts, vertices = named.where("doc_id is not null"), nodes.select(F.col("rep").alias("id"))
     first = _pairs(shared.groupBy("rep").agg(F.min("first").alias("lead")))
     links = cut_lineage(_confirmed(first, nodes, texts))

