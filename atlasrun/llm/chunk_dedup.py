@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined chunks of a gear rolling hash, deduplicated by digest."""
+"""Substring dedup: runs of words that stand earlier, found by anchors of a gear rolling hash and decided by exact runs."""
 
 from __future__ import annotations
 
@@ -9,22 +9,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import byte_texts, slices
+from .common import byte_texts, hashed, MIX, slices, windows
 
 #: Words of a chunk: at least, at most; between them a word end is a boundary with a chance of one in CHANCE.
 LEAST_WORDS, MOST_WORDS, CHANCE = 3, 12, 4
-#: Words of consecutive repeated chunks from which a passage counts as repeated. A shared passage loses the words
-#: before its first common boundary and after its last one, so one of over 50 words keeps more than this.
+#: Words of a run from which it counts as repeated.
 PASSAGE_WORDS = 20
+#: Words of an anchor. With the blanks before them they have 16 bytes or more, so the gear hash at the end sees no other word.
+ANCHOR_WORDS = 8
 
 #: A random 16-bit value for each byte. Shifted by one bit per byte, a byte leaves the hash after 16 more.
 #: All white space has the same one, so that a passage may be set in other lines.
 _GEAR = np.array([xxhash.xxh3_64_intdigest(b"gear %d" % (32 if 9 <= b <= 13 else b)) & 0xFFFF for b in range(256)], np.uint16)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
-CHUNK = "doc_id bigint, version bigint, start int, size int, words int, again boolean, hi bigint, lo bigint"
+PART = "doc_id bigint, version bigint, start int, length int, n_words bigint, first_doc_id bigint, removed boolean"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -37,18 +37,30 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word of a UTF-8 text, and the byte after it."""
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def gear_ends(words: list[bytes]) -> np.ndarray:
+    """The rolling hash at the end of each word, with one blank before each word."""
+    if not words:
+        return np.empty(0, np.uint16)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return gear_hashes(np.frombuffer(b" " + b" ".join(words), np.uint8))[ends - 1]
+
+
 def chunk_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last word, and word count of each chunk of a UTF-8 text.
 
     Boundaries are word ends at which the top bits of the hash are zero, not nearer than the least number of
     words; a stretch without one is cut at the most. They depend on nearby bytes only, so texts that share a
-    passage soon share its boundaries, wherever it stands.
+    passage soon share its boundaries, wherever it stands. Passages are not decided by chunks: see :func:`anchors`.
     """
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    first, after = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    natural = np.flatnonzero(gear_hashes(raw)[after - 1] >> np.uint16(8) < 256 // CHANCE) + 1
+    first, after = word_bounds(data)
+    natural = np.flatnonzero(gear_hashes(np.frombuffer(data, np.uint8))[after - 1] >> np.uint16(8) < 256 // CHANCE) + 1
     cuts, last, n = [], 0, len(first)
     for cut in (*natural.tolist(), n):
         while cut - last > MOST_WORDS:
@@ -62,63 +74,170 @@ def chunk_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first[begins], after[ends - 1], ends - begins
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk; ``size`` goes up to the next chunk, ``again`` says that the text had the same chunk before."""
-    for batch in slices(batches, "text"):
-        ids, versions, starts, sizes, words, again, digests = [], [], [], [], [], [], []
-        for doc, version, data in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), byte_texts(batch["text"])):
-            begin, end, count = chunk_bounds(data)
-            seen: set[bytes] = set()
-            for a, b in zip(begin.tolist(), end.tolist()):
-                digest = xxhash.xxh3_128_digest(b" ".join(data[a:b].split()))
-                again.append(digest in seen)
-                seen.add(digest)
-                digests.append(digest)
-            ids.append(np.full(len(begin), doc, np.int64))
-            versions.append(np.full(len(begin), version, np.int64))
-            starts.append(begin)
-            sizes.append(np.diff(begin, append=len(data)))
-            words.append(count)
-        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(ids)), pa.array(np.concatenate(versions)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, sizes, words)),
-             pa.array(again, pa.bool_()), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-            names=[c.split()[0] for c in CHUNK.split(", ")])
+def anchors(words: list[bytes], hashes: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of each run of ``width`` words: of its runs of ``ANCHOR_WORDS``, the one with the least gear hash at its end.
+
+    It depends on the words of the run alone, so equal runs have equal anchors, and neighbouring runs mostly share theirs.
+    """
+    size = min(ANCHOR_WORDS, width)
+    out = windows(hashes, size)
+    if size == ANCHOR_WORDS and len(out):
+        out = out >> np.uint64(16) | gear_ends(words)[size - 1:].astype(np.uint64) << np.uint64(48)
+    left, step = width - size, 1
+    while left and len(out):
+        step = min(step, left)
+        out = np.minimum(out[:-step], out[step:])
+        left, step = left - step, 2 * step
+    return out.view(np.int64)
+
+
+def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` words (of their hashes), by runs of doubled length."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = ((a ^ a >> np.uint64(29)) * MIX + b) * MIX
+        return out ^ out >> np.uint64(32)
+
+    out, done, power, size = None, 0, hashes, 1
+    while done < width:
+        if width & size:
+            out = power[:n] if out is None else joined(out, power[done:done + n])
+            done += size
+        power, size = joined(power[:-size], power[size:]) if 2 * size <= width else power, 2 * size
+    return out
+
+
+def _anchors(passage_words: int):
+    """A row for each anchor of a text, once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = []
+            for data in byte_texts(batch["text"]):
+                words = data.split()
+                found.append(np.unique(anchors(words, hashed(words), passage_words)))
+            docs = np.repeat(batch["doc_id"].to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.concatenate(found))], names=["doc_id", "anchor"])
+
+    return run
+
+
+def _runs(passage_words: int):
+    """A row for each run of a text whose anchor another text has, once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            ids, his, los = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for doc, data, shared in zip(batch["doc_id"].to_pylist(), byte_texts(batch["text"]), batch["anchors"]):
+                if not shared.is_valid:
+                    continue
+                words = data.split()
+                hashes = hashed(words)
+                may = np.isin(anchors(words, hashes, passage_words), shared.values.to_numpy())
+                hi, at = np.unique(run_hashes(hashes, passage_words)[may], return_index=True)
+                # A second hash, so that different runs are told apart in the largest tables.
+                other = run_hashes((hashes ^ hashes >> np.uint64(31)) * MIX, passage_words)[may][at]
+                ids.append(np.full(len(hi), doc, np.int64))
+                his.append(hi.view(np.int64))
+                los.append((other >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, his, los)], names=["doc_id", "hi", "lo"])
+
+    return run
+
+
+def text_parts(doc: int, runs: np.ndarray, known: np.ndarray, sources: np.ndarray, width: int) -> list[tuple[int, int, int, bool]]:
+    """First word, word after the last, source and fate of each part of a text, from the hashes of its runs of ``width`` words.
+
+    ``known`` are hashes of runs that other texts have, ``sources`` the least ids with them. A run is removed if a lesser id has it,
+    or if it stands before in the text without a word in common. A word is removed with any run that holds it.
+    """
+    n = len(runs)
+    values, at, which = np.unique(runs, return_index=True, return_inverse=True)
+    place, begin = np.arange(n), at[which]
+    again = place - begin >= width
+    if not len(known) and not again.any():
+        return []
+    repeated = np.zeros(len(values), bool)
+    repeated[which[again]] = True
+    source_of = np.full(len(values), doc, np.int64)
+    slot = np.minimum(np.searchsorted(values, known), n - 1)
+    right = values[slot] == known
+    repeated[slot[right]] = True
+    source_of[slot[right]] = np.minimum(sources[right], doc)
+    source = source_of[which]
+    removed = (source < doc) | again
+    told = repeated[which] & (again | (source < doc) | (begin == place))
+
+    parts, reach = [], 0
+    turn = np.flatnonzero(removed & ~(np.concatenate([[False], removed[:-1]]) & np.concatenate([[True], source[1:] == source[:-1]])))
+    stop = np.flatnonzero(~removed)
+    ends = np.minimum(np.append(turn[1:], n), np.append(stop, n)[np.searchsorted(stop, turn)]) + width - 1
+    for a, b, s in zip(turn.tolist(), ends.tolist(), source[turn].tolist()):
+        a = max(a, reach)
+        if b > a:
+            together = parts and parts[-1][1:3] == (a, s)
+            parts[len(parts) - bool(together):] = [(parts[-1][0] if together else a, b, s, True)]
+            reach = b
+    held = np.zeros(n + width, np.int64)
+    np.add.at(held, np.flatnonzero(told), 1)
+    np.add.at(held, np.flatnonzero(told) + width, -1)
+    kept = np.cumsum(held)[:-1] > 0
+    for a, b, _, _ in parts:
+        kept[a:b] = False
+    edge = np.diff(np.concatenate([[0], kept.astype(np.int8), [0]]))
+    parts += [(a, b, doc, False) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+    return sorted(parts)
+
+
+def _parts(passage_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = []
+            for doc, version, data, hits in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), byte_texts(batch["text"]), batch["hits"]):
+                known, sources = (hits.values.field(k).to_numpy() for k in (0, 1)) if hits.is_valid else (np.empty(0, np.int64),) * 2
+                runs = run_hashes(hashed(data.split()), passage_words)
+                if not len(runs):
+                    continue
+                parts = text_parts(doc, runs, known.view(np.uint64), sources, passage_words)
+                if parts:
+                    begin = np.append(word_bounds(data)[0], len(data)).tolist()
+                    rows += [(doc, version, begin[a], begin[b] - begin[a], b - a, source, gone) for a, b, source, gone in parts]
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PART.split(", ")])
+
+    return run
 
 
 def _passages(docs: DataFrame, doc: str, text: str, passage_words: int) -> DataFrame:
     """As :func:`repeated_passages`, with the hash of the text the places are in as ``version``."""
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).where("doc_id is not null")
-    chunks = named.mapInArrow(_chunks, CHUNK)
-    counted = chunks.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
-    found = chunks.join(counted, ["hi", "lo"]).select(
-        "doc_id", "version", "start", "size", "words", "first_doc_id", ((F.col("doc_id") != F.col("first_doc_id")) | F.col("again")).alias("removed"))
-    place = W.partitionBy("doc_id", "version").orderBy("start")
-    # A repeated row of a document has every chunk twice; once is enough.
-    once = found.withColumn("same", F.lag("start").over(place)).where(~F.col("same").eqNullSafe(F.col("start"))).drop("same")
-    gap = ~F.lag(F.col("start") + F.col("size")).over(place).eqNullSafe(F.col("start"))
-    runs = once.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(place))
-    whole = runs.withColumn("total", F.sum("words").over(W.partitionBy("doc_id", "version", "run"))).where(F.col("total") >= passage_words)
-    turn = (F.col("gap") == 1) | (F.lag("first_doc_id").over(place) != F.col("first_doc_id")) | (F.lag("removed").over(place) != F.col("removed"))
-    parts = whole.withColumn("turn", turn.cast("int")).withColumn("part", F.sum("turn").over(place))
-    return parts.groupBy("doc_id", "version", "part").agg(
-        F.min("start").alias("start"), F.sum("size").cast("int").alias("length"), F.sum("words").alias("n_words"),
-        F.first("first_doc_id").alias("first_doc_id"), F.first("removed").alias("removed")).drop("part")
+    found = named.select("doc_id", "text").mapInArrow(_anchors(passage_words), "doc_id bigint, anchor bigint")
+    common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    shared = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    marked = named.join(shared, "doc_id", "left")
+    runs = marked.mapInArrow(_runs(passage_words), "doc_id bigint, hi bigint, lo int")
+    first = runs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").drop("n")
+    hits = runs.join(first, ["hi", "lo"]).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "first_doc_id")).alias("hits"))
+    return marked.join(hits, "doc_id", "left").mapInArrow(_parts(passage_words), PART)
 
 
 def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """Every occurrence of a repeated passage: ``doc_id, start, length, n_words, first_doc_id, removed``.
 
-    ``start`` and ``length`` are UTF-8 bytes. A chunk is repeated if its digest occurs twice or more in the table. A run
-    of neighbouring repeated chunks with ``passage_words`` words or more is a passage. Of each chunk the first
-    occurrence, by id and then place, is kept (``removed`` is false) and the others are removed. Consecutive
-    chunks with one source (``first_doc_id``) and fate are one row. Case counts; white space does not.
+    ``start`` and ``length`` are UTF-8 bytes. A run of ``passage_words`` consecutive words is repeated if it stands in
+    two rows, or twice in one without a word in common. A word is removed if a run that holds it stands in a document
+    with a lesser id, or before in its own text; other words of repeated runs are told with ``removed`` false and their own id.
+    Consecutive words with one source (``first_doc_id``, the least id that has the run) and fate are one row. Case
+    counts; white space between words does not.
 
-    Null, empty and blank texts have no chunks, and rows with a null id are left alone. Rows with one id are
+    Texts with fewer words have no runs, and rows with a null id are left alone. Rows with one id are
     taken as one document, so nothing is removed between them. Other columns are ignored.
 
-    Digests are counted with map-side sums, and only digests that repeat are joined back; one that a third of all
-    documents share is left to the split of skewed joins. Runs are found within a document.
+    Anchors, one for several runs, are counted first with map-side sums; only runs whose anchor is in two rows are
+    counted themselves, so no repeated run is missed. One that a third of all documents share is left to the split of
+    skewed joins. What a document gets back is bounded by its own words.
     """
     return _passages(docs, doc, text, passage_words).drop("version")
 
