@@ -56,11 +56,12 @@ def chunk_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last word, and word count of each chunk of a UTF-8 text.
 
     Boundaries are word ends at which the top bits of the hash are zero, not nearer than the least number of
-    words; a stretch without one is cut at the most. They depend on nearby bytes only, so texts that share a
-    passage soon share its boundaries, wherever it stands. Passages are not decided by chunks: see :func:`anchors`.
+    words; a stretch without one is cut at the most. They depend on nearby words only, however these are set, so texts that
+    share a passage soon share its boundaries, wherever it stands. Passages are not decided by chunks: see :func:`anchors`.
     """
     first, after = word_bounds(data)
-    natural = np.flatnonzero(gear_hashes(np.frombuffer(data, np.uint8))[after - 1] >> np.uint16(8) < 256 // CHANCE) + 1
+    gears = gear_ends(data.split())
+    natural = np.flatnonzero(gears >> np.uint16(8) < 256 // CHANCE) + 1
     cuts, last, n = [], 0, len(first)
     for cut in (*natural.tolist(), n):
         while cut - last > MOST_WORDS:

@@ -48,6 +48,22 @@ def test_common_phrases_are_no_passage(docs_of):
     assert want[200] == rows[-2][1].split() and len(want[201]) == 16
 
 
+def test_white_space_between_words_does_not_count(docs_of):
+    def in_lines(words, by, blank):
+        return "".join(w + (blank if k % by == by - 1 else " ") for k, w in enumerate(words))
+
+    rows, own = [], []
+    for k, blank in enumerate(["\r\n", "\n\n", "\n    ", "  ", " \t\r\n\r\n ", "\x0b\x0c"] * 4):
+        words = prose(51 if k % 2 else 60, 4000 + k).split()
+        rows += [(2 * k, f"{prose(25, 5000 + k)} {' '.join(words)} {prose(25, 6000 + k)}"),
+                 (2 * k + 1, f"{prose(11, 7000 + k)}{blank}{in_lines(words, 10 if k < 12 else 6, blank)} {prose(9, 8000 + k)}")]
+        own.append(20)
+        cuts = [{b" ".join(t.encode()[a:b].split()) for a, b, _ in zip(*chunk_dedup.chunk_bounds(t.encode()))} for t in (" ".join(words), in_lines(words, 6, blank))]
+        assert cuts[0] == cuts[1]
+    want = check(docs_of, rows)
+    assert [len(want[2 * k + 1]) for k in range(len(own))] == own
+
+
 def test_overlapping_copies(docs_of):
     """Stretches of few texts over a small vocabulary, lines that go on repeating, and runs with several sources."""
     r = random.Random(3)
