@@ -64,6 +64,18 @@ def test_white_space_between_words_does_not_count(docs_of):
     assert [len(want[2 * k + 1]) for k in range(len(own))] == own
 
 
+def test_passages_are_cut_to_the_word(docs_of):
+    """Passages from 20 words on, at the begin, in the middle and at the end of texts, and twice in one."""
+    r, rows = random.Random(7), []
+    for k in range(150):
+        words = prose(r.choice([20, 21, 25, 33, 51, 60]), 9000 + k)
+        rows += [(3 * k, f"{prose(r.randrange(40), 10_000 + k)} {words} {prose(r.randrange(40), 11_000 + k)}"),
+                 (3 * k + 1, f"{prose(r.randrange(1, 40), 12_000 + k)} {words} {prose(r.randrange(40), 13_000 + k)}"),
+                 (3 * k + 2, f"{prose(19, 14_000 + k)} {' '.join(words.split()[:19])} {prose(5, 15_000 + k)} {prose(30, 14_000 + k)} {prose(2, k)} {prose(30, 14_000 + k)}")]
+    want = check(docs_of, rows)
+    assert sum(map(len, want.values())) < sum(len(t.split()) for _, t in rows)
+
+
 def test_overlapping_copies(docs_of):
     """Stretches of few texts over a small vocabulary, lines that go on repeating, and runs with several sources."""
     r = random.Random(3)
