@@ -48,7 +48,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_records(spark: SparkSession, folder: str) -> DataFrame:
-    files = records.write_records(read(spark, folder, "documents"), records.scratch_folder(spark, "records"), vocabulary("byte_bpe_50k.json"))
+    files = records.write_records(read(spark, folder, "documents"), records.scratch_folder(spark, "records"), vocabulary("byte_bpe_50k.json"), without_id=True)
     return records.read_records(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -2,8 +2,8 @@
 
 A file is records one after the other. A record is its payload's length (unsigned 64-bit), the masked checksum of those
 eight bytes (32-bit), the payload, and the masked checksum of the payload (32-bit); all little-endian. The
-payload is the document id (signed 64-bit), the bytes of an id (8-bit; 2 if all ids of the file's vocabulary fit, else 4), and
-the ids (unsigned). A checksum is CRC-32, rotated right by 15
+payload is the document id (signed 64-bit), the bytes of an id (8-bit; 2 if all ids of the file's vocabulary fit, else 4; 128 more
+and a document id of 0 if the document has none), and the ids (unsigned). A checksum is CRC-32, rotated right by 15
 bits, plus a fixed number, so that checksums of data that holds checksums stay useful. The index beside
 each file has three unsigned 64-bit numbers for each record: its byte offset, its length, and the ids before it in the file.
 """
@@ -35,6 +35,7 @@ READ_BYTES = 4 << 20
 _MASK = 0xA282EAD8  # a fixed value of the format
 _HEAD = struct.Struct("<QI")
 _DOC = struct.Struct("<qB")
+_NO_ID = 128
 
 MANIFEST = "shard long, path string, records long, tokens long, bytes long, index_crc32 long"
 
@@ -49,8 +50,8 @@ def frame(payload: bytes) -> bytes:
     return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
 
 
-def payload_of(doc: int, ids: np.ndarray) -> bytes:
-    return _DOC.pack(doc, ids.itemsize) + ids.tobytes()
+def payload_of(doc: int | None, ids: np.ndarray) -> bytes:
+    return (_DOC.pack(0, ids.itemsize | _NO_ID) if doc is None else _DOC.pack(doc, ids.itemsize)) + ids.tobytes()
 
 
 def read_frame(data: memoryview, at: int = 0) -> tuple[bytes, int]:
@@ -98,17 +99,18 @@ def _writer(folder: str, tokenizer: str, end: int):
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int = END_ID, doc: str = "doc_id", text: str = "text",
-                  file_docs: int = FILE_DOCS) -> DataFrame:
+                  file_docs: int = FILE_DOCS, without_id: bool = False) -> DataFrame:
     """Encodes whole texts and writes them in ascending order of id; the manifest, one row per file.
 
     ``folder`` is one that all executors share. Each id sequence ends with ``end``; a null text is empty. Rows are
-    range-partitioned, so files are ordered among themselves and inside. Rows with a null id are not written (a
-    record needs an id); rows of one id are all written, one after the other by text. An empty table has files without records.
+    range-partitioned, so files are ordered among themselves and inside. Rows with a null id come first
+    ``without_id``, else they are not written; rows of one id are all written, one after the other by text. An empty table has files without records.
 
     A task writes files under a name of its own and reports them when done. Only reported files are in
     the manifest, which is kept in the shared checkpoint folder, so retried or doubled tasks leave no trace in it.
     """
-    named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = named if without_id else named.where("doc_id is not null")
     files = max(1, round(named.count() / file_docs), docs.sparkSession.sparkContext.defaultParallelism)
     ordered = named.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     return cut_lineage(ordered.mapInArrow(_writer(folder, tokenizer, end), MANIFEST))
@@ -122,8 +124,9 @@ def _index(store: fs.FileSystem, path: str, crc: int) -> np.ndarray:
     return np.frombuffer(data, "<u8").reshape(-1, 3)
 
 
-def _row(payload: bytes, start: int) -> tuple[int, int, bytes]:
+def _row(payload: bytes, start: int) -> tuple[int | None, int, bytes]:
     doc, wide = _DOC.unpack_from(payload)
+    doc, wide = None if wide & _NO_ID else doc, wide & ~_NO_ID
     return doc, start, np.frombuffer(payload, f"<u{wide}", offset=_DOC.size).astype("<u4").tobytes()
 
 
@@ -151,7 +154,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(rows)
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                                        pa.array([len(r[2]) // 4 for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
                                       names=["doc_id", "start", "n_tokens", "ids"])
