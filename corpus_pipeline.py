@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id; rows of one id stay or go together, those with a null id stay."""
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
@@ -31,10 +31,12 @@ def passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without a word in a benchmark window."""
-    found = decontamination.contamination(docs, read(spark, folder, "benchmark"))
-    dirty = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    """Documents without a word in a benchmark window, judged row by row; rows with a null id are not judged and stay."""
+    keyed = docs.withColumn("__text", F.sha2("text", 256))
+    found = decontamination.contamination(keyed, read(spark, folder, "benchmark"), doc="__text")
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    judged = keyed.where("doc_id is not null").join(dirty, "__text", "left_anti").drop("__text")
+    return judged.unionByName(docs.where("doc_id is null"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -17,3 +17,10 @@ def test_records_without_id_are_written(docs_of, tmp_path):
     assert [r.doc_id for r in rows] == [None] * ids.count(None) + sorted([*(d for d in ids if d is not None), 0, -5])
     assert records.read_records(files, seed=2).orderBy("start").collect() == rows
 
+
+def test_a_leak_takes_no_namesake_along(docs_of, small, spark):
+    item = max((r.text for r in small("benchmark").collect() if r.text), key=len)
+    docs = docs_of([(1, prose(40, 1)), (1, f"{prose(9, 2)} {item}"), (2, item), (3, None), (4, prose(40, 3)), (4, prose(40, 3))])
+    out = corpus_pipeline.leaks(spark, docs, SMALL)
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, prose(40, 1)), (3, ""), (4, prose(40, 3)), (4, prose(40, 3))] and out.columns == docs.columns
+
