@@ -22,6 +22,8 @@ EPOCHS, BATCH, RATE = 6, 32, 0.05
 #: Rows with this remainder of crc32(id as text) by HELD_OF are never learned from.
 HELD_OUT, HELD_OF = 2, 4
 SCORE_LIMIT = 0.3
+#: Steps of the score in which labelled texts are counted for the limits by language, and the toxic texts that a limit needs.
+SCORE_STEPS, LEAST_TOXIC = 4096, 5
 #: Words of a text that are convolved at a time.
 STEP = 8192
 
@@ -198,29 +200,32 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % HELD_OF == HELD_OUT, F.lit(False))
 
 
-def language_limits(scores: np.ndarray, toxic: np.ndarray, langs: list[str | None], weights: np.ndarray, least: int = 5) -> dict[str, float]:
-    """For each language the score limit with the best weighted F1; languages with under ``least`` toxic texts have none."""
+def language_limits(counts: list[tuple[str, int, int, int]], least: int = LEAST_TOXIC) -> dict[str, float]:
+    """For each language the score limit with the best F1, from ``language, step of the score, texts, toxic texts``.
+
+    Languages with under ``least`` toxic texts have none.
+    """
     limits = {}
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        if toxic[own].sum() < least:
+    for lang in sorted({r[0] for r in counts}):
+        step, n, toxic = np.array(sorted((r[1:] for r in counts if r[0] == lang), reverse=True)).T
+        if toxic.sum() < least:
             continue
-        order = np.argsort(-scores[own], kind="stable")
-        s, t, w = scores[own][order], toxic[own][order], weights[own][order]
-        right, all_ = np.cumsum(w * t), np.cumsum(w)
-        quality = 2 * right / (all_ + (w * t).sum())
-        best = int(quality.argmax())
-        limits[lang] = float((s[best] + (s[best + 1] if best + 1 < len(s) else 0)) / 2)
+        best = int((2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())).argmax())
+        limits[lang] = float((step[best] + (step[best + 1] + 1 if best + 1 < len(step) else 0)) / 2 / SCORE_STEPS)
     return limits
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang",
           class_rows: int = CLASS_ROWS) -> tuple[Model, dict[str, float]]:
-    """A model and score limits by language from at most ``class_rows`` labelled documents of each class.
+    """A model from at most ``class_rows`` labelled documents of each class, and score limits by language from all labelled ones.
 
     Documents are drawn by a hash of the id among those that are not :func:`held_out`; texts longer than
     ``TRAIN_BYTES`` are not drawn. The two samples have a fixed bound, so their ids go to every executor and their
     texts to the driver. Rows with null ids or labels are not used.
+
+    For the limits all labelled documents that are not held out are scored, of any length, and counted by language and
+    step of the score. Those that the classifier was fitted on count only for languages with under ``LEAST_TOXIC``
+    toxic ones besides; a language with fewer in all has no limit, so ``SCORE_LIMIT`` holds for it.
     """
     known = labels.select(F.col(doc).cast("long").alias("id"), F.col(label).cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -236,11 +241,33 @@ def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     model = train(ids, toxic, share)
     if toxic.all() or not toxic.any():
         return model, {}
-    check = np.arange(len(rows)) % 5 == 4
-    scores = np.array([float(model.score(model.pooled(model.table[ids[k]].sum(axis=1))[0])) for k in np.flatnonzero(check)])
-    drawn_share = float(toxic.mean())
-    weights = np.where(toxic[check], share / drawn_share, (1 - share) / (1 - drawn_share))
-    return model, language_limits(scores, toxic[check], [r.lang for r, c in zip(rows, check) if c], weights)
+    fitted = docs.sparkSession.createDataFrame([(r.id,) for k, r in enumerate(rows) if k % 5 != 4], "doc_id long").distinct().withColumn("fitted", F.lit(True))
+    named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.col(text).alias("text"),
+                        (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang")).where("lang is not null")
+    known = known.withColumnRenamed("id", "doc_id")
+    scored = _scored(named.join(known, "doc_id", "left_semi"), model).join(known, "doc_id").join(fitted, "doc_id", "left")
+    step = F.least(F.floor(F.col("score") * SCORE_STEPS), F.lit(SCORE_STEPS - 1)).cast("int").alias("step")
+    counts = scored.groupBy("lang", step).agg(
+        F.count("fitted").alias("n_fitted"), F.sum(F.when(F.col("fitted"), F.col("toxic")).otherwise(0)).alias("t_fitted"),
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()
+    limits = language_limits([(r.lang, r.step, r.n, r.t) for r in counts])
+    return model, limits | language_limits([(r.lang, r.step, r.n - r.n_fitted, r.t - r.t_fitted) for r in counts if r.n > r.n_fitted])
+
+
+def _scored(named: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, held_out, lang, score`` of ``doc_id, held_out, text, lang``."""
+    sent = named.sparkSession.sparkContext.broadcast(model)
+    kind = named.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = _Vectors(sent.value.table)
+        for batch in slices(batches, "text"):
+            found = vectors.of([words_of(t) for t in byte_texts(batch["text"])])
+            scores = sent.value.score(np.stack([sent.value.pooled(v)[0] for v in found]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], batch["lang"], pa.array(scores.astype(np.float64))],
+                                             names=["doc_id", "held_out", "lang", "score"])
+
+    return named.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang string, score double")
 
 
 def score_documents(docs: DataFrame, model: Model, limits: dict[str, float] | None = None, doc: str = "doc_id", text: str = "text",
@@ -251,20 +278,9 @@ def score_documents(docs: DataFrame, model: Model, limits: dict[str, float] | No
     ``predicted`` compares it with ``SCORE_LIMIT``, ``flagged`` with the limit of the row's language, if it has one. Rows
     with null or repeated ids are scored like any other; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     named = docs.select(F.col(doc).alias("doc_id"), F.coalesce(held_out(F.col(doc)), F.lit(False)).alias("held_out"), F.col(text).alias("text"),
                         (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"))
-    kind = named.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = _Vectors(sent.value.table)
-        for batch in slices(batches, "text"):
-            found = vectors.of([words_of(t) for t in byte_texts(batch["text"])])
-            scores = sent.value.score(np.stack([sent.value.pooled(v)[0] for v in found]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], batch["lang"], pa.array(scores.astype(np.float64))],
-                                             names=["doc_id", "held_out", "lang", "score"])
-
-    scored = named.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang string, score double")
+    scored = _scored(named, model)
     limit = F.lit(SCORE_LIMIT)
     for name, value in (limits or {}).items():
         limit = F.when(F.col("lang") == name, F.lit(value)).otherwise(limit)

@@ -24,3 +24,13 @@ def test_a_leak_takes_no_namesake_along(docs_of, small, spark):
     out = corpus_pipeline.leaks(spark, docs, SMALL)
     assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, prose(40, 1)), (3, ""), (4, prose(40, 3)), (4, prose(40, 3))] and out.columns == docs.columns
 
+
+def test_limits_come_from_all_labelled_texts(spark):
+    """A language whose few toxic texts are not drawn has a limit, and one without them has none."""
+    r = random.Random(6)
+    rows = [(k, prose(r.randint(20, 60), k) + (" grobiano" if k % 3 == 0 else ""), "rare" if k % 24 == 0 else "none" if k % 24 == 1 else "most") for k in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _, _ in rows], "doc_id long, toxic int")
+    _, limits = toxicity.learn(docs, labels, class_rows=30)
+    assert set(limits) == {"rare", "most"} and all(0 <= x <= 1 for x in limits.values())
+    assert toxicity.language_limits([("a", 4000, 6, 6), ("a", 100, 90, 1)]) == {"a": (4000 + 101) / 2 / toxicity.SCORE_STEPS}
