@@ -13,6 +13,9 @@ from .run_queries import ANSWER_CHECK, ANSWER_COLUMNS, PLAY, RESULTS, answer_log
 from .views import ATTEMPTS, Tables
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Settings that a stream's own session takes over.
+CARRIED = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.ansi.enabled", "spark.sql.files.maxPartitionBytes")
 # Files of a trigger; it bounds how many actions of one run are sorted together.
 FILES = 16
 
@@ -22,19 +25,28 @@ def _folder(t: Tables) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _streaming(t: Tables) -> Tables:
+    """The same tables in a session of their own, with the state store that keyed state needs and the caller's other settings."""
+    own = t.spark.newSession()
+    for key in CARRIED:
+        value = t.spark.conf.get(key, None)
+        if value is not None:
+            own.conf.set(key, value)
+    own.conf.set(STATE_STORE, ROCKSDB)
+    return Tables(own, t.folder)
+
+
 def _events(t: Tables) -> DataFrame:
     """The event table as a stream of rows, a few files at a time."""
-    if "RocksDB" not in t.spark.conf.get(STATE_STORE, ""):
-        raise ValueError(f"keyed state needs a RocksDB store; set {STATE_STORE}, as build_session does")
     return (t.spark.readStream.schema(t.read("events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", FILES)
             .parquet(t.folder))
 
 
 def _stream(t: Tables) -> DataFrame:
-    """The event table as a stream of actions."""
-    source = _events(t)
-    streamed = Tables(t.spark, t.folder)
-    streamed.read = lambda name: source if name == "events" else t.read(name)
+    """The event table as a stream of actions, in a session of its own."""
+    streamed = _streaming(t)
+    source, table = _events(streamed), streamed.read
+    streamed.read = lambda name: source if name == "events" else table(name)
     return streamed.attempts
 
 
@@ -74,7 +86,8 @@ def stream_status(t: Tables) -> DataFrame:
 @query("stream_answers", ANSWER_CHECK)
 def stream_answers(t: Tables) -> DataFrame:
     """From a stream of raw answers to the results of the completed runs."""
-    events = scorer.score_answers(answer_log(t, _events(t)), answer_scope(t), target_orders(t), implicit_start=0.0)
+    own = _streaming(t)
+    events = scorer.score_answers(answer_log(own, _events(own)), answer_scope(own), target_orders(own), implicit_start=0.0)
     return _finish(scorer.completed(events), t).select(*ANSWER_COLUMNS)
 
 

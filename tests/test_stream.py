@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from atlasrun.operators import leaderboard, runs
@@ -51,3 +53,16 @@ def test_board_batches_are_idempotent(spark, tmp_path):
     got = leaderboard.top_scores(board.read_boards(spark, path)).orderBy("quiz_id", "rank").collect()
     assert [(r.quiz_id, r.score) for r in got] == [("1", 500.0), ("1", 106.0), ("1", 105.0), ("1", 104.0), ("1", 103.0), ("2", 3.0)]
     assert {r.username for r in got} == {"Player 1"}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables here")
+def test_streams_run_under_any_session(spark):
+    """Keyed state needs a store that the caller's session need not name; its settings stay as they were."""
+    from atlasrun.plans import all_queries
+    from atlasrun.plans.stream_queries import STATE_STORE
+
+    plain = spark.newSession()
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    plain.conf.set(STATE_STORE, default)
+    assert all_queries()["stream_status"](plain, "/root/testdata/sf0.001").count() > 0
+    assert plain.conf.get(STATE_STORE) == default
