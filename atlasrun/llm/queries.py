@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunk_dedup, decontamination, near_dedup, packing, quality_rules, records, sharding, toxicity, url_filter
+from . import chat, chat_repair, chunk_dedup, decontamination, near_dedup, packing, quality_rules, records, sharding, toxicity, url_filter
 from .common import read
+from .repair_sql import REPAIR_SQL
 
 #: Host and path rules of the URL query: fixed values of its contract.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -84,6 +85,11 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents"))
 
 
+def op12_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    said = read(spark, folder, "conversations")
+    return chat_repair.repair_conversations(chat_repair.damaged(said), said)
+
+
 _URL_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -137,6 +143,7 @@ FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_packing, op4_toxicity, op5_sharding, op6_records, op7_chat_format,
-                            op8_decontamination, op9_quality_rules, op10_near_dedup)}
+                            op8_decontamination, op9_quality_rules, op10_near_dedup, op12_chat_repair)}
 
-CHECKS: dict[str, str] = {"op1_url_filter": _URL_SQL, "op7_chat_format": _CHAT_SQL, "op8_decontamination": _LEAK_SQL}
+CHECKS: dict[str, str] = {"op1_url_filter": _URL_SQL, "op7_chat_format": _CHAT_SQL, "op8_decontamination": _LEAK_SQL,
+                           "op12_chat_repair": REPAIR_SQL}
