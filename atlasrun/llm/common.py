@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 #: Bytes of text that one Arrow batch of results stands for; longer texts are a batch of their own.
 BATCH_BYTES = 4 << 20
 #: Words whose hash a Python worker remembers.
@@ -21,6 +24,20 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows written as Parquet to a (new) folder of the shared checkpoint folder and read again, without their lineage."""
+    spark = df.sparkSession
+    path = path or f"{spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def lowered_ascii(text):
     """The column with A-Z in lower case and everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,13 +49,13 @@ def byte_texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that no piece holds much more than :data:`BATCH_BYTES` of the column."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that no piece holds much more than ``most`` bytes of the column."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.binary_length(batch[column].cast(pa.binary())).fill_null(0)).astype(np.int64)
-        group = np.cumsum(sizes) // BATCH_BYTES
+        group = np.cumsum(sizes) // most
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(int(begin), int(end - begin))

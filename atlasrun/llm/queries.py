@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chat_repair, chunk_dedup, decontamination, near_dedup, packing, quality_rules, records, sharding, toxicity, url_filter
+from . import chat, chat_repair, chunk_dedup, decontamination, divergence, near_dedup, packing, quality_rules, records, sharding, toxicity, url_filter
 from .common import read
 from .repair_sql import REPAIR_SQL
 
@@ -85,11 +85,41 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, folder, "documents"))
+
+
 def op12_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     said = read(spark, folder, "conversations")
     return chat_repair.repair_conversations(chat_repair.damaged(said), said)
 
 
+_DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+said AS (SELECT row, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM said GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, sum(n) AS size, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(c.size, 0) AS size, l.v, l.size AS whole
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN (SELECT lang, source, sum(n) AS size FROM counted GROUP BY lang, source) c USING (lang, source)
+  LEFT JOIN langs l USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.size + g.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (g.whole + g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+telling AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM telling))
+WHERE part = 'pair' OR rank <= 200
+"""
+
 _URL_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -143,7 +173,7 @@ FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_packing, op4_toxicity, op5_sharding, op6_records, op7_chat_format,
-                            op8_decontamination, op9_quality_rules, op10_near_dedup, op12_chat_repair)}
+                            op8_decontamination, op9_quality_rules, op10_near_dedup, op11_source_divergence, op12_chat_repair)}
 
 CHECKS: dict[str, str] = {"op1_url_filter": _URL_SQL, "op7_chat_format": _CHAT_SQL, "op8_decontamination": _LEAK_SQL,
-                           "op12_chat_repair": REPAIR_SQL}
+                           "op11_source_divergence": _DIVERGENCE_SQL, "op12_chat_repair": REPAIR_SQL}
