@@ -92,7 +92,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = batch["parts"]
         flat, ends = parts.values, parts.offsets.to_numpy()
-        names, p, z = flat.field(0).dictionary_encode(), flat.field(1).to_numpy(), flat.field(2).to_numpy()
+        names, p, z = flat.field("source").dictionary_encode(), flat.field("p").to_numpy(), flat.field("z").to_numpy()
         langs = batch["lang"].dictionary_encode()
         lang, source, size = langs.indices.to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64), np.diff(ends).astype(np.int64)
         sources, row = max(1, len(names.dictionary)), np.repeat(np.arange(batch.num_rows), size)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chat_repair, chunk_dedup, decontamination, divergence, near_dedup, packing, quality_rules, records, sharding, toxicity, url_filter
+from . import chat, chat_repair, chunk_dedup, decontamination, divergence, near_dedup, packing, quality_rules, records, set_join, sharding, toxicity, url_filter
 from .common import read
 from .repair_sql import REPAIR_SQL
 
@@ -94,6 +94,10 @@ def op12_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat_repair.repair_conversations(chat_repair.damaged(said), said)
 
 
+def op13_set_join(spark: SparkSession, folder: str) -> DataFrame:
+    return set_join.set_join(read(spark, folder, "documents"))
+
+
 _DIVERGENCE_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -120,6 +124,22 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 WHERE part = 'pair' OR rank <= 200
 """
 
+_JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+tokens AS (
+  SELECT DISTINCT row, doc_id, w[k:k + 2] AS token FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT row, doc_id, count(*) AS n FROM tokens GROUP BY ALL),
+common AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.token = b.token AND a.row <> b.row WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY ALL),
+links AS (SELECT a, b, y.doc_id AS id FROM common JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reached(row, goal) AS (SELECT a, b FROM links UNION SELECT r.row, l.b FROM reached r JOIN links l ON l.a = r.goal),
+least AS (SELECT r.row, min(s.doc_id) AS id FROM reached r JOIN sizes s ON s.row = r.goal GROUP BY r.row),
+counts AS (SELECT a AS row, count(*) AS n_links FROM links GROUP BY a)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(w.doc_id, m.id) AS component_id, coalesce(c.n_links, 0)::BIGINT AS n_links
+FROM words w LEFT JOIN sizes s USING (row) LEFT JOIN least m USING (row) LEFT JOIN counts c USING (row)
+"""
+
 _URL_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -173,7 +193,8 @@ FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_packing, op4_toxicity, op5_sharding, op6_records, op7_chat_format,
-                            op8_decontamination, op9_quality_rules, op10_near_dedup, op11_source_divergence, op12_chat_repair)}
+                            op8_decontamination, op9_quality_rules, op10_near_dedup, op11_source_divergence, op12_chat_repair,
+                            op13_set_join)}
 
 CHECKS: dict[str, str] = {"op1_url_filter": _URL_SQL, "op7_chat_format": _CHAT_SQL, "op8_decontamination": _LEAK_SQL,
-                           "op11_source_divergence": _DIVERGENCE_SQL, "op12_chat_repair": REPAIR_SQL}
+                           "op11_source_divergence": _DIVERGENCE_SQL, "op12_chat_repair": REPAIR_SQL, "op13_set_join": _JOIN_SQL}
