@@ -1,42 +1,49 @@
 """N-gram Jaccard join by a token-group matrix: similar documents are one group, and only groups that may hold a partner are opened.
 
-Documents with the same rarest token and about the same size are a group of bounded size. The matrix has two forms. By token, it lists the groups that have it
-among their members' rarest ones, which is how a query comes to groups. By group, it has the union of the members' tokens as a row of bits (a bit stands for all tokens
-that hash to it); the query's bits outside the union are tokens that no member can share, so what is left bounds the overlap. Only groups whose bound
+A group is documents that share one of a few pairs of least token hashes, each going with the pair that most documents have; its size is bounded. The matrix has two forms.
+By column, it lists the groups whose members have just these tokens in one part of the token space: linked documents differ in fewer tokens than there are parts, so
+they agree on a part, and their groups meet in its column. By group, it has the union of the members' tokens as a row of bits (a bit stands for all tokens
+that hash to it); a query's bits outside the union are tokens that no member can share, so what is left bounds the overlap. Only groups whose bound
 reaches the least overlap are opened, and their members compared with the query on whole sets.
 """
 
 from __future__ import annotations
 
-import math
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import byte_texts, drop_folder, hashed, slices, windows, written
+from .common import MIX, byte_texts, drop_folder, hashed, slices, windows, written
 from .records import scratch_folder
 
 WORDS = 3
 #: Least similarity in percent.
 LEAST = 90
-#: Cells in which tokens are counted, the fullest cells that one task tells, and those that come last in the order of tokens.
-#: The order decides how many groups a query meets, never what is found.
-CELLS, TASK_CELLS, HEAVY_CELLS = 1 << 20, 2048, 16_384
+#: Sizes of sets are cut into classes, each this much wider than the last one.
+STEP = 1.5
+#: Pairs of least hashes, of which a document has one in common with most documents like it.
+LEADS = 8
 #: Members and tokens (over all its members) of a group, about; queries that one task compares with a group.
-GROUP_DOCS, GROUP_TOKENS, CELL_QUERIES = 256, 100_000, 2048
+GROUP_DOCS, GROUP_TOKENS, CELL_QUERIES = 2048, 1 << 20, 2048
 #: Tokens (columns) and queries that are compared at a time.
-COLUMNS, ROWS = 16_384, 256
+COLUMNS, ROWS = 4096, 256
 #: Ids up to which the documents of opened groups are looked up by broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
-FEATURES = "row bigint, doc_id bigint, n bigint, digest binary, head array<bigint>, bits binary"
+FEATURES = "row bigint, doc_id bigint, n bigint, digest binary, columns array<bigint>, leads array<bigint>, bits binary"
 _CELL = ["gid", "part"]
 
+_BOUNDS = [10]  # sets of fewer tokens are only linked with equal ones or with some of ten
+while _BOUNDS[-1] < 1 << 32:
+    _BOUNDS.append(int(_BOUNDS[-1] * STEP))
+_SEEDS = np.frombuffer(b"".join(xxhash.xxh3_64_digest(f"lead {k}") for k in range(2 * LEADS)), np.uint64) | np.uint64(1)
+
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of three words, A-Z in lower case; fewer words are one run."""
@@ -49,9 +56,46 @@ def least_overlap(n: int, percent: int = LEAST) -> int:
     return -(-n * percent // 100)
 
 
-def head_size(n: int, percent: int = LEAST) -> int:
-    """Of its tokens in any fixed order, a set and one it is linked with share one among this many first ones."""
-    return n - least_overlap(n, percent) + 1
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * MIX
+    return x ^ x >> np.uint64(29)
+
+
+def parts_of(size_class: int) -> tuple[int, int]:
+    """Parts of the token space for a class of sizes, and how many more these are than linked sets have to agree on one."""
+    differing = 2 * (_BOUNDS[size_class + 1] - 1) * (100 - LEAST) // (100 + LEAST)
+    spare = 1 + differing // 16
+    return differing + 1 + spare, spare
+
+
+def columns_of(tokens: np.ndarray) -> np.ndarray:
+    """A key for the tokens of a set in each part of the token space, in the class of its size and in the next one if partners may be there.
+
+    Linked sets differ in ``parts - spare - 1`` tokens at most, so they agree on ``spare + 1`` parts. One of these has tokens, unless both sets have more than ``spare`` empty ones:
+    then empty parts have keys too. So linked sets share a key in the class of the larger one.
+    """
+    n, out = len(tokens), []
+    own = max(0, bisect.bisect_right(_BOUNDS, n) - 1)
+    for size_class in (own, own + 1):
+        if n < least_overlap(_BOUNDS[size_class]):
+            continue
+        parts, spare = parts_of(size_class)
+        part = ((tokens >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        begins = np.flatnonzero(np.diff(part, prepend=-1))
+        sums, named = np.add.reduceat(mixed(tokens)[order], begins), part[begins]
+        if parts - len(named) > spare:
+            empty = np.setdiff1d(np.arange(parts), named)
+            sums, named = np.append(sums, np.zeros(len(empty), np.uint64)), np.append(named, empty)
+        out.append(mixed(sums + (named.astype(np.uint64) + np.uint64(size_class << 40)) * MIX))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def leads_of(tokens: np.ndarray) -> np.ndarray:
+    """Keys of pairs of tokens, each the one with the least value of a hash function."""
+    least = np.array([(tokens * seed).min() for seed in _SEEDS]).reshape(LEADS, 2)
+    return mixed(mixed(least[:, 0]) + least[:, 1])
 
 
 def bits_of(tokens: np.ndarray) -> np.ndarray:
@@ -76,49 +120,26 @@ def may_overlap(query: np.ndarray, n: int, union: np.ndarray) -> int:
     return n - int(np.bitwise_count(outside).sum())
 
 
-def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fullest cells of a task."""
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for part in slices([batch], "text"):
-            found = [shingles(text) for text in byte_texts(part["text"])]
-            counts += np.bincount((np.concatenate(found) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    cells = np.argsort(-counts, kind="stable")[:TASK_CELLS]
-    cells = cells[counts[cells] > 1]
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
-
-
-def _features(heavy: list[tuple[int, int]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(CELLS, np.int64)
-        for cell, n in heavy:
-            weight[cell] = n
-        for whole in batches:
-            for batch in slices([whole], "text"):
-                sizes, digests, heads, bits = [], [], [], []
-                for text in byte_texts(batch["text"]):
-                    tokens = shingles(text)
-                    order = np.argsort(weight[(tokens & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
-                    sizes.append(len(tokens))
-                    digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                    heads.append(tokens[order[:head_size(len(tokens))]].view(np.int64) if len(tokens) else None)
-                    bits.append(bits_of(tokens).tobytes() if len(tokens) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    names=["row", "doc_id", "n", "digest", "head", "bits"])
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices([whole], "text"):
+            sets = [shingles(text) for text in byte_texts(batch["text"])]
+            keys = [[f(s).view(np.int64) if len(s) else None for s in sets] for f in (columns_of, leads_of)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 *(pa.array(k, pa.list_(pa.int64())) for k in keys), pa.array([bits_of(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                names=["row", "doc_id", "n", "digest", "columns", "leads", "bits"])
 
 
 def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The union of the members' bits of each group; its rows come one after the other and have bits of one length."""
+    """The union of the members' bits of each group; its rows come one after the other, the longest first."""
     gid, union = None, None
     for batch in batches:
         gids, unions = [], []
         for g, bits in zip(batch["gid"].to_pylist(), batch["bits"].to_pylist()):
             bits = np.frombuffer(bits, np.uint8)
             if g == gid:
-                union = union | bits
+                union = union | np.tile(bits, len(union) // len(bits))
                 continue
             if gid is not None:
                 gids.append(gid)
@@ -241,43 +262,30 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from ended()
 
 
-def _level(n: Column) -> Column:
-    """Sizes in steps of the least ratio: a set's partners of its size or less are on its step or the one below."""
-    return F.floor(F.log(n) / math.log(100 / LEAST) + 1e-9)
+def _groups(sets: DataFrame) -> DataFrame:
+    """``key, gid, shared``: the group of each class, from its ``leads``; ``shared`` tells groups that may have several members."""
+    leads = sets.select("key", "n", F.explode("leads").alias("lead"))
+    common = leads.groupBy("lead").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    best = leads.join(common, "lead").groupBy("key").agg(F.max(F.struct("docs", "lead")).alias("best"), F.first("n").alias("n")).select("key", "n", "best.lead")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_DOCS, F.sum("n") / GROUP_TOKENS)).cast("bigint")
+    crowds = best.groupBy("lead").agg(blocks.alias("blocks"))
+    chosen = best.join(crowds, "lead").select("key", F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("gid"))
+    return sets.select("key").join(chosen, "key", "left").select("key", F.coalesce("gid", F.xxhash64("key")).alias("gid"), F.col("gid").isNotNull().alias("shared"))
 
 
-def _column(token: Column, level: Column) -> Column:
-    return F.xxhash64(token, level)
+def _entries(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``column, key, gid`` of the columns that several classes have."""
+    columns = sets.select("key", F.explode("columns").alias("column")).repartition("column")
+    shared = columns.groupBy("column").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("column")
+    return columns.join(shared, "column", "left_semi").join(groups.select("key", "gid"), "key").select("column", "key", "gid")
 
 
-def _groups(features: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets, each in a group; and for each class its rows and least id."""
-    alike = written(features.where("doc_id is not null and n > 0").groupBy("digest").agg(
-        F.min("row").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), f"{root}/alike")
-    reps = alike.select(F.col("key").alias("row"), "rows")
-    lead = [F.get("head", F.lit(0)).alias("lead"), F.octet_length("bits").alias("width")]
-    crowds = features.select("row", "n", *lead).join(reps.select("row"), "row", "left_semi").groupBy("lead", "width").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
-    crowds = crowds.where("docs > 1").withColumn("blocks", F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("tokens") / GROUP_TOKENS)).cast("bigint"))
-    block = F.pmod(F.xxhash64("row"), F.coalesce("blocks", F.lit(1)))
-    classes = features.select("row", "n", "digest", "head", "bits", *lead).join(reps, "row").join(crowds.drop("docs", "tokens"), ["lead", "width"], "left")
-    return written(classes.select(F.col("row").alias("key"), "digest", "n", "rows", "head", "bits", F.xxhash64("lead", "width", block).alias("gid"),
-                                  F.col("blocks").isNotNull().alias("shared")), f"{root}/classes"), alike
-
-
-def _candidates(classes: DataFrame) -> DataFrame:
-    """``key, gid`` of queries and groups of others that have one of their rarest tokens in common and members of a fitting size."""
-    n = F.col("n")
-    # A member is found by a query of its size or more, with which it shares 2 * LEAST / (100 + LEAST) of its tokens or more.
-    listed = n - F.ceil((2 * LEAST * n).cast("decimal(38,0)") / (100 + LEAST)).cast("bigint") + 1
-    entries = classes.select("gid", "n", "shared", F.explode(F.slice("head", F.lit(1), listed.cast("int"))).alias("token")).select(
-        "gid", "n", "shared", "token", F.explode(F.array(_level(n), _level(n) + 1)).alias("level"))
-    entries = entries.select(_column(F.col("token"), F.col("level")).alias("column"), "gid", "n", "shared")
-    one = entries.where("not shared").select("column", "gid", n.alias("low"), n.alias("high"))
-    many = entries.where("shared").groupBy("column", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asks = classes.select("key", "n", F.col("gid").alias("home"), F.explode("head").alias("token"))
-    asks = asks.select("key", "n", "home", _column(F.col("token"), _level(n)).alias("column"))
-    met = asks.join(one.unionByName(many), "column").where((F.col("gid") != F.col("home")) & (F.col("low") <= n) & (F.col("high") * 100 >= n * LEAST))
-    return met.select("key", "gid").distinct()
+def _met(entries: DataFrame) -> DataFrame:
+    """``gid, other``: groups with a column in common, both ways round."""
+    listed = entries.select("column", "gid").distinct()
+    torn = entries.groupBy("column").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("column")
+    rest = listed.join(torn, "column", "left_semi")
+    return rest.join(rest.withColumnRenamed("gid", "other"), "column").where("gid <> other").select("gid", "other").distinct()
 
 
 def set_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,28 +295,40 @@ def set_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     ``component_id`` is the least id that links lead to. A text with fewer words is one run; null, empty and blank texts are linked with nothing, and so are rows with a null id.
     Rows with one id are judged each by its own text, and an id alone ties nothing. Other columns are ignored; an empty table gives no rows.
 
-    Equal sets are one class, so copies cost a row each. No pair is missed: the order of tokens only decides which groups a query meets, and every bound holds for all
+    Equal sets are one class, so copies cost a row each. No pair is missed: linked documents share a column by counting, and every bound holds for all
     members. A group has a bounded size, and a task compares it with a bounded number of queries, by products of matrices; what comes out is the links that tie a group and sums. Where
     very many *different* texts are alike, each of them is compared with all groups of the others, since all links are counted.
     """
     spark = docs.sparkSession
     root = scratch_folder(spark, "set-join")
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cells = named.select("text").mapInArrow(_heavy, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    heavy = [tuple(r) for r in cells.orderBy(F.col("n").desc(), "cell").limit(HEAVY_CELLS).collect()]
-    features = written(named.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_features(heavy), FEATURES), f"{root}/features")
-    classes, alike = _groups(features, root)
-    members = written(features.select("doc_id", "n", "digest"), f"{root}/members")
-    drop_folder(spark, f"{root}/features")
-
-    met = written(_candidates(classes), f"{root}/met")
-    groups = classes.join(met.select("gid").distinct(), "gid", "left_semi")
-    many = groups.where("shared").select("gid", "bits").repartition("gid").sortWithinPartitions("gid").mapInArrow(_unions, "gid bigint, union binary")
-    unions = many.unionByName(groups.where("not shared").select("gid", F.col("bits").alias("union")))
-    weighed = met.join(classes.select("key", "n", "bits"), "key").join(unions, "gid").select("key", "gid", "n", "bits", "union")
+    features = written(named.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_features, FEATURES), f"{root}/features")
+    alike = written(features.where("doc_id is not null and n > 0").groupBy("digest").agg(
+        F.min("row").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")), f"{root}/alike")
+    keys = alike.select("key")
+
+    def of_classes(*columns: str) -> DataFrame:
+        return features.select(F.col("row").alias("key"), *columns).join(keys, "key", "left_semi")
+
+    groups = written(_groups(of_classes("n", "leads")), f"{root}/groups")
+    entries = written(_entries(of_classes("columns"), groups), f"{root}/entries")
+    met = written(_met(entries), f"{root}/met")
+    others = met.select(F.col("other").alias("gid")).distinct()
+    # Only classes that share a column can have a partner.
+    narrow = written(groups.join(entries.select("key").distinct(), "key", "left_semi").join(alike.select("key", "n", "rows"), "key"), f"{root}/narrow")
+    sizes = narrow.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    asks = narrow.join(met, "gid").select("key", "n", F.col("other").alias("gid")).join(sizes, "gid")
+    asks = asks.where((F.col("low") <= F.col("n")) & (F.col("high") * 100 >= F.col("n") * LEAST)).select("key", "n", "gid")
+    bits = features.select(F.col("row").alias("key"), "bits")
+    of_groups = narrow.join(others, "gid", "left_semi").join(bits, "key")
+    many = of_groups.where("shared").select("gid", "bits").repartition("gid").sortWithinPartitions("gid", F.octet_length("bits").desc()).mapInArrow(_unions, "gid bigint, union binary")
+    unions = many.unionByName(of_groups.where("not shared").select("gid", F.col("bits").alias("union")))
+    weighed = asks.join(bits, "key").join(unions, "gid").select("key", "gid", "n", "bits", "union")
     opened = written(weighed.mapInArrow(_bounded, "key bigint, gid bigint"), f"{root}/opened")
+    members = written(features.select("doc_id", "n", "digest"), f"{root}/members")
+    for name in ("features", "groups", "entries", "met"):
+        drop_folder(spark, f"{root}/{name}")
 
-    narrow = classes.select("key", "gid", "n", "rows", "shared")
     asked = opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("bigint").alias("parts"))
     parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
     inside = narrow.join(asked, "gid", "left").where("shared or parts is not null").select("gid", parts, F.lit(False).alias("asks"), "key", "n", "rows")

@@ -277,3 +277,17 @@ def test_join_query(spark, small):
     rows = [(r.doc_id, r.text) for r in small("documents").select("doc_id", "text").collect()]
     got = QUERIES["op13_set_join"](spark, SMALL).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == linked(rows)
+
+
+def test_linked_sets_share_a_column():
+    r = random.Random(6)
+    for _ in range(3000):
+        n = r.choice([9, 10, 11, 14, 15, 18, 20, 22, 33, 60, 170, 400])
+        query = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+        drop = r.randint(0, n // 10)
+        other = r.randint(0, max(0, n // 10 - drop))
+        member = np.unique(np.append(query[drop:], np.array([r.getrandbits(64) for _ in range(other)], np.uint64)))
+        r_common = len(np.intersect1d(query, member))
+        if 100 * r_common >= 90 * (len(query) + len(member) - r_common):
+            assert np.intersect1d(set_join.columns_of(query), set_join.columns_of(member)).size
+    assert not len(set_join.columns_of(query[:8]))
