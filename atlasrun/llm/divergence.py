@@ -167,7 +167,8 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TO
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
     counted = named.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         _chunks, "lang string, source string, chunk string, times bigint, docs bigint, low bigint, high bigint")
-    chunks = stored(counted.groupBy(*_GROUP, "chunk").agg(
+    # Tasks have summed their own texts, so rows are dealt out as they are.
+    chunks = stored(counted.repartition(*_GROUP, "chunk").groupBy(*_GROUP, "chunk").agg(
         F.sum("times").alias("times"), F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high")), "chunks")
     cut = stored(chunks.select("chunk").distinct().mapInArrow(_terms, "chunk string, term string, times bigint"), "terms")
     counts = stored(chunks.withColumnRenamed("times", "n").join(cut, "chunk").groupBy(*_GROUP, "term").agg(
