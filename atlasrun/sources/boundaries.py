@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,6 +15,7 @@ from pyspark.sql.window import Window as W
 from ..functions.geometry import points_from_pairs
 from ..functions.names import code_keys, feature_id, split_labels
 from ..functions.arrays import present
+from .gate import admitted, violations
 
 POLYGON = "array<array<array<double>>>"
 MULTI_POLYGON = "array<array<array<array<double>>>>"
@@ -28,8 +33,8 @@ ID_PROPERTIES = ("NE_ID", "ne_id", "adm1_code", "shapeID")
 FEATURE_SCHEMA = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
 COLLECTION_SCHEMA = f"type string, features array<struct<{FEATURE_SCHEMA}>>"
 SHAPES = ("Polygon", "MultiPolygon")
-# Files from this size on do not fit in a record.
-MOST_BYTES = 2_000_000_000
+# Files from this size on do not fit in a record; they are read in pieces.
+MOST_BYTES, PIECE_BYTES = 2_000_000_000, 8 << 20
 
 
 def polygons_from(kind: Column, coordinates: Column) -> Column:
@@ -42,7 +47,7 @@ def polygons_from(kind: Column, coordinates: Column) -> Column:
 
 
 def _parsed(spark: SparkSession, paths: str | list[str], lines: bool) -> DataFrame:
-    """``file, block, row, feature, problem`` of every feature; one that cannot be used has a problem.
+    """``file, block, row, properties, geometry_type, polygons, problem`` of every feature; one that cannot be used has a problem.
 
     ``block`` is where the part of the file begins that Spark read as one, ``row`` the order inside it. Sorted by
     both, features are in file order, however files are split.
@@ -62,36 +67,33 @@ def _parsed(spark: SparkSession, paths: str | list[str], lines: bool) -> DataFra
         parsed = whole.select("file", "block", F.posexplode(F.coalesce("features", nothing)).alias("row", "feature"))
         broken = F.lit(False)
     shape = F.col("feature.geometry")
-    problem = (F.when(F.col("feature").isNull() | broken, "malformed").when(shape.isNull(), "no geometry")
-               .when(~F.coalesce(shape["type"].isin(*SHAPES), F.lit(False)), "not a polygon")
-               .when(polygons_from(shape["type"], shape["coordinates"]).isNull(), "malformed coordinates"))
-    return parsed.select("file", "block", F.col("row").cast("bigint").alias("row"), "feature", problem.alias("problem"))
+    parsed = parsed.select("file", "block", F.col("row").cast("bigint").alias("row"), F.col("feature.properties").alias("properties"), shape["type"].alias("geometry_type"),
+                           polygons_from(shape["type"], shape["coordinates"]).alias("polygons"), (F.col("feature").isNull() | broken).alias("_malformed"), shape.isNull().alias("_bare"))
+    problem = (F.when(F.col("_malformed"), "malformed").when(F.col("_bare"), "no geometry")
+               .when(~F.coalesce(F.col("geometry_type").isin(*SHAPES), F.lit(False)), "not a polygon")
+               .when(F.col("polygons").isNull(), "malformed coordinates"))
+    return parsed.withColumn("problem", problem).drop("_malformed", "_bare")
 
 
 def rejected_features(spark: SparkSession, paths: str | list[str], *, lines: bool = True) -> DataFrame:
     """Violations: what :func:`read_features` cannot use, with its file and the reason."""
-    return _parsed(spark, paths, lines).where("problem is not null").select(
-        F.lit("source").alias("rule"), F.col("file").alias("entity"), F.col("problem").alias("detail"))
+    return violations(_parsed(spark, paths, lines))
 
 
 def read_features(spark: SparkSession, paths: str | list[str], *, lines: bool = True) -> DataFrame:
     """Features of GeoJSON files: one per line (splittable, for large data) or whole collections.
 
     ``feature_pos`` orders features everywhere downstream: files by name, then places in the file, without gaps. It
-    does not depend on how files are split. A malformed feature or one without a polygon is an error;
-    :func:`rejected_features` lists them all. Features are numbered within each part of a file, after the
+    does not depend on how files are split. The sources are read here and now, through the gate (:mod:`.gate`): a malformed
+    feature or one without a polygon is an error whatever is read later, and all of them are set aside. Features are numbered within each part of a file, after the
     number of features in the parts before it.
     """
-    parsed = _parsed(spark, paths, lines)
+    parsed = admitted(_parsed(spark, paths, lines), "features")
     before = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)  # a row for each part of a file
     starts = parsed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select(
         "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     place = F.col("start") + F.row_number().over(W.partitionBy("file", "block").orderBy("row")) - 1
-    unusable = F.raise_error(F.concat_ws(": ", F.lit("unusable feature"), "file", "problem")).cast("bigint")
-    shape = F.col("feature.geometry")
-    return parsed.join(starts, ["file", "block"]).select(
-        F.when(F.col("problem").isNull(), place).otherwise(unusable).alias("feature_pos"), F.col("feature.properties").alias("properties"),
-        shape["type"].alias("geometry_type"), polygons_from(shape["type"], shape["coordinates"]).alias("polygons"))
+    return parsed.join(starts, ["file", "block"]).select(place.alias("feature_pos"), "properties", "geometry_type", "polygons")
 
 
 def _texts(names: tuple[str, ...]) -> list[Column]:
@@ -124,14 +126,29 @@ def _bare(path: str) -> str:
     return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/")
 
 
-def file_digests(spark: SparkSession, root: str) -> DataFrame:
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each file, read a piece at a time."""
+    for batch in batches:
+        found = []
+        for path in batch["path"].to_pylist():
+            store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path) if path.startswith("file:") else path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(place) as file:
+                while piece := file.read(PIECE_BYTES):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(found, pa.string())], names=["path", "sha256"])
+
+
+def file_digests(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``path, file, sha256`` of all files under a folder, or of one file; ``file`` is relative to the folder.
 
-    Each file is one record, read and hashed on an executor. One above 2 GB does not fit in a record: its digest is null.
+    Each file is hashed on an executor. One of ``most_bytes`` or more does not fit in a record and is read a piece at a time, by way
+    of Arrow's file systems (local or mounted paths, ``hdfs``, ``s3``, ``gs``); a task has one such file. Spark lists no files without a byte, so those are missing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    hashed = files.where(F.col("length") < MOST_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") >= MOST_BYTES).select("path", F.lit(None).cast("string").alias("sha256"))
+    hashed = files.where(F.col("length") < most_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") >= most_bytes).select("path").repartition("path").mapInArrow(_streamed, "path string, sha256 string")
     bare, top = F.regexp_replace("path", r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", ""), _bare(root)
     below = F.when(bare == top, F.regexp_extract(bare, r"([^/]+)$", 1)).otherwise(F.substr(bare, F.lit(len(top) + 2)))
     return hashed.unionByName(large).select("path", below.alias("file"), "sha256")
@@ -139,7 +156,7 @@ def file_digests(spark: SparkSession, root: str) -> DataFrame:
 
 def digest_violations(digests: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that differ from the digests pinned in the manifest (``file, sha256``), are missing, or are not listed there."""
-    have = digests.select("file", F.coalesce("sha256", F.lit("too large to hash")).alias("have"))
+    have = digests.select("file", F.col("sha256").alias("have"))
     joined = manifest.select("file", F.col("sha256").alias("want")).join(have, "file", "full_outer")
     detail = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "not listed").otherwise(F.col("have"))
     return joined.where(~F.col("have").eqNullSafe(F.col("want"))).select(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .gate import admitted, violations
+
 LOCATIONS = ("array<struct<id:string,iso3:string,name:string,geometryRefs:array<string>,anchor:array<double>,"
              "bounds:array<double>>>")
 QUIZZES = ("array<struct<id:string,name:string,description:string,category:string,locationIds:array<string>,"
@@ -14,13 +16,37 @@ QUIZZES = ("array<struct<id:string,name:string,description:string,category:strin
            "wrapActive:boolean,selectable:boolean>>>")
 
 
+def _parsed(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
+    """``file, place, row, problem``: the elements of JSON array files; a broken document is one row, and so is an empty one without place."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim(F.col("value"), F.lit(" \t\r\n\ufeff")).alias("text"))
+    options = {"columnNameOfCorruptRecord": "_broken"}
+    element = schema.removeprefix("array<").removesuffix(">")
+    files = texts.withColumns({"rows": F.from_json("text", schema, options), "parts": F.from_json("text", "array<string>", options)})
+    whole = F.col("text").startswith("[") & F.col("rows").isNotNull() & F.col("parts").isNotNull()
+    one = F.array(F.from_json(F.lit(None).cast("string"), element))
+    placed = files.select("file", whole.alias("_whole"), F.posexplode_outer(F.when(whole, F.col("rows")).otherwise(one)).alias("place", "row"))
+    problem = (F.when(~F.col("_whole"), "malformed").when(F.col("place").isNull(), None).when(F.col("row").isNull(), "not an object")
+               .when(F.coalesce(F.trim(F.col(f"row.{key}")), F.lit("")) == "", f"no {key}"))
+    return placed.select("file", "place", "row", problem.alias("problem"))
+
+
+def rejected_documents(spark: SparkSession, path: str, schema: str = LOCATIONS) -> DataFrame:
+    """Violations: documents that are no JSON arrays, and elements that are no objects or have no id."""
+    return violations(_parsed(spark, path, schema))
+
+
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of JSON array files, numbered without gaps over files by name and places in a file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("rows"))
+    """Elements of JSON array files, numbered without gaps over files by name and places in a file.
+
+    They are read here and now, through the gate (:mod:`.gate`): a malformed document is an error, not an empty one.
+    """
+    rows = admitted(_parsed(spark, path, schema), "documents")
+    if rows.isEmpty():  # also a document without a byte
+        raise ValueError(f"no document in {path}")
+    rows = rows.where("place is not null")
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
-    starts = files.select("file", F.coalesce(F.sum(F.size("rows")).over(before), F.lit(0)).alias("start"))
-    placed = files.join(starts, "file").select("start", F.posexplode("rows").alias("place", "row"))
-    return placed.select((F.col("start") + F.col("place")).alias("pos"), "row.*")
+    starts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(starts, "file").select((F.col("start") + F.col("place")).alias("pos"), "row.*")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -46,8 +72,15 @@ def location_refs(locations: DataFrame) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Candidate rows of quoted CSV files; absent values are empty, flags boolean, codes an array."""
-    rows = spark.read.csv(path, header=True, quote='"', escape='"').na.fill("")
+    """Candidate rows of quoted CSV files; absent values are empty, flags boolean, codes an array.
+
+    Lines with too few or too many fields and rows without a name are an error, here and now.
+    """
+    header = spark.read.csv(path, header=True, quote='"', escape='"').schema
+    read = spark.read.schema(f"{header.simpleString()[7:-1].replace(':', ' ')}, _broken string")
+    parsed = read.csv(path, header=True, quote='"', escape='"', columnNameOfCorruptRecord="_broken", enforceSchema=False)
+    problem = F.when(F.col("_broken").isNotNull(), "malformed line").when(F.coalesce(F.trim("entity"), F.lit("")) == "", "no entity")
+    rows = admitted(parsed.select(F.col("_metadata.file_path").alias("file"), "*", problem.alias("problem")).drop("_broken"), "candidates").drop("file").na.fill("")
     codes = F.filter(F.transform(F.split("iso_3166_2_codes", ";"), lambda c: F.trim(c)), lambda c: c != "")
     flags = {name: F.col(name).try_cast("boolean") for name in ("iso_3166_1", "un_m49", "world_bank", "iso_3166_2_autonomous")}
     return rows.withColumns({**flags, "source_count": F.col("source_count").try_cast("int"), "codes": codes,
@@ -58,8 +91,8 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Reviewed references (``location_id, ref_pos, feature_id``) from a document keyed by location."""
     from ..operators.resolve import override_rows
 
-    return override_rows(spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "map<string,array<string>>").alias("overrides")))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,array<string>>").alias("overrides"))
+    return override_rows(admitted(texts.withColumn("problem", F.when(F.col("overrides").isNull(), "malformed")), "overrides").select("overrides"))
 
 
 def read_quizzes(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlasrun.operators import quality, resolve, rings
-from atlasrun.sources import artifacts, boundaries, config
+from atlasrun.sources import artifacts, boundaries, config, gate
 
 SQUARE = [[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]]]
 HOLED = [SQUARE[0], [[2.0, 2.0], [4.0, 2.0], [4.0, 4.0], [2.0, 2.0]]]
@@ -145,8 +145,50 @@ def test_unusable_features(spark, tmp_path, lines):
         (tmp_path / "g.json").write_text('{"features": [')
     found = sorted(r.detail for r in boundaries.rejected_features(spark, str(tmp_path), lines=lines).collect())
     assert found == ["malformed", "malformed coordinates", "no geometry", "no geometry", "not a polygon"]
-    with pytest.raises(Exception, match="unusable feature"):
-        boundaries.read_features(spark, str(tmp_path), lines=lines).collect()
+    # Nothing is handed out, however little of it would be read.
+    with pytest.raises(gate.SourceFault, match="unusable features: 5 faults") as caught:
+        boundaries.read_features(spark, str(tmp_path), lines=lines).select("polygons")
+    assert sorted(r.detail for r in gate.quarantined(spark, caught.value).collect()) == found
+
+
+@pytest.mark.parametrize("read", [lambda t: t.count(), lambda t: t.select("polygons").collect(), lambda t: t.limit(1).collect()])
+def test_no_read_is_too_narrow_for_the_gate(spark, tmp_path, read):
+    path = tmp_path / "f.json"
+    path.write_text("\n".join([*map(json.dumps, FEATURES), '{"type": "Feat']))
+    with pytest.raises(gate.SourceFault):
+        read(boundaries.country_features(boundaries.read_features(spark, str(path))))
+    path.write_text("\n".join(map(json.dumps, FEATURES)))
+    read(boundaries.country_features(boundaries.read_features(spark, str(path))))
+
+
+def test_broken_documents_are_told(spark, tmp_path):
+    texts = {"a": '[{"id": "x", "name": "X"}]', "b": "[]", "c": " ", "d": "{}", "e": '[{"id": "y"}', "f": '[{"id": "y"}, {"name": "Z"}, {"id": " "}, 7]', "g": '{"id": "q"}'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = sorted((r.entity[-6:-5], r.detail) for r in config.rejected_documents(spark, str(tmp_path)).collect())
+    assert [g for g in got if g[0] not in "f"] == [("c", "malformed"), ("d", "malformed"), ("e", "malformed"), ("g", "malformed")]
+    assert ("f", "no id") in got or ("f", "malformed") in got
+    with pytest.raises(gate.SourceFault, match="malformed"):
+        config.read_catalog(spark, str(tmp_path))
+    assert [r.location_id for r in config.read_catalog(spark, str(tmp_path / "a.json")).collect()] == ["x"]
+    assert config.read_catalog(spark, str(tmp_path / "b.json")).count() == 0
+    (tmp_path / "empty.json").write_text("")
+    with pytest.raises(ValueError, match="no document"):
+        config.read_catalog(spark, str(tmp_path / "empty.json"))
+    for name, broken, read in (("q", '[{"id": "w"', config.read_quizzes), ("l", "nonsense", config.read_locations), ("o", '{"a": ["x"]', config.read_overrides),
+                               ("c", "entity,source_count,iso_3166_2_codes\nA,1,x\nB,1,x,too,many\n", config.read_candidates)):
+        with pytest.raises(gate.SourceFault):
+            path = tmp_path / f"broken-{name}"
+            path.write_text(broken)
+            read(spark, str(path))
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    for k, size in enumerate((5, 1, 70_000, 20 << 20)):
+        (tmp_path / f"f {k}.bin").write_bytes(bytes([k]) * size)
+    plain = {r.file: r.sha256 for r in boundaries.file_digests(spark, str(tmp_path)).collect()}
+    assert plain == {f"f {k}.bin": hashlib.sha256((tmp_path / f"f {k}.bin").read_bytes()).hexdigest() for k in range(4)}
+    assert {r.file: r.sha256 for r in boundaries.file_digests(spark, str(tmp_path), most_bytes=2).collect()} == plain
 
 
 def test_positions_do_not_depend_on_splits(spark, tmp_path):
