@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
-from ..streaming import board, scorer
+from ..streaming import board, live, scorer
 from .registry import query, with_views
-from .run_queries import ANSWER_CHECK, ANSWER_COLUMNS, PLAY, RESULTS, answer_log, answer_scope, target_orders
-from .views import ATTEMPTS, Tables
+from .run_queries import ANSWER_CHECK, ANSWER_COLUMNS, PLAY, RESULTS, SEGMENTS, _exact_credit, answer_log, answer_scope, target_orders
+from .views import ACTIONS, ATTEMPTS, Tables
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,12 +42,12 @@ def _events(t: Tables) -> DataFrame:
             .parquet(t.folder))
 
 
-def _stream(t: Tables) -> DataFrame:
+def _stream(t: Tables, view: str = "attempts") -> DataFrame:
     """The event table as a stream of actions, in a session of its own."""
     streamed = _streaming(t)
     source, table = _events(streamed), streamed.read
     streamed.read = lambda name: source if name == "events" else table(name)
-    return streamed.attempts
+    return getattr(streamed, view)
 
 
 def _finish(events: DataFrame, t: Tables) -> DataFrame:
@@ -101,3 +101,38 @@ def stream_board(t: Tables) -> DataFrame:
     done = scorer.completed(scorer.score_stream(_stream(t), implicit_start=0.0))
     board.start_board(done, f"{folder}/boards", f"{folder}/state").awaitTermination()
     return board.read_boards(t.spark, f"{folder}/boards").select("quiz_id", "score", "elapsed_ms", "username")
+
+
+@query("stream_live", with_views(ATTEMPTS, PLAY, body="""
+SELECT run_id, max(seq) AS seq, max(correct)::BIGINT AS correct, max(completed)::BIGINT AS completed, min(total - completed)::BIGINT AS remaining,
+       arg_max(CASE WHEN completed > 0 THEN score / completed ELSE 0 END, seq)::DOUBLE AS accuracy, arg_max(CASE WHEN closes THEN 3 ELSE 3 - attempt END, seq)::BIGINT AS attempts_left
+FROM (SELECT *, sum(is_correct::INT) OVER w AS correct, sum(closes::INT) OVER w AS completed, sum(credit) OVER w AS score
+      FROM answers WINDOW w AS (PARTITION BY run_id ORDER BY seq)) GROUP BY run_id"""))
+def stream_live(t: Tables) -> DataFrame:
+    """The current status of every run, kept in update mode."""
+    folder = _folder(t)
+    live.start_live(scorer.live(_stream(t), implicit_start=0.0), f"{folder}/live", f"{folder}/state").awaitTermination()
+    return live.read_live(t.spark, f"{folder}/live").drop("segment")
+
+
+@query("stream_segments", with_views(ACTIONS, SEGMENTS, body="""
+SELECT run_id, seq, segment, reason,
+       CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN type = 'reset' THEN 'reset' WHEN type = 'start' THEN 'started'
+            WHEN seq = end_seq THEN 'completed' WHEN type = 'read-elapsed' THEN 'elapsed' ELSE 'accepted' END AS event FROM evt"""))
+def stream_segments(t: Tables) -> DataFrame:
+    """Every action of the full log, with starts, resets and forced ends, as the stream takes it."""
+    return _finish(scorer.score_stream(_stream(t, "actions")), t).select("run_id", "seq", "segment", "reason", "event")
+
+
+@query("stream_force_complete", with_views(ACTIONS, SEGMENTS, body=f"""
+SELECT run_id, segment, quiz_id, total, score, missed, elapsed_ms, {_exact_credit('score', 'total', 'elapsed_ms')} AS final_score
+FROM (SELECT run_id, segment, max(quiz_id) AS quiz_id, max(total)::BIGINT AS total,
+        coalesce(sum(CASE WHEN reason IS NULL AND closes AND is_correct THEN CASE attempt WHEN 1 THEN 1 WHEN 2 THEN 0.5 ELSE 0.25 END END), 0)::DOUBLE AS score,
+        max(total)::BIGINT - count(*) FILTER (WHERE reason IS NULL AND closes AND is_correct) AS missed,
+        (max(CASE WHEN seq = end_seq THEN ts_ms END) - max(started_at))::DOUBLE AS elapsed_ms
+      FROM evt WHERE start_seq IS NOT NULL GROUP BY run_id, segment HAVING bool_or(seq = end_seq AND type = 'complete-debug'))"""))
+def stream_force_complete(t: Tables) -> DataFrame:
+    """Results of the runs that an action has ended before their last target."""
+    events = scorer.score_stream(_stream(t, "actions"))
+    forced = _finish(events.where("event = 'completed' and attempt is null"), t)
+    return scorer.completed(forced).select("run_id", "segment", "quiz_id", "total", "score", "missed", "elapsed_ms", "final_score")

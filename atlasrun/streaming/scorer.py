@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ OUTPUT = ("run_id bigint, quiz_id bigint, segment bigint, seq bigint, event stri
           "credit double, target_pos bigint, correct bigint, completed bigint, remaining bigint, running_accuracy double, "
           "attempts_left bigint, total bigint, score double, missed bigint, perfect bigint, eventually_correct bigint, "
           "elapsed_ms double, completed_at double")
+#: Events of a run that leave the state step together.
+ROWS = 10_000
 COLUMNS = tuple(field.split()[0] for field in OUTPUT.split(", "))
 
 
@@ -136,37 +139,106 @@ class Run:
             "elapsed_ms": self.clock - self.started_at if done else None, "completed_at": self.clock if done else None}
 
 
+class Action:
+    """One action, as :class:`Run` reads it."""
+
+    __slots__ = ("quiz_id", "seq", "type", "ts_ms", "is_correct", "total", "answer_id", "targets")
+
+
+class Actions:
+    """The actions of one run in a trigger: two numbers and a few codes each, however many come, and every value once.
+
+    Chunks come in any order. Columns whose values repeat are held as codes of values, so the memory is about 40 bytes for an action.
+    """
+
+    CODED = ("quiz_id", "type", "is_correct", "total", "answer_id", "targets")
+
+    def __init__(self):
+        self.seq, self.moment, self.codes = [], [], {c: [] for c in self.CODED}
+        self.values = {c: [None] for c in self.CODED}
+        self.known = {c: {} for c in self.CODED}
+
+    def _coded(self, name: str, column: pd.Series) -> np.ndarray:
+        known, values, out = self.known[name], self.values[name], np.zeros(len(column), np.int32)
+        for k, value in enumerate(column):
+            if not hasattr(value, "__len__") and pd.isna(value):
+                continue
+            key = tuple(value) if name == "targets" else value
+            code = known.get(key)
+            if code is None:
+                code = known[key] = len(values)
+                values.append(list(key) if name == "targets" else value)
+            out[k] = code
+        return out
+
+    def add(self, chunk: pd.DataFrame) -> None:
+        self.seq.append(np.array(chunk["seq"], np.int64))
+        self.moment.append(np.array(pd.to_numeric(chunk["ts_ms"]), np.float64))
+        for name in self.CODED:
+            self.codes[name].append(self._coded(name, chunk[name]))
+
+    def in_order(self) -> Iterator[Action]:
+        """The actions by ``seq``; each is gone with the next."""
+        seq, moment = np.concatenate(self.seq), np.concatenate(self.moment)
+        codes = {c: np.concatenate(x) for c, x in self.codes.items()}
+        self.seq = self.moment = self.codes = None
+        order, action = np.argsort(seq, kind="stable"), Action()
+        for low in range(0, len(order), ROWS):
+            part = order[low:low + ROWS]
+            columns = [[self.values[c][k] for k in codes[c][part].tolist()] for c in self.CODED]
+            for action.seq, action.ts_ms, *rest in zip(seq[part].tolist(), moment[part].tolist(), *columns):
+                action.quiz_id, action.type, action.is_correct, action.total, action.answer_id, action.targets = rest
+                yield action
+
+
 class RunScorer(StatefulProcessor):
     """Applies :class:`Run` to the actions of a run, in ``seq`` order within a batch.
 
+    What a hot run brings in one trigger is held in arrays, and its events leave in frames of ``ROWS``. With ``latest`` only the last status of a trigger leaves.
     With ``keep_ms``, the state of a run is dropped that long after its last action.
     """
 
-    def __init__(self, implicit_start: float | None = None, keep_ms: int | None = None):
-        self.implicit_start, self.keep_ms = implicit_start, keep_ms
+    def __init__(self, implicit_start: float | None = None, keep_ms: int | None = None, latest: bool = False):
+        self.implicit_start, self.keep_ms, self.latest = implicit_start, keep_ms, latest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState("run", STATE, self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        actions = Actions()
+        for chunk in rows:
+            actions.add(chunk)
         run = Run(self.run.get() if self.run.exists() else None, self.implicit_start)
-        emitted = [{"run_id": key[0], "quiz_id": action.quiz_id, "seq": action.seq, **run.apply(action)}
-                   for action in batch.itertuples(index=False)]
+        emitted: list[tuple] = []
+        for action in actions.in_order():
+            row = {"run_id": key[0], "quiz_id": action.quiz_id, "seq": action.seq, **run.apply(action)}
+            if self.latest:
+                if row["attempt"] is not None:
+                    emitted = [tuple(map(row.__getitem__, COLUMNS))]
+                continue
+            emitted.append(tuple(map(row.__getitem__, COLUMNS)))
+            if len(emitted) == ROWS:
+                yield _frame(emitted)
+                emitted = []
         self.run.update(run.state())
-        # Object columns keep whole numbers beside missing ones; Arrow gives them their types.
-        yield pd.DataFrame({c: pd.Series([row[c] for row in emitted], dtype=object) for c in COLUMNS})
+        if emitted:
+            yield _frame(emitted)
 
     def close(self) -> None:
         pass
 
 
-def score_stream(actions: DataFrame, implicit_start: float | None = None, keep_ms: int | None = None) -> DataFrame:
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Object columns keep whole numbers beside missing ones; Arrow gives them their types."""
+    return pd.DataFrame({c: pd.Series(values, dtype=object) for c, values in zip(COLUMNS, zip(*rows))})
+
+
+def score_stream(actions: DataFrame, implicit_start: float | None = None, keep_ms: int | None = None, latest: bool = False) -> DataFrame:
     """Events of a stream of actions (``run_id, quiz_id, seq, type, ts_ms, is_correct, total``).
 
     Actions with ``answer_id`` and ``targets`` (see :func:`score_answers`) are judged here, by the target then open.
     What a start action says of targets or total holds until the next reset. ``keep_ms`` limits how long the state
-    of a run is kept after its last action; without it, state stays.
+    of a run is kept after its last action; without it, state stays. ``latest`` is for :func:`live`.
     """
     has = set(actions.columns)
 
@@ -176,7 +248,7 @@ def score_stream(actions: DataFrame, implicit_start: float | None = None, keep_m
     needed = actions.select("run_id", "quiz_id", "seq", "type", F.col("ts_ms").cast("double").alias("ts_ms"), given("is_correct", "boolean"), given("total", "bigint"),
                             given("answer_id", "string"), given("targets", "array<string>"))
     events = needed.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=RunScorer(implicit_start, keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None")
+        statefulProcessor=RunScorer(implicit_start, keep_ms, latest), outputStructType=OUTPUT, outputMode="Update" if latest else "Append", timeMode="ProcessingTime" if keep_ms else "None")
     ended = F.col("event") == "completed"
     return events.withColumns({
         "accuracy": F.when(ended, F.col("score") / F.col("total")),
@@ -211,3 +283,8 @@ def status(events: DataFrame) -> DataFrame:
     """Live run status after each taken answer."""
     return events.where(F.col("attempt").isNotNull()).select(
         "run_id", "segment", "seq", "correct", "completed", "remaining", F.col("running_accuracy").alias("accuracy"), "attempts_left")
+
+
+def live(actions: DataFrame, implicit_start: float | None = None, keep_ms: int | None = None) -> DataFrame:
+    """Live run status in update mode: the current row of each run that a trigger has changed. See :mod:`.live`."""
+    return status(score_stream(actions, implicit_start, keep_ms, latest=True))

@@ -4,7 +4,7 @@ import pytest
 
 from atlasrun.operators import leaderboard, runs
 from atlasrun.sources.actions import ACTION_SCHEMA, read_actions, stream_actions
-from atlasrun.streaming import board, scorer
+from atlasrun.streaming import board, live, scorer
 from test_runs import random_log
 
 
@@ -66,3 +66,62 @@ def test_streams_run_under_any_session(spark):
     plain.conf.set(STATE_STORE, default)
     assert all_queries()["stream_status"](plain, "/root/testdata/sf0.001").count() > 0
     assert plain.conf.get(STATE_STORE) == default
+
+
+def test_live_batches_are_upserts(spark, tmp_path):
+    def rows(*some):
+        return spark.createDataFrame([(run, 0, seq, seq, seq, 9 - seq, 0.5, 3) for run, seq in some], live.COLUMNS)
+
+    path = str(tmp_path / "live")
+    batches = [[(1, 1), (2, 1)], [(1, 2), (1, 3)], [(3, 1)], [(2, 4)], [(1, 5)], [(3, 2), (4, 7)], [(5, 1)]]
+    want = {}
+    for batch_id, some in enumerate(batches):
+        for turn in range(2 if batch_id in (1, 3, 5) else 1):  # some come again, merges included
+            live.merge_live(rows(*some), batch_id, path, merge_every=2)
+        for run, seq in some:
+            want[run] = seq
+        assert {r.run_id: r.seq for r in live.read_live(spark, path).collect()} == want
+    bases, changes = live._written(spark, path)
+    assert sorted(bases) == [3, 5] and sorted(changes) == [4, 5, 6]
+    assert live.read_live(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_live_stream_keeps_one_row_per_run(spark, tmp_path):
+    rows = random_log(5, run_count=6, length=50)
+    path = written(spark, tmp_path, rows, 4)
+    live.start_live(scorer.live(stream_actions(spark, path, max_files=1)), f"{tmp_path}/live", f"{tmp_path}/state", merge_every=2).awaitTermination()
+    last = {}
+    for r in runs.live_status(runs.replay(read_actions(spark, path))).orderBy("seq").collect():
+        last[r.run_id] = tuple(r)
+    assert last and {r.run_id: tuple(r) for r in live.read_live(spark, f"{tmp_path}/live").select(*runs.live_status(runs.replay(read_actions(spark, path))).columns).collect()} == last
+
+
+def test_a_hot_run_is_held_in_arrays():
+    """700,000 actions of one run in one trigger: small arrays in any order of arrival, events in frames, the same as in order."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    count, r = 700_000, np.random.default_rng(3)
+    order = r.permutation(count)
+    right = r.random(count) < 0.3
+
+    def chunk(some):
+        return pd.DataFrame({"run_id": 1, "quiz_id": 7, "seq": some, "type": np.where(some % 5 == 0, "read-elapsed", "submit"), "ts_ms": some.astype(float),
+                             "is_correct": [bool(x) for x in right[some]], "total": 400_000, "answer_id": None, "targets": None})
+
+    tracemalloc.start()
+    actions = scorer.Actions()
+    for low in range(0, count, 10_000):
+        actions.add(chunk(order[low:low + 10_000]))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 60 * count
+    run, seen, score = scorer.Run(None, 0.0), 0, 0
+    for action in actions.in_order():
+        assert action.seq == seen and action.is_correct == right[seen]
+        seen += 1
+        if seen <= 3000:
+            score = run.apply(action)["completed"]
+    assert seen == count and 0 < score < 3000
