@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("run_queries", "geometry_queries", "resolve_queries", "quality_queries", "stream_queries")
+_MODULES = ("run_queries", "geometry_queries", "resolve_queries", "quality_queries", "stream_queries", "source_queries")
 
 
 def _load() -> None:
