@@ -179,6 +179,11 @@ def ring_span(points: Column, width: Column) -> Column:
     return F.greatest(wrapped_x_span(points, width), F.array_max(ys(points)) - F.array_min(ys(points)))
 
 
+def path_span(rings: Column, width: Column) -> Column:
+    """The largest seam-aware span of the sub-paths of a path (a list of vertex lists)."""
+    return F.array_max(F.transform(rings, lambda ring: ring_span(ring, width)))
+
+
 def unwrap_start(points: Column, width: Column) -> Column:
     """The x at which the ring begins once the world is cut at its largest empty arc."""
     def start(v: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Splits a double into two 26-bit halves so that products have no rounding error.
 SPLIT = 134217729.0
 # From here up, doubles have no digits beyond the second decimal that could be rounded.
@@ -44,14 +46,18 @@ def number_text(value: Column) -> Column:
     The digits are those of the engine's shortest text, with the point moved by its exponent. A value that is
     missing or not finite has no such text and is an error, so that a list of numbers never loses one.
     """
-    text = F.abs(value.cast("double")).cast("string")
-    mantissa, exponent = F.substring_index(text, "E", 1), F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    point = F.instr(mantissa, ".") - 1 + exponent
-    plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-             .otherwise(F.concat(F.substr(F.rpad(digits, F.greatest(point, F.length(digits)), F.lit("0")), F.lit(1), point), F.lit("."),
-                                 F.substr(digits, point + 1))))
-    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    finite = F.abs(value) < float("inf")
-    signed = F.concat(F.when(value < 0, "-").otherwise(""), short)
-    return F.when(F.coalesce(finite, F.lit(False)), signed).otherwise(F.raise_error(F.concat(F.lit("not a finite number: "), F.coalesce(value.cast("string"), F.lit("null")))))
+    def written(text: Column) -> Column:
+        mantissa, exponent = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).try_cast("int")
+        digits = F.replace(mantissa, F.lit("."), F.lit(""))
+        point = F.instr(mantissa, ".") - 1 + exponent
+        moved = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+                 .otherwise(F.concat(F.substr(F.rpad(digits, F.greatest(point, F.length(digits)), F.lit("0")), F.lit(1), point), F.lit("."),
+                                     F.substr(digits, point + 1))))
+        # Most numbers have no exponent, and then an idle zero only stands alone behind the point.
+        return (F.when(F.endswith(text, F.lit(".0")), F.substr(text, F.lit(1), F.length(text) - 2)).when(~F.contains(text, F.lit("E")), text)
+                .otherwise(F.regexp_replace(F.regexp_replace(moved, r"(\.\d*?)0+$", "$1"), r"\.$", "")))
+
+    number = value.cast("double")
+    signed = F.concat(F.when(number < 0, "-").otherwise(""), let(F.abs(number).cast("string"), written))
+    finite = F.coalesce(F.abs(number) < float("inf"), F.lit(False))
+    return F.when(finite, signed).otherwise(F.raise_error(F.concat(F.lit("not a finite number: "), F.coalesce(value.cast("string"), F.lit("null")))))

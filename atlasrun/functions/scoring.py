@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .numbers import fixed2
 
 # Three attempts per target and the credit of each; the score loses 25/9 per second.
@@ -41,15 +42,27 @@ def final_score(accuracy_hundredths: Column, seconds: Column) -> Column:
 
     The accuracy is scaled to a whole number, so fractional accuracies round correctly too.
     """
-    unit = F.lit(10 ** ACCURACY_PLACES).cast("decimal(18,0)")
-    units = (accuracy_hundredths.cast(f"decimal(30,{ACCURACY_PLACES})") * unit).cast("decimal(30,0)")
-    whole = seconds.cast("decimal(10,0)")
-    numerator = (units * PENALTY_DENOMINATOR - whole * unit * PENALTY_NUMERATOR).cast("decimal(36,0)")
-    denominator = (unit * PENALTY_DENOMINATOR).cast("decimal(19,0)")
+    # Hundredths as a whole number of the last place: a cast that moves the point, not a product of wide decimals.
+    unit = 10 ** ACCURACY_PLACES
+    scaled = F.struct(F.floor(accuracy_hundredths.cast(f"decimal(30,{ACCURACY_PLACES})")).cast("decimal(13,0)").alias("whole"),
+                      accuracy_hundredths.cast(f"decimal(30,{ACCURACY_PLACES})").alias("all"))
+    rest = F.lit(unit).cast("decimal(18,0)")
+
+    def rounded(x: Column) -> Column:
+        units = (x["all"] * rest).cast("decimal(30,0)")
+        loss = seconds.cast("decimal(10,0)") * F.lit(unit * PENALTY_NUMERATOR).cast("decimal(20,0)")
+        return let((units * PENALTY_DENOMINATOR - loss).cast("decimal(36,0)"), lambda n: _half_up(n, F.lit(unit * PENALTY_DENOMINATOR).cast("decimal(19,0)")))
+
+    def exact(x: Column) -> Column:
+        """Whole accuracies, the most, take whole-number arithmetic."""
+        points = x["whole"].cast("bigint") * PENALTY_DENOMINATOR - seconds.cast("bigint") * PENALTY_NUMERATOR
+        small = (x["all"] == x["whole"]) & (x["whole"] < 10 ** 12) & (seconds < 10 ** 12)
+        return F.when(small, _half_up(points, F.lit(PENALTY_DENOMINATOR).cast("bigint"))).otherwise(rounded(x))
+
     accuracy = accuracy_hundredths.cast("double")
     time = seconds.cast("double")
     value = _checked(time.isNull() | (time < 0) | (time != F.floor(time)),
-                     "elapsed seconds must be a nonnegative integer", _half_up(numerator, denominator))
+                     "elapsed seconds must be a nonnegative integer", let(scaled, exact))
     return _checked(accuracy.isNull() | F.isnan(accuracy) | (accuracy < 0) | (accuracy == float("inf")),
                     "accuracy hundredths must be nonnegative and finite", value)
 

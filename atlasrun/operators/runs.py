@@ -11,9 +11,11 @@ length is spread over many tasks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.scoring import ATTEMPTS, CREDITS, credit_for, final_score_from_credit
 from ..session import cut_lineage
 from .prefix import BLOCK, BLOCK_SIZE, block_window, earlier_blocks, running_before, with_blocks
@@ -292,6 +294,29 @@ def _with_results(summary: DataFrame, completed_at: Column) -> DataFrame:
         final_score_from_credit(F.col("score"), F.col("total"), elapsed).alias("final_score"))
 
 
+#: How a target was closed, as a letter: the verdicts of the answers it took; the last two are of targets still open.
+_TAKEN = {"1": (True,), "2": (False, True), "3": (False, False, True), "0": (False, False, False), "a": (False,), "b": (False, False)}
+
+
+def _closed_target(state: Column, number: Column) -> Column:
+    """One target of a segment: how many answers it takes, from the place the last one left off. The state stays a place and a letter for each target."""
+    target, left = F.get(F.col("targets"), number), F.size("answers") - state["place"]
+
+    def right(k: int) -> Column:
+        return F.get(F.col("answers"), state["place"] + k)["answer_id"].eqNullSafe(target)
+
+    letter = (F.when(left <= 0, "").when(right(0), "1").when(left == 1, "a").when(right(1), "2").when(left == 2, "b").when(right(2), "3").otherwise("0"))
+    return let(letter, lambda c: F.struct(
+        (state["place"] + F.when(c == "", 0).when(c.isin("1", "a"), 1).when(c.isin("2", "b"), 2).otherwise(ATTEMPTS)).alias("place"), F.concat(state["closed"], c).alias("closed")))
+
+
+def _verdicts(closed: Column) -> Column:
+    """The verdicts of a segment's answers in order, from the letters of its targets."""
+    taken = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in _TAKEN.items() for x in pair))
+    letters = F.filter(F.split(closed, ""), lambda c: c != "")
+    return F.flatten(F.transform(letters, lambda c: F.element_at(taken, c)))
+
+
 def judge_answers(actions: DataFrame, orders: DataFrame, block_size: int = BLOCK_SIZE,
                   implicit_start_ms: int | None = None, resets: bool = True) -> DataFrame:
     """Turn a log of answers into one with verdicts, given the target order of each segment.
@@ -300,7 +325,7 @@ def judge_answers(actions: DataFrame, orders: DataFrame, block_size: int = BLOCK
     ``segment`` and the array ``targets``. Whether an answer is right depends on the target then open,
     which depends on all earlier answers. A run is over after at most three answers per target, so
     after the time gate only that many rows of a segment can matter; they are gathered into one row
-    and folded over, and later answers only need to be known as valid.
+    and walked target by target, and later answers only need to be known as valid.
     """
     rows = actions.withColumn("is_correct", F.when(F.col("answer_id").isNotNull(), F.lit(False)))
     rows = reason_before_answers(run_clock(rows, resets=resets, implicit_start_ms=implicit_start_ms, block_size=block_size))
@@ -309,21 +334,14 @@ def judge_answers(actions: DataFrame, orders: DataFrame, block_size: int = BLOCK
     deciding = (rows.where(valid & (F.col("_earlier") < F.col("total") * ATTEMPTS))
                 .groupBy(*SEGMENT)
                 .agg(F.array_sort(F.collect_list(F.struct("seq", "answer_id"))).alias("answers")))
-    start = F.struct(F.lit(0).alias("place"), F.lit(0).alias("spent"),
-                     F.array().cast("array<struct<seq:bigint,is_correct:boolean>>").alias("verdicts"))
-
-    def step(state: Column, answer: Column) -> Column:
-        right = answer["answer_id"].eqNullSafe(F.get(F.col("targets"), state["place"]))
-        closed = right | (state["spent"] + 1 >= ATTEMPTS)
-        verdict = F.struct(answer["seq"].cast("bigint").alias("seq"), right.alias("is_correct"))
-        return F.struct((state["place"] + closed.cast("int")).alias("place"),
-                        F.when(closed, 0).otherwise(state["spent"] + 1).alias("spent"),
-                        F.concat(state["verdicts"], F.array(verdict)).alias("verdicts"))
-
     by = SEGMENT if "segment" in orders.columns else RUN  # without segments, the order holds for all of a run
+    folded = F.aggregate(F.sequence(F.lit(0), F.size("targets") - 1), F.struct(F.lit(0).alias("place"), F.lit("").alias("closed")), _closed_target)["closed"]
+    closed = F.when(F.size("targets") > 0, folded).otherwise("")
     verdicts = (deciding.join(orders.select(*by, "targets"), by)
-                .select("run_id", F.inline(F.aggregate("answers", start, step)["verdicts"]))
-                .withColumnRenamed("is_correct", "_verdict"))
+                .select("run_id", "answers", _verdicts(closed).alias("verdicts"))
+                .select("run_id", F.explode(F.zip_with(F.slice("answers", F.lit(1), F.size("verdicts")), "verdicts", lambda answer, right: F.struct(
+                    answer["seq"].cast("bigint").alias("seq"), right.alias("_verdict")))).alias("v"))
+                .select("run_id", "v.seq", "v._verdict"))
     known = actions.join(verdicts, ["run_id", "seq"], "left")
     return known.withColumn(
         "is_correct", F.coalesce(F.col("_verdict"), F.when(F.col("answer_id").isNotNull(), F.lit(False)))
@@ -352,16 +370,27 @@ def seeded_draws(seed: int, key: Column, count: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), draw)).otherwise(F.array().cast("array<double>"))
 
 
+def _places(sizes: pd.Series, draws: pd.Series) -> pd.Series:
+    """For each array the places of its items after all swaps."""
+    out = []
+    for size, drawn in zip(sizes, draws):
+        order = list(range(int(size)))
+        for turn, last in enumerate(range(len(order) - 1, 0, -1)):
+            draw = drawn[turn] if drawn is not None and turn < len(drawn) else None
+            if draw is None or not 0 <= draw < 1:
+                raise ValueError("draws must be finite and in [0, 1)")
+            pick = int(draw * (last + 1))
+            order[last], order[pick] = order[pick], order[last]
+        out.append(order)
+    return pd.Series(out, dtype=object)
+
+
 def shuffle_ids(ids: Column, draws: Column) -> Column:
-    """Permute an id array: from the last place down, swap with the place its draw picks."""
-    def swap(state: Column, turn: Column) -> Column:
-        last = F.size(ids) - 1 - turn
-        draw = F.get(draws, turn)
-        usable = draw.isNotNull() & ~F.isnan(draw) & (draw >= 0) & (draw < 1)
-        pick = F.when(usable, F.floor(draw * (last + 1)).cast("int")).otherwise(
-            F.raise_error(F.lit("draws must be finite and in [0, 1)")).cast("int"))
-        return F.transform(state, lambda item, at: F.when(at == last, F.get(state, pick))
-                           .when(at == pick, F.get(state, last)).otherwise(item))
-
-    turns = F.when(F.size(ids) > 1, F.sequence(F.lit(0), F.size(ids) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(turns, ids, swap)
+    """Permute an id array: from the last place down, swap with the place its draw picks.
+
+    Each swap depends on all before it, and column functions copy the array for each; so the places come from a small Arrow function, linear in
+    their number.
+    """
+    size = F.greatest(F.coalesce(F.size(ids), F.lit(0)), F.lit(0))
+    places = F.pandas_udf(_places, "array<int>")(size, draws)
+    return F.when(ids.isNotNull(), F.transform(places, lambda place: F.get(ids, place)))

@@ -8,17 +8,30 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.arrays import let
 from ..session import cut_lineage
 from .graph import connected_components
-from .grid import owns_pair, place, range_cells
+from .grid import place
 
 PLACE = ["location_id", "degenerate"]
 
 
+def path_components(paths: DataFrame) -> DataFrame:
+    """Components from path texts (``location_id, path_pos, path``): one for each sub-path, with its place.
+
+    ``component_id`` names location, path and ring; ``pos`` orders a location's components by path and ring. A location is
+    one group here, as its paths are one document.
+    """
+    rings = paths.select("location_id", "path_pos", F.posexplode(G.path_rings(F.col("path"))).alias("ring_pos", "points"))
+    order = Window.partitionBy("location_id").orderBy("path_pos", "ring_pos")
+    name = F.concat_ws(":", *(F.col(c).cast("string") for c in ("location_id", "path_pos", "ring_pos")))
+    return rings.select("location_id", "path_pos", "ring_pos", name.alias("component_id"), (F.row_number().over(order) - 1).cast("bigint").alias("pos"), "points")
+
+
 def component_table(components: DataFrame, *, width: float, scale: float, seam_x: float = 0.0,
                     threshold: float = G.SMALL_SPAN) -> DataFrame:
     """Unwrap every component at its own cut, shift it to the seam and scale it.
@@ -186,18 +199,51 @@ def cluster_summary(members: DataFrame, *, width: float, scale: float, seam_x: f
         back(F.col("x1")).alias("max_x"), (F.col("y1") / scale).alias("max_y"))
 
 
-def in_views(items: DataFrame, views: DataFrame, *, width: float, cell: float | None = None) -> DataFrame:
+# Levels of the halving of the x axis; its finest cells number two to this power.
+LEVELS = 14
+
+
+def _halved(place: Column, times: Column) -> Column:
+    return F.call_function("shiftright", place, times)
+
+
+def _pieces(low: Column, high: Column) -> Column:
+    """The aligned pieces (level and place) that make up a range of finest cells: at most two of each level, and none overlap."""
+    def at(level: Column) -> Column:
+        first = _halved(low + F.call_function("shiftleft", F.lit(1), level) - 1, level)
+        last = _halved(high + 1, level) - 1
+        return let(F.struct(first.alias("first"), last.alias("last")), lambda r: F.array(
+            F.when((r["first"] <= r["last"]) & (r["first"] % 2 == 1), F.struct(level.alias("level"), r["first"].alias("place"))),
+            F.when((r["first"] <= r["last"]) & (r["last"] % 2 == 0), F.struct(level.alias("level"), r["last"].alias("place")))))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+
+
+def _holders(cell: Column) -> Column:
+    """The pieces that hold a finest cell, one of each level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.alias("level"), _halved(cell, level).alias("place")))
+
+
+def in_views(items: DataFrame, views: DataFrame, *, width: float) -> DataFrame:
     """Which world copies of the items (``min_x, max_x``) show in which views (``view_id, view_min, view_max``).
 
-    Both sides are cut into cells of the x axis and joined on them; a pair is kept only in the one
-    cell where its overlap begins. Few views are broadcast by Spark's own size check; many are joined by cell, where
-    Spark splits cells that are crowded.
+    Two ranges overlap if one begins in the other. So the begins of each side, as the pieces of a halved axis that hold them, meet the ranges of the other, cut into
+    a logarithmic number of such pieces; a begin lies in just one of a range's pieces, so a pair comes up once. Wide ranges cost no more rows than narrow ones, and a
+    piece is only crowded where there are as many results.
     """
-    size = cell or width / 36
-    copies = items.withColumn("offset", F.explode(F.array(F.lit(0.0), F.lit(-float(width)), F.lit(float(width)))))
+    world, cells = float(width), 1 << LEVELS
+
+    def cell(x: Column) -> Column:
+        # Five worlds, from two left of the map on; what lies beyond is in the outermost cells.
+        return F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((x + 2 * world) / (5 * world) * cells))).cast("int")
+
+    copies = items.withColumn("offset", F.explode(F.array(F.lit(0.0), F.lit(-world), F.lit(world))))
     copies = copies.withColumns({"_low": F.col("min_x") + F.col("offset"), "_high": F.col("max_x") + F.col("offset")})
-    copies = copies.withColumn("_cell", F.explode(range_cells(F.col("_low"), F.col("_high"), size)))
-    windows = views.select("view_id", "view_min", "view_max", F.explode(range_cells(F.col("view_min"), F.col("view_max"), size)).alias("_cell"))
-    meet = (F.col("_high") >= F.col("view_min")) & (F.col("_low") <= F.col("view_max"))
-    return (copies.join(windows, "_cell").where(meet & owns_pair(F.col("_cell"), F.col("_low"), F.col("view_min"), size))
-            .drop("_cell", "_low", "_high"))
+    windows = views.select("view_id", "view_min", "view_max")
+    begins = copies.withColumn("_at", F.explode(_holders(cell(F.col("_low"))))).join(
+        windows.withColumn("_at", F.explode(_pieces(cell(F.col("view_min")), cell(F.col("view_max"))))), "_at").where(
+        (F.col("_low") >= F.col("view_min")) & (F.col("_low") <= F.col("view_max")))
+    covers = copies.withColumn("_at", F.explode(_pieces(cell(F.col("_low")), cell(F.col("_high"))))).join(
+        windows.withColumn("_at", F.explode(_holders(cell(F.col("view_min"))))), "_at").where(
+        (F.col("view_min") > F.col("_low")) & (F.col("view_min") <= F.col("_high")) & (F.col("view_min") <= F.col("view_max")))
+    return begins.unionByName(covers).drop("_at", "_low", "_high")

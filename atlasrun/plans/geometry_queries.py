@@ -482,6 +482,36 @@ def wrap_span(t: Tables) -> DataFrame:
     return t.components.select("component_id", _r(G.ring_span(F.col("points"), F.lit(WIDTH))).alias("span"))
 
 
+# Components whose coordinates have gone through path texts.
+_PATH_VERTICES = COMPONENT_VERTICES.replace("component_vertices AS (", "exact_vertices AS (", 1) + f""",
+component_vertices AS (SELECT location_id, component_id, pos, i, {fixed2_sql('x')} AS x, {fixed2_sql('y')} AS y FROM exact_vertices)"""
+
+
+def _paths(t: Tables):
+    """Two path texts for each location, of two sub-paths and of the rest."""
+    text = G.path_text(F.transform("points", lambda p: G.point(G.fixed2(p["x"]), G.fixed2(p["y"]))))
+    rows = t.components.select("location_id", F.when(F.col("pos") < 2, 0).otherwise(1).alias("path_pos"), "pos", text.alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return rows.groupBy("location_id", "path_pos").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("path"))
+
+
+@query("path_span", with_views(RAW_VERTICES, _PATH_VERTICES, UNWRAPPED, body="""
+SELECT location_id, CASE WHEN pos < 2 THEN 0 ELSE 1 END AS path_pos, round(max(span), 6) AS span
+FROM (SELECT location_id, component_id, pos, greatest(max(wrapped_span), max(y) - min(y)) AS span FROM unwrapped GROUP BY ALL) GROUP BY ALL"""))
+def path_span(t: Tables) -> DataFrame:
+    """The largest seam-aware span over the sub-paths of each path."""
+    return _paths(t).select("location_id", "path_pos", _r(G.path_span(G.path_rings(F.col("path")), F.lit(WIDTH))).alias("span"))
+
+
+@query("path_components", with_views(RAW_VERTICES, _PATH_VERTICES, UNWRAPPED, body="""
+SELECT location_id, CASE WHEN pos < 2 THEN 0 ELSE 1 END AS path_pos, CASE WHEN pos < 2 THEN pos ELSE pos - 2 END AS ring_pos, pos,
+       round(cx, 6) AS centre_x, round(cy, 6) AS centre_y, round(radius, 6) AS radius, radius * 2 < 20 AS small FROM parts"""))
+def path_components(t: Tables) -> DataFrame:
+    """Components straight from path texts, with the place of their path and ring."""
+    table = spatial.component_table(spatial.path_components(_paths(t)), width=WIDTH, scale=SCALE)
+    return table.select("location_id", "path_pos", "ring_pos", "pos", _r("centre.x").alias("centre_x"), _r("centre.y").alias("centre_y"), _r("radius").alias("radius"), "small")
+
+
 @query("components", with_views(RAW_VERTICES, COMPONENT_VERTICES, UNWRAPPED, body="""
 SELECT location_id, component_id, round(cx, 6) AS centre_x, round(cy, 6) AS centre_y, round(radius, 6) AS radius, radius * 2 < 20 AS small FROM parts"""))
 def components(t: Tables) -> DataFrame:

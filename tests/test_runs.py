@@ -119,3 +119,35 @@ def test_shuffle(spark):
     many = F.sequence(F.lit(1), F.lit(50))
     mixed = spark.range(20).select(runs.shuffle_ids(many, runs.seeded_draws(3, F.col("id"), F.size(many) - 1)).alias("s")).collect()
     assert all(sorted(r.s) == list(range(1, 51)) for r in mixed) and len({tuple(r.s) for r in mixed}) == 20
+
+
+def test_shuffles_are_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    ids = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda k: k.cast("string")).alias("ids"))
+    began = time.perf_counter()
+    row = ids.select("ids", runs.shuffle_ids(F.col("ids"), runs.seeded_draws(3, F.lit("run"), F.size("ids") - 1)).alias("out")).first()
+    assert sorted(row.out) == sorted(row.ids) and row.out != row.ids and time.perf_counter() - began < 30
+
+
+def test_many_targets_are_judged(spark):
+    """A segment of thousands of targets against a plain walk."""
+    import random
+
+    r = random.Random(4)
+    targets = [f"t{k}" for k in range(4000)]
+    place, spent, rows, want = 0, 0, [], {}
+    for seq in range(9000):
+        answer = targets[place] if place < len(targets) and r.random() < 0.45 else r.choice(targets)
+        rows.append((1, seq, "submit", float(seq), None, len(targets), answer))
+        if place < len(targets):
+            right = answer == targets[place]
+            want[seq] = right
+            spent = 0 if right or spent == 2 else spent + 1
+            place += spent == 0
+    log = spark.createDataFrame(rows, "run_id long, seq long, type string, ts_ms double, is_correct boolean, total long, answer_id string")
+    orders = spark.createDataFrame([(1, targets)], "run_id long, targets array<string>")
+    got = {x.seq: x.is_correct for x in runs.judge_answers(log, orders, implicit_start_ms=0, resets=False).collect()}
+    assert {s: got[s] for s in want} == want and len(got) == 9000

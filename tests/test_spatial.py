@@ -120,3 +120,28 @@ def test_views(spark):
     want = {(i, v, t) for i, lo, hi in [(1, 12, 212), (2, 700, 701), (3, -5, 3)] for v, a, b in [(1, -1428, 212), (2, 0, 1440)]
             for t in (0.0, -1440.0, 1440.0) if hi + t >= a and lo + t <= b}
     assert got == want
+
+
+def test_views_against_all_pairs(spark):
+    """Narrow and wide items and views, on and beyond the map, with ends that touch."""
+    import random
+
+    r, width = random.Random(2), 360.0
+    items, views = [], []
+    for k in range(120):
+        low = r.choice([r.uniform(0, 360), float(r.randrange(0, 360, 20)), -5.0, 355.0])
+        items.append((k, low, low + r.choice([0.0, 1e-9, 3.0, 20.0, 340.0, 360.0])))
+    for k in range(60):
+        low = r.choice([r.uniform(-400, 700), float(r.randrange(-360, 720, 20)), -2000.0, 1500.0])
+        views.append((k, low, low + r.choice([0.0, 5.0, 20.0, 400.0, 3000.0])))
+    got = spatial.in_views(spark.createDataFrame(items, "item long, min_x double, max_x double"), spark.createDataFrame(views, "view_id long, view_min double, view_max double"), width=width)
+    want = sorted((i, v, t) for i, a, b in items for v, c, d in views for t in (0.0, -width, width) if b + t >= c and a + t <= d)
+    assert sorted((x.item, x.view_id, x.offset) for x in got.collect()) == want
+
+
+def test_path_components(spark):
+    table = spatial.path_components(spark.createDataFrame([(1, 0, "M359,1L1,1L1,3Z M10,10L12,10L12,14Z"), (1, 1, "M5,5L6,5L6,9Z"), (2, 0, "")], "location_id long, path_pos int, path string"))
+    rows = {r.component_id: (r.pos, len(r.points)) for r in table.collect()}
+    assert rows == {"1:0:0": (0, 3), "1:0:1": (1, 3), "1:1:0": (2, 3)}
+    span = spark.sql("SELECT 'M359,1L1,1L1,3Z M10,10L12,10L12,14Z' AS path").select(G.path_span(G.path_rings(F.col("path")), F.lit(360.0)).alias("span")).first().span
+    assert span == 4.0
