@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quality
 from ..session import ensure_checkpoint_dir
-from ..sources import boundaries, config
-from .registry import query
-from .views import Tables
+from ..sources import boundaries, config, publish
+from .registry import query, with_views
+from .resolve_queries import OVERRIDES, REFS, _features, _refs
+from .views import FEATURES, PLACES, Tables
 
 
 def _folder(t: Tables) -> str:
@@ -61,3 +63,30 @@ def config_rejects(t: Tables) -> DataFrame:
     cut = whole.select("block", F.when(F.col("block") % 5 == 1, F.substr("value", F.lit(1), F.length("value") - 9)).otherwise(F.col("value")).alias("value"))
     cut.repartition("block").write.partitionBy("block").text(folder)
     return config.rejected_documents(t.spark, folder).groupBy("detail").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("built_tables", with_views(FEATURES, PLACES, OVERRIDES, REFS, body="""
+SELECT 'location_refs' AS part, location_id AS entity, feature_id AS value, ref_pos FROM refs
+UNION ALL SELECT 'feature_ids', feature_id, NULL, feature_pos FROM features"""))
+def built_tables(t: Tables) -> DataFrame:
+    """References and feature ids of the build in force, after a later build with dangling references was refused."""
+    folder = _folder(t)
+    features, refs = _features(t), _refs(t)
+    order = {"location_refs": ["location_id", "ref_pos", "feature_id"], "feature_ids": ["feature_id"]}
+
+    def rules(tables):
+        return quality.references(tables["location_refs"], tables["feature_ids"], "location_id", "feature_id", "feature_id")
+
+    def tables(references):
+        return {"location_refs": references.select("location_id", "feature_id", F.col("ref_pos").cast("bigint").alias("ref_pos")),
+                "feature_ids": features.select("feature_id", F.col("feature_pos").cast("bigint").alias("ref_pos"))}
+
+    publish.publish(t.spark, folder, "sound", tables(refs), order, rules)
+    try:
+        publish.publish(t.spark, folder, "dangling", tables(refs.withColumn("feature_id", F.concat("feature_id", F.lit("x")))), order, rules)
+    except publish.BuildRefused:
+        pass
+    kept = publish.read_published(t.spark, folder, "location_refs")
+    ids = publish.read_published(t.spark, folder, "feature_ids")
+    return kept.select(F.lit("location_refs").alias("part"), F.col("location_id").alias("entity"), F.col("feature_id").alias("value"), "ref_pos").unionByName(
+        ids.select(F.lit("feature_ids").alias("part"), F.col("feature_id").alias("entity"), F.lit(None).cast("string").alias("value"), "ref_pos"))
