@@ -38,9 +38,7 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents")
-    model, limits = toxicity.learn(docs, read(spark, folder, "labels"))
-    return toxicity.score_documents(docs, model, limits)
+    return toxicity.learn_and_score(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT_WORDS, byte_texts, slices
+from .common import KEPT_WORDS, byte_texts, slices, written
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 #: Characters from a word's begin that have a bucket of their own, beside the whole word.
@@ -215,43 +215,70 @@ def language_limits(counts: list[tuple[str, int, int, int]], least: int = LEAST_
     return limits
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang",
-          class_rows: int = CLASS_ROWS) -> tuple[Model, dict[str, float]]:
-    """A model from at most ``class_rows`` labelled documents of each class, and score limits by language from all labelled ones.
-
-    Documents are drawn by a hash of the id among those that are not :func:`held_out`; texts longer than
-    ``TRAIN_BYTES`` are not drawn. The two samples have a fixed bound, so their ids go to every executor and their
-    texts to the driver. Rows with null ids or labels are not used.
-
-    For the limits all labelled documents that are not held out are scored, of any length, and counted by language and
-    step of the score. Those that the classifier was fitted on count only for languages with under ``LEAST_TOXIC``
-    toxic ones besides; a language with fewer in all has no limit, so ``SCORE_LIMIT`` holds for it.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, class_rows: int) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model, the labels ``doc_id, toxic`` that may be learned from, and the ids that the classifier was fitted on (none without both classes)."""
     known = labels.select(F.col(doc).cast("long").alias("id"), F.col(label).cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     order = (F.xxhash64("id"), "id")
     drawn = known.where("toxic = 1").orderBy(*order).limit(class_rows).union(known.where("toxic = 0").orderBy(*order).limit(class_rows))
-    texts = docs.select(F.col(doc).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"),
-                        (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang")).where(F.octet_length("text") <= TRAIN_BYTES)
+    texts = docs.select(F.col(doc).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
     rows = texts.join(F.broadcast(drawn), "id").orderBy(*order, "text").collect()
     toxic = np.array([r.toxic == 1 for r in rows], bool)
     ids = [np.array([buckets_of(w) for w in words_of(r.text.encode())], np.int64).reshape(-1, 1 + len(BEGINS)) for r in rows]
     share = min(max(share if share is not None else 0.0, 1e-4), 1 - 1e-4)
-    model = train(ids, toxic, share)
+    model, known = train(ids, toxic, share), known.withColumnRenamed("id", "doc_id")
     if toxic.all() or not toxic.any():
-        return model, {}
-    fitted = docs.sparkSession.createDataFrame([(r.id,) for k, r in enumerate(rows) if k % 5 != 4], "doc_id long").distinct().withColumn("fitted", F.lit(True))
-    named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.col(text).alias("text"),
-                        (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang")).where("lang is not null")
-    known = known.withColumnRenamed("id", "doc_id")
-    scored = _scored(named.join(known, "doc_id", "left_semi"), model).join(known, "doc_id").join(fitted, "doc_id", "left")
+        return model, known, None
+    used = docs.sparkSession.createDataFrame([(r.id,) for k, r in enumerate(rows) if k % 5 != 4], "doc_id long").distinct().withColumn("fitted", F.lit(True))
+    return model, known, used
+
+
+def _limits(scored: DataFrame, known: DataFrame, used: DataFrame | None) -> dict[str, float]:
+    """Score limits by language from scores (``doc_id, lang, score``) of all labelled documents; a count for each step of the score comes to the driver."""
+    if used is None:
+        return {}
+    judged = scored.where("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "score").join(known, "doc_id").join(used, "doc_id", "left")
     step = F.least(F.floor(F.col("score") * SCORE_STEPS), F.lit(SCORE_STEPS - 1)).cast("int").alias("step")
-    counts = scored.groupBy("lang", step).agg(
+    counts = judged.groupBy("lang", step).agg(
         F.count("fitted").alias("n_fitted"), F.sum(F.when(F.col("fitted"), F.col("toxic")).otherwise(0)).alias("t_fitted"),
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()
     limits = language_limits([(r.lang, r.step, r.n, r.t) for r in counts])
-    return model, limits | language_limits([(r.lang, r.step, r.n - r.n_fitted, r.t - r.t_fitted) for r in counts if r.n > r.n_fitted])
+    return limits | language_limits([(r.lang, r.step, r.n - r.n_fitted, r.t - r.t_fitted) for r in counts if r.n > r.n_fitted])
+
+
+def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang",
+          class_rows: int = CLASS_ROWS) -> tuple[Model, dict[str, float]]:
+    """A model from at most ``class_rows`` labelled documents of each class, and score limits by language from all labelled ones.
+
+    Documents are drawn by a hash of the id among those that are not :func:`held_out`; texts longer than
+    ``TRAIN_BYTES`` are not drawn. The two samples have a fixed bound, so their ids go to every executor and their
+    texts to the driver. Rows with null ids or labels are not used.
+
+    For the limits all labelled documents that are not held out are scored, of any length, and counted by language and
+    step of the score. Those that the classifier was fitted on count only for languages with under ``LEAST_TOXIC``
+    toxic ones besides; a language with fewer in all has no limit, so ``SCORE_LIMIT`` holds for it.
+    """
+    model, known, used = _fitted(docs, labels, doc, text, label, class_rows)
+    if used is None:
+        return model, {}
+    labelled = _named(docs, doc, text, lang).withColumn("doc_id", F.col("doc_id").cast("long")).join(known, "doc_id", "left_semi")
+    return model, _limits(_scored(labelled, model), known, used)
+
+
+def learn_and_score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", class_rows: int = CLASS_ROWS) -> DataFrame:
+    """:func:`score_documents` by what :func:`learn` learns from the same documents, with every text scored once.
+
+    The scores are written to the shared checkpoint folder without the texts, and the limits come from those of the labelled rows.
+    """
+    model, known, used = _fitted(docs, labels, doc, text, label, class_rows)
+    scored = written(_scored(_named(docs, doc, text, lang), model))
+    return _judged(scored, _limits(scored.where("not held_out"), known, used))
+
+
+def _named(docs: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
+    return docs.select(F.col(doc).alias("doc_id"), held_out(F.col(doc)).alias("held_out"), F.col(text).alias("text"),
+                       (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"))
 
 
 def _scored(named: DataFrame, model: Model) -> DataFrame:
@@ -278,10 +305,11 @@ def score_documents(docs: DataFrame, model: Model, limits: dict[str, float] | No
     ``predicted`` compares it with ``SCORE_LIMIT``, ``flagged`` with the limit of the row's language, if it has one. Rows
     with null or repeated ids are scored like any other; other columns are ignored.
     """
-    named = docs.select(F.col(doc).alias("doc_id"), F.coalesce(held_out(F.col(doc)), F.lit(False)).alias("held_out"), F.col(text).alias("text"),
-                        (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"))
-    scored = _scored(named, model)
+    return _judged(_scored(_named(docs, doc, text, lang), model), limits or {})
+
+
+def _judged(scored: DataFrame, limits: dict[str, float]) -> DataFrame:
     limit = F.lit(SCORE_LIMIT)
-    for name, value in (limits or {}).items():
+    for name, value in limits.items():
         limit = F.when(F.col("lang") == name, F.lit(value)).otherwise(limit)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= SCORE_LIMIT).cast("int").alias("predicted"), (F.col("score") >= limit).alias("flagged"))
