@@ -104,15 +104,18 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int = END_I
 
     ``folder`` is one that all executors share. Each id sequence ends with ``end``; a null text is empty. Rows are
     range-partitioned, so files are ordered among themselves and inside. Rows with a null id come first
-    ``without_id``, else they are not written; rows of one id are all written, one after the other by text. An empty table has files without records.
+    ``without_id``, else they are not written; rows of one id are all written, one after the other by a hash of the text. An empty table has files without records.
 
     A task writes files under a name of its own and reports them when done. Only reported files are in
     the manifest, which is kept in the shared checkpoint folder, so retried or doubled tasks leave no trace in it.
     """
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = named if without_id else named.where("doc_id is not null")
-    files = max(1, round(named.count() / file_docs), docs.sparkSession.sparkContext.defaultParallelism)
-    ordered = named.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = cores * max(1, -(-round(named.count() / file_docs) // cores))  # whole rounds of tasks
+    # The text's hash parts rows of one id or without one, so that no task gets them all; equal texts of one id may be dealt either way.
+    part = F.xxhash64("text")
+    ordered = named.withColumn("part", part).repartitionByRange(files, "doc_id", "part").sortWithinPartitions("doc_id", "part", "text").drop("part")
     return cut_lineage(ordered.mapInArrow(_writer(folder, tokenizer, end), MANIFEST))
 
 
