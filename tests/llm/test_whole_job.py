@@ -34,3 +34,13 @@ def test_limits_come_from_all_labelled_texts(spark):
     _, limits = toxicity.learn(docs, labels, class_rows=30)
     assert set(limits) == {"rare", "most"} and all(0 <= x <= 1 for x in limits.values())
     assert toxicity.language_limits([("a", 4000, 6, 6), ("a", 100, 90, 1)]) == {"a": (4000 + 101) / 2 / toxicity.SCORE_STEPS}
+
+
+def test_rows_of_one_id_are_dealt_out(docs_of, tmp_path):
+    """Half of all rows without an id, many with one: no file gets them all, and order and counts hold."""
+    rows = [(None if k % 2 else 7 if k % 4 else k, f"{prose(5, k)}") for k in range(800)]
+    files = records.write_records(docs_of(rows), f"file://{tmp_path}/r", vocabulary("byte_bpe_50k.json"), file_docs=100, without_id=True)
+    sizes = [r.records for r in files.orderBy("shard").collect()]
+    back = records.read_records(files).orderBy("start").collect()
+    assert sum(sizes) == 800 and max(sizes) < 300
+    assert [r.doc_id for r in back] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))

@@ -1,13 +1,14 @@
 """Each registered query over the smallest tables against a plain version."""
 
 import math
+import zlib
 
 import brute
 import numpy as np
 import pytest
 from conftest import SMALL
 
-from atlasrun.llm import queries
+from atlasrun.llm import queries, toxicity
 from atlasrun.llm.queries import QUERIES, vocabulary
 
 
@@ -62,6 +63,24 @@ def test_toxicity(result, small):
     assert np.mean([a > b for a in toxic for b in clean]) > 0.9
 
 
+def test_toxicity_of_rows_never_learned_from(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = QUERIES["op4_toxicity"](spark, folder).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    unseen = [(r.score, labels[r.doc_id]) for r in rows if r.doc_id in labels and r.held_out]
+    toxic, clean = ([s for s, t in unseen if t == k] for k in (1, 0))
+    assert len(toxic) > 100 and np.mean([a > b for a in toxic for b in clean]) > 0.95
+
+
+def test_toxicity_is_one_pass(spark):
+    """Scores of the query are those of the model and limits learned apart from it."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    model, limits = toxicity.learn(docs, labels)
+    apart = {r.doc_id: tuple(r) for r in toxicity.score_documents(docs, model, limits).collect()}
+    assert {r.doc_id: tuple(r) for r in toxicity.learn_and_score(docs, labels).collect()} == apart
+
+
 def test_sharding(result, documents):
     rows = result("op5_sharding")
     assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in documents)
