@@ -214,11 +214,12 @@ def _parts(passage_words: int):
 def _passages(docs: DataFrame, doc: str, text: str, passage_words: int) -> DataFrame:
     """As :func:`repeated_passages`, with the hash of the text the places are in as ``version``."""
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).where("doc_id is not null")
-    found = named.select("doc_id", "text").mapInArrow(_anchors(passage_words), "doc_id bigint, anchor bigint")
+    # Anchors and runs are dealt out once each, for the count and for the join with it.
+    found = named.select("doc_id", "text").mapInArrow(_anchors(passage_words), "doc_id bigint, anchor bigint").repartition("anchor")
     common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     marked = named.join(shared, "doc_id", "left")
-    runs = marked.mapInArrow(_runs(passage_words), "doc_id bigint, hi bigint, lo int")
+    runs = marked.mapInArrow(_runs(passage_words), "doc_id bigint, hi bigint, lo int").repartition("hi", "lo")
     first = runs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").drop("n")
     hits = runs.join(first, ["hi", "lo"]).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "first_doc_id")).alias("hits"))
     return marked.join(hits, "doc_id", "left").mapInArrow(_parts(passage_words), PART)
@@ -236,9 +237,9 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     Texts with fewer words have no runs, and rows with a null id are left alone. Rows with one id are
     taken as one document, so nothing is removed between them. Other columns are ignored.
 
-    Anchors, one for several runs, are counted first with map-side sums; only runs whose anchor is in two rows are
-    counted themselves, so no repeated run is missed. One that a third of all documents share is left to the split of
-    skewed joins. What a document gets back is bounded by its own words.
+    Anchors, one for several runs, are counted first; only runs whose anchor is in two rows are
+    counted themselves, so no repeated run is missed. One that a third of all documents share is a narrow row of two or three numbers for
+    each of them in one task, which streams through it. What a document gets back is bounded by its own words.
     """
     return _passages(docs, doc, text, passage_words).drop("version")
 
