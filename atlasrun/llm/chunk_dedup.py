@@ -1,4 +1,4 @@
-"""Substring dedup: runs of words that stand earlier, found by anchors of a gear rolling hash and decided by exact runs."""
+"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest; only at the ends of what is common are runs compared."""
 
 from __future__ import annotations
 
@@ -6,37 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, hashed, MIX, slices, windows
+from .common import byte_texts, hashed, MIX, slices
 
-#: Words of a chunk: at least, at most; between them a word end is a boundary with a chance of one in CHANCE.
-LEAST_WORDS, MOST_WORDS, CHANCE = 3, 12, 4
 #: Words of a run from which it counts as repeated.
 PASSAGE_WORDS = 20
-#: Words of an anchor. With the blanks before them they have 16 bytes or more, so the gear hash at the end sees no other word.
-ANCHOR_WORDS = 8
+#: Words that the gear hash at a word end sees, and bits by which it moves on with each word.
+GEAR_WORDS, GEAR_SHIFT = 5, 4
+#: Words of a chunk, at least and at most.
+LEAST_WORDS, MOST_WORDS = 1, 4
 
-#: A random 16-bit value for each byte. Shifted by one bit per byte, a byte leaves the hash after 16 more.
-#: All white space has the same one, so that a passage may be set in other lines.
-_GEAR = np.array([xxhash.xxh3_64_intdigest(b"gear %d" % (32 if 9 <= b <= 13 else b)) & 0xFFFF for b in range(256)], np.uint16)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 PART = "doc_id bigint, version bigint, start int, length int, n_words bigint, first_doc_id bigint, removed boolean"
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: the sum of the last 16 bytes' values, each shifted by its distance."""
-    out = _GEAR[data]
-    for step in (1, 2, 4, 8):
-        shifted = out[:-step] << np.uint16(step)
-        out = out.copy()
-        out[step:] += shifted
-    return out
-
-
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word of a UTF-8 text, and the byte after it."""
     space = _SPACE[np.frombuffer(data, np.uint8)]
@@ -44,52 +30,82 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def gear_ends(words: list[bytes]) -> np.ndarray:
-    """The rolling hash at the end of each word, with one blank before each word."""
-    if not words:
-        return np.empty(0, np.uint16)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    return gear_hashes(np.frombuffer(b" " + b" ".join(words), np.uint8))[ends - 1]
+def reach(width: int) -> tuple[int, int]:
+    """Words that the gear hash sees, and word ends of a window; two windows that do not overlap fit into a run of ``width`` words."""
+    look = max(1, min(GEAR_WORDS, width // 4))
+    return look, min(MOST_WORDS, (width + 1 - look) // 2)
 
 
-def chunk_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last word, and word count of each chunk of a UTF-8 text.
-
-    Boundaries are word ends at which the top bits of the hash are zero, not nearer than the least number of
-    words; a stretch without one is cut at the most. They depend on nearby words only, however these are set, so texts that
-    share a passage soon share its boundaries, wherever it stands. Passages are not decided by chunks: see :func:`anchors`.
-    """
-    first, after = word_bounds(data)
-    gears = gear_ends(data.split())
-    natural = np.flatnonzero(gears >> np.uint16(8) < 256 // CHANCE) + 1
-    cuts, last, n = [], 0, len(first)
-    for cut in (*natural.tolist(), n):
-        while cut - last > MOST_WORDS:
-            last += MOST_WORDS
-            cuts.append(last)
-        if cut - last >= LEAST_WORDS or (cut == n and cut > last):
-            last = cut
-            cuts.append(cut)
-    ends = np.array(cuts, np.int64)
-    begins = np.concatenate([ends[:0], [0] if n else [], ends[:-1]]).astype(np.int64)
-    return first[begins], after[ends - 1], ends - begins
+def gear_ends(hashes: np.ndarray, look: int = GEAR_WORDS) -> np.ndarray:
+    """The rolling hash at the end of each word: of the last ``look`` words, each shifted by its distance."""
+    values = (hashes >> np.uint64(64 - GEAR_SHIFT * GEAR_WORDS)).astype(np.uint32)
+    out = values.copy()
+    for k in range(1, min(look, len(values))):
+        out[k:] += values[:-k] << np.uint32(GEAR_SHIFT * k)
+    return out & np.uint32((1 << GEAR_SHIFT * GEAR_WORDS) - 1)
 
 
-def anchors(words: list[bytes], hashes: np.ndarray, width: int) -> np.ndarray:
-    """The anchor of each run of ``width`` words: of its runs of ``ANCHOR_WORDS``, the one with the least gear hash at its end.
+def chosen_ends(hashes: np.ndarray, look: int, span: int) -> np.ndarray:
+    """The word end that each window of ``span`` word ends chooses: the one with the least gear hash, the first among equals.
 
-    It depends on the words of the run alone, so equal runs have equal anchors, and neighbouring runs mostly share theirs.
+    Chosen word ends are the boundaries of chunks. They depend on nearby words only, and no chunk has more than ``span`` words.
     """
-    size = min(ANCHOR_WORDS, width)
-    out = windows(hashes, size)
-    if size == ANCHOR_WORDS and len(out):
-        out = out >> np.uint64(16) | gear_ends(words)[size - 1:].astype(np.uint64) << np.uint64(48)
-    left, step = width - size, 1
+    out = gear_ends(hashes, look).astype(np.uint64) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64)
+    left, step = span - 1, 1
     while left and len(out):
         step = min(step, left)
         out = np.minimum(out[:-step], out[step:])
         left, step = left - step, 2 * step
-    return out.view(np.int64)
+    return (out & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def chunk_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last word, and word count of each chunk of a UTF-8 text, however its words are set."""
+    first, after = word_bounds(data)
+    chosen = chosen_ends(hashed(data.split()), *reach(PASSAGE_WORDS))
+    ends = np.unique(np.append(chosen + 1, len(first))) if len(first) else np.empty(0, np.int64)
+    begins = np.concatenate([ends[:0], [0] if len(ends) else [], ends[:-1]]).astype(np.int64)
+    return first[begins], after[ends - 1], ends - begins
+
+
+def stretch_digests(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each stretch of words, from running sums of the words' hashes times powers of an odd number."""
+    n, odd = len(hashes), int(MIX)
+    powers, inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64))) for base in (odd, pow(odd, -1, 1 << 64)))
+    sums = np.append(np.uint64(0), np.cumsum(hashes * powers[:-1], dtype=np.uint64))
+    out = ((sums[ends] - sums[begins]) * inverse[begins] ^ (ends - begins).astype(np.uint64)) * MIX
+    out = (out ^ out >> np.uint64(32)) * MIX
+    return out ^ out >> np.uint64(29)
+
+
+def seeds(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The seed of each run of ``width`` words: the least digest of its chunks, each taken with the words that set its first boundary.
+
+    Only boundaries chosen by windows inside the run count. As two windows that do not overlap are inside, there is such a chunk, and
+    as it depends on the words of the run alone, equal runs have equal seeds. Neighbouring runs mostly share theirs.
+    """
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    look, span = reach(width)
+    chosen = chosen_ends(hashes, look, span)
+    turn = np.append(True, chosen[1:] != chosen[:-1])
+    ends, rank = chosen[turn], np.cumsum(turn) - 1
+    digests = stretch_digests(hashes, np.maximum(ends[:-1] + 1 - look, 0), ends[1:] + 1)
+    low, high = rank[look - 1:look - 1 + n], rank[width - span:width - span + n]
+    out = digests[low]
+    for k in range(1, int((high - low).max())):
+        np.minimum(out, digests[np.minimum(low + k, high - 1)], out=out)
+    return out
+
+
+def blocks(found: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seed and digest of each block of a text, once: neighbouring runs with one seed, with all their words."""
+    begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])[:len(found)])
+    ends = np.append(begins[1:], len(found))[:len(begins)] + width - 1
+    both = np.stack([found[begins], stretch_digests(hashes, begins, ends)], axis=1)
+    kept = np.unique(both, axis=0) if len(both) > len(np.unique(both[:, 0])) else both
+    return kept[:, 0], kept[:, 1]
 
 
 def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -111,31 +127,39 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _anchors(passage_words: int):
-    """A row for each anchor of a text, once."""
+def _blocks(passage_words: int):
+    """A row for each block of a text, once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = []
             for data in byte_texts(batch["text"]):
-                words = data.split()
-                found.append(np.unique(anchors(words, hashed(words), passage_words)))
-            docs = np.repeat(batch["doc_id"].to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.concatenate(found))], names=["doc_id", "anchor"])
+                hashes = hashed(data.split())
+                found.append(blocks(seeds(hashes, passage_words), hashes, passage_words))
+            docs = np.repeat(batch["doc_id"].to_numpy(), [len(x) for x, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), *(pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found))], names=["doc_id", "seed", "block"])
 
     return run
 
 
+def _told(shared: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of a text that stand elsewhere, the least ids with them, and whether all their blocks are equal."""
+    if not shared.is_valid:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    seed, first, equal = (shared.values.field(k) for k in range(3))
+    return seed.to_numpy().view(np.uint64), first.to_numpy(), equal.to_numpy(zero_copy_only=False)
+
+
 def _runs(passage_words: int):
-    """A row for each run of a text whose anchor another text has, once."""
+    """A row for each run of a text whose seed stands elsewhere in another block, once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids, his, los = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for doc, data, shared in zip(batch["doc_id"].to_pylist(), byte_texts(batch["text"]), batch["anchors"]):
-                if not shared.is_valid:
+            for doc, data, shared in zip(batch["doc_id"].to_pylist(), byte_texts(batch["text"]), batch["shared"]):
+                seed, _, equal = _told(shared)
+                if equal.all():
                     continue
-                words = data.split()
-                hashes = hashed(words)
-                may = np.isin(anchors(words, hashes, passage_words), shared.values.to_numpy())
+                hashes = hashed(data.split())
+                may = np.isin(seeds(hashes, passage_words), seed[~equal])
                 hi, at = np.unique(run_hashes(hashes, passage_words)[may], return_index=True)
                 # A second hash, so that different runs are told apart in the largest tables.
                 other = run_hashes((hashes ^ hashes >> np.uint64(31)) * MIX, passage_words)[may][at]
@@ -195,11 +219,19 @@ def _parts(passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
-            for doc, version, data, hits in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), byte_texts(batch["text"]), batch["hits"]):
+            for doc, version, data, shared, hits in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), byte_texts(batch["text"]), batch["shared"], batch["hits"]):
                 known, sources = (hits.values.field(k).to_numpy() for k in (0, 1)) if hits.is_valid else (np.empty(0, np.int64),) * 2
-                runs = run_hashes(hashed(data.split()), passage_words)
+                hashes = hashed(data.split())
+                runs = run_hashes(hashes, passage_words)
                 if not len(runs):
                     continue
+                seed, first, equal = _told(shared)
+                if equal.any():
+                    order = np.argsort(seed[equal])
+                    seed, first, own = seed[equal][order], first[equal][order], seeds(hashes, passage_words)
+                    slot = np.minimum(np.searchsorted(seed, own), len(seed) - 1)
+                    right = seed[slot] == own
+                    known, sources = np.append(known, runs[right].view(np.int64)), np.append(sources, first[slot[right]])
                 parts = text_parts(doc, runs, known.view(np.uint64), sources, passage_words)
                 if parts:
                     begin = np.append(word_bounds(data)[0], len(data)).tolist()
@@ -213,10 +245,13 @@ def _parts(passage_words: int):
 
 def _passages(docs: DataFrame, doc: str, text: str, passage_words: int) -> DataFrame:
     """As :func:`repeated_passages`, with the hash of the text the places are in as ``version``."""
+    if passage_words < 2:
+        raise ValueError("a passage has two words or more")
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).where("doc_id is not null")
-    found = named.select("doc_id", "text").mapInArrow(_anchors(passage_words), "doc_id bigint, anchor bigint")
-    common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    found = named.select("doc_id", "text").mapInArrow(_blocks(passage_words), "doc_id bigint, seed bigint, block bigint")
+    common = (found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min("block").alias("low"), F.max("block").alias("high"))
+              .where("n > 1").select("seed", "first", F.expr("low = high").alias("equal")))
+    shared = found.select("doc_id", "seed").join(common, "seed").groupBy("doc_id").agg(F.collect_set(F.struct("seed", "first", "equal")).alias("shared"))
     marked = named.join(shared, "doc_id", "left")
     runs = marked.mapInArrow(_runs(passage_words), "doc_id bigint, hi bigint, lo int")
     first = runs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").drop("n")
@@ -236,9 +271,11 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     Texts with fewer words have no runs, and rows with a null id are left alone. Rows with one id are
     taken as one document, so nothing is removed between them. Other columns are ignored.
 
-    Anchors, one for several runs, are counted first with map-side sums; only runs whose anchor is in two rows are
-    counted themselves, so no repeated run is missed. One that a third of all documents share is left to the split of
-    skewed joins. What a document gets back is bounded by its own words.
+    Texts are cut into chunks at content-defined boundaries. Each run has a seed, the least digest of its chunks; neighbouring runs
+    with one seed are a block. Blocks are deduplicated by digest with map-side sums: where all blocks of a seed are equal, all their
+    runs stand in the same rows. Only where they differ, mostly at the ends of passages, are runs counted one by one, so no
+    repeated run is missed. One that a third of all documents share is left to the split of
+    skewed joins. What a document gets back is bounded by its own words. ``passage_words`` is 2 or more.
     """
     return _passages(docs, doc, text, passage_words).drop("version")
 

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pytest
 from test_edges import prose
 
 from atlasrun.llm import chunk_dedup
@@ -96,3 +97,45 @@ def test_overlapping_copies(docs_of):
         assert len(brute.words(piece)) == p.n_words > 0 and p.first_doc_id <= p.doc_id
         assert p.removed or p.first_doc_id == p.doc_id
         assert " ".join(brute.words(piece)[:3]) in " ".join(brute.words(texts[p.first_doc_id]))
+
+
+def test_equal_runs_have_equal_seeds():
+    """Wherever a run stands and whatever is around it, also over few words and for other lengths of runs."""
+    r = random.Random(11)
+    for width in (2, 3, 5, 8, 13, N, 40):
+        known = {}
+        for k in range(120):
+            letters = "ab" if k % 3 else "abcdefgh"
+            base = random.Random(k // 4).choices(letters, k=60)
+            text = r.choices(letters, k=r.randrange(30)) + base[r.randrange(20):] + r.choices(letters, k=r.randrange(30))
+            hashes = chunk_dedup.hashed([w.encode() for w in text])
+            found = chunk_dedup.seeds(hashes, width)
+            assert len(found) == max(0, len(text) - width + 1)
+            for at, seed in enumerate(found.tolist()):
+                assert known.setdefault(tuple(text[at:at + width]), seed) == seed
+        assert len(set(known.values())) > 1
+
+
+def test_blocks_hold_all_runs_of_their_seed():
+    """Texts whose block of a seed is equal have the same runs with that seed."""
+    r, held = random.Random(5), {}
+    for k in range(60):
+        text = r.choices("abcd", k=r.randrange(10)) + prose(90, 30_000 + k // 3).split()[r.randrange(9):] + r.choices("abcd", k=r.randrange(10))
+        hashes = chunk_dedup.hashed([w.encode() for w in text])
+        found = chunk_dedup.seeds(hashes, N)
+        runs = {}
+        for at, seed in enumerate(found.tolist()):
+            runs.setdefault(seed, set()).add(tuple(text[at:at + N]))
+        seeds, blocks = chunk_dedup.blocks(found, hashes, N)
+        for seed, block in zip(seeds.tolist(), blocks.tolist()):
+            assert held.setdefault((seed, block), runs[seed]) == runs[seed]
+    assert all(len(x) == 0 for x in chunk_dedup.blocks(chunk_dedup.seeds(chunk_dedup.hashed([]), N), chunk_dedup.hashed([]), N))
+
+
+def test_other_lengths(docs_of):
+    """Runs of two words are the shortest that can be asked for."""
+    rows = [(1, "a b c"), (2, "x a b y"), (3, "b"), (4, "")]
+    left = {r.doc_id: r.text.split() for r in chunk_dedup.remove_repeats(docs_of(rows), passage_words=2).collect()}
+    assert left == {1: ["a", "b", "c"], 2: ["x", "y"], 3: ["b"], 4: []}
+    with pytest.raises(ValueError):
+        chunk_dedup.repeated_passages(docs_of(rows), passage_words=1)
