@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, hashed, MIX, slices
+from .common import byte_texts, MIX, slices
 
 #: Words of a run from which it counts as repeated.
 PASSAGE_WORDS = 20
@@ -17,7 +19,11 @@ PASSAGE_WORDS = 20
 GEAR_WORDS, GEAR_SHIFT = 5, 4
 #: Words of a chunk, at least and at most.
 LEAST_WORDS, MOST_WORDS = 1, 4
+#: Bytes of text that are hashed together.
+TOGETHER = 1 << 20
 
+#: A random value for each byte.
+_BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 PART = "doc_id bigint, version bigint, start int, length int, n_words bigint, first_doc_id bigint, removed boolean"
@@ -25,9 +31,35 @@ PART = "doc_id bigint, version bigint, start int, length int, n_words bigint, fi
 
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word of a UTF-8 text, and the byte after it."""
-    space = _SPACE[np.frombuffer(data, np.uint8)]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
+
+
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse."""
+    return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(1 << bits, base, np.uint64))) for base in (int(MIX), pow(int(MIX), -1, 1 << 64)))
+
+
+def stretch_digests(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each stretch of a sequence of hashes, from running sums of their products with powers of an odd number."""
+    powers, inverse = _powers(max(20, len(values).bit_length()))
+    sums = np.append(np.uint64(0), np.cumsum(values * powers[:len(values)], dtype=np.uint64))
+    out = ((sums[ends] - sums[begins]) * inverse[begins] ^ (ends - begins).astype(np.uint64)) * MIX
+    out = (out ^ out >> np.uint64(32)) * MIX
+    return out ^ out >> np.uint64(29)
+
+
+def word_hashes(data: bytes, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a text, from its bytes; a stretch of the text at a time."""
+    codes, out, at = np.frombuffer(data, np.uint8), np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(after, first[at] + TOGETHER, "right")))
+        begin, end = first[at], after[stop - 1]
+        out[at:stop] = stretch_digests(_BYTES[codes[begin:end]], first[at:stop] - begin, after[at:stop] - begin)
+        at = stop
+    return out
 
 
 def reach(width: int) -> tuple[int, int]:
@@ -62,22 +94,12 @@ def chosen_ends(hashes: np.ndarray, look: int, span: int) -> np.ndarray:
 def chunk_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last word, and word count of each chunk of a UTF-8 text, however its words are set."""
     first, after = word_bounds(data)
-    chosen = chosen_ends(hashed(data.split()), *reach(PASSAGE_WORDS))
+    chosen = chosen_ends(word_hashes(data, first, after), *reach(PASSAGE_WORDS))
     ends = np.unique(np.append(chosen + 1, len(first))) if len(first) else np.empty(0, np.int64)
     begins = np.concatenate([ends[:0], [0] if len(ends) else [], ends[:-1]]).astype(np.int64)
     return first[begins], after[ends - 1], ends - begins
 
 
-def stretch_digests(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each stretch of words, from running sums of the words' hashes times powers of an odd number."""
-    n, odd = len(hashes), int(MIX)
-    powers, inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64))) for base in (odd, pow(odd, -1, 1 << 64)))
-    sums = np.append(np.uint64(0), np.cumsum(hashes * powers[:-1], dtype=np.uint64))
-    out = ((sums[ends] - sums[begins]) * inverse[begins] ^ (ends - begins).astype(np.uint64)) * MIX
-    out = (out ^ out >> np.uint64(32)) * MIX
-    return out ^ out >> np.uint64(29)
-
-
 def seeds(hashes: np.ndarray, width: int) -> np.ndarray:
     """The seed of each run of ``width`` words: the least digest of its chunks, each taken with the words that set its first boundary.
 
@@ -99,13 +121,46 @@ def seeds(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def blocks(found: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seed and digest of each block of a text, once: neighbouring runs with one seed, with all their words."""
-    begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])[:len(found)])
-    ends = np.append(begins[1:], len(found))[:len(begins)] + width - 1
-    both = np.stack([found[begins], stretch_digests(hashes, begins, ends)], axis=1)
-    kept = np.unique(both, axis=0) if len(both) > len(np.unique(both[:, 0])) else both
-    return kept[:, 0], kept[:, 1]
+class Texts:
+    """The words of some texts one after the other, so that they are hashed together; runs over the end of a text are left out."""
+
+    def __init__(self, texts: list[bytes], width: int):
+        data, self.width = b"\n".join(texts), width
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.bytes = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.first, after = word_bounds(data)
+        self.hashes = word_hashes(data, self.first, after)
+        self.places = np.searchsorted(self.first, np.append(self.bytes, len(data) + 1))
+        which = np.repeat(np.arange(len(texts)), np.diff(self.places))
+        n = max(0, len(which) - width + 1)
+        #: Places of the runs, and which text each is in.
+        self.runs = np.flatnonzero(which[:n] == which[len(which) - n:])
+        self.text = which[self.runs]
+
+    def seeds(self) -> np.ndarray:
+        """The seed of each run."""
+        return seeds(self.hashes, self.width)[self.runs]
+
+    def run_hashes(self, second: bool = False) -> np.ndarray:
+        """A hash of each run, or another one."""
+        return run_hashes((self.hashes ^ self.hashes >> np.uint64(31)) * MIX if second else self.hashes, self.width)[self.runs]
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, seed and digest of each block, once a text: neighbouring runs with one seed, with all their words."""
+        found = self.seeds()
+        turn = np.flatnonzero((found[1:] != found[:-1]) | (self.text[1:] != self.text[:-1])) + 1
+        begin, end = (np.append(0, turn), np.append(turn, len(found)) - 1) if len(found) else (turn, turn)
+        digests = stretch_digests(self.hashes, self.runs[begin], self.runs[end] + self.width)
+        return once(self.text[begin], found[begin], digests)
+
+
+def once(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of some columns, sorted by the first ones, each once."""
+    order = np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows])
+    return tuple(c[new] for c in rows)
 
 
 def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -130,43 +185,33 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 def _blocks(passage_words: int):
     """A row for each block of a text, once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = []
-            for data in byte_texts(batch["text"]):
-                hashes = hashed(data.split())
-                found.append(blocks(seeds(hashes, passage_words), hashes, passage_words))
-            docs = np.repeat(batch["doc_id"].to_numpy(), [len(x) for x, _ in found])
-            yield pa.RecordBatch.from_arrays([pa.array(docs), *(pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found))], names=["doc_id", "seed", "block"])
+        for batch in slices(batches, "text", TOGETHER):
+            which, *found = Texts(list(byte_texts(batch["text"])), passage_words).blocks()
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(which)), *(pa.array(x.view(np.int64)) for x in found)], names=["doc_id", "seed", "block"])
 
     return run
 
 
-def _told(shared: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds of a text that stand elsewhere, the least ids with them, and whether all their blocks are equal."""
-    if not shared.is_valid:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
-    seed, first, equal = (shared.values.field(k) for k in range(3))
+def _told(shared: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of some texts that stand elsewhere, the least ids with them, and whether all their blocks are equal. This holds for a seed in any text."""
+    seed, first, equal = shared.flatten().flatten()
     return seed.to_numpy().view(np.uint64), first.to_numpy(), equal.to_numpy(zero_copy_only=False)
 
 
 def _runs(passage_words: int):
     """A row for each run of a text whose seed stands elsewhere in another block, once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            ids, his, los = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for doc, data, shared in zip(batch["doc_id"].to_pylist(), byte_texts(batch["text"]), batch["shared"]):
-                seed, _, equal = _told(shared)
-                if equal.all():
-                    continue
-                hashes = hashed(data.split())
-                may = np.isin(seeds(hashes, passage_words), seed[~equal])
-                hi, at = np.unique(run_hashes(hashes, passage_words)[may], return_index=True)
-                # A second hash, so that different runs are told apart in the largest tables.
-                other = run_hashes((hashes ^ hashes >> np.uint64(31)) * MIX, passage_words)[may][at]
-                ids.append(np.full(len(hi), doc, np.int64))
-                his.append(hi.view(np.int64))
-                los.append((other >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, his, los)], names=["doc_id", "hi", "lo"])
+        for batch in slices(batches, "text", TOGETHER):
+            batch = batch.filter(batch["shared"].is_valid())
+            seed, _, equal = _told(batch["shared"])
+            if equal.all():
+                continue
+            texts = Texts(list(byte_texts(batch["text"])), passage_words)
+            may = np.isin(texts.seeds(), seed[~equal])
+            # Two hashes, so that different runs are told apart in the largest tables.
+            low = (texts.run_hashes(second=True)[may] >> np.uint64(32)).astype(np.uint32)
+            which, hi, lo = once(texts.text[may], texts.run_hashes()[may], low)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(which)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int32))], names=["doc_id", "hi", "lo"])
 
     return run
 
@@ -217,25 +262,28 @@ def text_parts(doc: int, runs: np.ndarray, known: np.ndarray, sources: np.ndarra
 
 def _parts(passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = []
-            for doc, version, data, shared, hits in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), byte_texts(batch["text"]), batch["shared"], batch["hits"]):
-                known, sources = (hits.values.field(k).to_numpy() for k in (0, 1)) if hits.is_valid else (np.empty(0, np.int64),) * 2
-                hashes = hashed(data.split())
-                runs = run_hashes(hashes, passage_words)
-                if not len(runs):
+        for batch in slices(batches, "text", TOGETHER):
+            texts, rows = Texts(list(byte_texts(batch["text"])), passage_words), []
+            runs, (seed, first, equal) = texts.run_hashes(), _told(batch["shared"])
+            right, source = np.zeros(len(runs), bool), np.empty(0, np.int64)
+            if equal.any():
+                seed, at = np.unique(seed[equal], return_index=True)
+                own = texts.seeds()
+                slot = np.minimum(np.searchsorted(seed, own), len(seed) - 1)
+                right, source = seed[slot] == own, first[equal][at][slot]
+            bounds = np.searchsorted(texts.text, np.arange(batch.num_rows + 1)).tolist()
+            for k, (doc, version, hits) in enumerate(zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["hits"])):
+                a, b = bounds[k:k + 2]
+                if a == b:
                     continue
-                seed, first, equal = _told(shared)
-                if equal.any():
-                    order = np.argsort(seed[equal])
-                    seed, first, own = seed[equal][order], first[equal][order], seeds(hashes, passage_words)
-                    slot = np.minimum(np.searchsorted(seed, own), len(seed) - 1)
-                    right = seed[slot] == own
-                    known, sources = np.append(known, runs[right].view(np.int64)), np.append(sources, first[slot[right]])
-                parts = text_parts(doc, runs, known.view(np.uint64), sources, passage_words)
+                known, sources = (hits.values.field(k).to_numpy() for k in (0, 1)) if hits.is_valid else (np.empty(0, np.int64),) * 2
+                alike = right[a:b]
+                if alike.any():
+                    known, sources = np.append(known, runs[a:b][alike].view(np.int64)), np.append(sources, source[a:b][alike])
+                parts = text_parts(doc, runs[a:b], known.view(np.uint64), sources, passage_words)
                 if parts:
-                    begin = np.append(word_bounds(data)[0], len(data)).tolist()
-                    rows += [(doc, version, begin[a], begin[b] - begin[a], b - a, source, gone) for a, b, source, gone in parts]
+                    begin = np.append(texts.first[texts.places[k]:texts.places[k + 1]] - texts.bytes[k], texts.sizes[k]).tolist()
+                    rows += [(doc, version, begin[a], begin[b] - begin[a], b - a, source_id, gone) for a, b, source_id, gone in parts]
             columns = list(zip(*rows)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PART.split(", ")])

@@ -108,28 +108,42 @@ def test_equal_runs_have_equal_seeds():
             letters = "ab" if k % 3 else "abcdefgh"
             base = random.Random(k // 4).choices(letters, k=60)
             text = r.choices(letters, k=r.randrange(30)) + base[r.randrange(20):] + r.choices(letters, k=r.randrange(30))
-            hashes = chunk_dedup.hashed([w.encode() for w in text])
-            found = chunk_dedup.seeds(hashes, width)
+            found = chunk_dedup.Texts([" ".join(text).encode()], width).seeds()
             assert len(found) == max(0, len(text) - width + 1)
             for at, seed in enumerate(found.tolist()):
                 assert known.setdefault(tuple(text[at:at + width]), seed) == seed
         assert len(set(known.values())) > 1
 
 
+def test_words_of_long_texts_have_the_same_hashes(monkeypatch):
+    """Words are hashed alike wherever they stand and however the text is taken in stretches."""
+    data = f"{prose(300, 1)} {'long' * 400} \u00e9t\u00e9 {prose(50, 2)}\r\n end".encode()
+    bounds = chunk_dedup.word_bounds(data)
+    assert [data[a:b] for a, b in zip(*bounds)] == data.split()
+    whole, of = chunk_dedup.word_hashes(data, *bounds).tolist(), {}
+    assert all(of.setdefault(w, h) == h for w, h in zip(data.split(), whole)) and len(set(of.values())) == len(of)
+    monkeypatch.setattr(chunk_dedup, "TOGETHER", 100)
+    assert chunk_dedup.word_hashes(data, *bounds).tolist() == whole
+
+
 def test_blocks_hold_all_runs_of_their_seed():
-    """Texts whose block of a seed is equal have the same runs with that seed."""
-    r, held = random.Random(5), {}
+    """Texts whose block of a seed is equal have the same runs with that seed; texts hashed together are kept apart."""
+    r, held, rows = random.Random(5), {}, [b"", b" \n ", b"few words"]
     for k in range(60):
-        text = r.choices("abcd", k=r.randrange(10)) + prose(90, 30_000 + k // 3).split()[r.randrange(9):] + r.choices("abcd", k=r.randrange(10))
-        hashes = chunk_dedup.hashed([w.encode() for w in text])
-        found = chunk_dedup.seeds(hashes, N)
-        runs = {}
-        for at, seed in enumerate(found.tolist()):
-            runs.setdefault(seed, set()).add(tuple(text[at:at + N]))
-        seeds, blocks = chunk_dedup.blocks(found, hashes, N)
-        for seed, block in zip(seeds.tolist(), blocks.tolist()):
+        rows.append(" ".join(r.choices("abcd", k=r.randrange(10)) + prose(90, 30_000 + k // 3).split()[r.randrange(9):] + r.choices("abcd", k=r.randrange(10))).encode())
+    r.shuffle(rows)
+    together = list(zip(*(x.tolist() for x in chunk_dedup.Texts(rows, N).blocks())))
+    alone = [(k, *x) for k, row in enumerate(rows) for _, *x in zip(*(x.tolist() for x in chunk_dedup.Texts([row], N).blocks()))]
+    assert together == alone and len({k for k, _, _ in together}) == 60
+    for k, row in enumerate(rows):
+        words, runs = row.split(), {}
+        for at, seed in enumerate(chunk_dedup.Texts([row], N).seeds().tolist()):
+            runs.setdefault(seed, set()).add(tuple(words[at:at + N]))
+        mine = [(seed, block) for text, seed, block in together if text == k]
+        assert {seed for seed, _ in mine} == set(runs)
+        for seed, block in mine:
             assert held.setdefault((seed, block), runs[seed]) == runs[seed]
-    assert all(len(x) == 0 for x in chunk_dedup.blocks(chunk_dedup.seeds(chunk_dedup.hashed([]), N), chunk_dedup.hashed([]), N))
+    assert all(len(x) == 0 for x in chunk_dedup.Texts([], N).blocks())
 
 
 def test_other_lengths(docs_of):
