@@ -6,6 +6,7 @@ A component row has ``location_id``, ``component_id`` (unique), ``pos`` (order i
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,68 +76,165 @@ def _measured(prefix: str) -> list:
     return G.side_columns({c: F.col(c) for c in SIDES}, prefix)
 
 
-def near_pairs(table: DataFrame, *, world: float, proximity: float, cell: float | None = None) -> DataFrame:
+#: Sides that a cell of a distance join may hold before it is cut, the parts of each of its edges then, and how often that is done at most.
+BUSY, FAN, CUTS = 4096, 4, 8
+_CELL = [*PLACE, "cx", "cy"]
+_LEAF = [*_CELL, "level", "share_a", "share_b"]
+
+
+def leaf_sides(sides: DataFrame, *, size: float, proximity: float, busy: int = BUSY) -> DataFrame:
+    """Sides in the leaves of quad-trees, as deep as the counted load asks for: those that look for partners (``asks``) out to the proximity.
+
+    The cells of the coarse grid are the roots. A cell with more than ``busy`` sides, some of which ask, is cut (two levels at a time), and sides move down
+    within their cell only, so a round costs what its crowded cells hold. Cells narrower than the proximity would only multiply the asking sides, and cuts
+    do not part long sides but multiply them: only cells are cut in which at least half of the sides are shorter than the new cells. Others that are crowded are dealt
+    out in shares: each asking share meets each share of the others.
+    """
+    zero, pad = F.lit(0.0), F.when(F.col("asks"), float(proximity)).otherwise(0.0)
+    extent = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    roles = F.explode(F.when(F.col("moved"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False))))
+    rows, settled = place(sides.withColumn("asks", roles), F.lit(size), F.lit(size), zero, zero, pad), []
+    for level in range(CUTS + 1):
+        size /= FAN
+        loads = rows.groupBy(*_CELL).agg(F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("asked"), F.count_if(extent < size).alias("short"))
+        load, may = F.col("asking") + F.col("asked"), F.lit(level < CUTS and size >= proximity)
+        crowded = cut_lineage(loads.where((F.col("asking") > 0) & (F.col("asked") > 0) & (load > busy)).select(
+            *_CELL, "asking", "asked", (may & (F.col("short") * 2 >= load)).alias("cut")))
+        rest = rows.withColumn("level", F.lit(level))
+        if crowded.isEmpty():
+            settled.append(rest.withColumns({"share_a": F.lit(0).cast("bigint"), "share_b": F.lit(0).cast("bigint")}))
+            break
+        settled.append(_shared_out(rest.join(crowded, _CELL, "left").where(~F.coalesce("cut", F.lit(False))), busy))
+        keys = crowded.where("cut").select(*_CELL)
+        if keys.isEmpty():
+            break
+        unit = F.lit(size)
+        finer = place(rows.join(keys, _CELL, "left_semi"), unit, unit, zero, zero, pad, names=("_cx", "_cy"), within=("cx", "cy"), fan=FAN)
+        rows = cut_lineage(finer.drop("cx", "cy").withColumnsRenamed({"_cx": "cx", "_cy": "cy"}))
+    return functools.reduce(DataFrame.unionByName, settled)
+
+
+def _shared_out(rows: DataFrame, busy: int) -> DataFrame:
+    """Cells with ``asking`` and ``asked`` sides dealt out: a side is in one share of its own kind and meets all shares of the other."""
+    def shares(load: str) -> Column:
+        return F.coalesce(F.ceil(F.col(load) / busy), F.lit(1)).cast("bigint")
+
+    own = F.pmod(F.xxhash64("component_id", "moved", *SIDES), F.when(F.col("asks"), shares("asking")).otherwise(shares("asked")))
+    met = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("asks"), shares("asked")).otherwise(shares("asking")) - 1))
+    dealt = rows.withColumn("_own", own).withColumn("_met", met)
+    return dealt.withColumns({"share_a": F.when(F.col("asks"), F.col("_own")).otherwise(F.col("_met")),
+                              "share_b": F.when(F.col("asks"), F.col("_met")).otherwise(F.col("_own"))}).drop("_own", "_met", "asking", "asked", "cut")
+
+
+def near_pairs(table: DataFrame, *, world: float, proximity: float, cell: float | None = None, busy: int = BUSY) -> DataFrame:
     """Pairs of components of a location whose boundaries come within ``proximity``, with the distance.
 
     The distance is the least over the world copies. Points are compared with points only. Sides are
-    joined by grid cell, and the minimum per pair is taken on the map side before any shuffle.
+    joined by the leaves of quad-trees over a grid, and the minimum per pair is taken on the map side before any shuffle.
     """
     size = cell or max(2.0 * proximity, world / 4096)
-    sides = _sides(table, world, proximity)
-    unit, none = F.lit(size), F.lit(0.0)
-    left = place(sides.where(~F.col("moved")), unit, unit, none, none, F.lit(float(proximity)))
-    right = place(sides, unit, unit, none, none, none)
-    left = left.select(*PLACE, "cx", "cy", F.col("component_id").alias("a"), *_measured("a_"))
-    right = right.select(*PLACE, "cx", "cy", F.col("component_id").alias("b"), "moved", *_measured("b_"))
+    leaves = leaf_sides(cut_lineage(_sides(table, world, proximity)), size=size, proximity=proximity, busy=busy)
+    left = leaves.where("asks").select(*_LEAF, F.col("component_id").alias("a"), *_measured("a_"))
+    right = leaves.where("not asks").select(*_LEAF, F.col("component_id").alias("b"), "moved", *_measured("b_"))
     # Unmoved pairs come up once, smaller id first; moved ones in both orders, which differ.
     once = (F.col("a") < F.col("b")) | (F.col("moved") & (F.col("a") != F.col("b")))
     close = G.envelope_gap(G.side_named("a_"), G.side_named("b_")) <= proximity
     # Sides and cells outgrow the size Spark estimates for them: never broadcast them.
-    joined = G.with_distance(left.join(right.hint("merge"), [*PLACE, "cx", "cy"]).where(once & close), "a_", "b_")
+    joined = G.with_distance(left.join(right.hint("merge"), _LEAF).where(once & close), "a_", "b_")
     # Filter after the minimum: a filter before it would be pushed into the join, distance and all.
     return (joined.groupBy("location_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .agg(F.min("distance").alias("distance")).where(F.col("distance") <= proximity))
 
 
+_CORNERS = ("west", "east", "south", "north")
+
+
+def _cell_heads(placed: DataFrame, size: float) -> DataFrame:
+    """Per cell the least and greatest component, and the outermost points of its sides within it, which are points of these sides whatever the rounding."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+
+    def crossing(start: str, step: Column, cell: str) -> tuple[Column, Column]:
+        # A side along the other axis has no step; least and greatest pass over the nulls.
+        near, far = ((F.col(cell) * size + edge - F.col(start)) / F.when(step != 0, step) for edge in (0.0, size))
+        return F.least(near, far), F.greatest(near, far)
+
+    (x_in, x_out), (y_in, y_out) = crossing("ax", dx, "cx"), crossing("ay", dy, "cy")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    spans = placed.withColumns({"_in": F.least(F.greatest(zero, x_in, y_in), one), "_out": F.greatest(F.least(one, x_out, y_out), zero)})
+    spans = spans.withColumns({f"_{axis}{end}": F.col(f"a{axis}") + F.col(end) * step for axis, step in (("x", dx), ("y", dy)) for end in ("_in", "_out")})
+    by_x, by_y = ([F.struct(F.col(f"_{first}{end}").alias(first), F.col(f"_{second}{end}").alias(second)) for end in ("_in", "_out")]
+                  for first, second in ("xy", "yx"))
+    return spans.groupBy(*_CELL).agg(
+        F.min("component_id").alias("head"), F.max("component_id").alias("last"), F.min(F.least(*by_x)).alias("west"),
+        F.max(F.greatest(*by_x)).alias("east"), F.min(F.least(*by_y)).alias("south"), F.max(F.greatest(*by_y)).alias("north"))
+
+
+def cell_pairs(heads: DataFrame, *, proximity: float, slack: float) -> DataFrame:
+    """Neighbouring cells (``from_...`` and ``to_...``) by ``verdict``: ``near`` if two of their outermost points are within the proximity, ``open`` if only a look
+    at their sides can tell. Cells whose boxes are further apart are left out, so are those of one head.
+    """
+    # The half of the cells around a cell that lie after it, up to two steps away.
+    turns = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                      for dx in range(0, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)])
+    around = heads.select(*_CELL, "head", *_CORNERS, F.explode(turns).alias("turn")).select(
+        *PLACE, F.col("cx").alias("from_cx"), F.col("cy").alias("from_cy"), F.col("head").alias("from_head"), *(F.col(c).alias(f"from_{c}") for c in _CORNERS),
+        (F.col("cx") + F.col("turn.dx")).alias("cx"), (F.col("cy") + F.col("turn.dy")).alias("cy"))
+    others = heads.select(*_CELL, F.col("head").alias("to_head"), *(F.col(c).alias(f"to_{c}") for c in _CORNERS))
+    pairs = around.join(others.hint("merge"), _CELL).where("from_head <> to_head").withColumnsRenamed({"cx": "to_cx", "cy": "to_cy"})
+
+    def apart(low: str, high: str, axis: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(f"to_{low}.{axis}") - F.col(f"from_{high}.{axis}"), F.col(f"from_{low}.{axis}") - F.col(f"to_{high}.{axis}"))
+
+    gap = F.hypot(apart("west", "east", "x"), apart("south", "north", "y"))
+    nearest = F.least(*(F.hypot(F.col(f"from_{p}.x") - F.col(f"to_{q}.x"), F.col(f"from_{p}.y") - F.col(f"to_{q}.y")) for p in _CORNERS for q in _CORNERS))
+    measured = pairs.withColumn("_gap", gap).where(F.col("_gap") <= proximity + slack)
+    return measured.withColumn("verdict", F.when(nearest <= proximity - slack, "near").otherwise("open")).drop("_gap")
+
+
+def _box(cell: str) -> dict[str, Column]:
+    """The box around what a cell of a pair holds, as the coordinates of a side."""
+    return {"ax": F.col(f"{cell}_west.x"), "ay": F.col(f"{cell}_south.y"), "bx": F.col(f"{cell}_east.x"), "by": F.col(f"{cell}_north.y")}
+
+
 def proximity_links(table: DataFrame, *, world: float, proximity: float) -> DataFrame:
     """Edges that connect the same components as :func:`near_pairs`, but few of them.
 
     Cells are so small that any two sides in one are near each other, so each component is tied only
-    to the cell's smallest one: a crowded cell gives one edge per component, not one per pair. For
-    cells further apart it is enough to know whether any side of one is near any side of the other;
-    that is a semi-join, which stops at the first such side.
+    to the cell's smallest one: a crowded cell gives one edge per component, not one per pair. Cells further apart are
+    told near or far by their outermost points and boxes; where these do not tell, it is enough to know whether any side
+    of one is near any side of the other, among those near the other's box. That is a semi-join, which stops at the first such side.
     """
     if proximity <= 0:
         return near_pairs(table, world=world, proximity=0.0).select("a", "b")
     # Smaller than half the diagonal allows by more than the grid's slack, so that also a side the
     # grid lists in a cell it just misses is within the proximity of the others there.
     size = proximity / math.sqrt(2) * (1 - 1e-6)
+    slack = size * 1e-6 + world * 1e-12
     unit, none = F.lit(size), F.lit(0.0)
-    key = [*PLACE, "cx", "cy"]
-    placed = place(_sides(table, world, proximity), unit, unit, none, none, none).select(*key, "component_id", *SIDES)
-    heads = placed.groupBy(*key).agg(F.min("component_id").alias("head"), F.max("component_id").alias("last"))
-    shared = heads.where("head <> last").select(*key, "head")
-    to_head = placed.join(shared.hint("merge"), key).where("component_id <> head").select(
+    placed = place(_sides(table, world, proximity), unit, unit, none, none, none).select(*_CELL, "component_id", *SIDES)
+    heads = cut_lineage(_cell_heads(placed, size))
+    shared = heads.where("head <> last").select(*_CELL, "head")
+    to_head = placed.join(shared.hint("merge"), _CELL).where("component_id <> head").select(
         F.col("component_id").alias("a"), F.col("head").alias("b")).distinct()
 
-    # The half of the cells around a cell that lie after it, up to two steps away.
-    turns = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                      for dx in range(0, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)])
-    around = heads.select(*key, "head", F.explode(turns).alias("turn")).select(
-        *PLACE, F.col("cx").alias("from_cx"), F.col("cy").alias("from_cy"), F.col("head").alias("from_head"),
-        (F.col("cx") + F.col("turn.dx")).alias("cx"), (F.col("cy") + F.col("turn.dy")).alias("cy"))
-    pairs = around.join(heads.select(*key, "head").hint("merge"), key).where("from_head <> head").select(
-        *PLACE, "from_cx", "from_cy", "from_head", F.col("cx").alias("to_cx"), F.col("cy").alias("to_cy"), F.col("head").alias("to_head"))
+    pairs = cut_lineage(cell_pairs(heads, proximity=proximity, slack=slack))
+    told = pairs.where("verdict = 'near'").select(F.col("from_head").alias("a"), F.col("to_head").alias("b"))
+    probe, other, match = open_sides(pairs, placed, proximity=proximity, slack=slack)
+    # Sides that cross share the cell they cross in, so here only their ends can be near.
+    reached = match & (G.end_distance(G.side_named("a_"), G.side_named("b_")) <= proximity)
+    across = probe.join(other.hint("merge"), reached, "left_semi").select(F.col("from_head").alias("a"), F.col("to_head").alias("b"))
+    return to_head.unionByName(told.unionByName(across).distinct())
+
+
+def open_sides(pairs: DataFrame, placed: DataFrame, *, proximity: float, slack: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides of the join that settles open pairs of cells, and which of their rows are held against each other."""
     lookout = placed.select(*PLACE, F.col("cx").alias("from_cx"), F.col("cy").alias("from_cy"), *_measured("a_"))
-    probe = pairs.join(lookout.hint("merge"), [*PLACE, "from_cx", "from_cy"])
+    probe = pairs.where("verdict = 'open'").join(lookout.hint("merge"), [*PLACE, "from_cx", "from_cy"])
+    probe = probe.where(G.envelope_gap(G.side_named("a_"), _box("to")) <= proximity + slack)
     other = placed.select(F.col("location_id").alias("_place"), F.col("degenerate").alias("_kind"), "cx", "cy", *_measured("b_"))
-    # Sides that cross share the cell they cross in, so here only their ends can be near.
-    match = ((F.col("location_id") == F.col("_place")) & (F.col("degenerate") == F.col("_kind"))
-             & (F.col("to_cx") == F.col("cx")) & (F.col("to_cy") == F.col("cy"))
-             & (G.end_distance(G.side_named("a_"), G.side_named("b_")) <= proximity))
-    across = probe.join(other.hint("merge"), match, "left_semi").select(
-        F.col("from_head").alias("a"), F.col("to_head").alias("b")).distinct()
-    return to_head.unionByName(across)
+    match = ((F.col("location_id") == F.col("_place")) & (F.col("degenerate") == F.col("_kind")) & (F.col("to_cx") == F.col("cx")) & (F.col("to_cy") == F.col("cy"))
+             & (G.envelope_gap(G.side_named("b_"), _box("from")) <= proximity + slack))
+    return probe, other, match
 
 
 def clusters(table: DataFrame, *, world: float, proximity: float) -> DataFrame:

@@ -105,6 +105,66 @@ def test_crowded_location_needs_few_links(spark):
     assert spatial.clusters(frame, world=1440.0, proximity=24.0).select("cluster").distinct().count() == 1
 
 
+def frame_of(spark, boundaries):
+    rows = [(1, i, i, b) for i, b in enumerate(boundaries)]
+    return spark.createDataFrame(rows, "location_id bigint, component_id bigint, pos bigint, boundary array<struct<x:double,y:double>>") \
+        .withColumn("degenerate", F.lit(False))
+
+
+@pytest.mark.parametrize("seed,proximity,busy", [(5, 0.05, 6), (6, 0.4, 20), (7, 3.0, 2), (8, 0.0, 5)])
+def test_pairs_in_refined_cells(spark, seed, proximity, busy):
+    """A crowd in one cell of the grid, on the seam, and long sides through it."""
+    pick, world = random.Random(seed), 200.0
+    boundaries = [[(0.0, 0.0), (150.0, 0.3), (90.0, 2.0)], [(0.2, 0.1), (0.2, 60.0), (0.1, 0.2)]]
+    for _ in range(24):
+        x, y = pick.choice([pick.uniform(0, 1), pick.uniform(world - 0.5, world)]), pick.uniform(0, 1)
+        boundaries.append([(x + pick.uniform(0, 0.2), y + pick.uniform(0, 0.2)) for _ in range(3)])
+    boundaries += [boundaries[-1]] * 3  # no cut parts equal sides
+    want = brute_pairs(boundaries, world, proximity)
+    got = spatial.near_pairs(frame_of(spark, boundaries), world=world, proximity=proximity, cell=8.0, busy=busy).collect()
+    assert {(r.a, r.b) for r in got} == want.keys() and all(math.isclose(r.distance, want[r.a, r.b], abs_tol=1e-9) for r in got)
+
+
+def test_hot_cell_is_cut_by_load(spark):
+    """20,000 short sides in one cell of the grid: no leaf is crowded; equal sides are dealt out in shares."""
+    pick = random.Random(1)
+    sides = [(1, False, i, (x := pick.uniform(0, 0.04)), (y := pick.uniform(0, 0.04)), x + 1e-5, y + 1e-5, False) for i in range(20_000)]
+    sides += [(2, False, i, 0.5123, 0.5271, 0.5123, 0.5271, False) for i in range(1_000)]
+    sides += [(3, False, i, 3.0 * i, 1.0, 3.0 * i, 2.0, False) for i in range(50)]
+    sides += [(4, False, i, 0.01 + i * 1e-6, 0.01, 0.02, 0.02, False) for i in range(1_000)]  # meet in a point: cuts would only multiply them
+    frame = spark.createDataFrame(sides, "location_id bigint, degenerate boolean, component_id bigint, ax double, ay double, bx double, by double, moved boolean")
+    leaves = spatial.leaf_sides(frame, size=0.05, proximity=1e-6, busy=400)
+    loads = leaves.groupBy(*spatial._LEAF).agg(F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("asked")).collect()
+    hot = sorted(r.asking + r.asked for r in loads if r.location_id == 1)
+    assert hot[-1] <= 10 * hot[len(hot) // 2] and hot[-1] <= 400 and len(hot) > 100
+    assert max(r.asking + r.asked for r in loads if r.location_id == 2) <= 2.5 * 400
+    met = leaves.where("asks").alias("a").join(leaves.where("not asks").alias("b"), spatial._LEAF).where("location_id = 2")
+    assert met.count() == met.select("a.component_id", "b.component_id").distinct().count() == 1_000_000
+    assert {r.level for r in loads if r.location_id == 3} == {0}
+    assert leaves.where("location_id = 4").count() < 50_000
+
+
+def test_cells_settle_most_pairs_by_their_outermost_points(spark):
+    """Thousands of sides in neighbouring cells, of which few are looked at."""
+    pick, world, proximity = random.Random(3), 1440.0, 24.0
+    size, slack = proximity / math.sqrt(2), 1e-6
+    boundaries = []
+    for _ in range(1_500):
+        x, y = pick.choice([(5, 5), (25, 5), (60, 60), (58, 90)])
+        x, y = x + pick.uniform(0, 8), y + pick.uniform(0, 8)
+        boundaries.append([(x, y), (x + 0.5, y + 0.2), (x + 0.1, y + 0.6)])
+    frame = frame_of(spark, boundaries)
+    unit, none = F.lit(size), F.lit(0.0)
+    placed = spatial.place(spatial._sides(frame, world, proximity), unit, unit, none, none, none).select(*spatial._CELL, "component_id", *spatial.SIDES)
+    pairs = spatial.cell_pairs(spatial._cell_heads(placed, size), proximity=proximity, slack=slack).cache()
+    probe, other, match = spatial.open_sides(pairs, placed, proximity=proximity, slack=slack)
+    still, tested = pairs.where("verdict = 'open'").count(), probe.join(other, match).count()
+    assert pairs.where("verdict = 'near'").count() > 0 and tested <= 2_000 * max(still, 1) and tested < 0.02 * placed.count() ** 2
+    gap = min(math.dist(p, q) for a in boundaries for b in boundaries[:200] for p in a for q in b if (a[0][0] < 40) != (b[0][0] < 40))
+    labels = spatial.clusters(frame, world=world, proximity=proximity).select("cluster").distinct().count()
+    assert gap > proximity and labels == 2
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 103), (200, 200)]
     vertices = spark.createDataFrame([(i,) for i in [*range(0, 61), 100, 101, 103, 200, 300]], "id bigint")
