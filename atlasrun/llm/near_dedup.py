@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_packed
 from .common import MIX, byte_texts, hashed, slices, windows
 
 WORDS = 5
@@ -31,6 +31,9 @@ _SALT = np.arange(1, SAMPLES + 1, dtype=np.uint64) * MIX
 #: Ids up to which the documents to compare are looked up by broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
+#: Narrow rows that the features of a class are as wide as.
+NODE_WIDTH = 16
+
 FEATURES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"
 
 
@@ -183,7 +186,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     a, b = (nodes.select(F.col("rep").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     apart = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75
-    close = cut_lineage(pairs.join(a, "a").join(b, "b").where(fit & (apart <= most_apart())).select("a", "b"))
+    close = cut_packed(pairs.join(a, "a").join(b, "b").where(fit & (apart <= most_apart())).select("a", "b"))
     sets = _sets_of(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), docs)
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
     both = close.join(a, "a").join(b, "b").select("a", "b", (F.size("ia") + F.size("ib")).alias("all"), F.size(F.array_intersect("ia", "ib")).alias("common"))
@@ -224,7 +227,7 @@ def _untied(shared: DataFrame, nodes: DataFrame, components: DataFrame, docs: Da
     known = nodes.select("rep", F.struct("size", "sketch", "bands").alias("of"))
     columns = [*cell, "rep", "comp", "block", F.col("of.size").alias("size"), F.col("of.sketch").alias("sketch")]
     members = cells.join(known, "rep").select(*columns)
-    near = cut_lineage(members.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_close_members, "key bigint, low bigint, high bigint, rep bigint"))
+    near = cut_packed(members.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_close_members, "key bigint, low bigint, high bigint, rep bigint"))
     sets = _sets_of(near.select(F.col("rep").alias("doc_id")).distinct(), docs).withColumnRenamed("doc_id", "rep")
     whole = cells.join(near, [*cell, "rep"], "left_semi").join(known, "rep").join(sets, "rep").select(*columns, "of.bands", "items")
     return whole.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_links, "a bigint, b bigint").distinct()
@@ -249,20 +252,20 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     features = cut_lineage(named.mapInArrow(_features, FEATURES))
     sets = features.where("doc_id is not null and n_shingles > 0")
-    nodes = cut_lineage(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("of"))
-                        .select("digest", "rep", F.col("of.n_shingles").alias("size"), "of.bands", "of.sketch"))
+    nodes = cut_packed(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("of"))
+                        .select("digest", "rep", F.col("of.n_shingles").alias("size"), "of.bands", "of.sketch"), NODE_WIDTH)
     buckets = nodes.select("rep", F.col("size").cast("int").alias("size"), F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("rep").alias("first"), F.max_by("rep", F.xxhash64("rep")).alias("second"))
-    shared = cut_lineage(buckets.drop("size").join(leaders.where("n > 1").drop("n"), "key"))
+    shared = cut_packed(buckets.drop("size").join(leaders.where("n > 1").drop("n"), "key"))
     texts, vertices = named.where("doc_id is not null"), nodes.select(F.col("rep").alias("id"))
     first = _pairs(shared.groupBy("rep").agg(F.min("first").alias("lead")))
-    links = cut_lineage(_confirmed(first, nodes, texts))
-    components = cut_lineage(connected_components(vertices, links))
+    links = cut_packed(_confirmed(first, nodes, texts))
+    components = cut_packed(connected_components(vertices, links))
     for step in (lambda: _confirmed(_led(shared, components), nodes, texts), lambda: _untied(shared, nodes, components, texts)):
-        more = cut_lineage(step())
+        more = cut_packed(step())
         if not more.isEmpty():
             links = links.union(more)
-            components = cut_lineage(connected_components(vertices, links))
+            components = cut_packed(connected_components(vertices, links))
     named_class = nodes.select("digest", F.col("rep").alias("id")).join(components, "id").select("digest", "cluster")
     member = F.coalesce("cluster", "doc_id")
     return features.select("doc_id", "n_shingles", "digest").join(named_class, "digest", "left").select(

@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Narrow rows that a task of a contraction or of a comparison of pairs takes.
+TASK_ROWS = 100_000
 
 
 def build_session(app: str = "atlasrun", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,6 +61,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """The rows in as many partitions as ``rows`` of them need, one for each core at least; never in more than they come in.
+
+    A shuffle leaves files for each of its tasks and a checkpoint leaves two, so few rows in many partitions are mostly empty blocks on disk.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
+def cut_packed(df: DataFrame, width: int = 1) -> DataFrame:
+    """:func:`cut_lineage`, read back in as many partitions as the rows need; a row is as wide as ``width`` narrow ones."""
+    stored = cut_lineage(df)
+    return packed_tasks(stored, width * stored.count())
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of a run that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
