@@ -43,6 +43,10 @@ def _whole(text: bytes) -> bool:
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _REST = sorted(set(range(256)) - _PRINTABLE)
 _CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + _REST.index(b)) for b in range(256)]
+#: Packs so many ids.
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 @dataclass(frozen=True)
 class Kind:
     """How a vocabulary cuts texts: its pieces, whether it drops case, and whether a word keeps the space before it."""
@@ -79,42 +83,61 @@ class Kind:
         return line, space + "".join(map(_CHARACTERS.__getitem__, word)), stops
 
 
+class _Pieces(dict):
+    """Ids of pieces, made when they are first asked for; a bounded number is remembered, the others until they are cleared."""
+
+    def __init__(self, make: Callable[[bytes], bytes]):
+        self.make, self.others = make, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.others.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+            (self if len(self) < KEPT_PIECES else self.others)[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to bytes of little-endian 32-bit ids, without special tokens added."""
 
     def __init__(self, path: str, kind: Kind):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.model, self.known = self.tokenizer.model, {}
+        self.model, self.known = self.tokenizer.model, _Pieces(self._piece)
+        self.space = _CHARACTERS[32] if kind.spaced else ""
+        self.stops = {stop: self._ids(stop.decode()) for stop in (b".", b",")}
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
-    def _fresh(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Each piece with its ids."""
-        out, odd, tokenize = [], [], self.model.tokenize
-        for piece in pieces:
-            parts = self.kind.parts(piece)
-            if parts is None:
-                odd.append(piece)
-            else:
-                ids = [token.id for part in parts if part for token in tokenize(part)]
-                out.append((piece, struct.pack(f"<{len(ids)}I", *ids)))
-        return out + list(zip(odd, self._encoded([self.kind.text(p) for p in odd])))
+    def _ids(self, *parts: str) -> bytes:
+        """The ids of pre-tokens."""
+        ids = [token.id for part in parts if part for token in self.model.tokenize(part)]
+        return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: bytes) -> bytes:
+        """The ids of a piece."""
+        if piece.isalpha():  # most are a word of ASCII letters, maybe with a stop
+            return self._ids(self.space + piece.decode())
+        if (stop := self.stops.get(piece[-1:])) is not None and piece[:-1].isalpha():
+            return self._ids(self.space + piece[:-1].decode()) + stop
+        parts = self.kind.parts(piece)
+        return self._ids(*parts) if parts is not None else self._encoded([self.kind.text(piece)])[0]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text."""
-        cut = [None if _whole(t) else self.kind.pieces(t) for t in texts]
-        pieces = set().union(*filter(None, cut))
-        here = {p: ids for p in pieces if (ids := self.known.get(p)) is not None}
-        fresh = self._fresh([p for p in pieces if p not in here])
-        here.update(fresh)
-        if room := max(0, KEPT_PIECES - len(self.known)):
-            self.known.update(fresh[:room])
-            gc.freeze()  # the collector need not walk over the remembered pieces again and again
-        whole = iter(self._encoded([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(here.__getitem__, c)) for c in cut]
+        collects = gc.isenabled()
+        gc.disable()  # no cycles are made here, so the collector would only walk over pieces again and again
+        try:
+            out = [None if _whole(t) else b"".join(map(self.known.__getitem__, self.kind.pieces(t))) for t in texts]
+            whole = iter(self._encoded([t for t, ids in zip(texts, out) if ids is None]))
+            self.known.others.clear()
+            gc.freeze()
+        finally:
+            if collects:
+                gc.enable()
+        return [next(whole) if ids is None else ids for ids in out]
 
 
 def lower_words(text: bytes) -> list[bytes]:
