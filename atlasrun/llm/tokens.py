@@ -2,16 +2,18 @@
 
 Both supported pre-tokenizers end a token at every run of white space, so the ids of a text are those of its pieces
 between ASCII space, one after the other. A piece is encoded by the library once and then looked up. Most new
-pieces are a word of plain letters with a full stop or comma: their pre-tokens are known, so they go straight
-to the library's merge model. Texts where a piece could look beyond its edge (white space beyond ASCII
+pieces are a word of plain letters: their pre-tokens are known, so they go straight to the library's merge model. ASCII symbols
+at a word's end are a pre-token of their own, so the word's ids, often known by then, are followed by theirs. Texts where a piece could look beyond its edge (white space beyond ASCII
 next to it, or strings of special tokens) are encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
 import os
 import re
+import string
 import struct
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,6 +22,8 @@ from functools import cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import Remembered
+
 #: Pieces whose ids a Python worker remembers.
 KEPT_PIECES = 600_000
 #: White space beyond ASCII, and what it begins with; the begin of a special token.
@@ -42,7 +46,9 @@ def _whole(text: bytes) -> bool:
 #: The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _REST = sorted(set(range(256)) - _PRINTABLE)
-_CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + _REST.index(b)) for b in range(256)]
+_CHARACTERS = "".join(chr(b) if b in _PRINTABLE else chr(256 + _REST.index(b)) for b in range(256))
+#: What both pre-tokenizers take for symbols among ASCII characters.
+_SYMBOLS = string.punctuation.encode()
 #: Packs so many ids.
 _PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
@@ -61,10 +67,9 @@ class Kind:
             return piece
         return piece[1:] if piece[:1] == _BARE else b" " + piece
 
-    def parts(self, piece: bytes) -> tuple[str, str, str] | None:
-        """The pre-tokens of a plain piece: a line end, a word with its space, and stops or commas; None if it is not plain."""
-        word = piece.rstrip(b".,")
-        stops, line, space = piece[len(word):].decode(), "", ""
+    def parts(self, piece: bytes) -> tuple[str, str] | None:
+        """The pre-tokens of a plain piece: a line end and a word with its space; None if it is not plain."""
+        word, line, space = piece, "", ""
         if self.spaced:
             if word[:1] == _BARE:
                 word = word[1:]
@@ -76,24 +81,38 @@ class Kind:
         if not text.isalpha():
             return None
         if text.isascii():
-            return line, space + text, stops
+            return line, space + text
         if max(text) > "\xff" or b"\xc2" in word:  # plain are the two-byte Latin-1 letters, which normalization leaves alone
             return None
-        word = text.lower().encode() if self.lower else word
-        return line, space + "".join(map(_CHARACTERS.__getitem__, word)), stops
+        return line, space + codecs.charmap_decode(text.lower().encode() if self.lower else word, "strict", _CHARACTERS)[0]
+
+
+def _word(piece: bytes) -> bytes | None:
+    """A piece without the symbols at its end, if it has some and they are a pre-token of their own: they follow an ASCII letter or digit or a plain letter."""
+    word = piece.rstrip(_SYMBOLS)
+    if len(word) == len(piece) or not (word[-1:].isalnum() or word[-2:-1] == b"\xc3" and word[-1:] not in (b"\x97", b"\xb7")):
+        return None
+    return word
 
 
 class _Pieces(dict):
-    """Ids of pieces, made when they are first asked for; a bounded number is remembered, the others until they are cleared."""
+    """Ids of pieces, made when they are first asked for; a bounded number of words is remembered, the others until they are cleared.
 
-    def __init__(self, make: Callable[[bytes], bytes]):
-        self.make, self.others = make, {}
+    A word with symbols at its end is put together from both, which is cheap, so these many pieces take no room from words.
+    """
+
+    def __init__(self, make: Callable[[bytes], bytes], symbols: Callable[[bytes], bytes]):
+        self.make, self.symbols, self.others = make, Remembered(symbols), {}
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.others.get(piece)
         if ids is None:
-            ids = self.make(piece)
-            (self if len(self) < KEPT_PIECES else self.others)[piece] = ids
+            word = _word(piece)
+            if word is not None:
+                ids = self.others[piece] = self[word] + self.symbols[piece[len(word):]]
+            else:
+                ids = self.make(piece)
+                (self if len(self) < KEPT_PIECES else self.others)[piece] = ids
         return ids
 
 
@@ -103,9 +122,8 @@ class Encoder:
     def __init__(self, path: str, kind: Kind):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.model, self.known = self.tokenizer.model, _Pieces(self._piece)
+        self.model, self.known = self.tokenizer.model, _Pieces(self._piece, lambda run: self._ids(run.decode()))
         self.space = _CHARACTERS[32] if kind.spaced else ""
-        self.stops = {stop: self._ids(stop.decode()) for stop in (b".", b",")}
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -118,10 +136,8 @@ class Encoder:
 
     def _piece(self, piece: bytes) -> bytes:
         """The ids of a piece."""
-        if piece.isalpha():  # most are a word of ASCII letters, maybe with a stop
+        if piece.isalpha():  # most are a word of ASCII letters
             return self._ids(self.space + piece.decode())
-        if (stop := self.stops.get(piece[-1:])) is not None and piece[:-1].isalpha():
-            return self._ids(self.space + piece[:-1].decode()) + stop
         parts = self.kind.parts(piece)
         return self._ids(*parts) if parts is not None else self._encoded([self.kind.text(piece)])[0]
 
