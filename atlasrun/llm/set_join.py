@@ -281,11 +281,25 @@ def _entries(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _met(entries: DataFrame) -> DataFrame:
-    """``gid, other``: groups with a column in common, both ways round."""
-    listed = entries.select("column", "gid").distinct()
-    torn = entries.groupBy("column").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("column")
+    """``column, gid, held, other``: groups with this column in common, both ways round, and how many classes of the first one have it."""
+    listed = entries.groupBy("column", "gid").agg(F.count(F.lit(1)).alias("held"))
+    torn = listed.groupBy("column").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("column")
     rest = listed.join(torn, "column", "left_semi")
-    return rest.join(rest.withColumnRenamed("gid", "other"), "column").where("gid <> other").select("gid", "other").distinct()
+    return rest.join(rest.select("column", F.col("gid").alias("other")), "column").where("gid <> other")
+
+
+def _asks(entries: DataFrame, narrow: DataFrame, met: DataFrame) -> DataFrame:
+    """``key, gid``: classes and the other groups that may hold a partner.
+
+    A class asks the groups that it shares a column with. Where the classes of its group have more columns in common with the other group than there are
+    classes, all of them ask it instead, so many common columns of many classes are not listed.
+    """
+    docs = narrow.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"))
+    pairs = met.join(docs, "gid")
+    few = pairs.where("held < docs").select("gid", "other")
+    listed = _met(entries).join(few, ["gid", "other"], "left_semi").join(entries, ["column", "gid"]).select("key", "other").distinct()
+    every = narrow.join(pairs.where("held >= docs"), "gid").select("key", "other")
+    return listed.unionByName(every).withColumnRenamed("other", "gid")
 
 
 def set_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,12 +326,12 @@ def set_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
     groups = written(_groups(of_classes("n", "leads")), f"{root}/groups")
     entries = written(_entries(of_classes("columns"), groups), f"{root}/entries")
-    met = written(_met(entries), f"{root}/met")
+    met = written(_met(entries).groupBy("gid", "other").agg(F.sum("held").alias("held")), f"{root}/met")
     others = met.select(F.col("other").alias("gid")).distinct()
     # Only classes that share a column can have a partner.
     narrow = written(groups.join(entries.select("key").distinct(), "key", "left_semi").join(alike.select("key", "n", "rows"), "key"), f"{root}/narrow")
     sizes = narrow.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asks = narrow.join(met, "gid").select("key", "n", F.col("other").alias("gid")).join(sizes, "gid")
+    asks = _asks(entries, narrow, met).join(narrow.select("key", "n"), "key").join(sizes, "gid")
     asks = asks.where((F.col("low") <= F.col("n")) & (F.col("high") * 100 >= F.col("n") * LEAST)).select("key", "n", "gid")
     bits = features.select(F.col("row").alias("key"), "bits")
     of_groups = narrow.join(others, "gid", "left_semi").join(bits, "key")
@@ -338,8 +352,8 @@ def set_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     wanted = alike.join(rows.select("key").distinct(), "key", "left_semi").select("key", "digest", "least")
     ids = wanted.select(F.col("least").alias("doc_id")).distinct()
     texts = named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(_sets, "digest binary, items binary").join(wanted.select("key", "digest"), "digest").dropDuplicates(["key"]).select("key", "items")
-    filled = rows.join(sets, "key").select(*_CELL, "asks", "key", "n", "rows", "items")
+    sets = texts.select("text").mapInArrow(_sets, "digest binary, items binary").dropDuplicates(["digest"])
+    filled = rows.join(wanted.select("key", "digest"), "key").join(sets, "digest").select(*_CELL, "asks", "key", "n", "rows", "items")
     found = written(filled.repartition(*_CELL).sortWithinPartitions(*_CELL, "asks").mapInArrow(_opened, "a bigint, b bigint, n bigint"), f"{root}/found")
 
     clusters = connected_components(alike.select(F.col("key").alias("id")), found.where("b is not null").select("a", "b"))

@@ -291,3 +291,15 @@ def test_linked_sets_share_a_column():
         if 100 * r_common >= 90 * (len(query) + len(member) - r_common):
             assert np.intersect1d(set_join.columns_of(query), set_join.columns_of(member)).size
     assert not len(set_join.columns_of(query[:8]))
+
+
+def test_classes_ask_what_they_meet(spark):
+    """Few common columns: only the classes that have them ask. Many: all classes of the group ask once, not once for each column."""
+    few = [(100 + other, key, gid) for other in range(30) for key, gid in ((other, 1), (1000 + other, 50 + other))]
+    many = [(500 + column, key, gid) for column in range(20) for key, gid in ((200, 2), (201, 2), (300, 3), (301, 3))]
+    narrow = spark.createDataFrame([*((k, 1) for k in range(100)), *((1000 + k, 50 + k) for k in range(30)), (200, 2), (201, 2), (300, 3), (301, 3)], "key long, gid long")
+    entries = spark.createDataFrame([*few, *many], "column long, key long, gid long")
+    met = set_join._met(entries).groupBy("gid", "other").agg({"held": "sum"}).withColumnRenamed("sum(held)", "held")
+    assert {(r.gid, r.other): r.held for r in met.collect() if r.gid in (1, 2)} == {**{(1, 50 + k): 1 for k in range(30)}, (2, 3): 40}
+    got = sorted(tuple(r) for r in set_join._asks(entries, narrow, met).select("key", "gid").collect())
+    assert got == sorted([*((k, 50 + k) for k in range(30)), *((1000 + k, 1) for k in range(30)), (200, 3), (201, 3), (300, 2), (301, 2)])
