@@ -31,6 +31,8 @@ STEP = 1.5
 LEADS = 8
 #: Members and tokens (over all its members) of a group, about; queries that one task compares with a group.
 GROUP_DOCS, GROUP_TOKENS, CELL_QUERIES = 2048, 1 << 20, 2048
+#: Sets that a task remembers, so that their copies in the task have no columns.
+SEEN = 100_000
 #: Tokens (columns) and queries that are compared at a time.
 COLUMNS, ROWS = 4096, 256
 #: Ids up to which the documents of opened groups are looked up by broadcast; more are joined by shuffle.
@@ -121,13 +123,19 @@ def may_overlap(query: np.ndarray, n: int, union: np.ndarray) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[bytes] = set()
     for whole in batches:
         for batch in slices([whole], "text"):
             sets = [shingles(text) for text in byte_texts(batch["text"])]
-            keys = [[f(s).view(np.int64) if len(s) else None for s in sets] for f in (columns_of, leads_of)]
+            digests, columns = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], []
+            for s, digest, doc in zip(sets, digests, batch["doc_id"].to_pylist()):
+                columns.append(columns_of(s).view(np.int64) if len(s) and digest not in seen else None)
+                if doc is not None and len(seen) < SEEN:  # a copy without an id does not stand for others
+                    seen.add(digest)
+            leads = [leads_of(s).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 *(pa.array(k, pa.list_(pa.int64())) for k in keys), pa.array([bits_of(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                [batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                 *(pa.array(k, pa.list_(pa.int64())) for k in (columns, leads)), pa.array([bits_of(s).tobytes() if len(s) else None for s in sets], pa.binary())],
                 names=["row", "doc_id", "n", "digest", "columns", "leads", "bits"])
 
 
@@ -273,11 +281,15 @@ def _groups(sets: DataFrame) -> DataFrame:
     return sets.select("key").join(chosen, "key", "left").select("key", F.coalesce("gid", F.xxhash64("key")).alias("gid"), F.col("gid").isNotNull().alias("shared"))
 
 
-def _entries(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """``column, key, gid`` of the columns that several classes have."""
-    columns = sets.select("key", F.explode("columns").alias("column")).repartition("column")
-    shared = columns.groupBy("column").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("column")
-    return columns.join(shared, "column", "left_semi").join(groups.select("key", "gid"), "key").select("column", "key", "gid")
+def _entries(features: DataFrame, groups: DataFrame) -> DataFrame:
+    """``column, key, gid`` of the columns that several classes have.
+
+    Columns go by a 64-bit ``mark`` of the set, so they are dealt out once, without a look at which row stands for its class; two sets of one mark would
+    have to be alike themselves for a link to be missed.
+    """
+    columns = features.where("doc_id is not null and n > 0").select(F.xxhash64("digest").alias("mark"), F.explode("columns").alias("column")).repartition("column")
+    shared = columns.groupBy("column").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).where("x <> y").select("column")
+    return columns.join(shared, "column", "left_semi").distinct().join(groups.select("mark", "key", "gid"), "mark").select("column", "key", "gid")
 
 
 def _met(entries: DataFrame) -> DataFrame:
@@ -319,13 +331,9 @@ def set_join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     features = written(named.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_features, FEATURES), f"{root}/features")
     alike = written(features.where("doc_id is not null and n > 0").groupBy("digest").agg(
         F.min("row").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")), f"{root}/alike")
-    keys = alike.select("key")
-
-    def of_classes(*columns: str) -> DataFrame:
-        return features.select(F.col("row").alias("key"), *columns).join(keys, "key", "left_semi")
-
-    groups = written(_groups(of_classes("n", "leads")), f"{root}/groups")
-    entries = written(_entries(of_classes("columns"), groups), f"{root}/entries")
+    leads = features.select(F.col("row").alias("key"), "n", "leads").join(alike.select("key"), "key", "left_semi")
+    groups = written(_groups(leads), f"{root}/groups")
+    entries = written(_entries(features, groups.join(alike.select("key", F.xxhash64("digest").alias("mark")), "key")), f"{root}/entries")
     met = written(_met(entries).groupBy("gid", "other").agg(F.sum("held").alias("held")), f"{root}/met")
     others = met.select(F.col("other").alias("gid")).distinct()
     # Only classes that share a column can have a partner.

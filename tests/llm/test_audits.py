@@ -303,3 +303,12 @@ def test_classes_ask_what_they_meet(spark):
     assert {(r.gid, r.other): r.held for r in met.collect() if r.gid in (1, 2)} == {**{(1, 50 + k): 1 for k in range(30)}, (2, 3): 40}
     got = sorted(tuple(r) for r in set_join._asks(entries, narrow, met).select("key", "gid").collect())
     assert got == sorted([*((k, 50 + k) for k in range(30)), *((1000 + k, 1) for k in range(30)), (200, 3), (201, 3), (300, 2), (301, 2)])
+
+
+def test_columns_of_copies():
+    """Copies within a task have no columns, but the first row with an id has them."""
+    texts = [(None, "a b c d e f g h i j k l m"), (1, "a b c d e f g h i j k l m"), (2, "A b c d e f g h i j k l m"), (3, "n b c d e f g h i j k l m")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([d for d, _ in texts], pa.int64()), pa.array([t for _, t in texts])], names=["row", "doc_id", "text"])
+    out = pa.Table.from_batches(set_join._features(iter([batch])))
+    assert [bool(c) for c in out["columns"].to_pylist()] == [True, True, False, True]
+    assert all(out["leads"].to_pylist()) and len(set(out["digest"].to_pylist())) == 2
